@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import cut, text_key, written
 from .components import connected_components
+from .groups import block_pairs, tree_edges
 
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.999, 5
 #: Classes in a block of a large bucket.
@@ -144,26 +145,6 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(*names, "text").mapInArrow(run, schema + ", grams binary")
 
 
-def tree_edges(left: np.ndarray, right: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Edges that connect what the pairs (left, right) of 0..n-1 connect: fewer than n, at most three at a node."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    groups: dict[int, list[int]] = {}
-    for x in range(n):
-        groups.setdefault(root(x), []).append(x)
-    return [(g[i], g[(i - 1) // 2]) for g in groups.values() for i in range(1, len(g))]
-
-
 def linked_pairs(grams: list[np.ndarray], bands: np.ndarray, band: int, side: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows whose first equal band is ``band`` and whose sets are similar enough. Where sides are
     given, only pairs across them."""
@@ -268,12 +249,7 @@ def join_documents(docs: DataFrame, words: int = WORDS, threshold: float = THRES
     buckets = whole.filter("n > 1 and not seen").select("band", "h", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     members = spread.select("cls", "band", "h").join(buckets, ["band", "h"])
     # a member meets the members of every block: once for each pair of blocks that holds its own
-    mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda other: F.struct(F.least(mine, other).alias("one"), F.greatest(mine, other).alias("two"), (mine > other).cast("int").alias("side")),
-    )
-    placed = members.select("cls", "band", F.xxhash64("band", "h").alias("bucket"), F.explode(pairs).alias("p")).select("cls", "band", "bucket", "p.*")
+    placed = members.select("cls", "band", F.xxhash64("band", "h").alias("bucket"), F.inline(block_pairs(F.col("cls"), F.col("blocks"))))
     placed = cut(placed)
 
     wanted = placed.select("cls").distinct().join(classes, "cls").select("cls", "cls_doc", "t1", "t2", "copies", "bands")
