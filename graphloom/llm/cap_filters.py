@@ -29,10 +29,14 @@ from pyspark.sql import functions as F
 from .common import cut
 from .components import connected_components
 from .groups import block_pairs, tree_edges
+from .tokens import trim
 
 THRESHOLD = 0.93
-#: Code words of each part, parts, and the cap's height in standard deviations of a random inner product.
-CODE_WORDS, PARTS, HEIGHT = 512, 2, 3.5
+#: Independent codes, code words of each part, parts, and the cap's height in standard deviations of a random
+#: inner product. Of pairs at a cosine of 0.93 in 64 dimensions, one in 600 shares no filter (by simulation).
+CODES, CODE_WORDS, PARTS, HEIGHT = 2, 1024, 2, 3.7
+#: Vectors whose filters a Python process keeps while it verifies.
+KEPT_FILTERS = 30_000
 BLOCK = 400
 LEAST = -(1 << 63)
 
@@ -73,15 +77,41 @@ class ProductCode:
         return out
 
 
-_CODES: dict[tuple, ProductCode] = {}
+class CodeSet:
+    """Several independent codes; filter numbers of different codes differ."""
 
+    def __init__(self, dim: int, codes: int, words: int, parts: int, height: float):
+        self.codes = [ProductCode(dim, words, parts, height, seed=23 + k) for k in range(codes)]
+        self.span = words ** min(parts, dim)
 
-def product_code(dim: int, *settings) -> ProductCode:
+    def decode(self, unit: np.ndarray) -> list[np.ndarray]:
+        found = [code.decode(unit) for code in self.codes]
+        return [np.concatenate([numbers + k * self.span for k, numbers in enumerate(row)]) for row in zip(*found, strict=True)]
+
+
+_CODES: dict[tuple, CodeSet] = {}
+
+
+def code_set(dim: int, *settings) -> CodeSet:
     if (dim, *settings) not in _CODES:
-        _CODES[dim, *settings] = ProductCode(dim, *settings)
+        _CODES[dim, *settings] = CodeSet(dim, *settings)
     return _CODES[dim, *settings]
 
 
+_KEPT: dict[tuple, np.ndarray] = {}
+
+
+def filters_of(classes: list[int], unit: np.ndarray, settings: tuple) -> list[np.ndarray]:
+    """The filters of some vectors, decoded again or kept from before."""
+    keys = [(settings, unit.shape[1], c) for c in classes]
+    new = [i for i, k in enumerate(keys) if k not in _KEPT]
+    fresh = dict(zip((keys[i] for i in new), code_set(unit.shape[1], *settings).decode(unit[new]), strict=True)) if new else {}
+    out = [fresh[k] if k in fresh else _KEPT[k] for k in keys]
+    trim(_KEPT, KEPT_FILTERS)
+    _KEPT.update(fresh)
+    return out
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1 in double precision, without overflow on the way."""
     rows = rows.astype(np.float64)
@@ -106,7 +136,7 @@ def with_filters(classes: DataFrame, settings: tuple) -> DataFrame:
                 rows = np.flatnonzero(dims == dim)
                 for some in np.array_split(rows, -(-len(rows) // 2048)):
                     unit = _unit(np.stack([values[offsets[i] : offsets[i + 1]] for i in some]))
-                    for i, filters in zip(some, product_code(int(dim), *settings).decode(unit), strict=True):
+                    for i, filters in zip(some, code_set(int(dim), *settings).decode(unit), strict=True):
                         found[i] = filters
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["cls", "filters"])
 
@@ -129,8 +159,8 @@ def first_shared(filters: list[np.ndarray], here: int, left: np.ndarray, right:
     return (held @ held.T)[left, right] == 0
 
 
-def verify(members: DataFrame, threshold: float) -> DataFrame:
-    """``members``: bucket, one, two, side, filter, cls, copies, vector, filters. Returns cls, links, other."""
+def verify(members: DataFrame, threshold: float, settings: tuple) -> DataFrame:
+    """``members``: bucket, one, two, side, filter, cls, copies, vector. Returns cls, links, other."""
 
     def group(rows: list[tuple], across: bool) -> Iterator[tuple[int, int, int | None]]:
         unit = _unit(np.stack([r[3] for r in rows]))
@@ -142,7 +172,9 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
         left, right = np.nonzero(ok)
         if not len(left):
             return
-        first = first_shared([r[4] for r in rows], rows[0][5], left, right)
+        ends, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+        filters = filters_of([rows[i][1] for i in ends], unit[ends], settings)
+        first = first_shared(filters, rows[0][4], at[: len(left)], at[len(left) :])
         left, right = left[first], right[first]
         copies, links = np.array([r[2] for r in rows]), np.zeros(len(rows), np.int64)
         np.add.at(links, left, copies[right])
@@ -162,21 +194,21 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
 
         for batch in batches:
             buckets, ones, twos, sides, here, classes, copies = (batch.column(i).to_pylist() for i in range(7))
-            (vectors, at), (filters, to) = ((c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()) for c in batch.columns[7:9])
+            vectors, at = batch.column(7).values.to_numpy(zero_copy_only=False), batch.column(7).offsets.to_numpy()
             for i in range(batch.num_rows):
                 now = (buckets[i], ones[i], twos[i])
                 if now != key:
                     if len(held) > 1:
                         out.extend(group(held, key[1] != key[2]))
                     held, key = [], now
-                held.append((sides[i], classes[i], copies[i], vectors[at[i] : at[i + 1]], filters[to[i] : to[i + 1]], here[i]))
+                held.append((sides[i], classes[i], copies[i], vectors[at[i] : at[i + 1]], here[i]))
             if len(out) > 20_000:
                 yield flush()
         if len(held) > 1:
             out.extend(group(held, key[1] != key[2]))
         yield flush()
 
-    columns = ("bucket", "one", "two", "side", "filter", "cls", "copies", "vector", "filters")
+    columns = ("bucket", "one", "two", "side", "filter", "cls", "copies", "vector")
     dealt = members.select(*columns).repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two", "cls")
     return dealt.mapInArrow(run, "cls long, links long, other long")
 
@@ -184,6 +216,7 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
 def dedup_embeddings(
     vectors: DataFrame,
     threshold: float = THRESHOLD,
+    codes: int = CODES,
     code_words: int = CODE_WORDS,
     parts: int = PARTS,
     height: float = HEIGHT,
@@ -199,16 +232,14 @@ def dedup_embeddings(
     first = F.min(F.coalesce("vec_id", F.lit(LEAST)))
     grouped = rows.filter("ok").groupBy("v1", "v2", "label").agg(first.alias("cls_id"), F.count(F.lit(1)).alias("copies"), F.any_value("vector").alias("vector"))
     classes = cut(grouped.withColumn("cls", F.xxhash64("v1", "v2")))
-    decoded = with_filters(classes, (code_words, parts, height))
-    spread = classes.select("cls", "label", F.size("vector").alias("dim"), "copies", "vector").join(decoded, "cls")
-    spread = cut(spread)
-
-    seen = spread.select("cls", "label", "dim", F.explode("filters").alias("filter"))
+    settings = (codes, code_words, parts, height)
+    decoded = cut(with_filters(classes, settings))
+    seen = classes.select("cls", "label", F.size("vector").alias("dim")).join(decoded, "cls").select("cls", "label", "dim", F.explode("filters").alias("filter"))
     buckets = seen.groupBy("label", "dim", "filter").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = buckets.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     placed = seen.join(buckets, ["label", "dim", "filter"]).select("cls", "filter", F.xxhash64("label", "dim", "filter").alias("bucket"), F.inline(block_pairs(F.col("cls"), F.col("blocks"))))
-    members = placed.join(spread.select("cls", "copies", "vector", "filters"), "cls")
-    checked = cut(verify(members, threshold))
+    members = placed.join(classes.select("cls", "copies", "vector"), "cls")
+    checked = cut(verify(members, threshold, settings))
 
     links = checked.groupBy("cls").agg(F.sum("links").alias("links"))
     parts_of = connected_components(checked.filter("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")))

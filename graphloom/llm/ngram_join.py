@@ -230,9 +230,10 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
     return members.select("bucket", "one", "two", "band", "side", "cls", "copies", "bands", "grams").mapInArrow(run, "cls long, links long, other long")
 
 
-def join_documents(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+def join_documents(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK, with_keys: bool = False) -> DataFrame:
     """doc_id, class_id (smallest doc_id with an equal set), n_links (other documents linked, copies included),
-    component_id (smallest doc_id reachable by links), kept (the document of that id): one row for each row of ``docs``."""
+    component_id (smallest doc_id reachable by links), kept (the document of that id): one row for each row of ``docs``. With
+    ``with_keys`` also t1 and t2, which stand for the text (``text_key``)."""
     bands = choose_bands(threshold, recall, rows)
     signed = written(signatures(docs, words, MinHash(bands, rows)), "signatures")
     full = signed.filter("n_grams > 0")
@@ -271,6 +272,7 @@ def join_documents(docs: DataFrame, words: int = WORDS, threshold: float = THRES
     def back(c: str) -> Column:
         return F.when(F.col(c) == LEAST, F.lit(None)).otherwise(F.col(c))
 
-    linked = full.select("doc_id", "s1", "s2").join(named, ["s1", "s2"]).select("doc_id", back("cls_doc").alias("class_id"), "n_links", back("component_doc").alias("component_id"))
-    alone = signed.filter("n_grams = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
+    keys = ["t1", "t2"] if with_keys else []
+    linked = full.select("doc_id", "s1", "s2", *(F.col(k).alias(f"own_{k}") for k in keys)).join(named, ["s1", "s2"]).select("doc_id", back("cls_doc").alias("class_id"), "n_links", back("component_doc").alias("component_id"), *(F.col(f"own_{k}").alias(k) for k in keys))
+    alone = signed.filter("n_grams = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"), *keys)
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, ngram_join, packing, sharding, token_files
+from . import bpe, cap_filters, chat, edit_fingerprint, line_dedup, ngram_join, packing, sharding, token_files, toxicity
 from .common import documents
 
 
@@ -16,15 +16,35 @@ def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(documents(spark, sf_dir))
 
 
+def recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_documents(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.conversation_digests(chat.format_conversations(turns.unionByName(extra)))
+
+
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_documents(documents(spark, sf_dir), path, public_tokenizers.PATTERN, with_ids=False)
 
 
+def edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.fingerprint_edits(documents(spark, sf_dir))
+
+
 def token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.dedup_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def cuckoo_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -40,8 +60,12 @@ def tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_jaccard_join,
+    "op2_recurrent_toxicity": recurrent_toxicity,
+    "op3_chat_round_trip": chat_round_trip,
     "op4_byte_bpe": byte_bpe,
+    "op5_edit_fingerprints": edit_fingerprints,
     "op6_token_orc": token_orc,
+    "op7_embedding_caps": embedding_caps,
     "op8_cuckoo_line_dedup": cuckoo_line_dedup,
     "op9_hypergeometric_shards": hypergeometric_shards,
     "op10_tiered_packing": tiered_packing,

@@ -1,15 +1,15 @@
 """Operator 2: toxicity by a bidirectional gated recurrent network with attention pooling.
 
 A token is what stands between white space. Its input joins a word embedding and the maximum over the
-embeddings of its character runs, both by hashing, so parts of unseen words still tell. A forward and a
+embeddings of its character runs, so parts of unseen words still tell. A forward and a
 backward recurrent layer read windows of ``WINDOW`` tokens, every ``STRIDE`` tokens; attention pools a window
 into one logit, and a document's score comes from its strongest window. All windows of every text are scored.
 
 Training runs in numpy on the driver, over a sample of labelled documents bounded by ``sample_positive`` and
-``sample_negative`` (the rows with the smallest hash of their id). Embeddings start at the log odds of their
-token or run in the sample; then all weights are trained by Adam on the strongest window of each document
-and one other. The threshold comes from sample documents that training has not seen. The weights (about
-2 MB, whatever the data) are broadcast, and documents are scored where they lie, without a shuffle.
+``sample_negative`` (the rows with the smallest hash of their id). Words and runs that speak for label 1
+have embeddings, which start at their log odds in the sample; then all weights are trained by Adam on the
+strongest window of each document and one other of clean ones. The threshold comes from sample documents
+that training has not seen. The weights (some megabytes, bounded by the sample) are broadcast, and documents are scored where they lie, without a shuffle.
 
 The gates use clipped lines in place of the logistic function and the hyperbolic tangent: they are as good
 here and several times faster.
@@ -22,10 +22,13 @@ than doc_id and text are never inputs.
 
 from __future__ import annotations
 
+import hashlib
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,15 +36,17 @@ from .tokens import blocks
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 4, 4
-WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 16
 RUNS = (4, 5)
 SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 1500, 3000
-EPOCHS, BATCH = 6, 256
+EPOCHS, BATCH, RATE = 5, 48, 0.006
+#: A word or character run has an embedding if so many sample documents hold it and its log odds for label 1 are so
+#: high; all others share the zero embedding.
+SUPPORT, LEAST_ODDS = 3, 0.5
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…¿¡–—"
 
 
 def token_arrays(tokens: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Groups of tokens as (their numbers, word bucket, buckets of character runs with -1 for none)."""
+    """Groups of tokens as (their numbers, word hashes, hashes of their character runs with 0 for none)."""
     plain = [f"^{t.lower().strip(MARKS) or t}$" for t in tokens]
     sizes = np.array([len(t) for t in plain])
     widths = np.where(sizes <= 24, 24, 1 << np.ceil(np.log2(np.maximum(sizes, 2))).astype(int))
@@ -57,9 +62,23 @@ def token_arrays(tokens: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np
                 value = np.zeros((len(some), width - n + 1), np.uint64)
                 for k in range(n):
                     value = (value ^ codes[:, k : width - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-                bucket = (value >> np.uint64(40)).astype(np.int64) & (CHAR_BUCKETS - 1)
-                runs.append(np.where(codes[:, n - 1 :] > 0, bucket, -1))
-            yield some, ((word * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (WORD_BUCKETS - 1), np.concatenate(runs, axis=1)
+                runs.append(np.where(codes[:, n - 1 :] > 0, value, np.uint64(0)))
+            yield some, word * np.uint64(0x9E3779B97F4A7C15), np.concatenate(runs, axis=1)
+
+
+class HashIndex:
+    """Numbers from 1 for 64-bit keys, 0 for all others. Of keys that fall on one slot the last stays."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(16, int(len(keys) * 16).bit_length())
+        self.keys = np.concatenate([np.zeros(1, np.uint64), keys.astype(np.uint64)])
+        self.shift = np.uint64(64 - bits)
+        self.slots = np.zeros(1 << bits, np.int32)
+        self.slots[keys.astype(np.uint64) >> self.shift] = np.arange(1, len(keys) + 1)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.slots[hashes >> self.shift]
+        return np.where(self.keys[at] == hashes, at, 0)
 
 
 class Vocabulary:
@@ -67,7 +86,6 @@ class Vocabulary:
 
     def __init__(self):
         self.numbers: dict[str, int] = {}
-        self.words: list[np.ndarray] = [np.zeros(1, np.int64)]
 
     def add(self, tokens: set[str]) -> list[str]:
         new = sorted(t for t in tokens if t not in self.numbers)
@@ -97,14 +115,15 @@ def _clip(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    def __init__(self, seed: int = 3):
+    def __init__(self, words: HashIndex, runs: HashIndex, seed: int = 3):
         rng = np.random.default_rng(seed)
+        self.words, self.runs = words, runs
         d, h = WORD_DIM + CHAR_DIM, HIDDEN
 
         def normal(*shape: int, scale: float) -> np.ndarray:
             return (rng.standard_normal(shape) * scale).astype(np.float32)
 
-        self.p = {"word": normal(WORD_BUCKETS, WORD_DIM, scale=0.05), "char": normal(CHAR_BUCKETS, CHAR_DIM, scale=0.05)}
+        self.p = {"word": normal(len(words.keys), WORD_DIM, scale=0.05), "char": normal(len(runs.keys), CHAR_DIM, scale=0.05)}
         for side in "fb":
             self.p[f"W{side}"] = normal(d, 3 * h, scale=0.4)
             self.p[f"U{side}"] = normal(h, 3 * h, scale=0.2)
@@ -115,14 +134,14 @@ class Network:
     # the input of a token
 
     def inputs(self, word: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Inputs of tokens, and for each character dimension the run that gave the maximum (-1: none)."""
-        table = self.p["char"][np.maximum(runs, 0)]
-        table[runs < 0] = -np.inf
+        """Inputs of tokens given as numbers of their word and runs, and for each character dimension the run whose
+        embedding gave the maximum."""
+        if not runs.any():
+            return np.concatenate([self.p["word"][word], np.zeros((len(word), CHAR_DIM), np.float32)], axis=1), np.zeros((len(word), CHAR_DIM), np.int64)
+        table = self.p["char"][runs]
         best = table.argmax(axis=1)
         top = np.take_along_axis(table, best[:, None, :], axis=1)[:, 0]
-        from_run = np.take_along_axis(runs, best, axis=1)
-        top = np.where(from_run >= 0, top, 0).astype(np.float32)
-        return np.concatenate([self.p["word"][word], top], axis=1), from_run
+        return np.concatenate([self.p["word"][word], top], axis=1), np.take_along_axis(runs, best, axis=1)
 
     # windows
 
@@ -213,7 +232,7 @@ class Scorer:
         if new:
             first = size - len(new)
             for rows, word, runs in token_arrays(new):
-                x, _ = self.net.inputs(word, runs)
+                x, _ = self.net.inputs(self.net.words.find(word), self.net.runs.find(runs))
                 for s, table in self.tables.items():
                     table[first + rows] = x @ self.net.p[f"W{s}"] + self.net.p[f"B{s}"]
 
@@ -252,15 +271,31 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.logits(texts) - self.net.shift, -40, 40)))
 
 
-def log_odds(buckets: list[np.ndarray], labels: np.ndarray, size: int, prior: float = 4.0) -> np.ndarray:
-    """How much a bucket speaks for label 1: log odds of documents that hold it, both labels weighted alike and
-    drawn to even odds by ``prior`` documents."""
-    share = {1: 1 / max(1, labels.sum()), 0: 1 / max(1, (1 - labels).sum())}
-    counts = {y: np.bincount(np.concatenate([b for b, l in zip(buckets, labels, strict=True) if l == y] or [np.empty(0, np.int64)]), minlength=size) for y in (0, 1)}
-    total = counts[0] + counts[1]
-    odds = (counts[1] * share[1] + 1e-9) / (counts[1] * share[1] + counts[0] * share[0] + 2e-9)
-    odds = (total * odds + prior * 0.5) / (total + prior)
-    return np.clip(np.log(odds / (1 - odds)), -3, 3).astype(np.float32)
+def telling(held: list[np.ndarray], labels: np.ndarray, prior: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes that speak for label 1, by rising log odds, and these. ``held``: the distinct hashes of each document.
+    Both labels weigh alike, and the odds are drawn to even by ``prior`` documents."""
+    keys, at = np.unique(np.concatenate(held), return_inverse=True)
+    owner = np.repeat(labels, [len(h) for h in held])
+    hits = [np.bincount(at[owner == y], minlength=len(keys)) / max(1, (labels == y).sum()) for y in (0, 1)]
+    total = np.bincount(at, minlength=len(keys))
+    share = hits[1] / (hits[0] + hits[1])
+    share = (total * share + prior * 0.5) / (total + prior)
+    odds = np.log(share / (1 - share))
+    good = np.flatnonzero((total >= SUPPORT) & (odds >= LEAST_ODDS) & (keys != 0))
+    good = good[np.argsort(odds[good], kind="stable")]
+    return keys[good], np.clip(odds[good], -3, 3).astype(np.float32)
+
+
+def unlike(split: list[list[str]]) -> list[int]:
+    """Documents of which no earlier one shares the two smallest word hashes: near copies teach once."""
+    seen: set = set()
+    out = []
+    for i, words in enumerate(split):
+        least = tuple(sorted({zlib.crc32(w.encode()) for w in words})[:2])
+        if least not in seen or not words:
+            seen.add(least)
+            out.append(i)
+    return out
 
 
 class Adam:
@@ -276,9 +311,9 @@ class Adam:
             self.p[k] -= rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-6)
 
 
-def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = EPOCHS, rate: float = 0.02) -> Network:
+def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = EPOCHS, rate: float = RATE) -> Network:
     """A network for texts of both labels. Every fifth text only sets the threshold."""
-    net, y = Network(seed), np.array(labels)
+    y = np.array(labels)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     test, learn = order[::5], np.setdiff1d(order, order[::5])
@@ -286,19 +321,30 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = EPOC
         test, learn = order, order
 
     # a vocabulary of its own: the embeddings change, so nothing projected is kept
+    learn = learn[unlike([texts[i].split() for i in learn])]
     split = [texts[i].split() for i in learn]
     vocabulary = Vocabulary()
     new = vocabulary.add(set().union(*split))
-    word = np.zeros(len(new) + 1, np.int64)
-    width = 2 * 24 - sum(RUNS) + 2
-    runs = np.full((len(new) + 1, width), -1, np.int64)
-    for rows, some_words, some_runs in token_arrays(new):
-        word[rows + 1] = some_words
-        runs[rows + 1] = some_runs[:, :width] if some_runs.shape[1] <= width else -1  # longer tokens teach by their word alone
+    groups = [(rows + 1, w, r) for rows, w, r in token_arrays(new)]
+    word_hash, run_hash = np.zeros(len(new) + 1, np.uint64), [np.empty(0, np.uint64)] * (len(new) + 1)
+    for rows, w, r in groups:
+        word_hash[rows] = w
+        for i, own in zip(rows.tolist(), r, strict=True):
+            run_hash[i] = own[own != 0]
     numbers = [np.array([vocabulary.numbers[t] for t in s], np.int64) for s in split]
     seen = [np.unique(n) for n in numbers]
-    net.p["word"][:, 0] = log_odds([np.unique(word[s]) for s in seen], y[learn], WORD_BUCKETS)
-    net.p["char"][:, 0] = log_odds([(u := np.unique(runs[s]))[u >= 0] for s in seen], y[learn], CHAR_BUCKETS)
+    word_keys, word_odds = telling([np.unique(word_hash[s]) for s in seen], y[learn])
+    run_keys, run_odds = telling([np.unique(np.concatenate([np.empty(0, np.uint64), *(run_hash[i] for i in s.tolist())])) for s in seen], y[learn])
+    net = Network(HashIndex(word_keys), HashIndex(run_keys), seed)
+    net.p["word"][1:, 0], net.p["char"][1:, 0] = word_odds, run_odds
+    net.p["word"][0], net.p["char"][0] = 0, 0
+    word = net.words.find(word_hash)
+    width = max([1, *(r.shape[1] for _, _, r in groups)])
+    runs = np.zeros((len(new) + 1, min(width, 512)), np.int32)
+    for rows, _, r in groups:
+        found = -np.sort(-net.runs.find(r), axis=1)[:, : runs.shape[1]]  # those with an embedding first
+        runs[rows[:, None], np.arange(found.shape[1])] = found
+    runs = runs[:, : max(1, int((runs > 0).sum(axis=1).max()))]
 
     lengths = np.array([len(n) for n in numbers])
     place, inside, doc = windows(lengths)
@@ -343,8 +389,8 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = EPOC
             np.add.at(g["word"], word[used], by_token[:, :WORD_DIM])
             g["char"] = np.zeros_like(net.p["char"])
             for k in range(CHAR_DIM):
-                ok = from_run[:, k] >= 0
-                np.add.at(g["char"][:, k], from_run[ok, k], by_token[ok, WORD_DIM + k])
+                np.add.at(g["char"][:, k], from_run[:, k], by_token[:, WORD_DIM + k])
+            g["word"][0], g["char"][0] = 0, 0
             adam.step(g, now)
 
     net.shift = threshold(Scorer(net).logits([texts[i] for i in test]), y[test])
@@ -388,9 +434,6 @@ def score_documents(
     docs: DataFrame, labels: DataFrame, sample_positive: int = SAMPLE_POSITIVE, sample_negative: int = SAMPLE_NEGATIVE
 ) -> DataFrame:
     """All columns of ``docs`` (doc_id, text and others), and score and predicted; columns of these names are replaced."""
-    import hashlib
-    import pickle
-
     sample = training_sample(docs, labels, sample_positive, sample_negative)
     share = sum(y for _, y in sample) / len(sample) if sample else 0.0
     docs = docs.drop("score", "predicted")
@@ -402,9 +445,7 @@ def score_documents(
     name = hashlib.sha256(pickle.dumps(net.p)).hexdigest()
 
     @F.pandas_udf("double")
-    def score(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         if name not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[name] = Scorer(shared.value)
