@@ -82,10 +82,10 @@ class PerfectHash:
 class ByteBpe:
     """Encoder of single matches."""
 
-    def __init__(self, vocabulary: list[bytes], table: PerfectHash, limit: int = 200_000):
+    def __init__(self, vocabulary: list[bytes], table: PerfectHash, limit: int = 500_000):
         self.vocabulary, self.table, self.limit = vocabulary, table, limit
         self.ranks = {t: i for i, t in enumerate(vocabulary)}
-        self.seen: dict[str, list[int]] = {}
+        self.seen: dict[str, bytes] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """The lowest rank merges first, the leftmost of equal ones."""
@@ -110,31 +110,27 @@ class ByteBpe:
                 heapq.heappush(heap, (rank, h, stop))
         return [ranks[data[i : end[i]]] for i in range(n) if alive[i]]
 
-    def match(self, match: str) -> list[int]:
+    def match(self, match: str) -> bytes:
         ids = self.seen.get(match)
         if ids is None:
-            if len(self.seen) >= self.limit:
-                self.seen.clear()
+            tokens.trim(self.seen, self.limit)
             data = match.encode()
             found = self.table.find(data)
-            ids = self.seen[match] = [found] if self.vocabulary[found] == data else self.merge(data)
+            ids = self.seen[match] = tokens.packed([found] if self.vocabulary[found] == data else self.merge(data))
         return ids
 
 
 class TextEncoder:
-    """Ids of a text: those of each match of the pattern."""
+    """Ids of a text, as packed bytes: those of each match of the pattern."""
 
     def __init__(self, bpe: ByteBpe, split: str):
         self.bpe, self.findall = bpe, tokens.pattern(split).findall
 
-    def __call__(self, text: str) -> list[int]:
+    def __call__(self, text: str) -> bytes:
         body = text[1:] if text[:1] == " " else text
         if body.isalpha():
             return self.bpe.match(text)
-        out: list[int] = []
-        for match in self.findall(text):
-            out += self.bpe.match(match)
-        return out
+        return b"".join(map(self.bpe.match, self.findall(text)))
 
 
 class Decoder:
@@ -154,7 +150,7 @@ def codec(name: str, vocabulary: list[bytes], table: PerfectHash, split: str) ->
     """One codec for each vocabulary and Python process."""
     if name not in _CODECS:
         decimal = [b"%d" % i for i in range(len(vocabulary))]
-        _CODECS[name] = tokens.PieceCache(TextEncoder(ByteBpe(vocabulary, table), split), limit=250_000), Decoder(vocabulary), decimal
+        _CODECS[name] = tokens.PieceCache(TextEncoder(ByteBpe(vocabulary, table), split)), Decoder(vocabulary), decimal
     return _CODECS[name]
 
 

@@ -8,10 +8,11 @@ Texts in which a piece starts or ends with white space are encoded whole.
 
 from __future__ import annotations
 
+import itertools
+import struct
 import zlib
 from collections.abc import Callable, Iterable, Sequence
 
-import numpy as np
 import regex
 
 #: Texts are handled in blocks of about so many characters.
@@ -30,46 +31,51 @@ def blocks(texts: Sequence[str], chars: int = BLOCK_CHARS) -> Iterable[tuple[int
         yield begin, len(texts)
 
 
+def trim(kept: dict, limit: int) -> None:
+    """Drops the older half of a cache that has more than ``limit`` entries."""
+    if len(kept) > limit:
+        for key in list(itertools.islice(kept, len(kept) - limit // 2)):
+            del kept[key]
+
+
 class PieceCache:
     """``encode(texts)``: the ids of each text as bytes of little-endian unsigned 32-bit integers.
 
-    ``encode_piece`` gives the ids of one piece or text. At most ``limit`` pieces are kept between blocks.
+    ``encode_piece`` gives the ids of one piece or text in that form. About ``limit`` pieces are kept between blocks.
     """
 
-    def __init__(self, encode_piece: Callable[[str], Sequence[int]], limit: int = 300_000):
+    def __init__(self, encode_piece: Callable[[str], bytes], limit: int = 700_000):
         self.encode_piece, self.limit = encode_piece, limit
         self.kept: dict[str, bytes | None] = {}
 
-    def _bytes(self, piece: str) -> bytes:
-        return np.array(self.encode_piece(piece), dtype="<u4").tobytes()
-
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         out: list[bytes] = []
+        kept, encode_piece = self.kept, self.encode_piece
         for begin, end in blocks(texts):
             split = [text.split(" ") for text in texts[begin:end]]
             used: set[str] = set()
             for pieces in split:
                 used.update(pieces[1:])
-            kept = self.kept
-            if len(kept) + len(used) > 2 * self.limit:
-                kept = self.kept = {k: kept[k] for k in used if k in kept}
+            trim(kept, self.limit)
             for piece in used.difference(kept):
                 # white space at an end: where the piece begins or ends depends on its neighbours
-                kept[piece] = None if not piece or piece[0].isspace() or piece[-1].isspace() else self._bytes(" " + piece)
+                kept[piece] = None if not piece or piece[0].isspace() or piece[-1].isspace() else encode_piece(" " + piece)
             for text, pieces in zip(texts[begin:end], split, strict=True):
                 try:
                     first = pieces[0]
                     if first and first[-1].isspace():
                         raise TypeError
                     rest = b"".join(map(kept.__getitem__, pieces[1:]))
-                    out.append((self._bytes(first) if first else b"") + rest)
+                    out.append((encode_piece(first) if first else b"") + rest)
                 except TypeError:
-                    out.append(self._bytes(text))
-            if len(kept) > self.limit:
-                self.kept = {k: kept[k] for k in list(used)[: self.limit]}
+                    out.append(encode_piece(text))
         return out
 
 
+def packed(ids: Sequence[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class LibraryEncoder:
     """Ids by the tokenizers library, for a byte-level BPE vocabulary file without special tokens in the text.
 
@@ -77,16 +83,15 @@ class LibraryEncoder:
     the vocabulary; other texts are split by the library's own pre-tokenizer first. Matches are cached too.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         self.tokenizer, self.limit = tokenizer, limit
         self.model, self.split = tokenizer.model, tokenizer.pre_tokenizer.pre_tokenize_str
-        alphabet = {b: c for b in range(256) for c in [self._letter(b)]}
-        self.table = {b: alphabet[b] for b in range(256)}
-        self.words: dict[str, list[int]] = {}
+        self.table = {b: self._letter(b) for b in range(256)}
+        self.words: dict[str, bytes] = {}
 
     @staticmethod
     def _letter(byte: int) -> str:
@@ -96,29 +101,27 @@ class LibraryEncoder:
             return chr(byte)
         return chr(256 + [b for b in range(256) if b not in plain].index(byte))
 
-    def _match(self, match: str, mapped: str | None = None) -> list[int]:
+    def _match(self, match: str, mapped: str | None = None) -> bytes:
         ids = self.words.get(match)
         if ids is None:
-            if len(self.words) >= self.limit:
-                self.words.clear()
+            trim(self.words, self.limit)
             mapped = mapped or match.encode().decode("latin-1").translate(self.table)
-            ids = self.words[match] = [t.id for t in self.model.tokenize(mapped)]
+            ids = self.words[match] = packed([t.id for t in self.model.tokenize(mapped)])
         return ids
 
-    def __call__(self, text: str) -> list[int]:
-        if not text:
-            return []
-        body = text[1:] if text[0] == " " else text
+    def __call__(self, text: str) -> bytes:
+        body = text[1:] if text[:1] == " " else text
         if body.isalpha():
             return self._match(text)
-        if len(text) > 64:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
         if body[:-1].isalpha() and body[-1] in ".,;:!?":
             return self._match(text[:-1]) + self._match(text[-1])
-        out: list[int] = []
-        for mapped, _ in self.split(text):
-            out += self._match(mapped, mapped)
-        return out
+        if len(text) > 200:
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        # a line break between other characters is a match of its own
+        head, line, tail = text.partition("\n")
+        if line and head and tail and not head[-1].isspace() and not tail[0].isspace():
+            return self(head) + self._match("\n") + self(tail)
+        return b"".join([self._match(mapped, mapped) for mapped, _ in self.split(text)])
 
 
 _ENCODERS: dict[str, PieceCache] = {}
