@@ -15,7 +15,7 @@ def alias_scan(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     four characters or more; the longest alias of each canonical name. ``aliases`` is a catalogue and is broadcast."""
     low = F.lower(F.col("text"))
     word = F.concat(F.lit(r"(^|[^a-z0-9])"), "alias", F.lit(r"($|[^a-z0-9])"))
-    hit = F.when(F.length("alias") >= 4, low.contains(F.col("alias"))).otherwise(low.rlike(word))
+    hit = F.when(F.length("alias") >= 4, low.contains(F.col("alias"))).otherwise(F.regexp_like(low, word))
     found = texts.join(F.broadcast(aliases), hit)
     best = F.min_by("alias", F.struct(-F.length("alias"), F.col("alias")))
     return found.groupBy("doc_id", "canonical").agg(best.alias("alias"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, BOOST, EDGE_CAP = 60, 0.15, 2
+#: Queries that meet the vectors at once; one in a hundred vectors is a query.
+QUERY_BLOCK = 64
 
 
 def tokens(text: Column) -> Column:
@@ -61,12 +63,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norm == 0), 0.0).otherwise(dot(a, b) / norm)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` (vec_id, embedding, label) for each row of a stated query set of the same
-    columns. Queries go to the vectors in blocks of a fixed number, each vector keeps its score only, and the best
-    of each query are chosen before the shuffle by the window's group limit. A query is not its own neighbour."""
-    left = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("query_label"))
-    rows = vectors.join(F.broadcast(left), F.col("vec_id") != F.col("query_id"))
+    columns. Queries meet the vectors in blocks of about ``block``; a pair leaves only its score, and the window's
+    group limit keeps the best of each query before the shuffle. A query is not its own neighbour."""
+    one = F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("query_label"))
+    blocks = queries.groupBy(F.floor(F.col("vec_id") / (block * 100)).alias("block")).agg(F.collect_list(one).alias("asked"))
+    met = vectors.join(blocks.select("asked"))
+    rows = met.select("vec_id", "embedding", "label", F.inline("asked")).filter(F.col("vec_id") != F.col("query_id"))
     scored = rows.select("query_id", "query_label", F.col("vec_id").alias("doc_id"), "label", F.round(cosine(F.col("q"), F.col("embedding")), 4).alias("score"))
     return top_k(scored, k, F.desc("score"))
 

@@ -406,7 +406,7 @@ def _bm25(m: Model) -> DataFrame:
     return retrieval.bm25(m.table("documents"), m.table("benchmark").select(F.col("item_id").alias("query_id"), "text"))
 
 
-TOKENS_SQL = "list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'), ' '), w -> length(w) > 1)"
+TOKENS_SQL = "list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1)"
 BM25_SQL = f"""d AS (SELECT doc_id, {TOKENS_SQL} AS toks FROM documents),
     corpus AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM d),
     terms AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM d),
@@ -664,7 +664,7 @@ def generic_url(m: Model) -> DataFrame:
 
 @query(
     """WITH l AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), 'href="([^"]*)"', 1) AS links FROM pages)
-    SELECT page_id, len(links) AS n_links, len(list_distinct(links)) AS n_distinct, len(list_filter(links, x -> starts_with(x, 'http'))) AS n_absolute FROM l"""
+    SELECT page_id, len(links) AS n_links, len(list_distinct(links)) AS n_distinct, len(list_filter(links, lambda x: starts_with(x, 'http'))) AS n_absolute FROM l"""
 )
 def citation_counts(m: Model) -> DataFrame:
     found = m.table("pages").select("page_id", T.links(F.col("html")).alias("links"))
@@ -672,8 +672,8 @@ def citation_counts(m: Model) -> DataFrame:
 
 
 @query(
-    r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[.!?\n]+'), x -> trim(x)), x -> length(x) > 0) AS s FROM documents)
-    SELECT doc_id, len(s) AS n_sentences, coalesce(list_max(list_transform(s, x -> length(x))), 0) AS longest FROM s"""
+    r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[.!?\n]+'), lambda x: trim(x)), lambda x: length(x) > 0) AS s FROM documents)
+    SELECT doc_id, len(s) AS n_sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS longest FROM s"""
 )
 def sentence_counts(m: Model) -> DataFrame:
     s = m.table("documents").select("doc_id", T.sentences(F.col("text")).alias("s"))
