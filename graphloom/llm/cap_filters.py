@@ -37,8 +37,10 @@ THRESHOLD = 0.93
 CODES, CODE_WORDS, PARTS, HEIGHT = 2, 1024, 2, 3.7
 #: Vectors whose filters a Python process keeps while it verifies.
 KEPT_FILTERS = 30_000
+#: Vectors of fewer components have one cap, the whole sphere: caps in so few dimensions would not tell them apart.
+LEAST_DIM = 12
 BLOCK = 400
-LEAST = -(1 << 63)
+NO_ID = (1 << 63) - 1  # stands for a null id: any other id is smaller
 
 
 class ProductCode:
@@ -81,10 +83,12 @@ class CodeSet:
     """Several independent codes; filter numbers of different codes differ."""
 
     def __init__(self, dim: int, codes: int, words: int, parts: int, height: float):
-        self.codes = [ProductCode(dim, words, parts, height, seed=23 + k) for k in range(codes)]
+        self.codes = [ProductCode(dim, words, parts, height, seed=23 + k) for k in range(codes)] if dim >= LEAST_DIM else []
         self.span = words ** min(parts, dim)
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
+        if not self.codes:
+            return [np.zeros(1, np.int64)] * len(unit)
         found = [code.decode(unit) for code in self.codes]
         return [np.concatenate([numbers + k * self.span for k, numbers in enumerate(row)]) for row in zip(*found, strict=True)]
 
@@ -229,7 +233,7 @@ def dedup_embeddings(
         F.col("label").alias("label"),
         usable(F.col("embedding"), F.col("label")).alias("ok"),
     ).withColumns({"v1": F.xxhash64("vector", "label"), "v2": F.xxhash64(F.lit(3), "label", "vector")})
-    first = F.min(F.coalesce("vec_id", F.lit(LEAST)))
+    first = F.min(F.coalesce("vec_id", F.lit(NO_ID)))
     grouped = rows.filter("ok").groupBy("v1", "v2", "label").agg(first.alias("cls_id"), F.count(F.lit(1)).alias("copies"), F.any_value("vector").alias("vector"))
     classes = cut(grouped.withColumn("cls", F.xxhash64("v1", "v2")))
     settings = (codes, code_words, parts, height)
@@ -245,7 +249,7 @@ def dedup_embeddings(
     parts_of = connected_components(checked.filter("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")))
     named = classes.select("cls", "v1", "v2", "label", "cls_id", "copies").join(links, "cls", "left").join(parts_of.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("cls_id").alias("least_id"))
-    named = named.join(least, "component").select("v1", "v2", "label", F.when(F.col("least_id") != LEAST, F.col("least_id")).alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = named.join(least, "component").select("v1", "v2", "label", F.when(F.col("least_id") != NO_ID, F.col("least_id")).alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     linked = rows.filter("ok").select("vec_id", "v1", "v2", "label").join(named, ["v1", "v2", "label"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
