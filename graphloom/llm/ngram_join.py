@@ -37,7 +37,7 @@ from .groups import block_pairs, tree_edges
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.999, 5
 #: Classes in a block of a large bucket.
 BLOCK = 400
-LEAST = -(1 << 63)
+NO_ID = (1 << 63) - 1  # stands for a null id: any other id is smaller
 
 
 def choose_bands(threshold: float, recall: float, rows: int) -> int:
@@ -239,23 +239,25 @@ def join_documents(docs: DataFrame, words: int = WORDS, threshold: float = THRES
     full = signed.filter("n_grams > 0")
 
     # the text of the smallest (doc_id, text key) stands for the class
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(LEAST)).alias("id"), "t1", "t2"))
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "t1", "t2"))
     classes = full.groupBy("s1", "s2").agg(first.alias("f"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"))
     classes = cut(classes.select("s1", "s2", F.col("f.id").alias("cls_doc"), F.col("f.t1").alias("t1"), F.col("f.t2").alias("t2"), "copies", "bands", F.xxhash64("s1", "s2").alias("cls")))
 
-    # buckets of at least two classes; one whose classes share a bucket of an earlier band adds no pair
-    spread = classes.select("cls", F.posexplode("bands").alias("band", "h"), "bands")
+    # buckets of at least two classes: counted by their hashes alone, so the shuffle of all classes is narrow
+    spread = classes.select("cls", F.posexplode("bands").alias("band", "h")).select("cls", "band", F.xxhash64("band", "h").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    members = cut(spread.join(shared, "bucket"))
+    # one whose classes share a bucket of an earlier band adds no pair
     same = [F.min(F.col("bands")[k]).eqNullSafe(F.max(F.col("bands")[k])) & (F.max("band") > k) for k in range(bands)]
-    whole = spread.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.greatest(*same).alias("seen") if bands > 1 else F.lit(False).alias("seen"))
-    buckets = whole.filter("n > 1 and not seen").select("band", "h", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    members = spread.select("cls", "band", "h").join(buckets, ["band", "h"])
+    whole = members.join(classes.select("cls", "bands"), "cls").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), (F.greatest(*same) if bands > 1 else same[0]).alias("seen"))
+    buckets = whole.filter("n > 1 and not seen").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     # a member meets the members of every block: once for each pair of blocks that holds its own
-    placed = members.select("cls", "band", F.xxhash64("band", "h").alias("bucket"), F.inline(block_pairs(F.col("cls"), F.col("blocks"))))
+    placed = members.join(buckets, "bucket").select("cls", "band", "bucket", F.inline(block_pairs(F.col("cls"), F.col("blocks"))))
     placed = cut(placed)
 
     wanted = placed.select("cls").distinct().join(classes, "cls").select("cls", "cls_doc", "t1", "t2", "copies", "bands")
     key = text_key(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("cls_doc"), key["a"].alias("t1"), key["b"].alias("t2"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("cls_doc"), key["a"].alias("t1"), key["b"].alias("t2"), F.col("text").cast("string").alias("text"))
     found = texts.join(wanted.hint("shuffle_hash"), ["cls_doc", "t1", "t2"]).select("cls", "copies", "bands", "text")
     # a row that is repeated with its id gives its set once
     held = cut(sets_of(found, words).dropDuplicates(["cls"]))
@@ -270,7 +272,7 @@ def join_documents(docs: DataFrame, words: int = WORDS, threshold: float = THRES
     named = named.join(least, "component").select("s1", "s2", "cls_doc", "component_doc", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
 
     def back(c: str) -> Column:
-        return F.when(F.col(c) == LEAST, F.lit(None)).otherwise(F.col(c))
+        return F.when(F.col(c) == NO_ID, F.lit(None)).otherwise(F.col(c))
 
     keys = ["t1", "t2"] if with_keys else []
     linked = full.select("doc_id", "s1", "s2", *(F.col(k).alias(f"own_{k}") for k in keys)).join(named, ["s1", "s2"]).select("doc_id", back("cls_doc").alias("class_id"), "n_links", back("component_doc").alias("component_id"), *(F.col(f"own_{k}").alias(k) for k in keys))
