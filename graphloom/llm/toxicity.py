@@ -37,7 +37,7 @@ from .tokens import blocks
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 4, 4
 RUNS = (4, 5)
-SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 1500, 3000
+SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 1000, 2000
 EPOCHS, BATCH, RATE = 5, 48, 0.006
 #: A word or character run has an embedding if so many sample documents hold it and its log odds for label 1 are so
 #: high; all others share the zero embedding.
@@ -253,9 +253,9 @@ class Scorer:
         place, inside, doc = windows(lengths)
         token = np.where(inside, numbers[place] if len(numbers) else 0, 0)
         out = np.empty(len(doc), np.float32)
-        for begin in range(0, len(doc), 4096):
-            part = token[begin : begin + 4096].T
-            out[begin : begin + 4096] = self.net.logits({s: self.tables[s][part] for s in "fb"}, inside[begin : begin + 4096])
+        for begin in range(0, len(doc), 2048):
+            part = token[begin : begin + 2048].T
+            out[begin : begin + 2048] = self.net.logits({s: self.tables[s][part] for s in "fb"}, inside[begin : begin + 2048])
         return out, doc, (token, inside)
 
     def logits(self, texts: list[str]) -> np.ndarray:
@@ -325,31 +325,40 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = EPOC
     split = [texts[i].split() for i in learn]
     vocabulary = Vocabulary()
     new = vocabulary.add(set().union(*split))
-    groups = [(rows + 1, w, r) for rows, w, r in token_arrays(new)]
-    word_hash, run_hash = np.zeros(len(new) + 1, np.uint64), [np.empty(0, np.uint64)] * (len(new) + 1)
-    for rows, w, r in groups:
-        word_hash[rows] = w
-        for i, own in zip(rows.tolist(), r, strict=True):
-            run_hash[i] = own[own != 0]
-    numbers = [np.array([vocabulary.numbers[t] for t in s], np.int64) for s in split]
+    # the runs of token i stand from ends[i] to ends[i + 1]
+    word_hash, owners, hashes = np.zeros(len(new) + 1, np.uint64), [], []
+    for rows, w, r in token_arrays(new):
+        word_hash[rows + 1] = w
+        at, column = np.nonzero(r)
+        owners.append((rows[at] + 1).astype(np.int32))
+        hashes.append(r[at, column])
+    owner = np.concatenate([np.empty(0, np.int32), *owners])
+    order = np.argsort(owner, kind="stable")
+    owner, run_hash = owner[order], np.concatenate([np.empty(0, np.uint64), *hashes])[order]
+    del owners, hashes, order
+    ends = np.searchsorted(owner, np.arange(len(new) + 2))
+    numbers = [np.array([vocabulary.numbers[t] for t in s], np.int32) for s in split]
     seen = [np.unique(n) for n in numbers]
     word_keys, word_odds = telling([np.unique(word_hash[s]) for s in seen], y[learn])
-    run_keys, run_odds = telling([np.unique(np.concatenate([np.empty(0, np.uint64), *(run_hash[i] for i in s.tolist())])) for s in seen], y[learn])
+    run_keys, run_odds = telling([np.unique(np.concatenate([np.empty(0, np.uint64), *(run_hash[ends[i] : ends[i + 1]] for i in s.tolist())])) for s in seen], y[learn])
     net = Network(HashIndex(word_keys), HashIndex(run_keys), seed)
     net.p["word"][1:, 0], net.p["char"][1:, 0] = word_odds, run_odds
     net.p["word"][0], net.p["char"][0] = 0, 0
     word = net.words.find(word_hash)
-    width = max([1, *(r.shape[1] for _, _, r in groups)])
-    runs = np.zeros((len(new) + 1, min(width, 512)), np.int32)
-    for rows, _, r in groups:
-        found = -np.sort(-net.runs.find(r), axis=1)[:, : runs.shape[1]]  # those with an embedding first
-        runs[rows[:, None], np.arange(found.shape[1])] = found
-    runs = runs[:, : max(1, int((runs > 0).sum(axis=1).max()))]
+    # of each token the runs that have an embedding
+    found = net.runs.find(run_hash)
+    owner, found = owner[found > 0], found[found > 0]
+    first = np.searchsorted(owner, np.arange(len(new) + 1))
+    place_in_token = np.arange(len(owner)) - first[owner]
+    runs = np.zeros((len(new) + 1, max(1, int(place_in_token.max(initial=0)) + 1)), np.int32)
+    runs[owner, place_in_token] = found
+    del run_hash, owner, found, split
 
     lengths = np.array([len(n) for n in numbers])
     place, inside, doc = windows(lengths)
-    flat = np.concatenate([*numbers, np.zeros(1, np.int64)])
+    flat = np.concatenate([*numbers, np.zeros(1, np.int32)])
     token = np.where(inside, flat[np.minimum(place, len(flat) - 1)], 0)
+    del place, flat, numbers
     starts, adam = np.searchsorted(doc, np.arange(len(learn) + 1)), Adam(net.p, rate)
     truth = y[learn].astype(np.float32)
     balance = np.where(truth == 1, 0.5 / max(truth.mean(), 1e-6), 0.5 / max(1 - truth.mean(), 1e-6))
@@ -363,8 +372,8 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = EPOC
 
     for epoch in range(epochs):
         strongest = np.empty(len(doc), np.float32)
-        for begin in range(0, len(doc), 8192):
-            rows = np.arange(begin, min(begin + 8192, len(doc)))
+        for begin in range(0, len(doc), 2048):
+            rows = np.arange(begin, min(begin + 2048, len(doc)))
             strongest[rows] = net.logits(project(rows)[2], inside[rows])
         # per document the strongest window, and one at random that is only used where the label is 0
         top = np.array([starts[i] + int(strongest[starts[i] : starts[i + 1]].argmax()) for i in range(len(learn))])
@@ -398,10 +407,11 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = EPOC
 
 
 def threshold(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the widest gap among the cuts with the fewest errors, a wrong clean document counting twice."""
+    """A cut in the widest gap among those with the fewest errors, a wrong clean document counting twice; it lies
+    nearer to the upper end of the gap, so that clean documents have more room."""
     order = np.argsort(logits)
     values, truth = logits[order], labels[order]
-    cuts = np.concatenate([[values[0] - 2], (values[1:] + values[:-1]) / 2, [values[-1] + 2]])
+    cuts = np.concatenate([[values[0] - 2], 0.7 * values[1:] + 0.3 * values[:-1], [values[-1] + 2]])
     missed = np.concatenate([[0], np.cumsum(truth == 1)])
     wrong = (truth == 0).sum() - np.concatenate([[0], np.cumsum(truth == 0)])
     cost = missed + 2 * wrong
