@@ -42,17 +42,20 @@ class PieceCache:
     """``encode(texts)``: the ids of each text as bytes of little-endian unsigned 32-bit integers.
 
     ``encode_piece`` gives the ids of one piece or text in that form. About ``limit`` pieces are kept between blocks.
+    Texts for which ``encode_piece.apart``, if there is one, gives ids are not cut into pieces.
     """
 
     def __init__(self, encode_piece: Callable[[str], bytes], limit: int = 700_000):
         self.encode_piece, self.limit = encode_piece, limit
+        self.apart: Callable[[str], bytes | None] = getattr(encode_piece, "apart", lambda text: None)
         self.kept: dict[str, bytes | None] = {}
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         out: list[bytes] = []
         kept, encode_piece = self.kept, self.encode_piece
         for begin, end in blocks(texts):
-            split = [text.split(" ") for text in texts[begin:end]]
+            whole = [self.apart(text) for text in texts[begin:end]]
+            split = [text.split(" ") if ids is None else [""] for text, ids in zip(texts[begin:end], whole, strict=True)]
             used: set[str] = set()
             for pieces in split:
                 used.update(pieces[1:])
@@ -60,7 +63,10 @@ class PieceCache:
             for piece in used.difference(kept):
                 # white space at an end: where the piece begins or ends depends on its neighbours
                 kept[piece] = None if not piece or piece[0].isspace() or piece[-1].isspace() else encode_piece(" " + piece)
-            for text, pieces in zip(texts[begin:end], split, strict=True):
+            for text, pieces, ids in zip(texts[begin:end], split, whole, strict=True):
+                if ids is not None:
+                    out.append(ids)
+                    continue
                 try:
                     first = pieces[0]
                     if first and first[-1].isspace():
@@ -77,9 +83,10 @@ def packed(ids: Sequence[int]) -> bytes:
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library, for a byte-level BPE vocabulary file without special tokens in the text.
+    """Ids by the tokenizers library, for a byte-level BPE vocabulary file.
 
-    A text that is one match of the pattern goes to the library's BPE model directly, in the byte alphabet of
+    ``apart`` encodes texts that hold an added token of the vocabulary, such as an end mark; calls are for texts and
+    pieces without one. A text that is one match of the pattern goes to the library's BPE model directly, in the byte alphabet of
     the vocabulary; other texts are split by the library's own pre-tokenizer first. Matches are cached too.
     """
 
@@ -87,7 +94,7 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content]
         self.tokenizer, self.limit = tokenizer, limit
         self.model, self.split = tokenizer.model, tokenizer.pre_tokenizer.pre_tokenize_str
         self.table = {b: self._letter(b) for b in range(256)}
@@ -101,6 +108,12 @@ class LibraryEncoder:
             return chr(byte)
         return chr(256 + [b for b in range(256) if b not in plain].index(byte))
 
+    def apart(self, text: str) -> bytes | None:
+        """The library's ids of a text that holds an added token, None for other texts."""
+        if any(content in text for content in self.added):
+            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return None
+
     def _match(self, match: str, mapped: str | None = None) -> bytes:
         ids = self.words.get(match)
         if ids is None:

@@ -74,6 +74,14 @@ def rows_of(texts):
     return [(i, t, 1, "x") for i, t in enumerate(texts)] + [(3, None, 1, None), (None, "no id", 2, "y"), (5, "again", 0, ""), (5, "again", 0, "")]
 
 
+def test_added_tokens_are_the_library_ids():
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b", " <|endoftext|>\n" * 30, "<|endoftext|", "one two", "x <|endoftext|><|endoftext|> y " * 20]
+    cache, library = tokens.library_cache(LIBRARY), Tokenizer.from_file(LIBRARY)
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in cache.encode(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [505, 220, 50256, 734]
+
+
 def test_encode_documents(spark, vocabulary):
     rows = rows_of(odd_texts(60))
     got = bpe.encode_documents(spark.createDataFrame(rows, DOCS), RANKS, public_tokenizers.PATTERN).collect()
