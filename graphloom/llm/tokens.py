@@ -115,11 +115,13 @@ class LibraryEncoder:
         return None
 
     def _match(self, match: str, mapped: str | None = None) -> bytes:
-        ids = self.words.get(match)
+        # a raw match never holds a zero character, so the two kinds of key do not meet; in ASCII they are the same
+        key = match if mapped is None or mapped.isascii() else "\0" + mapped
+        ids = self.words.get(key)
         if ids is None:
             trim(self.words, self.limit)
             mapped = mapped or match.encode().decode("latin-1").translate(self.table)
-            ids = self.words[match] = packed([t.id for t in self.model.tokenize(mapped)])
+            ids = self.words[key] = packed([t.id for t in self.model.tokenize(mapped)])
         return ids
 
     def __call__(self, text: str) -> bytes:

@@ -82,6 +82,15 @@ def test_added_tokens_are_the_library_ids():
     assert got[0] == [505, 220, 50256, 734]
 
 
+def test_cached_words_and_mapped_words_do_not_meet():
+    library = Tokenizer.from_file(LIBRARY)
+    for texts in (["(número)", "nÃºmero", "(você)", "vocÃª x", "a (b", "Ġ(", "Ġb"], ["nÃºmero", "(número)", "vocÃª x", "(você)", "Ġb", "a\tb b's", " b"]):
+        encoder = tokens.LibraryEncoder(LIBRARY)
+        for text in texts:
+            want = library.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(tokens.PieceCache(encoder).encode([text])[0], "<u4").tolist() == want, text
+
+
 def test_encode_documents(spark, vocabulary):
     rows = rows_of(odd_texts(60))
     got = bpe.encode_documents(spark.createDataFrame(rows, DOCS), RANKS, public_tokenizers.PATTERN).collect()
