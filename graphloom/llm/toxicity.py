@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -286,18 +285,6 @@ def telling(held: list[np.ndarray], labels: np.ndarray, prior: float = 4.0) -> t
     return keys[good], np.clip(odds[good], -3, 3).astype(np.float32)
 
 
-def unlike(split: list[list[str]]) -> list[int]:
-    """Documents of which no earlier one shares the two smallest word hashes: near copies teach once."""
-    seen: set = set()
-    out = []
-    for i, words in enumerate(split):
-        least = tuple(sorted({zlib.crc32(w.encode()) for w in words})[:2])
-        if least not in seen or not words:
-            seen.add(least)
-            out.append(i)
-    return out
-
-
 class Adam:
     def __init__(self, p: dict[str, np.ndarray], rate: float):
         self.p, self.rate, self.t = p, rate, 0
@@ -321,7 +308,6 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = EPOC
         test, learn = order, order
 
     # a vocabulary of its own: the embeddings change, so nothing projected is kept
-    learn = learn[unlike([texts[i].split() for i in learn])]
     split = [texts[i].split() for i in learn]
     vocabulary = Vocabulary()
     new = vocabulary.add(set().union(*split))

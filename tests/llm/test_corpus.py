@@ -179,6 +179,19 @@ def test_toxicity_learns(spark):
     assert {r.predicted for r in scored if r.doc_id >= 1000} == {0}
 
 
+def test_toxicity_learns_from_the_whole_sample(monkeypatch):
+    # long texts of both labels that share all frequent words
+    words = [f"word{k}" for k in range(300)]
+    texts = [" ".join([*words, *(f"own{i}x{k}" for k in range(20))]) for i in range(100)]
+    labels = [i % 2 for i in range(100)]
+    used, telling = [], toxicity.telling
+    monkeypatch.setattr(toxicity, "telling", lambda held, y: used.append(y) or telling(held, y))
+    toxicity.train(texts, labels, epochs=1)
+    learn = np.setdiff1d(np.arange(100), np.random.default_rng(3).permutation(100)[::5])
+    for y in used:
+        assert Counter(y.tolist()) == Counter(labels[i] for i in learn)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a", "x", 0)], DOCS)
     labels = spark.createDataFrame([], "doc_id long, toxic int")
