@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -122,21 +123,59 @@ def paired_t(pairs: DataFrame, group: str, x: str, y: str) -> DataFrame:
     return out.select(group, "n", F.round("m", 6).alias("mean_delta"), t.alias("t"))
 
 
+#: Distinct values of a group that one task of the bootstrap holds, about.
+BOOTSTRAP_BUCKET = 4096
+
+
 def bootstrap_mean(rows: DataFrame, group: str, value: str, resamples: int = 1000, seed: int = 42, share: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean by resampling. A resample is drawn over the counts of distinct values, so a
-    group's values never meet in one task unless they differ."""
+    """Percentile interval of the mean by resampling, each resample as large as its group.
+
+    Counts of exact distinct values are dealt into buckets by hash, a power of two a group. A bucket's share of each
+    resample comes from halving the resample down a tree of buckets by binomial draws, whose seeds are those of the
+    tree's nodes, so each task finds its own share and all shares add up. The mean is that of the rows themselves."""
     import numpy as np
     import pandas as pd
 
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, F.round(value, 1).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    valid = rows.filter(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
+    whole = valid.groupBy("g").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("v").alias("mean"))
+    counts = valid.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
+    need = F.greatest(F.lit(0.0), F.ceil(F.log2(F.count(F.lit(1)) / BOOTSTRAP_BUCKET))).cast("int")
+    depths = counts.groupBy(F.col("g").alias("dg")).agg(need.alias("depth"))
+    placed = counts.join(depths, F.col("g").eqNullSafe(F.col("dg"))).drop("dg")
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("v"), F.pow(F.lit(2.0), F.col("depth")).cast("long")))
+
+    # rows below each node on the way from the root to a bucket
+    sizes = placed.groupBy("g", "depth", "bucket").agg(F.sum("c").alias("n"))
+    steps = sizes.select("*", F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("level"))
+    steps = steps.withColumn("node", F.expr("shiftright(bucket, depth - level)"))
+    nodes = steps.groupBy(F.col("g").alias("ng"), F.col("level").alias("nl"), F.col("node").alias("nn")).agg(F.sum("n").alias("below"))
+    met = steps.join(nodes, F.col("g").eqNullSafe(F.col("ng")) & (F.col("level") == F.col("nl")) & (F.col("node") == F.col("nn")))
+    paths = met.groupBy(F.col("g").alias("pg"), F.col("bucket").alias("pb")).agg(F.sort_array(F.collect_list(F.struct("level", "below"))).getField("below").alias("path"))
+    dealt = placed.join(paths, F.col("g").eqNullSafe(F.col("pg")) & (F.col("bucket") == F.col("pb"))).drop("pg", "pb", "depth")
 
     def draw(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("v")
-        v, c = frame["v"].to_numpy(), frame["c"].to_numpy()
-        n = int(c.sum())
-        means = np.sort(np.random.default_rng(seed).multinomial(n, c / n, size=resamples) @ v / n)
-        low, high = (means[min(resamples - 1, int(q * resamples))] for q in ((1 - share) / 2, (1 + share) / 2))
-        return pd.DataFrame({group: [frame[group].iloc[0]], "n_rows": [n], "mean": [float(v @ c / n)], "low": [float(low)], "high": [float(high)]})
+        v, c, bucket, path = frame["v"].to_numpy(), frame["c"].to_numpy(), int(frame["bucket"].iloc[0]), frame["path"].iloc[0]
+        depth, n = len(path) - 1, int(c.sum())
+        taken = np.full(resamples, path[0], np.int64)
+        for level in range(1, depth + 1):
+            node = bucket >> (depth - level)
+            left = path[level] if node % 2 == 0 else path[level - 1] - path[level]
+            drawn = np.random.default_rng([seed, level, node >> 1]).binomial(taken, left / path[level - 1])
+            taken = drawn if node % 2 == 0 else taken - drawn
+        rng = np.random.default_rng([seed, depth + 1, bucket])
+        if n <= 8 * len(v):
+            each = np.repeat(v, c)
+            sums = [each[rng.integers(0, n, m)].sum() for m in taken.tolist()]
+        else:
+            sums = [float(rng.multinomial(m, c / n) @ v) for m in taken.tolist()]
+        return pd.DataFrame({"g": frame["g"].iloc[:1], "resample": [list(range(resamples))], "total": [sums]})
 
     kind = rows.schema[group].dataType.simpleString()
-    return counts.groupBy(group).applyInPandas(draw, f"{group} {kind}, n_rows long, mean double, low double, high double")
+    sums = dealt.groupBy("g", "bucket").applyInPandas(draw, f"g {kind}, resample array<int>, total array<double>")
+    sums = sums.select("g", F.inline(F.arrays_zip("resample", "total"))).groupBy("g", "resample").agg(F.sum("total").alias("total"))
+    totals = sums.groupBy(F.col("g").alias("tg")).agg(F.sort_array(F.collect_list("total")).alias("totals"))
+    alpha = (1 - share) / 2
+    low, high = max(0, math.floor(alpha * resamples)), min(resamples - 1, math.ceil((1 - alpha) * resamples) - 1)
+    at = {name: F.element_at("totals", place + 1) / F.col("n_rows") for name, place in (("low", low), ("high", high))}
+    return whole.join(totals, F.col("g").eqNullSafe(F.col("tg"))).select(F.col("g").alias(group), "n_rows", "mean", at["low"].alias("low"), at["high"].alias("high"))

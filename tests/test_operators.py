@@ -3,6 +3,7 @@
 import math
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
@@ -124,3 +125,24 @@ def test_nothing_imports_the_llm_subpackage():
     for path in top.rglob("*.py"):
         if "llm" not in path.relative_to(top).parts:
             assert "graphloom.llm" not in path.read_text()
+
+
+def test_bootstrap_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    values = {"fine": rng.random(600) ** 3, "ties": rng.integers(0, 3, 900) / 7, None: rng.normal(0, 0.01, 50), "one": np.array([0.12345])}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("fine", None)]
+    frame = spark.createDataFrame(rows, "g string, x double")
+    whole = {r.g: r for r in metrics.bootstrap_mean(frame, "g", "x").collect()}
+    # buckets of few values: many tasks share each resample
+    monkeypatch.setattr(metrics, "BOOTSTRAP_BUCKET", 40, raising=False)
+    cut = {r.g: r for r in metrics.bootstrap_mean(frame, "g", "x").collect()}
+    for found in (whole, cut):
+        assert set(found) == set(values)
+        for g, vs in values.items():
+            means = np.sort([rng.choice(vs, len(vs)).mean() for _ in range(4000)])
+            near, r = 0.2 * vs.std() / math.sqrt(len(vs)) + 1e-9, found[g]
+            assert r.n_rows == len(vs) and math.isclose(r["mean"], vs.mean(), rel_tol=1e-12, abs_tol=1e-12)
+            assert abs(r.low - means[100]) < near and abs(r.high - means[3899]) < near
+    # two rows of 0 and 1: all values are multiples of a half, as each resample has two rows
+    pair = metrics.bootstrap_mean(spark.createDataFrame([(1, 0.0), (1, 1.0)], "g int, x double"), "g", "x").first()
+    assert (pair.n_rows, pair["mean"], pair.low, pair.high) == (2, 0.5, 0.0, 1.0)
