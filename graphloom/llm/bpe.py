@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import only
 
 MASK = (1 << 64) - 1
 
@@ -148,6 +149,7 @@ _CODECS: dict[str, tuple[tokens.PieceCache, Decoder, list[bytes]]] = {}
 
 def codec(name: str, vocabulary: list[bytes], table: PerfectHash, split: str) -> tuple[tokens.PieceCache, Decoder, list[bytes]]:
     """One codec for each vocabulary and Python process."""
+    only("byte BPE", _CODECS)
     if name not in _CODECS:
         decimal = [b"%d" % i for i in range(len(vocabulary))]
         _CODECS[name] = tokens.PieceCache(TextEncoder(ByteBpe(vocabulary, table), split)), Decoder(vocabulary), decimal
@@ -165,10 +167,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, split: str, with_ids: boo
         cache, decode, decimal = codec(ranks_path + split, *shared.value, split)
         sha256 = hashlib.sha256
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for begin, end in tokens.blocks(texts):
+            for begin, end in tokens.slices(batch.column(1)):
                 n, coded, plain, all_ids, all_bytes = [], [], [], [], []
-                for raw in cache.encode(texts[begin:end]):
+                for raw in cache.encode(tokens.texts_of(batch.column(1), begin, end)):
                     ids = np.frombuffer(raw, dtype="<u4")
                     n.append(len(ids))
                     numbers = ids.tolist()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
-        if spark.sparkContext.master.startswith("local"):
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             root = tempfile.mkdtemp(prefix="graphloom-")
         else:
             root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
@@ -31,9 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+#: Paths in the shared folder that this driver has handed out and not removed.
+SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. What lies there stays until ``remove_scratch``, as results may read it."""
+    SCRATCH.append(f"{shared_dir(spark).rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}")
+    return SCRATCH[-1]
+
+
+def remove_scratch(spark: SparkSession, paths: Iterable[str] | None = None) -> None:
+    """Removes some scratch paths, or all: only once no DataFrame that reads them is used any more."""
+    for path in list(SCRATCH if paths is None else paths):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        SCRATCH.remove(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -49,6 +64,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_HOLDERS: dict[str, tuple[dict, ...]] = {}
+
+
+def only(name: str, *caches: dict) -> None:
+    """Registers the caches that ``name`` fills in this Python process and empties those of all others: workers are
+    used again by later stages, which would otherwise add their memory to what earlier ones left."""
+    _HOLDERS[name] = caches
+    for other, held in _HOLDERS.items():
+        if other != name:
+            for cache in held:
+                cache.clear()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut, text_key, written
+from .common import cut, only, text_key, written
 from .components import connected_components
 from .groups import block_pairs, tree_edges
 
@@ -107,11 +107,11 @@ def signatures(docs: DataFrame, words: int, minhash: MinHash) -> DataFrame:
     """doc_id, t1, t2 (key of the text), s1, s2 (key of the set), n_grams, bands, one row for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("n-gram join", _WORDS)
         for batch in batches:
-            texts = [t or "" for t in batch.column(3).to_pylist()]
-            for begin, end in tokens.blocks(texts):
+            for begin, end in tokens.slices(batch.column(3)):
                 s1, s2, n, bands = [], [], [], []
-                for text in texts[begin:end]:
+                for text in tokens.texts_of(batch.column(3), begin, end):
                     grams = shingles(text, words)
                     a, b = divmod(xxhash.xxh3_128_intdigest(grams.tobytes()), 1 << 64)
                     s1.append(a - (1 << 63))
@@ -135,10 +135,11 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
     names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("n-gram join", _WORDS)
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(names)).to_pylist()]
-            for begin, end in tokens.blocks(texts):
-                grams = pa.array([shingles(t, words).tobytes() for t in texts[begin:end]], pa.binary())
+            column = batch.column(len(names))
+            for begin, end in tokens.slices(column):
+                grams = pa.array([shingles(t, words).tobytes() for t in tokens.texts_of(column, begin, end)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(c.slice(begin, end - begin) for c in batch.columns[:-1]), grams], [*names, "grams"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*names).schema)

@@ -208,9 +208,9 @@ def pack_documents(
         ready: list[tuple[int, list[Piece]]] = []
         held = 0
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for begin, end in tokens.blocks(texts):
-                for doc_id, ids in zip(doc_ids[begin:end], cache.encode(texts[begin:end]), strict=True):
+            doc_ids, column = batch.column(0).to_pylist(), batch.column(1)
+            for begin, end in tokens.slices(column):
+                for doc_id, ids in zip(doc_ids[begin:end], cache.encode(tokens.texts_of(column, begin, end)), strict=True):
                     doc = Document(doc_id, ids + tail)
                     held += doc.n
                     ready += packer.route(doc)

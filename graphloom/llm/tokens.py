@@ -11,12 +11,18 @@ from __future__ import annotations
 import itertools
 import struct
 import zlib
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+from .common import only
+
 #: Texts are handled in blocks of about so many characters.
 BLOCK_CHARS = 2_000_000
+#: Bytes of texts that are Python strings at once, about.
+SLICE_BYTES = 4 << 20
 
 
 def blocks(texts: Sequence[str], chars: int = BLOCK_CHARS) -> Iterable[tuple[int, int]]:
@@ -31,6 +37,24 @@ def blocks(texts: Sequence[str], chars: int = BLOCK_CHARS) -> Iterable[tuple[int
         yield begin, len(texts)
 
 
+def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of a string column of about ``most`` bytes each (a longer text is a range of its own)."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    begin = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > begin and size + n > most:
+            yield begin, i
+            begin, size = i, 0
+        size += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def texts_of(column: pa.Array, begin: int, end: int) -> list[str]:
+    """Some texts of a string column; a null is an empty text."""
+    return [t or "" for t in column.slice(begin, end - begin).to_pylist()]
+
+
 def trim(kept: dict, limit: int) -> None:
     """Drops the older half of a cache that has more than ``limit`` entries."""
     if len(kept) > limit:
@@ -45,7 +69,7 @@ class PieceCache:
     Texts for which ``encode_piece.apart``, if there is one, gives ids are not cut into pieces.
     """
 
-    def __init__(self, encode_piece: Callable[[str], bytes], limit: int = 700_000):
+    def __init__(self, encode_piece: Callable[[str], bytes], limit: int = 450_000):
         self.encode_piece, self.limit = encode_piece, limit
         self.apart: Callable[[str], bytes | None] = getattr(encode_piece, "apart", lambda text: None)
         self.kept: dict[str, bytes | None] = {}
@@ -90,7 +114,7 @@ class LibraryEncoder:
     the vocabulary; other texts are split by the library's own pre-tokenizer first. Matches are cached too.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -144,6 +168,7 @@ _ENCODERS: dict[str, PieceCache] = {}
 
 def library_cache(path: str) -> PieceCache:
     """One cache for each vocabulary file and Python process; it serves the tasks that the process runs."""
+    only("library encoder", _ENCODERS)
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceCache(LibraryEncoder(path))
     return _ENCODERS[path]

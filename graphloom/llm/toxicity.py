@@ -5,11 +5,13 @@ embeddings of its character runs, so parts of unseen words still tell. A forward
 backward recurrent layer read windows of ``WINDOW`` tokens, every ``STRIDE`` tokens; attention pools a window
 into one logit, and a document's score comes from its strongest window. All windows of every text are scored.
 
-Training runs in numpy on the driver, over a sample of labelled documents bounded by ``sample_positive`` and
-``sample_negative`` (the rows with the smallest hash of their id). Words and runs that speak for label 1
-have embeddings, which start at their log odds in the sample; then all weights are trained by Adam on the
-strongest window of each document and one other of clean ones. The threshold comes from sample documents
-that training has not seen. The weights (some megabytes, bounded by the sample) are broadcast, and documents are scored where they lie, without a shuffle.
+Training runs in numpy on the driver, over a sample of labelled documents bounded in rows by ``sample_positive``
+and ``sample_negative`` (the rows with the smallest hash of their id) and in bytes by ``SAMPLE_BYTES`` a label;
+texts of more than ``SAMPLE_TEXT_BYTES`` do not teach, but are scored like all others. Words that speak for either
+label and runs that speak for label 1 have embeddings, which start at their log odds in the sample; then all weights
+are trained by Adam on the strongest window of each document and one other of clean ones. The threshold comes from
+sample documents that training has not seen. The weights (some megabytes, bounded by the sample) are broadcast, and
+documents are scored where they lie, without a shuffle, in slices of bounded size.
 
 The gates use clipped lines in place of the logistic function and the hyperbolic tangent: they are as good
 here and several times faster.
@@ -27,20 +29,24 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .tokens import blocks
+from .common import new_name, only
+from .tokens import blocks, slices, texts_of
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 4, 4
 RUNS = (4, 5)
 SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 1000, 2000
 EPOCHS, BATCH, RATE = 5, 48, 0.006
+#: Bytes of texts a label in the sample, and of the longest text in it.
+SAMPLE_BYTES, SAMPLE_TEXT_BYTES = 16 << 20, 1 << 20
 #: A word or character run has an embedding if so many sample documents hold it and its log odds for label 1 are so
-#: high; all others share the zero embedding.
-SUPPORT, LEAST_ODDS = 3, 0.5
+#: high; a word also if so many hold it and its log odds for label 0 are as high. All others share the zero embedding.
+SUPPORT, CLEAN_SUPPORT, LEAST_ODDS = 3, 30, 0.5
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…¿¡–—"
 
 
@@ -66,18 +72,25 @@ def token_arrays(tokens: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np
 
 
 class HashIndex:
-    """Numbers from 1 for 64-bit keys, 0 for all others. Of keys that fall on one slot the last stays."""
+    """Numbers from 1 for distinct 64-bit keys other than 0, in their order; 0 for all others."""
 
     def __init__(self, keys: np.ndarray):
-        bits = max(16, int(len(keys) * 16).bit_length())
-        self.keys = np.concatenate([np.zeros(1, np.uint64), keys.astype(np.uint64)])
-        self.shift = np.uint64(64 - bits)
-        self.slots = np.zeros(1 << bits, np.int32)
-        self.slots[keys.astype(np.uint64) >> self.shift] = np.arange(1, len(keys) + 1)
+        bits = max(16, int(len(keys) * 4).bit_length())
+        keys = keys.astype(np.uint64)
+        order = np.argsort(keys, kind="stable")
+        self.size, self.shift = len(keys) + 1, np.uint64(64 - bits)
+        # keys in order, found by their first bits; as many empty places follow as the fullest run of first bits has
+        counts = np.bincount((keys >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.most = int(counts.max(initial=0))
+        self.starts = (np.cumsum(counts) - counts).astype(np.int32)
+        self.keys = np.concatenate([keys[order], np.zeros(self.most, np.uint64)])
+        self.numbers = np.concatenate([order + 1, np.zeros(self.most, np.int64)]).astype(np.int32)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        at = self.slots[hashes >> self.shift]
-        return np.where(self.keys[at] == hashes, at, 0)
+        out, at = np.zeros(hashes.shape, np.int32), self.starts[hashes >> self.shift]
+        for step in range(self.most):
+            out = np.where(self.keys[at + step] == hashes, self.numbers[at + step], out)
+        return out
 
 
 class Vocabulary:
@@ -122,7 +135,7 @@ class Network:
         def normal(*shape: int, scale: float) -> np.ndarray:
             return (rng.standard_normal(shape) * scale).astype(np.float32)
 
-        self.p = {"word": normal(len(words.keys), WORD_DIM, scale=0.05), "char": normal(len(runs.keys), CHAR_DIM, scale=0.05)}
+        self.p = {"word": normal(words.size, WORD_DIM, scale=0.05), "char": normal(runs.size, CHAR_DIM, scale=0.05)}
         for side in "fb":
             self.p[f"W{side}"] = normal(d, 3 * h, scale=0.4)
             self.p[f"U{side}"] = normal(h, 3 * h, scale=0.2)
@@ -142,6 +155,16 @@ class Network:
         top = np.take_along_axis(table, best[:, None, :], axis=1)[:, 0]
         return np.concatenate([self.p["word"][word], top], axis=1), np.take_along_axis(runs, best, axis=1)
 
+    def embedding_gradients(self, word: np.ndarray, from_run: np.ndarray, by_token: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the embeddings from those of the inputs of tokens (their words, and the runs that gave each
+        character dimension). The shared zero embedding stays."""
+        g = {"word": np.zeros_like(self.p["word"]), "char": np.zeros_like(self.p["char"])}
+        np.add.at(g["word"], word, by_token[:, :WORD_DIM])
+        for k in range(CHAR_DIM):
+            np.add.at(g["char"][:, k], from_run[:, k], by_token[:, WORD_DIM + k])
+        g["word"][0], g["char"][0] = 0, 0
+        return g
+
     # windows
 
     def _scan(self, x: np.ndarray, side: str, keep: bool) -> tuple[np.ndarray, list]:
@@ -212,9 +235,9 @@ class Network:
 
 
 class Scorer:
-    """Scores texts. Projected inputs of tokens are kept up to ``limit`` tokens."""
+    """Scores texts. Projected inputs of tokens are kept up to about ``limit`` tokens."""
 
-    def __init__(self, network: Network, limit: int = 150_000):
+    def __init__(self, network: Network, limit: int = 200_000):
         self.net, self.limit = network, limit
         self._reset()
 
@@ -227,7 +250,7 @@ class Scorer:
         size = len(self.vocabulary.numbers) + 1
         for s, table in self.tables.items():
             if size > len(table):
-                self.tables[s] = np.concatenate([table, np.tile(self.net.p[f"B{s}"], (size, 1))])
+                self.tables[s] = np.concatenate([table, np.tile(self.net.p[f"B{s}"], (size - len(table) + size // 2 + 1024, 1))])
         if new:
             first = size - len(new)
             for rows, word, runs in token_arrays(new):
@@ -238,7 +261,7 @@ class Scorer:
     def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = [t.split() for t in texts]
         used = set().union(*split)
-        if len(self.vocabulary.numbers) + len(used) > 2 * self.limit:
+        if len(self.vocabulary.numbers) + len(used) > self.limit:
             self._reset()
         self._admit(used)
         get = self.vocabulary.numbers.__getitem__
@@ -270,9 +293,9 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.logits(texts) - self.net.shift, -40, 40)))
 
 
-def telling(held: list[np.ndarray], labels: np.ndarray, prior: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes that speak for label 1, by rising log odds, and these. ``held``: the distinct hashes of each document.
-    Both labels weigh alike, and the odds are drawn to even by ``prior`` documents."""
+def telling(held: list[np.ndarray], labels: np.ndarray, clean: bool, prior: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes that speak for label 1, or with ``clean`` for either label, by rising log odds, and these. ``held``:
+    the distinct hashes of each document. Both labels weigh alike, and the odds are drawn to even by ``prior`` documents."""
     keys, at = np.unique(np.concatenate(held), return_inverse=True)
     owner = np.repeat(labels, [len(h) for h in held])
     hits = [np.bincount(at[owner == y], minlength=len(keys)) / max(1, (labels == y).sum()) for y in (0, 1)]
@@ -280,7 +303,10 @@ def telling(held: list[np.ndarray], labels: np.ndarray, prior: float = 4.0) -> t
     share = hits[1] / (hits[0] + hits[1])
     share = (total * share + prior * 0.5) / (total + prior)
     odds = np.log(share / (1 - share))
-    good = np.flatnonzero((total >= SUPPORT) & (odds >= LEAST_ODDS) & (keys != 0))
+    good = (total >= SUPPORT) & (odds >= LEAST_ODDS)
+    if clean:
+        good |= (total >= CLEAN_SUPPORT) & (odds <= -LEAST_ODDS)
+    good = np.flatnonzero(good & (keys != 0))
     good = good[np.argsort(odds[good], kind="stable")]
     return keys[good], np.clip(odds[good], -3, 3).astype(np.float32)
 
@@ -325,8 +351,8 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = EPOC
     ends = np.searchsorted(owner, np.arange(len(new) + 2))
     numbers = [np.array([vocabulary.numbers[t] for t in s], np.int32) for s in split]
     seen = [np.unique(n) for n in numbers]
-    word_keys, word_odds = telling([np.unique(word_hash[s]) for s in seen], y[learn])
-    run_keys, run_odds = telling([np.unique(np.concatenate([np.empty(0, np.uint64), *(run_hash[ends[i] : ends[i + 1]] for i in s.tolist())])) for s in seen], y[learn])
+    word_keys, word_odds = telling([np.unique(word_hash[s]) for s in seen], y[learn], clean=True)
+    run_keys, run_odds = telling([np.unique(np.concatenate([np.empty(0, np.uint64), *(run_hash[ends[i] : ends[i + 1]] for i in s.tolist())])) for s in seen], y[learn], clean=False)
     net = Network(HashIndex(word_keys), HashIndex(run_keys), seed)
     net.p["word"][1:, 0], net.p["char"][1:, 0] = word_odds, run_odds
     net.p["word"][0], net.p["char"][0] = 0, 0
@@ -380,13 +406,7 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = EPOC
             by_token = np.zeros_like(x)
             np.add.at(by_token, local.ravel(), dx.reshape(-1, x.shape[1]))
             by_token[used == 0] = 0
-            g["word"] = np.zeros_like(net.p["word"])
-            np.add.at(g["word"], word[used], by_token[:, :WORD_DIM])
-            g["char"] = np.zeros_like(net.p["char"])
-            for k in range(CHAR_DIM):
-                np.add.at(g["char"][:, k], from_run[:, k], by_token[:, WORD_DIM + k])
-            g["word"][0], g["char"][0] = 0, 0
-            adam.step(g, now)
+            adam.step(g | net.embedding_gradients(word[used], from_run, by_token), now)
 
     net.shift = threshold(Scorer(net).logits([texts[i] for i in test]), y[test])
     return net
@@ -411,15 +431,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, positive: int, negative: int) -> list[tuple[str, int]]:
-    """(text, label) of at most so many labelled documents of each label outside the held-out fold."""
+    """(text, label) of at most so many labelled documents of each label outside the held-out fold, within the bounds
+    on bytes: by rising hash, until the bytes are used up."""
     known = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id", F.lit(29)), "doc_id"]
     picked = [known.filter(F.col("toxic") == y).orderBy(*order).limit(n) for y, n in ((1, positive), (0, negative))]
     # no more rows than the bounds of the sample
     chosen = F.broadcast(picked[0].unionByName(picked[1]))
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(chosen, "doc_id")
-    texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-    rows = texts.orderBy("doc_id").select("text", "toxic").collect()
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
+    texts = texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
+    used = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = texts.withColumn("used", used).filter(F.col("used") <= SAMPLE_BYTES).orderBy("doc_id").select("text", "toxic").collect()
     return [(r.text, int(r.toxic)) for r in rows]
 
 
@@ -439,14 +461,19 @@ def score_documents(
     net = train([t for t, _ in sample], [y for _, y in sample])
     shared = docs.sparkSession.sparkContext.broadcast(net)
     name = hashlib.sha256(pickle.dumps(net.p)).hexdigest()
+    text = new_name(docs, "scored_text")
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity", _SCORERS)
         if name not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[name] = Scorer(shared.value)
-        for texts in batches:
-            yield pd.Series(_SCORERS[name].scores([t or "" for t in texts.tolist()]))
-
-    scored = docs.withColumn("score", score(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+        for batch in batches:
+            column = batch.column(batch.num_columns - 1)
+            for begin, end in slices(column):
+                scores = pa.array(_SCORERS[name].scores(texts_of(column, begin, end)), pa.float64())
+                yield pa.RecordBatch.from_arrays([*(c.slice(begin, end - begin) for c in batch.columns[:-1]), scores], [*batch.schema.names[:-1], "score"])
+
+    rows = docs.withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit("")))
+    scored = rows.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
