@@ -20,10 +20,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import scratch_path
+from .common import cut, scratch_path
 
 FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
+#: The starts of the files (16 bytes a file) are broadcast up to this size and joined by shuffle beyond it.
+BROADCAST_BYTES = 32 << 20
+
 ORC_OPTIONS = {
     "compression": "zstd",
     "orc.bloom.filter.columns": "doc_id",
@@ -41,9 +44,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         cache, part, at = tokens.library_cache(tokenizer_path), TaskContext.get().partitionId(), 0
         tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for begin, end in tokens.blocks(texts):
-                coded = [ids + tail for ids in cache.encode(texts[begin:end])]
+            column = batch.column(1)
+            for begin, end in tokens.slices(column):
+                coded = [ids + tail for ids in cache.encode(tokens.texts_of(column, begin, end))]
                 sizes = [len(ids) // 4 for ids in coded]
                 ends = list(itertools.accumulate(sizes, initial=0))
                 ids = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(coded))])
@@ -71,7 +74,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     # one row a file: the running total over them is small
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    bases = cut(totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base")))
+    if bases.count() * 16 <= BROADCAST_BYTES:
+        bases = F.broadcast(bases)  # so that the ids stay where they are read
     return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
