@@ -4,7 +4,8 @@ A filter is a direction; it holds the unit vectors within a cap around it. The d
 random product code: after a shared random rotation a vector is cut into ``parts`` and each part has its own
 random code words; a direction joins one word of every part. A vector's filters are found by list decoding:
 partial sums over the parts are dropped as soon as the best words of the remaining parts could not lift them
-over the threshold. Vectors are joined on (label, dimension, filter) and pairs are verified by their cosine.
+over the threshold. In fewer than ``PRODUCT_DIM`` components a code has one part. The number of words and the height
+of the caps follow from the dimension, the threshold and the size of the largest label. Vectors are joined on (label, dimension, filter) and pairs are verified by their cosine.
 
 Equal vectors of a label form a class, so copies are one row in the join. A pair that shares several filters
 counts in the smallest one. A bucket of more than ``block`` classes is cut into blocks and each pair of
@@ -26,27 +27,74 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, only
 from .components import connected_components
 from .groups import block_pairs, tree_edges
 from .tokens import trim
 
 THRESHOLD = 0.93
-#: Independent codes, code words of each part, parts, and the cap's height in standard deviations of a random
-#: inner product. Of pairs at a cosine of 0.93 in 64 dimensions, one in 600 shares no filter (by simulation).
-CODES, CODE_WORDS, PARTS, HEIGHT = 2, 1024, 2, 3.7
+#: Shared filters that a pair at the threshold has on average in one code. A code of one part spreads them evenly over
+#: pairs, so one is enough; a product of two is uneven, and two independent codes make up for it. Recall at exactly
+#: the threshold is above 0.99 from 1 to 256 dimensions (tested).
+SHARED = {1: 16, 2: 24}
+CODES = {1: 1, 2: 2}
+#: Vectors of fewer components have codes of one part: a product of parts so short leaves most vectors without filters.
+PRODUCT_DIM = 20
+#: Code words of a part. Within these the number follows the largest label, so that a vector meets about
+#: ``STRANGERS`` unlike ones in all its buckets, however large the label.
+LEAST_WORDS, MOST_WORDS, STRANGERS = 256, 1 << 16, 100
 #: Vectors whose filters a Python process keeps while it verifies.
 KEPT_FILTERS = 30_000
-#: Vectors of fewer components have one cap, the whole sphere: caps in so few dimensions would not tell them apart.
-LEAST_DIM = 12
 BLOCK = 400
 NO_ID = (1 << 63) - 1  # stands for a null id: any other id is smaller
 
 
+def cap_share(dim: int, cosine: float) -> float:
+    """Share of the unit sphere within a cap of this height."""
+    if dim == 1:
+        return 0.5
+    angles = np.linspace(0, math.pi, 20_001)
+    weights = np.sin(angles) ** (dim - 2)
+    return float(weights[angles <= math.acos(cosine)].sum() / weights.sum())
+
+
+def cap_height(dim: int, share: float) -> float:
+    """Height of the cap that holds this share of the unit sphere."""
+    if dim == 1:
+        return 0.5
+    angles = np.linspace(0, math.pi, 200_001)
+    weights = np.cumsum(np.sin(angles) ** (dim - 2))
+    return math.cos(angles[np.searchsorted(weights, share * weights[-1])])
+
+
+def sizing(dim: int, threshold: float, members: int) -> tuple[int, int, float]:
+    """Parts, code words of each, and height of the caps, for labels of up to ``members`` vectors.
+
+    Of two vectors at the threshold the second is in a cap of the first with a chance that falls with the height, so
+    the filters a vector needs and the height depend on each other; a few rounds settle them."""
+    parts = 2 if dim >= PRODUCT_DIM else 1
+    wanted = SHARED[parts]
+    filters, words, height = 2.0 * wanted, LEAST_WORDS, threshold
+    for _ in range(6):
+        need = (members * filters**2 / STRANGERS) ** (1 / parts)
+        words = min(MOST_WORDS, max(LEAST_WORDS, 1 << math.ceil(math.log2(max(1.0, need)))))
+        if parts == 1:
+            # in very few dimensions a cap as wide as the threshold holds many words: fewer of them will do
+            words = min(words, max(LEAST_WORDS, 1 << math.ceil(math.log2(2 * wanted / max(cap_share(dim, threshold), 1e-9)))))
+        height = cap_height(dim, min(0.45, filters / words**parts))
+        if parts == 1:
+            height = min(height, threshold)
+        inside = min(0.999, height + (1 - height**2) / (height * dim))
+        spread = math.sqrt(max(1e-12, (1 - threshold**2) * (1 - inside**2) / max(dim - 2, 1)))
+        chance = 0.5 * math.erfc((height - threshold * inside) / spread / math.sqrt(2))
+        filters = wanted / max(chance, 0.02)
+    return parts, words, height
+
+
 class ProductCode:
     """Filter directions for vectors of one length."""
 
-    def __init__(self, dim: int, words: int = CODE_WORDS, parts: int = PARTS, height: float = HEIGHT, seed: int = 23):
+    def __init__(self, dim: int, words: int, parts: int, height: float, seed: int = 23):
         rng = np.random.default_rng([seed, dim])
         self.dim, self.words = dim, words
         self.parts = min(parts, dim)
@@ -57,7 +105,7 @@ class ProductCode:
             code = rng.standard_normal((words, b - a))
             self.codes.append(code / np.linalg.norm(code, axis=1, keepdims=True))
         # the direction is the sum of the words over the root of their number
-        self.least = height * math.sqrt(self.parts) / math.sqrt(dim)
+        self.least = height * math.sqrt(self.parts)
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
         """For each row of unit vectors the ascending numbers of all filters that it exceeds. A row that exceeds
@@ -72,9 +120,11 @@ class ProductCode:
         for i in range(len(unit)):
             sums, numbers = np.zeros(1), np.zeros(1, np.int64)
             for p, score in enumerate(scores):
-                grown = sums[:, None] + score[i][None, :]
+                # words that no sum so far could lift over what is left
+                words = np.flatnonzero(score[i] >= least[i] - later[i, p] - sums.max())
+                grown = sums[:, None] + score[i][words][None, :]
                 at, word = np.nonzero(grown >= least[i] - later[i, p])
-                sums, numbers = grown[at, word], numbers[at] * self.words + word
+                sums, numbers = grown[at, word], numbers[at] * self.words + words[word]
             out.append(np.sort(numbers))
         return out
 
@@ -82,24 +132,30 @@ class ProductCode:
 class CodeSet:
     """Several independent codes; filter numbers of different codes differ."""
 
-    def __init__(self, dim: int, codes: int, words: int, parts: int, height: float):
-        self.codes = [ProductCode(dim, words, parts, height, seed=23 + k) for k in range(codes)] if dim >= LEAST_DIM else []
-        self.span = words ** min(parts, dim)
+    def __init__(self, dim: int, threshold: float, members: int):
+        parts, words, height = sizing(dim, threshold, members)
+        self.codes = [ProductCode(dim, words, parts, height, seed=23 + k) for k in range(CODES[parts])]
+        self.span = words**parts
+        #: Rows decoded at once, so that their scores take some tens of megabytes.
+        self.rows = max(1, (1 << 22) // words)
 
     def decode(self, unit: np.ndarray) -> list[np.ndarray]:
-        if not self.codes:
-            return [np.zeros(1, np.int64)] * len(unit)
-        found = [code.decode(unit) for code in self.codes]
-        return [np.concatenate([numbers + k * self.span for k, numbers in enumerate(row)]) for row in zip(*found, strict=True)]
+        out: list[np.ndarray] = []
+        for begin in range(0, len(unit), self.rows):
+            found = [code.decode(unit[begin : begin + self.rows]) for code in self.codes]
+            out += [np.concatenate([numbers + k * self.span for k, numbers in enumerate(row)]) for row in zip(*found, strict=True)]
+        return out
 
 
 _CODES: dict[tuple, CodeSet] = {}
 
 
-def code_set(dim: int, *settings) -> CodeSet:
-    if (dim, *settings) not in _CODES:
-        _CODES[dim, *settings] = CodeSet(dim, *settings)
-    return _CODES[dim, *settings]
+def code_set(dim: int, threshold: float, members: int) -> CodeSet:
+    if (dim, threshold, members) not in _CODES:
+        only("embedding caps", _CODES, _KEPT)
+        trim(_CODES, 8)
+        _CODES[dim, threshold, members] = CodeSet(dim, threshold, members)
+    return _CODES[dim, threshold, members]
 
 
 _KEPT: dict[tuple, np.ndarray] = {}
@@ -220,10 +276,6 @@ def verify(members: DataFrame, threshold: float, settings: tuple) -> DataFrame:
 def dedup_embeddings(
     vectors: DataFrame,
     threshold: float = THRESHOLD,
-    codes: int = CODES,
-    code_words: int = CODE_WORDS,
-    parts: int = PARTS,
-    height: float = HEIGHT,
     block: int = BLOCK,
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id, embedding, label)."""
@@ -236,7 +288,8 @@ def dedup_embeddings(
     first = F.min(F.coalesce("vec_id", F.lit(NO_ID)))
     grouped = rows.filter("ok").groupBy("v1", "v2", "label").agg(first.alias("cls_id"), F.count(F.lit(1)).alias("copies"), F.any_value("vector").alias("vector"))
     classes = cut(grouped.withColumn("cls", F.xxhash64("v1", "v2")))
-    settings = (codes, code_words, parts, height)
+    largest = classes.groupBy("label", F.size("vector")).count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
+    settings = (threshold, 1 << (int(largest) - 1).bit_length())
     decoded = cut(with_filters(classes, settings))
     seen = classes.select("cls", "label", F.size("vector").alias("dim")).join(decoded, "cls").select("cls", "label", "dim", F.explode("filters").alias("filter"))
     buckets = seen.groupBy("label", "dim", "filter").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
