@@ -4,7 +4,9 @@ State: a table of references (key, doc_id, lines), one row for each document and
 filter for each shard of the keys, which holds the keys that at least ``min_docs`` documents refer to. The
 filters answer most lines without a join: a line that no filter knows is kept. What passes is checked
 against the exact counts. References are added when documents arrive and subtracted when they are deleted,
-and the filters take insertions and deletions alike, so deleting a batch leaves the state before it.
+and the filters take insertions and deletions alike, so deleting a batch leaves the state before it. A shard
+whose filter has no room left is built anew from the exact counts, and when the references outgrow the number
+of shards by two, all are dealt to more shards.
 
 Lines travel as 128-bit keys, not as text. A key that many documents hold is spread over many tasks by a
 salt when lines meet the filters; where they meet the counts, keys so frequent that their number is bounded
@@ -25,15 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_name, scratch_path
+from .common import new_name, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys that a shard's filter is made for.
 SHARD_KEYS = 200_000
 #: Copies of each filter, so that the lines of one shard are spread over as many tasks.
 SALTS = 16
-#: A key is broadcast if it has more than one in so many of all references; there are no more such keys than this.
-HOT_SHARE = 2_000
+#: A key is broadcast if it has more than one in so many of all references; there are no more such keys than this, and
+#: a row of the broadcast takes some 40 bytes.
+HOT_SHARE = 100_000
 #: Characters stripped from both ends of a line.
 SPACES = "\\x20\\x09-\\x0D"
 
@@ -91,7 +94,7 @@ class CuckooFilter:
         return bucket ^ (hashed & np.uint64(self.n - 1)).astype(np.int64)
 
     def insert(self, keys: np.ndarray) -> None:
-        """Distinct keys, each inserted once. Grows (rebuilding is the caller's work) by raising if it is full."""
+        """Distinct keys, each inserted once. Raises ``OverflowError`` if there is no room; the filter is then of no use."""
         rng = np.random.default_rng(11)
         for p, a, b in zip(*(x.tolist() for x in self._places(keys)), strict=True):
             if not (self._put(a, p) or self._put(b, p)):
@@ -166,14 +169,9 @@ def line_references(docs: DataFrame, shards: int, min_chars: int) -> DataFrame:
     return counted.select(F.pmod("k1", F.lit(shards)).cast("int").alias("shard"), "k1", "k2", "doc_id", "n_lines")
 
 
-def _store(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def make_filters(frequent: DataFrame, shards: int, before: DataFrame | None = None, gone: DataFrame | None = None) -> DataFrame:
-    """shard, filter: the keys ``frequent`` (k1) inserted into the filters ``before``, or new ones, and ``gone`` deleted."""
+    """shard, filter: the keys ``frequent`` (k1) inserted into the filters ``before``, or new ones, and ``gone`` deleted.
+    Of a shard of ``before`` that has no room for its new keys the filter is null."""
     order = {"filter": 0, "gone": 1, "new": 2}
     none = F.lit(None).cast("binary")
     rows = frequent.select(F.pmod("k1", F.lit(shards)).cast("int").alias("shard"), F.lit(order["new"]).alias("kind"), "k1", none.alias("filter"))
@@ -188,12 +186,16 @@ def make_filters(frequent: DataFrame, shards: int, before: DataFrame | None = No
         def close() -> pa.RecordBatch:
             new, lost = (np.concatenate([*parts[k], np.empty(0, np.int64)]) for k in (2, 1))
             if old is None:
-                made = build_filter(new)
+                made = build_filter(new).to_bytes()
             else:
-                made = CuckooFilter.from_bytes(old)
-                made.delete(lost)
-                made.insert(new)
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([made.to_bytes()], pa.binary())], ["shard", "filter"])
+                changed = CuckooFilter.from_bytes(old)
+                changed.delete(lost)
+                try:
+                    changed.insert(new)
+                    made = changed.to_bytes()
+                except OverflowError:
+                    made = None
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([made], pa.binary())], ["shard", "filter"])
 
         for batch in batches:
             shards_, kinds, keys = (batch.column(i).to_numpy() for i in range(3))
@@ -216,23 +218,45 @@ def make_filters(frequent: DataFrame, shards: int, before: DataFrame | None = No
     return dealt.mapInArrow(run, "shard int, filter binary")
 
 
+def shards_for(references: int, min_docs: int) -> int:
+    """Shards for so many references: a key in a filter has at least ``min_docs`` of them."""
+    return max(1, -(-references // (SHARD_KEYS * min_docs)))
+
+
+def in_shards(rows: DataFrame, shards: int) -> DataFrame:
+    return rows.withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int"))
+
+
 def create_index(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shards: int | None = None) -> LineIndex:
     """The index of ``docs`` (columns doc_id, text). The number of shards follows the number of references."""
-    references = _store(line_references(docs, 1, min_chars).drop("shard"), "line-references")
+    references = written(line_references(docs, 1, min_chars).drop("shard"), "line-references")
     if shards is None:
-        shards = max(1, -(-references.count() // (SHARD_KEYS * min_docs)))
-    references = references.withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int"))
+        shards = shards_for(references.count(), min_docs)
+    references = in_shards(references, shards)
     index = LineIndex(references, references, shards, min_docs, min_chars)
-    index.filters = _store(make_filters(index.counts().select("k1").distinct(), shards), "line-filters")
+    index.filters = written(make_filters(index.counts().select("k1").distinct(), shards), "line-filters")
     return index
 
 
 def _updated(index: LineIndex, references: DataFrame) -> LineIndex:
     """The index with other references; keys that cross ``min_docs`` are inserted into or deleted from the filters."""
-    after = LineIndex(_store(references, "line-references"), index.filters, index.shards, index.min_docs, index.min_chars)
-    was, now = index.counts().select("k1").distinct(), after.counts().select("k1").distinct()
+    stored = written(references.drop("shard"), "line-references")
+    shards = max(index.shards, shards_for(stored.count(), index.min_docs))
+    if shards < 2 * index.shards:
+        shards = index.shards
+    after = LineIndex(in_shards(stored, shards), index.filters, shards, index.min_docs, index.min_chars)
+    now = after.counts().select("k1").distinct()
+    if shards > index.shards:
+        after.filters = written(make_filters(now, shards), "line-filters")
+        return after
+    was = index.counts().select("k1").distinct()
     new, gone = now.join(was, "k1", "left_anti"), was.join(now, "k1", "left_anti")
-    after.filters = _store(make_filters(new, index.shards, index.filters, gone), "line-filters")
+    made = written(make_filters(new, shards, index.filters, gone), "line-filters")
+    full = made.filter("filter is null").select("shard")
+    if not full.isEmpty():
+        again = in_shards(now, shards).join(full, "shard", "left_semi").select("k1")
+        made = written(made.filter("filter is not null").unionByName(make_filters(again, shards)), "line-filters")
+    after.filters = made
     return after
 
 
@@ -285,7 +309,9 @@ def dropped_keys(index: LineIndex) -> DataFrame:
     total = index.references.count()
     hot = counts.filter(F.col("n_docs") * HOT_SHARE > total)  # no more than HOT_SHARE rows
     rest = counts.filter(F.col("n_docs") * HOT_SHARE <= total)
-    checked = [passed.join(F.broadcast(hot), ["k1", "k2"]), passed.join(rest, ["k1", "k2"])]
+    # lines of hot keys must not travel to the join by key
+    cold = passed.join(F.broadcast(hot.select("k1", "k2")), ["k1", "k2"], "left_anti")
+    checked = [passed.join(F.broadcast(hot), ["k1", "k2"]), cold.join(rest, ["k1", "k2"])]
     return checked[0].unionByName(checked[1]).filter(F.col("doc_id") < F.col("last_doc")).select("doc_id", "k1", "k2")
 
 
@@ -297,13 +323,16 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     docs = docs.drop("n_lines", "n_dropped")
     index = index or create_index(docs, min_docs, min_chars)
     key, gone = new_name(docs, "id"), new_name(docs, "gone")
-    # drops come by document: no row is larger than its document has lines
+    # drops come by document: no row is larger than its document has lines. They lie in about as many lists as the
+    # root of their number, so that a line is compared with few of them
     drops = dropped_keys(index).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("k1", "k2")).alias(gone))
+    width = F.ceil(F.sqrt(F.size(gone))).cast("int")
+    drops = drops.select(key, F.transform(F.sequence(F.lit(0), width - 1), lambda w: F.filter(F.col(gone), lambda k: F.pmod(k["k1"], width) == w)).alias(gone))
     joined = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))).join(drops.hint("shuffle_hash"), key, "left")
     lines = text_lines(F.col("text"))
     stays = F.filter(
         F.arrays_zip(lines.alias("line"), keyed_lines(F.col("text"), min_chars).alias("key")),
-        lambda x: x["key"].isNull() | ~F.array_contains(F.col(gone), x["key"]),
+        lambda x: x["key"].isNull() | ~F.array_contains(F.get(F.col(gone), F.pmod(x["key"]["k1"], F.size(gone)).cast("int")), x["key"]),
     )
     kept = F.when(F.col(gone).isNull(), lines).otherwise(F.transform(stays, lambda x: x["line"]))
     out, text = new_name(docs, "kept"), F.col("text")
