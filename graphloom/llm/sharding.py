@@ -10,19 +10,25 @@ The second permutation cuts a shard into buckets by a random key that is unique
 is hot whatever the rows hold, and the slot is the bucket's first slot plus the rank in the bucket.
 
 Law ``rows``: shard sizes differ by one at most. Defined cases: null texts have no bytes; null or repeated
-doc_ids, repeated rows and ties of any kind are rows like others; an empty table gives no rows; columns
-whose names clash with the added ones are replaced in the result's digest but kept under the exchange.
+doc_ids, repeated rows and ties of any kind are rows like others; an empty table gives no rows; input columns
+named shard or slot are replaced, all others pass through under any name.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_name, written
 
-#: Rows that a bucket of the second permutation holds on average.
-BUCKET_ROWS = 20_000
+#: Bytes of text and binary columns, and rows, that a bucket of the second permutation holds on average at most.
+BUCKET_BYTES, BUCKET_ROWS = 32 << 20, 20_000
+
+#: Nodes of the matrix's tree from which on they are dealt to tasks of their own.
+SPREAD_LEVEL = 8
 
 #: The matrix (shards + 2 numbers a source partition) is broadcast up to this size and joined by shuffle beyond it.
 BROADCAST_BYTES = 32 << 20
@@ -90,7 +96,9 @@ def communication_matrix(sizes: DataFrame, shards: int, seed: int, levels: int)
     root = sizes.agg(parts.alias("parts"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows"))
     even = f"transform(sequence(0, {shards - 1}), s -> bigint(rows div {shards}) + bigint(s < rows % {shards}))"
     nodes = root.selectExpr("parts", f"{even} as counts", "1L as node")
-    for _ in range(levels):
+    for level in range(levels):
+        if level == SPREAD_LEVEL:
+            nodes = nodes.repartition("node")
         nodes = nodes.selectExpr("*", "slice(parts, 1, int(ceil(size(parts) / 2))) as lp", "slice(parts, int(ceil(size(parts) / 2)) + 1, size(parts)) as rp")
         nodes = nodes.withColumn("lc", split_counts("aggregate(lp, 0L, (x, p) -> x + p.n)", "counts", f"node * 1000003 + {seed}"))
         nodes = nodes.selectExpr(
@@ -101,43 +109,40 @@ def communication_matrix(sizes: DataFrame, shards: int, seed: int, levels: int)
 
 
 def shuffle_to_shards(docs: DataFrame, shards: int = 16, seed: int = 17, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """All rows of ``docs`` with their columns, and shard (int) and slot (long, gapless from 0 in a shard).
-
-    ``docs`` must not have columns named shard or slot.
-    """
-    part, rank, key = (new_name(docs, x) for x in ("part", "rank", "key"))
+    """All rows of ``docs`` with their columns, and shard (int) and slot (long, gapless from 0 in a shard)."""
+    docs = docs.drop("shard", "slot")
+    part, rank, key, ends, bucket, first, place = (new_name(docs, x) for x in ("part", "rank", "key", "ends", "bucket", "first", "place"))
     # the local permutation: rows sorted by a hash of their place
     placed = docs.withColumn(part, F.spark_partition_id()).withColumn(rank, F.monotonically_increasing_id())
     mixed = placed.sortWithinPartitions(F.xxhash64(F.lit(seed), rank), rank)
     table = written(mixed.withColumn(rank, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "shuffle")
 
+    wide = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)).cast("long") for f in docs.schema if f.dataType.typeName() in ("string", "binary")]
+    measured = table.groupBy(F.col(part).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum(functools.reduce(operator.add, wide, F.lit(0))).alias("bytes"))
+    parts, total, size = measured.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     sizes = table.groupBy(F.col(part).alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    parts, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     matrix = communication_matrix(sizes, shards, seed, max(1, parts - 1).bit_length())
-    ends = f"transform(sequence(1, {shards}), s -> aggregate(slice(counts, 1, s), 0L, (x, c) -> x + c)) as __ends"
-    bounds = matrix.selectExpr(f"part as {part}", ends)
+    upto = f"transform(sequence(1, {shards}), s -> aggregate(slice(counts, 1, s), 0L, (x, c) -> x + c)) as {ends}"
+    bounds = matrix.selectExpr(f"part as {part}", upto)
     if parts * (shards + 2) * 8 <= BROADCAST_BYTES:
         bounds = F.broadcast(bounds)
 
-    buckets = max(1, -(-total // (shards * bucket_rows)))
+    buckets = max(1, -(-total // (shards * bucket_rows)), -(-size // (shards * BUCKET_BYTES)))
     sent = (
         table.join(bounds, part)
-        .withColumn("shard", F.size(F.filter("__ends", lambda e: e <= F.col(rank))))
-        .drop("__ends")
+        .withColumn("shard", F.size(F.filter(ends, lambda e: e <= F.col(rank))))
+        .drop(ends)
         .withColumn(key, F.xxhash64(F.lit(seed + 1), part, rank))
-        .withColumn("__bucket", F.pmod(F.shiftrightunsigned(key, 7), F.lit(buckets)).cast("int"))
-    )
-    counts = sent.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    # one row a bucket of every shard
-    firsts = counts.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("__bucket", "__n"))).alias("__all"))
-    firsts = firsts.selectExpr(
-        "shard",
-        "inline(transform(__all, (x, i) -> named_struct('__bucket', x.__bucket, '__first', aggregate(slice(__all, 1, i), 0L, (a, y) -> a + y.__n))))",
+        .withColumn(bucket, F.pmod(F.shiftrightunsigned(key, 7), F.lit(buckets)).cast("int"))
     )
+    # one row a bucket: the rows of the shard before it
+    before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    counts = sent.groupBy("shard", bucket).agg(F.count(F.lit(1)).alias(first))
+    firsts = counts.withColumn(first, F.coalesce(F.sum(first).over(before), F.lit(0)))
     # the second permutation: the order of the random keys in a bucket
-    order = Window.partitionBy("shard", "__bucket").orderBy(key, part, rank)
-    ranked = sent.withColumn("__rank", F.row_number().over(order)).join(firsts, ["shard", "__bucket"])
-    return ranked.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("shard").cast("int").alias("shard"), (F.col("__first") + F.col("__rank") - 1).cast("long").alias("slot"))
+    order = Window.partitionBy("shard", bucket).orderBy(key, part, rank)
+    ranked = sent.withColumn(place, F.row_number().over(order)).join(firsts, ["shard", bucket])
+    return ranked.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("shard").cast("int").alias("shard"), (F.col(first) + F.col(place) - 1).cast("long").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 17) -> DataFrame:
