@@ -9,8 +9,9 @@ choice depends on the length alone, and little on it, so texts of similar length
 The likeness of two fingerprints is the share of their used slots that agree.
 
 Near duplicates are found by bands of sampled slots and verified on the whole fingerprints, in tasks bounded
-as in the other joins. Documents are put in order by ranges of doc_id, and the first row of each range is
-copied to the range before it, so the next document is at hand without a second shuffle of texts.
+as in the other joins; bands travel as hashes, and a fingerprint joins the buckets that hold more than it.
+For edits, documents are put in order by ranges of doc_id. All but the last row of a range have their next document
+beside them; the last rows and the first ones, two a range, meet in a second, small step.
 
 Defined cases: a null text is an empty one; an empty fingerprint (all slots unused) is like another empty one
 (1) and unlike all others (0); of equal doc_ids the greater text hash comes first; a null doc_id comes after
@@ -25,20 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, only, written
 from .components import connected_components
 from .groups import block_pairs, tree_edges
-from .tokens import blocks
+from .tokens import blocks, slices, texts_of
 
 SLOTS, CLASSES, PERIOD = 128, 64, 1 << 14
-LONGEST = 1 << 26
-#: Characters whose walks are held at once, and characters of texts handled at once.
-WALK_CHARS, BATCH_CHARS = 3_000_000, 12_000_000
+#: More steps than the walk over any string takes: a string has less than 2^31 characters, at two steps each on average.
+LONGEST = 1 << 40
+#: Characters whose walks are held at once.
+WALK_CHARS = 3_000_000
 BANDS, BAND_SLOTS, THRESHOLD, BLOCK = 40, 8, 0.8, 400
-LEAST = -(1 << 63)
 EMPTY = 16
 SYMBOLS = np.frombuffer(b"0123456789abcdef-", np.uint8)
 
@@ -77,7 +79,7 @@ class EditEmbedding:
                 low *= float(rng.random())
         found.sort()
         self.places = np.array([p for p, _ in found], np.int64)
-        self.speaks = np.full((len(found) + 1, self.slots), -1, np.int32)
+        self.speaks = np.full((len(found) + 1, self.slots), -1, np.int64)
         for k, (at, slot) in enumerate(found, 1):
             self.speaks[k] = self.speaks[k - 1]
             self.speaks[k, slot] = at
@@ -100,8 +102,10 @@ class EditEmbedding:
         turned = np.empty(int(starts[-1]), np.int32)
         for d, c in enumerate(codes):
             turned[starts[: len(c)] + d] = ((_mixed(c, 1) >> np.uint64(40)).astype(np.int32) & (CLASSES - 1)) * PERIOD
-        entered = np.empty(int(starts[-1]), np.int32)
-        step = np.zeros(len(codes), np.int32)
+        # a walk of so many characters may take more steps than 32 bits count
+        kind = np.int64 if longest > 1 << 28 else np.int32
+        entered = np.empty(int(starts[-1]), kind)
+        step = np.zeros(len(codes), kind)
         advance, mask = self.advance, PERIOD - 1
         begins = starts.tolist()
         for i, n in enumerate(alive.tolist()):
@@ -120,6 +124,7 @@ _EMBEDDINGS: dict[int, EditEmbedding] = {}
 
 
 def embedding(slots: int) -> EditEmbedding:
+    only("edit fingerprints", _EMBEDDINGS)
     if slots not in _EMBEDDINGS:
         _EMBEDDINGS[slots] = EditEmbedding(slots)
     return _EMBEDDINGS[slots]
@@ -148,84 +153,96 @@ def fingerprint_documents(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for begin, end in blocks(texts, BATCH_CHARS):
-                prints = shown(embedding(slots).fingerprints(texts[begin:end]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array([len(t) for t in texts[begin:end]], pa.int64()), pa.array(prints)], ["doc_id", "n_chars", "fingerprint"])
+            for begin, end in slices(batch.column(1)):
+                texts = texts_of(batch.column(1), begin, end)
+                prints = shown(embedding(slots).fingerprints(texts))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array([len(t) for t in texts], pa.int64()), pa.array(prints)], ["doc_id", "n_chars", "fingerprint"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
-def in_order(docs: DataFrame, parts: int) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text) by descending doc_id: part, tail, doc_id, text. Parts are ranges of ids, each
-    sorted inside one task; the last row of a part (tail true) is a copy of the row that follows it, in a circle."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
-    shares = [k / parts for k in range(1, parts)]
-    bounds = F.broadcast(rows.agg((F.percentile_approx("id", shares, 10_000) if shares else F.array().cast("array<bigint>")).alias("bounds")))
-    placed = rows.crossJoin(bounds).withColumn("part", F.size(F.filter(F.coalesce("bounds", F.array().cast("array<bigint>")), lambda b: b > F.col("id")))).drop("bounds")
-    # the first row of each part: at most one row a part
-    heads = placed.groupBy("part").agg(F.max(F.struct("id", "t1", "t2")).alias("h"))
-    around = Window.orderBy("part")
-    everything = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select(F.coalesce(F.lag("part").over(around), F.max("part").over(everything)).alias("before"), "h.*")
-    joined = placed.join(F.broadcast(heads), ["id", "t1", "t2"], "left")
-    own = F.struct(F.col("part").alias("part"), F.lit(False).alias("tail"))
-    copies = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("part"), F.lit(True).alias("tail"))))
-    laid = joined.select(F.inline(copies), "id", "t1", "t2", "text").repartition(parts, "part")
-    order = ["part", "tail", F.desc("id"), F.desc("t1"), F.desc("t2")]
-    return laid.sortWithinPartitions(*order).select("part", "tail", F.when(F.col("id") != LEAST, F.col("id")).alias("doc_id"), "text")
-
-
 def edited_text(text: str, following: str) -> str:
     """The last third (rounded down) replaced by as many characters, or all, of the start of the next text."""
     n = len(text) // 3
     return text[: len(text) - n] + following[:n]
 
 
+EDIT_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, shared_bands int"
+EDIT_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32()]
+
+
+def compare(doc_ids: list, texts: list[str], following: list[str], slots: int) -> list[pa.Array]:
+    """The columns of ``EDIT_SCHEMA`` for documents and the texts that follow them."""
+    edits = [edited_text(text, after) for text, after in zip(texts, following, strict=True)]
+    # equal texts are walked once
+    distinct = {text: i for i, text in enumerate(dict.fromkeys([*texts, *following, *edits]))}
+    prints = embedding(slots).fingerprints(list(distinct))
+    plain, after, changed = (prints[[distinct[t] for t in part]] for part in (texts, following, edits))
+    return [
+        pa.array(doc_ids, pa.int64()),
+        pa.array([len(t) for t in texts], pa.int64()),
+        pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edits], pa.string()),
+        pa.array(shown(plain), pa.string()),
+        pa.array(shown(changed), pa.string()),
+        pa.array(likeness(plain, changed), pa.float64()),
+        pa.array(likeness(plain, after), pa.float64()),
+        pa.array((band_values(plain) == band_values(changed)).sum(axis=1).astype(np.int32), pa.int32()),
+    ]
+
+
 def fingerprint_edits(docs: DataFrame, slots: int = SLOTS, parts: int | None = None) -> DataFrame:
     """Each document (doc_id, text) against its edited text and the next document by descending doc_id."""
-    parts = parts or max(1, 2 * docs.rdd.getNumPartitions())
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, shared_bands int"
-
-    def digest(doc_ids: list, texts: list[str], whole: list[bool]) -> pa.RecordBatch:
-        """Rows i with whole[i], whose next document is row i + 1."""
-        rows = [i for i in range(len(texts) - 1) if whole[i]]
-        edits = [edited_text(texts[i], texts[i + 1]) for i in rows]
-        prints = embedding(slots).fingerprints([*texts, *edits])
-        plain, changed = prints[rows], prints[len(texts) :]
-        following = prints[[i + 1 for i in rows]]
-        bands = (band_values(plain) == band_values(changed)).sum(axis=1)
-        columns = [
-            pa.array([doc_ids[i] for i in rows], pa.int64()),
-            pa.array([len(texts[i]) for i in rows], pa.int64()),
-            pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edits], pa.string()),
-            pa.array(shown(plain), pa.string()),
-            pa.array(shown(changed), pa.string()),
-            pa.array(likeness(plain, changed), pa.float64()),
-            pa.array(likeness(plain, following), pa.float64()),
-            pa.array(bands.astype(np.int32), pa.int32()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in schema.split(", ")])
+    spark = docs.sparkSession
+    names = [c.split(" ")[0] for c in EDIT_SCHEMA.split(", ")]
+    n_parts = parts or max(1, 2 * docs.rdd.getNumPartitions())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc_ids, texts, whole, size = [], [], [], 0
+        """Rows whose next one is in the same part; of each part its first and last row (end 0 and 1), to be matched."""
+        part, held, first = TaskContext.get().partitionId(), [], True
+
+        def ends(end: int, doc_id: int | None, text: str) -> pa.RecordBatch:
+            empty = [pa.nulls(1, kind) for kind in EDIT_TYPES[1:]]
+            return pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), *empty, pa.array([part], pa.int32()), pa.array([end], pa.int32()), pa.array([text])], [*names, "part", "end", "text"])
+
+        def whole(rows: list[tuple]) -> pa.RecordBatch:
+            n = len(rows) - 1
+            columns = compare([r[0] for r in rows[:-1]], [r[1] for r in rows[:-1]], [r[1] for r in rows[1:]], slots)
+            return pa.RecordBatch.from_arrays([*columns, pa.array([part] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], [*names, "part", "end", "text"])
+
         for batch in batches:
-            for tail, doc_id, text in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                if tail and not (whole and whole[-1]):
-                    continue  # a further copy of a row that is repeated
-                doc_ids.append(doc_id)
-                texts.append(text)
-                whole.append(not tail)
-                size += len(text)
-                if size >= BATCH_CHARS and len(texts) > 1:
-                    yield digest(doc_ids, texts, whole)
-                    doc_ids, texts, whole, size = doc_ids[-1:], texts[-1:], whole[-1:], len(texts[-1])
-        if len(texts) > 1:
-            yield digest(doc_ids, texts, whole)
-
-    return in_order(docs, parts).mapInArrow(run, schema)
+            for begin, end in slices(batch.column(1)):
+                held += zip(batch.column(0).slice(begin, end - begin).to_pylist(), texts_of(batch.column(1), begin, end), strict=True)
+                if first:
+                    yield ends(0, *held[0])
+                    first = False
+                if len(held) > 1:
+                    yield whole(held)
+                    held = held[-1:]
+        if held:
+            yield ends(1, *held[-1])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), F.monotonically_increasing_id().alias("at"))
+    # the place is the last key, so rows that are alike in all else are dealt over ranges too
+    order = [F.col("doc_id").desc_nulls_last(), F.desc("t1"), F.desc("t2"), F.col("at")]
+    laid = rows.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    met = written(laid.mapInArrow(run, EDIT_SCHEMA + ", part int, end int, text string"), "edits")
+
+    ends = met.filter("end is not null").select("part", "end", "doc_id", "text")
+    # one row a part
+    around = Window.orderBy("part")
+    everything = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    order_of = ends.filter("end = 0").select("part", F.coalesce(F.lead("part").over(around), F.min("part").over(everything)).alias("next_part"))
+    firsts = ends.filter("end = 0").select(F.col("part").alias("next_part"), F.col("text").alias("following"))
+    seams = ends.filter("end = 1").join(order_of, "part").join(firsts, "next_part").select("doc_id", "text", "following")
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays(compare(*([batch.column(k)[i].as_py()] for k in range(3)), slots), names)
+
+    return met.filter("end is null").select(*names).unionByName(seams.mapInArrow(match, EDIT_SCHEMA))
 
 
 def band_values(prints: np.ndarray, bands: int = BANDS, band_slots: int = BAND_SLOTS) -> np.ndarray:
@@ -241,57 +258,77 @@ def band_values(prints: np.ndarray, bands: int = BANDS, band_slots: int = BAND_S
     return out
 
 
+def linked_prints(prints: np.ndarray, side: np.ndarray | None, band: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that are alike enough and whose first equal band is ``band``; with sides only pairs across them."""
+    bands, left, right = band_values(prints), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in range(len(prints) - 1):
+        ok = likeness(prints[i], prints[i + 1 :]) >= threshold
+        if band:
+            ok &= ~(bands[i + 1 :, :band] == bands[i, :band]).any(axis=1)
+        if side is not None:
+            ok &= side[i + 1 :] != side[i]
+        others = np.flatnonzero(ok) + i + 1
+        left.append(np.full(len(others), i))
+        right.append(others)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS, block: int = BLOCK) -> DataFrame:
-    """doc_id, fingerprint, component_id (smallest doc_id that links of likeness ``threshold`` or more reach)."""
-    rows = fingerprint_documents(docs, slots)
-    prints = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    classes = cut(prints.withColumn("cls", F.xxhash64("fingerprint")))
+    """doc_id, fingerprint, n_links (other documents whose fingerprints are alike by ``threshold`` or more, equal ones
+    included), component_id (smallest doc_id that links reach): one row for each row of ``docs``."""
+    rows = written(fingerprint_documents(docs, slots), "fingerprints")
+    classes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("cls", F.xxhash64("fingerprint"))
 
     def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = band_values(np.stack([read_shown(t) for t in batch.column(1).to_pylist()])) if batch.num_rows else np.empty((0, BANDS), np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(values.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["cls", "fingerprint", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["cls", "bands"])
 
     # an empty fingerprint is like no other class
-    banded = classes.filter(F.length(F.replace("fingerprint", F.lit("-"))) > 0).select("cls", "fingerprint").mapInArrow(band_rows, "cls long, fingerprint string, bands array<long>")
-    spread = cut(banded).select("cls", "fingerprint", "bands", F.posexplode("bands").alias("band", "h"))
+    filled = classes.filter(F.length(F.replace("fingerprint", F.lit("-"))) > 0)
+    banded = filled.select("cls", "fingerprint").mapInArrow(band_rows, "cls long, bands array<long>")
+    spread = cut(banded.select("cls", F.posexplode("bands").alias("band", "h")))
     buckets = spread.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    placed = spread.join(buckets, ["band", "h"]).select("cls", "fingerprint", "bands", "band", "h", F.inline(block_pairs(F.col("cls"), F.col("blocks"))))
-
-    def group(held: list[tuple], across: bool, band: int) -> list[tuple[int, int]]:
-        values = np.stack([read_shown(r[1]) for r in held])
-        bands = np.stack([r[2] for r in held])
-        side = np.array([r[3] for r in held])
-        left, right = [], []
-        for i in range(len(held) - 1):
-            rest = np.arange(i + 1, len(held))
-            ok = likeness(values[i], values[rest]) >= threshold
-            if band:
-                ok &= ~(bands[rest, :band] == bands[i, :band]).any(axis=1)
-            if across:
-                ok &= side[rest] != side[i]
-            left += [i] * int(ok.sum())
-            right += rest[ok].tolist()
-        return [(held[a][0], held[b][0]) for a, b in tree_edges(np.array(left, int), np.array(right, int), len(held))]
+    placed = spread.join(buckets, ["band", "h"]).select("cls", "band", "h", F.inline(block_pairs(F.col("cls"), F.col("blocks"))))
+    members = placed.join(classes.select("cls", "fingerprint", "copies"), "cls").select("band", "h", "one", "two", "side", "cls", "copies", "fingerprint")
+
+    def group(held: list[tuple], across: bool, band: int) -> Iterator[tuple[int, int, int | None]]:
+        prints = np.stack([read_shown(r[3]) for r in held])
+        copies, links = np.array([r[2] for r in held]), np.zeros(len(held), np.int64)
+        left, right = linked_prints(prints, np.array([r[0] for r in held]) if across else None, band, threshold)
+        np.add.at(links, left, copies[right])
+        np.add.at(links, right, copies[left])
+        for i in np.flatnonzero(links):
+            yield held[i][1], int(links[i]), None
+        for a, b in tree_edges(left, right, len(held)):
+            yield held[a][1], 0, held[b][1]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
+        held, key, out = [], None, []
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) if out else [(), (), ()]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["cls", "links", "other"])
+
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for cls, fingerprint, bands, band, h, one, two, side in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for band, h, one, two, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (band, h, one, two) != key:
                     if len(held) > 1:
-                        out += group(held, key[2] != key[3], key[0])
+                        out.extend(group(held, key[2] != key[3], key[0]))
                     held, key = [], (band, h, one, two)
-                held.append((cls, fingerprint, np.array(bands), side))
-            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+                held.append(row)
+            yield flush()
         if len(held) > 1:
-            out = group(held, key[2] != key[3], key[0])
-            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    dealt = placed.repartition("band", "h", "one", "two").sortWithinPartitions("band", "h", "one", "two", "cls")
-    parts = connected_components(dealt.mapInArrow(verify, "a long, b long"))
-    named = classes.join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+            out.extend(group(held, key[2] != key[3], key[0]))
+        yield flush()
+
+    dealt = members.repartition("band", "h", "one", "two").sortWithinPartitions("band", "h", "one", "two", "cls")
+    checked = cut(dealt.mapInArrow(verify, "cls long, links long, other long"))
+    links = checked.groupBy("cls").agg(F.sum("links").alias("links"))
+    parts = connected_components(checked.filter("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")))
+    named = classes.join(links, "cls", "left").join(parts.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(least, "component").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = named.join(least, "component").select("fingerprint", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "n_links", "component_id")

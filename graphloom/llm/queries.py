@@ -37,6 +37,11 @@ def edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprint.fingerprint_edits(documents(spark, sf_dir))
 
 
+def fingerprint_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents by their fingerprints."""
+    return edit_fingerprint.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_links", "component_id")
+
+
 def token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cuckoo_line_dedup": cuckoo_line_dedup,
     "op9_hypergeometric_shards": hypergeometric_shards,
     "op10_tiered_packing": tiered_packing,
+    "fingerprint_groups": fingerprint_groups,
 }
 
 ORACLE_SQL: dict[str, str] = {
