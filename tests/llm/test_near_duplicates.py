@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -123,6 +124,32 @@ def test_caps_link_what_brute_force_links(spark):
     assert got[660].n_links >= 1  # a copy
 
 
+@pytest.mark.parametrize("dim", [1, 2, 3, 5, 8, 12, 16, 19, 20, 24, 32, 64, 256])
+@pytest.mark.parametrize("members", [50, 20_000])
+def test_pairs_at_the_threshold_share_a_filter(dim, members):
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((500, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal((500, dim))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = x if dim == 1 else 0.93 * x + np.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    codes = cap_filters.CodeSet(dim, 0.93, members)
+    met = [len(np.intersect1d(a, b)) > 0 for a, b in zip(codes.decode(x), codes.decode(y), strict=True)]
+    assert np.mean(met) >= 0.985
+
+
+@pytest.mark.parametrize("dim", [2, 7, 16, 24])
+def test_links_of_short_vectors(spark, dim):
+    x = vectors(120, dim, seed=dim)
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)]
+    got = {r.vec_id: r for r in cap_filters.dedup_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.93
+    np.fill_diagonal(linked, False)
+    assert all(got[k].n_links <= linked[k].sum() for k in got)
+    assert sum(r.n_links for r in got.values()) >= 0.99 * linked.sum()
+
+
 def test_caps_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
@@ -136,7 +163,7 @@ def test_caps_of_odd_vectors(spark):
 
 
 def test_list_decoding_finds_all_exceeding_filters():
-    code = cap_filters.ProductCode(12, words=20, parts=3, height=1.2)
+    code = cap_filters.ProductCode(12, words=20, parts=3, height=0.35)
     x = np.random.default_rng(1).standard_normal((30, 12))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     turned = x @ code.rotation
@@ -194,6 +221,43 @@ def test_fingerprint_groups(spark):
     assert got[9] == got[10] == 9
 
 
+def test_fingerprint_links_are_those_of_all_pairs(spark):
+    texts = [t for s in range(12) for t in near_copies(5, words=150, seed=s)] + ["", None, "same", "same"]
+    frame = spark.createDataFrame([(k, t, "", 0) for k, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r for r in edit_fingerprint.near_duplicates(frame, block=7).collect()}
+    prints = np.stack([edit_fingerprint.read_shown(got[k].fingerprint) for k in range(len(texts))])
+    linked = np.stack([edit_fingerprint.likeness(p, prints) for p in prints]) >= edit_fingerprint.THRESHOLD
+    np.fill_diagonal(linked, False)
+    assert linked.sum() > 20 and all(got[k].n_links <= linked[k].sum() for k in got)
+    assert sum(r.n_links for r in got.values()) >= 0.98 * linked.sum()
+
+
+def test_edits_of_repeated_and_null_ids(spark):
+    rows = [(None, "same text again and again", "", 0)] * 20 + [(3, t, "", 0) for t in ("b", "a", "b", None)]
+    got = edit_fingerprint.fingerprint_edits(spark.createDataFrame(rows, DOCS).repartition(3), parts=6).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((d, len(t or "")) for d, t, _, _ in rows)
+    assert sum(r.near_next == 1.0 for r in got if r.doc_id is None) == 19
+
+
+def test_edited_texts_are_walked_step_by_step(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefgh é") for _ in range(n)) for n in (5, 90, 400, 40)]
+    e = edit_fingerprint.embedding(edit_fingerprint.SLOTS)
+    got = {r.doc_id: r for r in edit_fingerprint.fingerprint_edits(spark.createDataFrame([(k, t, "", 0) for k, t in enumerate(texts)], DOCS), parts=3).collect()}
+    for k, following in ((3, 2), (2, 1), (1, 0), (0, 3)):
+        edited = edit_fingerprint.edited_text(texts[k], texts[following])
+        at, step, places = 0, 0, {}
+        codes = np.array([ord(c) for c in edited], np.uint32)
+        kind = (edit_fingerprint._mixed(codes, 1) >> np.uint64(40)).astype(np.int64) & (edit_fingerprint.CLASSES - 1)
+        while at < len(edited):
+            places[step] = at
+            at, step = at + int(e.advance[kind[at] * edit_fingerprint.PERIOD + step % edit_fingerprint.PERIOD] == 1), step + 1
+        spoken = e.speaks[np.searchsorted(e.places, step)]
+        want = "".join("-" if p < 0 else f"{int(edit_fingerprint._mixed(codes[[places[int(p)]]], 2)[0] >> np.uint64(44)) & 15:x}" for p in spoken)
+        assert got[k].edited_fingerprint == want
+        assert got[k].near_edited == pytest.approx(edit_fingerprint.likeness(edit_fingerprint.read_shown(got[k].fingerprint), edit_fingerprint.read_shown(want)))
+
+
 def test_fingerprints_of_one_row_and_none(spark):
     row = edit_fingerprint.fingerprint_edits(spark.createDataFrame([(None, "abcdef", "", 0)], DOCS)).collect()
     assert [(r.doc_id, r.near_next, r.edited_sha256) for r in row] == [(None, 1.0, hashlib.sha256(b"abcdab").hexdigest())]

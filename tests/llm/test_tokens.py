@@ -119,6 +119,31 @@ def test_token_files(spark, library, tmp_path):
     assert [r.doc_id for r in found] == [7] and found[0].ids == ids_of["7", rows[7][1]]
 
 
+def test_token_files_have_stripe_indexes_and_bloom_filters(spark, tmp_path):
+    path = str(tmp_path / "indexed")
+    rows = [(2 * k, "a few words", 0, "x") for k in range(9000)]
+    token_files.write_token_files(spark.createDataFrame(rows, DOCS), path, LIBRARY, end_id=2, partitions=1)
+    java, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    file = next(str(p) for p in (tmp_path / "indexed").glob("*.orc"))
+    reader = java.org.apache.orc.OrcFile.createReader(java.org.apache.hadoop.fs.Path(file), java.org.apache.orc.OrcFile.readerOptions(conf))
+    assert reader.getRowIndexStride() == 2000 and reader.getNumberOfRows() == 9000 and reader.getStripes().size() >= 1
+    columns = spark.sparkContext._gateway.new_array(java.boolean, 7)
+    columns[1] = True
+    index = reader.rows().readRowIndex(0, None, columns)
+    entries, filters = index.getRowGroupIndex()[1], index.getBloomFilterIndex()[1]
+    assert entries.getEntryCount() == filters.getBloomFilterCount() == 5
+
+    def rows_scanned(doc_id):
+        found = spark.read.schema(token_files.FILE_SCHEMA).orc(path).filter(F.col("doc_id") == doc_id)
+        n, leaves = len(found.collect()), found._jdf.queryExecution().executedPlan().collectLeaves()
+        return n, leaves.head().metrics().get("numOutputRows").get().value()
+
+    assert rows_scanned(8000) == (1, 2000)  # one row group of five
+    # ids that no document has lie between those there are: only their Bloom filters tell
+    assert sum(rows_scanned(k)[1] for k in range(4001, 4021, 2)) <= 2000
+    assert rows_scanned(1 << 40) == (0, 0)
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     token_files.write_token_files(spark.createDataFrame([], DOCS), str(tmp_path / "none"), LIBRARY, end_id=2)
     assert token_files.token_digests(token_files.read_token_files(spark, str(tmp_path / "none"))).count() == 0
