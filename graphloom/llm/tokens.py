@@ -62,67 +62,88 @@ def trim(kept: dict, limit: int) -> None:
             del kept[key]
 
 
+class Pieces(dict):
+    """The ids of pieces with a space before them; None where a piece begins or ends with white space, as its ids
+    depend on its neighbours."""
+
+    def __init__(self, encode_piece: Callable[[str], bytes]):
+        super().__init__()
+        self.encode_piece = encode_piece
+        self.encode_word: Callable[[str], bytes] = getattr(encode_piece, "word", lambda piece: encode_piece(" " + piece))
+
+    def __missing__(self, piece: str) -> bytes | None:
+        if piece.isalpha():
+            value = self[piece] = self.encode_word(piece)
+        else:
+            value = self[piece] = None if not piece or piece[0].isspace() or piece[-1].isspace() else self.encode_piece(" " + piece)
+        return value
+
+
 class PieceCache:
     """``encode(texts)``: the ids of each text as bytes of little-endian unsigned 32-bit integers.
 
     ``encode_piece`` gives the ids of one piece or text in that form. About ``limit`` pieces are kept between blocks.
-    Texts for which ``encode_piece.apart``, if there is one, gives ids are not cut into pieces.
+    Texts for which ``encode_piece.apart``, if there is one, gives ids are not cut into pieces. If ``encode_piece`` has
+    a method ``begin``, it is called before each block with the pieces kept; if it has a method ``word``, that gives the
+    ids of a piece of letters alone.
     """
 
     def __init__(self, encode_piece: Callable[[str], bytes], limit: int = 450_000):
         self.encode_piece, self.limit = encode_piece, limit
         self.apart: Callable[[str], bytes | None] = getattr(encode_piece, "apart", lambda text: None)
-        self.kept: dict[str, bytes | None] = {}
+        self.begin: Callable[[Pieces], None] = getattr(encode_piece, "begin", lambda kept: None)
+        self.kept = Pieces(encode_piece)
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         out: list[bytes] = []
-        kept, encode_piece = self.kept, self.encode_piece
+        find, encode_piece = self.kept.__getitem__, self.encode_piece
         for begin, end in blocks(texts):
-            whole = [self.apart(text) for text in texts[begin:end]]
-            split = [text.split(" ") if ids is None else [""] for text, ids in zip(texts[begin:end], whole, strict=True)]
-            used: set[str] = set()
-            for pieces in split:
-                used.update(pieces[1:])
-            trim(kept, self.limit)
-            for piece in used.difference(kept):
-                # white space at an end: where the piece begins or ends depends on its neighbours
-                kept[piece] = None if not piece or piece[0].isspace() or piece[-1].isspace() else encode_piece(" " + piece)
-            for text, pieces, ids in zip(texts[begin:end], split, whole, strict=True):
-                if ids is not None:
+            trim(self.kept, self.limit)
+            self.begin(self.kept)
+            for text in texts[begin:end]:
+                if (ids := self.apart(text)) is not None:
                     out.append(ids)
                     continue
+                pieces = text.split(" ")
                 try:
                     first = pieces[0]
                     if first and first[-1].isspace():
                         raise TypeError
-                    rest = b"".join(map(kept.__getitem__, pieces[1:]))
+                    pieces[0] = ""
+                    rest = b"".join(map(find, pieces[1:]))
                     out.append((encode_piece(first) if first else b"") + rest)
                 except TypeError:
                     out.append(encode_piece(text))
         return out
 
 
+PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
 def packed(ids: Sequence[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return PACK[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
 
 
-class LibraryEncoder:
+class LibraryEncoder(dict):
     """Ids by the tokenizers library, for a byte-level BPE vocabulary file.
 
     ``apart`` encodes texts that hold an added token of the vocabulary, such as an end mark; calls are for texts and
     pieces without one. A text that is one match of the pattern goes to the library's BPE model directly, in the byte alphabet of
-    the vocabulary; other texts are split by the library's own pre-tokenizer first. Matches are cached too.
+    the vocabulary; other texts are split by the library's own pre-tokenizer first. The ids of matches are kept here, up
+    to about ``limit``: by the match, or by a zero character (which no match holds here) and its form in the byte alphabet.
     """
 
     def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
+        super().__init__()
         tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content]
         self.tokenizer, self.limit = tokenizer, limit
-        self.model, self.split = tokenizer.model, tokenizer.pre_tokenizer.pre_tokenize_str
+        self.tokenize, self.split = tokenizer.model.tokenize, tokenizer.pre_tokenizer.pre_tokenize_str
         self.table = {b: self._letter(b) for b in range(256)}
-        self.words: dict[str, bytes] = {}
+        self.space = self.table[ord(" ")]
+        self.kept: Pieces | None = None
 
     @staticmethod
     def _letter(byte: int) -> str:
@@ -132,35 +153,45 @@ class LibraryEncoder:
             return chr(byte)
         return chr(256 + [b for b in range(256) if b not in plain].index(byte))
 
+    def begin(self, kept: Pieces) -> None:
+        trim(self, self.limit)
+        self.kept = kept
+
     def apart(self, text: str) -> bytes | None:
         """The library's ids of a text that holds an added token, None for other texts."""
-        if any(content in text for content in self.added):
-            return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        for content in self.added:
+            if content in text:
+                return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return None
 
-    def _match(self, match: str, mapped: str | None = None) -> bytes:
-        # a raw match never holds a zero character, so the two kinds of key do not meet; in ASCII they are the same
-        key = match if mapped is None or mapped.isascii() else "\0" + mapped
-        ids = self.words.get(key)
-        if ids is None:
-            trim(self.words, self.limit)
-            mapped = mapped or match.encode().decode("latin-1").translate(self.table)
-            ids = self.words[key] = packed([t.id for t in self.model.tokenize(mapped)])
+    def _ids(self, mapped: str) -> bytes:
+        return packed([t.id for t in self.tokenize(mapped)])
+
+    def __missing__(self, key: str) -> bytes:
+        mapped = key[1:] if key[0] == "\0" else key.encode().decode("latin-1").translate(self.table)
+        ids = self[key] = self._ids(mapped)
         return ids
 
+    def word(self, piece: str) -> bytes:
+        """The ids of a piece of letters with a space before it. They are kept with the pieces."""
+        mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.table)
+        return self._ids(self.space + mapped)
+
     def __call__(self, text: str) -> bytes:
-        body = text[1:] if text[:1] == " " else text
-        if body.isalpha():
-            return self._match(text)
-        if body[:-1].isalpha() and body[-1] in ".,;:!?":
-            return self._match(text[:-1]) + self._match(text[-1])
+        if text[:1] == " ":
+            body = text[1:]
+            if self.kept is not None and body[-1:] in ".,;:!?" and body[:-1].isalpha():
+                return self.kept[body[:-1]] + self[body[-1]]
+        elif text.isalpha():
+            return self[text]
         if len(text) > 200:
             return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         # a line break between other characters is a match of its own
         head, line, tail = text.partition("\n")
         if line and head and tail and not head[-1].isspace() and not tail[0].isspace():
-            return self(head) + self._match("\n") + self(tail)
-        return b"".join([self._match(mapped, mapped) for mapped, _ in self.split(text)])
+            return self(head) + self["\n"] + self(tail)
+        # a match in ASCII letters alone is the same in both alphabets
+        return b"".join([self[mapped if mapped.isascii() else "\0" + mapped] for mapped, _ in self.split(text)])
 
 
 _ENCODERS: dict[str, PieceCache] = {}
