@@ -42,7 +42,7 @@ CODES = {1: 1, 2: 2}
 PRODUCT_DIM = 20
 #: Code words of a part. Within these the number follows the largest label, so that a vector meets about
 #: ``STRANGERS`` unlike ones in all its buckets, however large the label.
-LEAST_WORDS, MOST_WORDS, STRANGERS = 256, 1 << 16, 100
+LEAST_WORDS, MOST_WORDS, STRANGERS = 256, 1 << 16, 4
 #: Vectors whose filters a Python process keeps while it verifies.
 KEPT_FILTERS = 30_000
 BLOCK = 400
