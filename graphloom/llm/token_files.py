@@ -28,7 +28,7 @@ FILE_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array
 BROADCAST_BYTES = 32 << 20
 
 ORC_OPTIONS = {
-    "compression": "zstd",
+    "compression": "lz4",
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
     "orc.create.index": "true",
