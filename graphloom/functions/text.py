@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Path segments that do not name a single course page.
-GENERIC_SEGMENTS = ("courses", "course", "learn", "search", "catalog", "home", "index", "browse")
+GENERIC_SEGMENTS = ("", "courses", "course", "learn", "browse", "catalog", "training", "certification", "certifications")
 #: Locale segments that may stand before a generic one.
-LOCALES = ("en", "vi", "fr", "de", "es", "en-us", "vi-vn")
+LOCALES = ("en-us", "en", "vi", "vi-vn")
 
 
 def normalised(text: Column) -> Column:
@@ -21,15 +21,15 @@ def slug(text: Column, most: int) -> Column:
 
 
 def is_generic_url(url: Column) -> Column:
-    """No URL, no host, no path, or a path of one generic segment, perhaps after a locale."""
-    full = F.when(F.lower(url).rlike("^https?://"), url).otherwise(F.concat(F.lit("https://"), url))
+    """No URL, no host, no path, or a path of one generic segment, or of a locale and a generic segment."""
+    raw = F.trim(F.coalesce(url, F.lit("")))
+    full = F.when(raw.contains("://"), raw).otherwise(F.concat(F.lit("https://"), raw))
     bare = F.regexp_replace(full, r"[?#].*$", "")
-    host = F.regexp_extract(bare, r"^[A-Za-z]+://([^/]*)", 1)
-    path = F.lower(F.regexp_replace(F.regexp_extract(bare, r"^[A-Za-z]+://[^/]*(.*)$", 1), "^/+|/+$", ""))
-    parts = F.split(path, "/+")
-    generic = (F.size(parts) == 1) & parts[0].isin(*GENERIC_SEGMENTS, *LOCALES)
-    after_locale = (F.size(parts) == 2) & parts[0].isin(*LOCALES) & F.get(parts, F.lit(1)).isin(*GENERIC_SEGMENTS)
-    return F.when(F.coalesce(F.trim(url), F.lit("")) == "", True).otherwise((host == "") | (path == "") | generic | after_locale)
+    host = F.regexp_extract(bare, r"^[^:]*://([^/]*)", 1)
+    parts = F.filter(F.split(F.lower(F.regexp_extract(bare, r"^[^:]*://[^/]*(.*)$", 1)), "/"), lambda s: s != "")
+    one = (F.size(parts) == 1) & F.get(parts, F.lit(0)).isin(*GENERIC_SEGMENTS)
+    two = (F.size(parts) == 2) & F.get(parts, F.lit(0)).isin(*LOCALES) & F.get(parts, F.lit(1)).isin(*GENERIC_SEGMENTS)
+    return (raw == "") | (host == "") | (F.size(parts) == 0) | F.coalesce(one, F.lit(False)) | F.coalesce(two, F.lit(False))
 
 
 def links(html: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import text as T
+from graphloom.operators.lineage import cut
 from graphloom.sources.model import KINDS, PRIORITY
 
 
@@ -39,23 +41,39 @@ def best_match(names: DataFrame, needles: DataFrame, code: str, name: str) -> Da
     return found.groupBy("needle").agg(best.alias("b")).select("needle", "b.*")
 
 
+def seeded(rows: DataFrame, seeds: DataFrame | None, key: str) -> DataFrame:
+    """``rows`` with a flag is_seed: whether ``seeds`` holds the key; without seeds none is."""
+    if seeds is None:
+        return rows.withColumn("is_seed", F.lit(False))
+    return rows.join(seeds.select(key).distinct().withColumn("is_seed", F.lit(True)), key, "left").fillna(False, ["is_seed"])
+
+
 def skill_order(strict_numeric: bool = False) -> list[Column]:
-    return [priority_rank(F.col("priority_group"), strict_numeric), rank_of(F.col("kind"), KINDS, 99), F.col("item_name").asc_nulls_last(), F.col("item_code")]
+    """Seeds first, then by priority, kind and name."""
+    return [F.desc("is_seed"), priority_rank(F.col("priority_group"), strict_numeric), rank_of(F.col("kind"), KINDS, 99), F.col("item_name").asc_nulls_last(), F.col("item_code")]
 
 
-def pathfinding(career: DataFrame, need: DataFrame, competency: DataFrame, k: int, per_kind: bool = False) -> DataFrame:
-    """The first ``k`` required competencies of each career, or of each career and kind."""
-    rows = need.join(competency, "item_code")
+def pathfinding(career: DataFrame, need: DataFrame, competency: DataFrame, k: int, per_kind: bool = False, seeds: DataFrame | None = None) -> DataFrame:
+    """The first ``k`` required competencies of each career, or of each career and kind, and found: a career without
+    any stays, as one row without a competency."""
+    rows = seeded(need.join(competency, "item_code"), seeds, "item_code")
     keys = ["career_code", "kind"] if per_kind else ["career_code"]
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*skill_order()))).filter(F.col("rank") <= k)
-    return ranked.join(career, "career_code").select("career_code", "career_name", "industry", "rank", "item_code", "item_name", "kind", "priority_group")
+    joined = career.join(ranked, "career_code", "left")
+    return joined.select("career_code", "career_name", "industry", "rank", "item_code", "item_name", "kind", "priority_group", F.coalesce("is_seed", F.lit(False)).alias("is_seed"))
+
 
+def course_order() -> list[Column]:
+    """Courses with a page of their own first, then the highest coverage, seeds, names."""
+    return [T.is_generic_url(F.col("url")), F.coalesce("coverage_level", F.lit(0)).desc(), F.desc("is_seed"), F.coalesce("course_name", F.lit("")), F.col("course_code")]
 
-def top_courses(teach: DataFrame, course: DataFrame, k: int) -> DataFrame:
-    """The first ``k`` courses of each competency: highest coverage, then name, then code."""
-    order = Window.partitionBy("item_code").orderBy(F.desc("coverage_level"), F.col("course_name").asc_nulls_last(), "course_code")
-    ranked = teach.join(course, "course_code").withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= k).select("item_code", "rank", "course_code", "course_name", "organization", "level", "coverage_level")
+
+def top_courses(teach: DataFrame, course: DataFrame, k: int, seeds: DataFrame | None = None) -> DataFrame:
+    """The first ``k`` courses of each competency."""
+    # the order of courses by URL, seed and name is found once a course, not once an edge
+    known = seeded(course, seeds, "course_code")
+    ranked = teach.join(known, "course_code").withColumn("rank", F.row_number().over(Window.partitionBy("item_code").orderBy(*course_order())))
+    return ranked.filter(F.col("rank") <= k).select("item_code", "rank", "course_code", "course_name", "organization", "level", "coverage_level", "is_seed")
 
 
 def course_fallback(teach: DataFrame, course: DataFrame, competency: DataFrame, relation: DataFrame, least: int, k: int) -> DataFrame:
@@ -68,10 +86,10 @@ def course_fallback(teach: DataFrame, course: DataFrame, competency: DataFrame,
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("item_code", "rank", "via_code", "course_code", "course_name", "coverage_level")
 
 
-def career_skill_courses(need: DataFrame, teach: DataFrame, course: DataFrame, k: int) -> DataFrame:
+def career_skill_courses(need: DataFrame, teach: DataFrame, course: DataFrame, k: int, seeds: DataFrame | None = None) -> DataFrame:
     """Career to competency to course. The courses of a competency do not depend on the career, so they are cut to
     ``k`` before the join."""
-    return need.select("career_code", "item_code").join(top_courses(teach, course, k), "item_code").select("career_code", "item_code", "rank", "course_code", "course_name", "coverage_level")
+    return need.select("career_code", "item_code").join(top_courses(teach, course, k, seeds), "item_code").select("career_code", "item_code", "rank", "course_code", "course_name", "coverage_level")
 
 
 def subject_careers(competency: DataFrame, teach: DataFrame, need: DataFrame, career: DataFrame, k: int) -> DataFrame:
@@ -90,10 +108,13 @@ def neighbourhood(relation: DataFrame) -> DataFrame:
     return out.unionByName(into)
 
 
-def relation_coverage_of_items(competency: DataFrame, relation: DataFrame, registry: DataFrame) -> DataFrame:
-    """Edges in the registry's direction and against it for each competency: full, partial or none."""
-    read = F.col("registry_direction").isin("both") | (F.col("registry_direction") == F.col("direction"))
-    edges = neighbourhood(relation).join(F.broadcast(registry.select("rel_type", F.col("direction").alias("registry_direction"))), "rel_type")
+def relation_coverage_of_items(competency: DataFrame, relation: DataFrame, directions: DataFrame) -> DataFrame:
+    """Edges in the direction in which a competency of its type reads them (``directions``: rel_type, type_code,
+    direction) and against it: full, partial or none."""
+    read = F.col("read_direction") == F.col("direction")
+    typed = neighbourhood(relation).join(competency.select("item_code", "type_code"), "item_code")
+    # one row a relation type and type code
+    edges = typed.join(F.broadcast(directions.withColumnRenamed("direction", "read_direction")), ["rel_type", "type_code"])
     counts = edges.groupBy("item_code").agg(F.count_if(read).alias("n_read"), F.count_if(~read).alias("n_against"))
     joined = competency.select("item_code", "item_name").join(counts, "item_code", "left").fillna(0, ["n_read", "n_against"])
     coverage = F.when(F.col("n_read") > 0, "full").when(F.col("n_against") > 0, "partial").otherwise("none")
@@ -159,10 +180,59 @@ def short_cycles(edges: DataFrame) -> DataFrame:
     return found
 
 
+def trimmed(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """The edges (src, dst) that may be on a cycle: nodes that nothing leads to or that lead nowhere are trimmed until
+    all have both."""
+    left = cut(edges.select("src", "dst").distinct().filter("src <> dst"))
+    n = left.count()
+    for _ in range(most_rounds):
+        into, out = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
+        left = cut(left.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"))
+        before, n = n, left.count()
+        if n in (0, before):
+            return left
+    raise RuntimeError(f"cycles did not settle in {most_rounds} rounds")
+
+
+def nodes_on_cycles(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """item_code, component of every node on a cycle of any length: the smallest node of its strongly connected part.
+
+    What cannot be on a cycle is trimmed. Then each node spreads the smallest node that reaches it, and the smallest
+    that it reaches; where both are one node the node is in that part. Parts that are settled leave, the rest goes on."""
+    found, left = None, trimmed(edges, most_rounds)
+    for _ in range(most_rounds):
+        if left.isEmpty():
+            break
+        ahead, back = _spread(left, "src", "dst", most_rounds), _spread(left, "dst", "src", most_rounds)
+        own = ahead.withColumnRenamed("least", "a").join(back.withColumnRenamed("least", "b"), "node")
+        part = cut(own.filter("a = b").select(F.col("node").alias("item_code"), F.col("a").alias("component")))
+        found = part if found is None else found.unionByName(part)
+        gone = part.select(F.col("item_code").alias("src"))
+        rest = left.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti")
+        left = trimmed(rest.select("src", "dst"), most_rounds)
+    if found is None:
+        return edges.select(F.col("src").alias("item_code"), F.col("src").alias("component")).limit(0)
+    alone = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
+    return found.join(alone, "component").select("item_code", "component")
+
+
+def _spread(edges: DataFrame, start: str, end: str, most_rounds: int) -> DataFrame:
+    """node, least: the smallest node that reaches it along the edges, itself included."""
+    now = cut(edges.select(F.col(start).alias("node")).unionByName(edges.select(F.col(end).alias("node"))).distinct().withColumn("least", F.col("node")))
+    total = None
+    for _ in range(most_rounds):
+        told = edges.join(now.withColumnRenamed("node", start), start).select(F.col(end).alias("node"), "least")
+        now = cut(now.unionByName(told).groupBy("node").agg(F.min("least").alias("least")))
+        before, total = total, now.agg(F.sum(F.col("least").cast("decimal(38,0)"))).first()[0]
+        if total == before:
+            return now
+    raise RuntimeError(f"reach did not settle in {most_rounds} rounds")
+
+
 def topological_order(nodes: DataFrame, edges: DataFrame, group: str) -> DataFrame:
-    """Kahn's order inside each group: ``nodes`` (group, item_code, sort_rank), ``edges`` (item_code after
-    prerequisite_code) kept where both ends are in the group. The smallest (sort_rank, item_code) that is free comes
-    first. A group without edges or with a cycle keeps its order by (sort_rank, item_code).
+    """Kahn's order inside each group: ``nodes`` (group, item_code, item_name, sort_rank), ``edges`` (item_code after
+    prerequisite_code) kept where both ends are in the group. Of the nodes that are free the smallest (sort_rank,
+    item_name, item_code) comes first. A group without such edges or with a cycle keeps its order by that key.
 
     One group is one career's gap, which is bounded by the catalogue, not by the data."""
     import heapq
@@ -172,27 +242,27 @@ def topological_order(nodes: DataFrame, edges: DataFrame, group: str) -> DataFra
     inside = nodes.select(group, "item_code").join(edges, "item_code")
     inside = inside.join(nodes.select(group, F.col("item_code").alias("prerequisite_code")), [group, "prerequisite_code"])
     after = inside.groupBy(group, "item_code").agg(F.collect_set("prerequisite_code").alias("after"))
-    rows = nodes.join(after, [group, "item_code"], "left").select(group, "item_code", "sort_rank", "after")
+    plain = Window.partitionBy(group).orderBy("sort_rank", "item_name", "item_code")
+    rows = nodes.withColumn("place", F.row_number().over(plain)).join(after, [group, "item_code"], "left").select(group, "item_code", "place", "after")
 
     def order(frame: pd.DataFrame) -> pd.DataFrame:
-        keys = {c: (r, c) for c, r in zip(frame["item_code"], frame["sort_rank"], strict=True)}
+        codes = dict(zip(frame["place"], frame["item_code"], strict=True))
         waits = {c: set(a) if a is not None else set() for c, a in zip(frame["item_code"], frame["after"], strict=True)}
-        frees: dict = {}
+        places, frees = {c: p for p, c in codes.items()}, {}
         for c, a in waits.items():
             for p in a:
                 frees.setdefault(p, []).append(c)
-        heap = [keys[c] for c, a in waits.items() if not a]
+        heap, done = [places[c] for c, a in waits.items() if not a], []
         heapq.heapify(heap)
-        done = []
         while heap:
-            code = heapq.heappop(heap)[1]
+            code = codes[heapq.heappop(heap)]
             done.append(code)
             for c in frees.get(code, ()):
                 waits[c].discard(code)
                 if not waits[c]:
-                    heapq.heappush(heap, keys[c])
-        if len(done) < len(keys):
-            done = sorted(keys, key=keys.get)
+                    heapq.heappush(heap, places[c])
+        if len(done) < len(codes):
+            done = [codes[p] for p in sorted(codes)]
         return pd.DataFrame({group: frame[group].iloc[0], "item_code": done, "position": range(1, len(done) + 1)})
 
     return rows.groupBy(group).applyInPandas(order, f"{group} long, item_code long, position int")

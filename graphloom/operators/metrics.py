@@ -46,12 +46,10 @@ METRICS = ("hit_rate", "recall_full", "precision", "ap", "rr", "ndcg")
 
 def metric_table(per_query: DataFrame, scope: str) -> DataFrame:
     """Macro averages over all queries and by ``scope``, for each k: one pass by grouping sets."""
-    per_query.createOrReplaceTempView("__metric_rows")
-    means = ", ".join(f"round(avg({m}), 6) AS {m}" for m in METRICS)
-    return per_query.sparkSession.sql(
-        f"SELECT k, CASE WHEN grouping({scope}) = 1 THEN 'all' ELSE CAST({scope} AS STRING) END AS scope, count(*) AS n_queries, {means} "
-        f"FROM __metric_rows GROUP BY GROUPING SETS ((k), (k, {scope}))"
-    )
+    means = [F.round(F.avg(m), 6).alias(m) for m in METRICS]
+    sets = per_query.groupingSets([[F.col("k")], [F.col("k"), F.col(scope)]], F.col("k"), F.col(scope))
+    rows = sets.agg(F.grouping(scope).alias("over_all"), F.count(F.lit(1)).alias("n_queries"), *means)
+    return rows.select("k", F.when(F.col("over_all") == 1, "all").otherwise(F.col(scope).cast("string")).alias("scope"), "n_queries", *METRICS)
 
 
 def set_scores(rows: DataFrame, predicted: str, gold: str) -> DataFrame:
@@ -88,22 +86,47 @@ def regression_threshold(rows: DataFrame, group: str, value: str, floor: float)
     return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n_runs"), F.round(F.greatest(F.lit(floor), F.coalesce(2 * F.stddev_samp(value), F.lit(floor))), 4).alias("threshold"))
 
 
+#: Groups of fewer rows are sorted whole; of larger ones only the rows between two approximate percentiles, which lie
+#: this share below and above the place looked for.
+SMALL_GROUP, MARGIN = 10_000, 0.002
+
+
 def nearest_rank(rows: DataFrame, group: str, value: str, share: float) -> DataFrame:
-    """The value at place round(share * (n - 1)), half to even, of the sorted values."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-    # ranks from counts of distinct values: ties are one row
-    upto = F.sum("c").over(Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    n = F.sum("c").over(Window.partitionBy(group))
-    placed = counts.withColumns({"upto": upto, "n": n})
+    """The value at place round(share * (n - 1)), half to even, of the sorted values of each group."""
+    valid = rows.filter(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"))
+    # the error of the sketch is a tenth of the margin
+    near = F.percentile_approx("v", [max(0.0, share - MARGIN), min(1.0, share + MARGIN)], int(10 / MARGIN))
+    whole = valid.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), near.alias("near"))
+    small = F.col("n") < SMALL_GROUP
+    bounds = whole.select(F.col("g").alias("bg"), "n", F.when(small, F.col("least")).otherwise(F.col("near")[0]).alias("low"), F.when(small, F.col("most")).otherwise(F.col("near")[1]).alias("high"))
+    met = valid.join(bounds, F.col("g").eqNullSafe(F.col("bg")))
+    below = met.groupBy("g").agg(F.count_if(F.col("v") < F.col("low")).alias("below")).withColumnRenamed("g", "ug")
+    # ranks from counts of distinct values between the bounds: ties are one row
+    counts = met.filter(F.col("v").between(F.col("low"), F.col("high"))).groupBy("g", "n", "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counts.withColumn("inside", upto).join(below, F.col("g").eqNullSafe(F.col("ug"))).withColumn("upto", F.col("inside") + F.col("below"))
     place = F.bround(share * (F.col("n") - 1), 0)
-    return placed.filter((F.col("upto") > place) & (F.col("upto") - F.col("c") <= place)).select(group, F.col("n").alias("n_rows"), F.col(value).alias("percentile"))
+    return placed.filter((F.col("upto") > place) & (F.col("upto") - F.col("c") <= place)).select(F.col("g").alias(group), F.col("n").alias("n_rows"), F.col("v").alias("percentile"))
+
+
+#: Ranges of values that tasks sort.
+VALUE_RANGES = 256
 
 
 def rank_biserial(rows: DataFrame, group: Column, value: str) -> DataFrame:
-    """2U / (nx ny) - 1 of the rows where ``group`` holds against the others, ties by half, from sums over ranks."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(group).alias("x"), F.count_if(~group).alias("y"))
-    below = F.coalesce(F.sum("y").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = counts.select("x", "y", (F.col("x") * (below + F.col("y") / 2)).alias("u")).agg(F.sum("x").alias("nx"), F.sum("y").alias("ny"), F.sum("u").alias("u"))
+    """2U / (nx ny) - 1 of the rows where ``group`` holds against the others, ties by half. Sums over ranks are taken
+    inside ranges of values, cut at approximate quantiles, and moved up by the totals of the ranges before."""
+    valid = rows.filter(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.coalesce(group, F.lit(False)).alias("first"))
+    shares = [k / VALUE_RANGES for k in range(1, VALUE_RANGES)]
+    # some hundred numbers, sorted
+    cuts = F.broadcast(valid.agg(F.array_sort(F.array_distinct(F.coalesce(F.percentile_approx("v", shares, 10 * VALUE_RANGES), F.array().cast(f"array<{rows.schema[value].dataType.simpleString()}>")))).alias("cuts")))
+    counts = valid.groupBy("v").agg(F.count_if("first").alias("x"), F.count_if(~F.col("first")).alias("y"))
+    placed = counts.crossJoin(cuts).select("v", "x", "y", F.size(F.filter("cuts", lambda c: c <= F.col("v"))).alias("range"))
+    below = F.coalesce(F.sum("y").over(Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = placed.select("range", "x", "y", (F.col("x") * (below + F.col("y") / 2)).alias("u")).groupBy("range").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("u").alias("u"))
+    # one row a range
+    before = F.coalesce(F.sum("y").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = parts.select("x", "y", (F.col("u") + F.col("x") * before).alias("u")).agg(F.sum("x").alias("nx"), F.sum("y").alias("ny"), F.sum("u").alias("u"))
     return sums.select("nx", "ny", F.round(2 * F.col("u") / (F.col("nx") * F.col("ny")) - 1, 6).alias("effect"))
 
 

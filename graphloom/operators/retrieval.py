@@ -2,49 +2,109 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, BOOST, EDGE_CAP = 60, 0.15, 2
-#: Queries that meet the vectors at once; one in a hundred vectors is a query.
-QUERY_BLOCK = 64
+#: Queries of a block, documents and vectors scored at once, and weights of query terms that the driver may hold.
+QUERY_BLOCK, DOC_BLOCK, VECTOR_BLOCK, MOST_WEIGHTS = 512, 512, 2048, 4_000_000
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of ASCII letters and digits, of two characters or more."""
-    words = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "), " ")
-    return F.filter(words, lambda w: F.length(w) > 1)
-
-
-def unicode_tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\W+"), lambda w: F.length(w) > 1)
-
-
-def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, term, tf. The counts of a document are summed before they leave its task."""
-    return docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id, n_terms, score of every document that shares a term with a query (query_id, text).
-
-    Repeated query terms count as often as they stand. A negative idf becomes EPSILON times the mean idf over
-    the vocabulary. The statistics cover all documents; postings are cut to the query terms before they are joined.
-    """
-    lengths = docs.select("doc_id", F.size(tokens(F.col("text"))).alias("dl"))
-    corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    # of a term a document is counted once, so distinct terms are enough here
-    df = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(F.broadcast(corpus.select("n"))).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = idf.agg(F.avg("raw").alias("mean_idf"))
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighted = asked.join(idf, "term").crossJoin(F.broadcast(mean)).select("query_id", "term", "qtf", F.when(F.col("raw") < 0, F.col("mean_idf") * EPSILON).otherwise(F.col("raw")).alias("idf"))
-    wanted = asked.select("term").distinct()
-    found = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).join(wanted, "term").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    rows = found.join(lengths, "doc_id").join(weighted, "term").crossJoin(F.broadcast(corpus.select("avgdl")))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return rows.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum(part).alias("score"))
+    """Lower-cased runs of letters and digits of any script and underscores, of two characters or more. A text without
+    any gives its runs of ASCII letters, digits and the signs + # ."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    words = F.filter(F.split(low, r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 1)
+    signs = F.filter(F.regexp_extract_all(low, F.lit("[a-z0-9+#.]+"), 0), lambda w: F.length(w) > 1)
+    return F.when(F.size(words) > 0, words).otherwise(signs)
+
+
+def term_weights(docs: DataFrame, queries: DataFrame) -> tuple[list, float]:
+    """(query_id, term, weight) of the terms of a stated query set, and the mean length of a document. A weight is the
+    idf over all documents times how often the query has the term. A negative idf becomes EPSILON times the mean idf
+    over the vocabulary. One pass over the texts counts documents by term, and under a null term all of them."""
+    words = tokens(F.col("text"))
+    marked = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size(words).cast("long").alias("dl"))), F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("term"), F.lit(0).cast("long").alias("dl"))))
+    counts = docs.select(F.inline(marked)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl"))
+    counts = counts.persist()
+    try:
+        n, total = counts.filter("term is null").select("df", "dl").first() or (0, 0)
+        idf = counts.filter("term is not null").select("term", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+        mean = idf.agg(F.coalesce(F.avg("raw"), F.lit(0.0))).first()[0]
+        asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+        weights = asked.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.when(F.col("raw") < 0, mean * EPSILON).otherwise(F.col("raw"))).alias("weight"))
+        return weights.limit(MOST_WEIGHTS + 1).collect(), total / max(n, 1)
+    finally:
+        counts.unpersist()
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id, n_terms, score: for each query (query_id, text) at least the ``k`` documents of the highest
+    scores and the ``k`` that share most terms with it, ties by doc_id, of all that share a term and score above 0.
+
+    A task scores its documents in blocks against all queries by a matrix product and keeps the best of each query, so
+    no posting and no pair of a query and a document is shuffled but those. The queries are a stated set: their term
+    weights are held by the driver up to ``MOST_WEIGHTS``; a larger set is to be asked in parts."""
+    weights, mean_length = term_weights(docs, queries)
+    if len(weights) > MOST_WEIGHTS:
+        raise ValueError(f"more than {MOST_WEIGHTS} query terms: ask the queries in parts")
+    kind, id_type = queries.schema["query_id"].dataType.simpleString(), to_arrow_type(queries.schema["query_id"].dataType)
+    terms, ids = {t: i for i, t in enumerate(sorted({w.term for w in weights}))}, sorted({w.query_id for w in weights})
+    at = {q: i for i, q in enumerate(ids)}
+    blocks = []
+    for begin in range(0, len(ids), QUERY_BLOCK):
+        table = np.zeros((len(terms), len(ids[begin : begin + QUERY_BLOCK])), np.float64)
+        for w in weights:
+            if begin <= at[w.query_id] < begin + QUERY_BLOCK:
+                table[terms[w.term], at[w.query_id] - begin] = w.weight
+        rows = np.flatnonzero(table.any(axis=1))
+        blocks.append((begin, rows, table[rows]))
+    shared = docs.sparkSession.sparkContext.broadcast((terms, ids, blocks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, ids, blocks = shared.value
+        best: dict[tuple[int, int], tuple] = {}
+
+        def score(doc_ids: list, texts: list[list[str]]) -> None:
+            lengths = np.array([len(t) for t in texts], np.float64)
+            owner = np.repeat(np.arange(len(texts)), lengths.astype(int))
+            term = np.fromiter((terms.get(w, -1) for t in texts for w in t), np.int64, len(owner))
+            owner, term = owner[term >= 0], term[term >= 0]
+            tf = np.zeros((len(texts), len(terms)), np.float64)
+            np.add.at(tf, (owner, term), 1)
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[:, None] / max(mean_length, 1e-9)))
+            keys = np.array(doc_ids)
+            for begin, rows, table in blocks:
+                scores, hits = part[:, rows] @ table, (tf[:, rows] > 0).astype(np.float64) @ (table != 0)
+                for q in range(table.shape[1]):
+                    found = np.flatnonzero((hits[:, q] > 0) & (np.round(scores[:, q], 4) > 0))
+                    if not len(found):
+                        continue
+                    rows_now = np.column_stack([np.round(scores[found, q], 4), hits[found, q]])
+                    for kept, lead in ((0, rows_now[:, 0]), (1, rows_now[:, 1])):
+                        old = best.get((begin + q, kept), (np.empty((0, 2)), keys[:0]))
+                        values, names = np.concatenate([old[0], rows_now]), np.concatenate([old[1], keys[found]])
+                        first = np.lexsort((names, -values[:, kept]))[:k]
+                        best[begin + q, kept] = values[first], names[first]
+
+        for batch in batches:
+            for begin in range(0, batch.num_rows, DOC_BLOCK):
+                part = batch.slice(begin, DOC_BLOCK)
+                score(part.column(0).to_pylist(), part.column(1).to_pylist())
+        for (q, kept), (values, names) in best.items():
+            seen = set(best[q, 0][1].tolist()) if kept else set()
+            rows = [i for i in range(len(names)) if names[i] not in seen]
+            columns = [pa.array([ids[q]] * len(rows), id_type), pa.array([int(names[i]) for i in rows], pa.int64()), pa.array([int(values[i, 1]) for i in rows], pa.int64()), pa.array([float(values[i, 0]) for i in rows], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "doc_id", "n_terms", "score"])
+
+    split = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("words"))
+    return split.mapInArrow(run, f"query_id {kind}, doc_id long, n_terms long, score double")
 
 
 def top_k(scores: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -63,16 +123,56 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norm == 0), 0.0).otherwise(dot(a, b) / norm)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def matrices(rows: DataFrame, block: int) -> DataFrame:
+    """The unit vectors of ``rows`` (vec_id, embedding, label), ``block`` to a row: ids, labels, dim, data (doubles).
+    Vectors of different length are in different rows; a zero vector stays zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = np.array([len(v) if v is not None else 0 for v in batch.column(1).to_pylist()])
+            for dim in np.unique(dims):
+                mine = np.flatnonzero(dims == dim)
+                for begin in range(0, len(mine), block):
+                    part = batch.take(pa.array(mine[begin : begin + block]))
+                    x = np.nan_to_num(np.array([v or [] for v in part.column(1).to_pylist()], np.float64).reshape(part.num_rows, int(dim)))
+                    norm = np.linalg.norm(x, axis=1, keepdims=True)
+                    x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+                    yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], longs), pa.array([part.column(2).to_pylist()], longs), pa.array([int(dim)], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["ids", "labels", "dim", "data"])
+
+    longs = pa.list_(pa.int64())
+    chosen = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    return chosen.mapInArrow(run, "ids array<long>, labels array<long>, dim int, data binary")
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` (vec_id, embedding, label) for each row of a stated query set of the same
-    columns. Queries meet the vectors in blocks of about ``block``; a pair leaves only its score, and the window's
-    group limit keeps the best of each query before the shuffle. A query is not its own neighbour."""
-    one = F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("query_label"))
-    blocks = queries.groupBy(F.floor(F.col("vec_id") / (block * 100)).alias("block")).agg(F.collect_list(one).alias("asked"))
-    met = vectors.join(blocks.select("asked"))
-    rows = met.select("vec_id", "embedding", "label", F.inline("asked")).filter(F.col("vec_id") != F.col("query_id"))
-    scored = rows.select("query_id", "query_label", F.col("vec_id").alias("doc_id"), "label", F.round(cosine(F.col("q"), F.col("embedding")), 4).alias("score"))
-    return top_k(scored, k, F.desc("score"))
+    columns: cosine in double precision, rounded to 4 digits, ties by id; 0 for zero vectors and other lengths. Blocks
+    of queries meet blocks of vectors in matrix products, which leave the best of each query. A query is not its own
+    neighbour."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, labels, dim, data, q_ids, q_labels, q_dim, q_data = (c[i].as_py() for c in batch.columns)
+                ids, q_ids = np.array(ids), np.array(q_ids)
+                if dim == q_dim and dim:
+                    scores = np.frombuffer(q_data).reshape(-1, dim) @ np.frombuffer(data).reshape(-1, dim).T
+                else:
+                    scores = np.zeros((len(q_ids), len(ids)))
+                scores = np.where(q_ids[:, None] == ids[None, :], -2, np.round(scores, 4) + 0.0)
+                first = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+                row = np.repeat(np.arange(len(q_ids)), first.shape[1])
+                column = first.ravel()
+                good = scores[row, column] > -2
+                row, column = row[good], column[good]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(q_ids[row]), pa.array([q_labels[r] for r in row], pa.int64()), pa.array(ids[column]), pa.array([labels[c] for c in column], pa.int64()), pa.array(scores[row, column])],
+                    ["query_id", "query_label", "doc_id", "label", "score"],
+                )
+
+    asked = matrices(queries, QUERY_BLOCK).select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "labels", "dim", "data")))
+    met = matrices(vectors, VECTOR_BLOCK).crossJoin(asked)
+    return top_k(met.mapInArrow(run, "query_id long, query_label long, doc_id long, label long, score double"), k, F.desc("score"))
 
 
 def rrf(first: DataFrame, second: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:

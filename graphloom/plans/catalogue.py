@@ -23,7 +23,8 @@ def query(sql: str | None = None, model: bool = False) -> Callable[[Callable[[Mo
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Model(spark, sf_dir))
         if sql is not None:
             body = sql.strip()
-            ORACLE_SQL[f.__name__] = f"WITH {MODEL_SQL.strip()}{', ' + body[5:] if body.startswith('WITH ') else ' ' + body}" if model else body
+            start = "WITH RECURSIVE " if body.startswith("WITH RECURSIVE ") else "WITH "
+            ORACLE_SQL[f.__name__] = f"{start}{MODEL_SQL.strip()}{', ' + body.removeprefix(start) if body.startswith(start) else ' ' + body}" if model else body
         return f
 
     return register
@@ -41,22 +42,22 @@ KIND_SQL = _case("kind", {k: i for i, k in enumerate(KINDS)}, 99)
 
 @query(
     f"""WITH ranked AS (
-        SELECT *, row_number() OVER (PARTITION BY career_code ORDER BY {PRIORITY_SQL}, {KIND_SQL}, item_name NULLS LAST, item_code) AS rank
-        FROM need JOIN competency USING (item_code))
-    SELECT career_code, career_name, industry, rank, item_code, item_name, kind, priority_group
-    FROM ranked JOIN career USING (career_code) WHERE rank <= 5""",
+        SELECT *, row_number() OVER (PARTITION BY career_code ORDER BY is_seed DESC, {PRIORITY_SQL}, {KIND_SQL}, item_name NULLS LAST, item_code) AS rank
+        FROM (SELECT *, item_code IN (SELECT item_code FROM seed_item) AS is_seed FROM need JOIN competency USING (item_code)))
+    SELECT c.career_code, career_name, industry, rank, item_code, item_name, kind, priority_group, coalesce(is_seed, false) AS is_seed
+    FROM career c LEFT JOIN ranked r ON r.career_code = c.career_code AND rank <= 5""",
     model=True,
 )
 def pathfinding_topk(m: Model) -> DataFrame:
-    return graph.pathfinding(m.career, m.need, m.competency, 5)
+    return graph.pathfinding(m.career, m.need, m.competency, 5, seeds=m.seed_item)
 
 
 @query(
     f"""WITH ranked AS (
         SELECT *, row_number() OVER (PARTITION BY career_code, kind ORDER BY {PRIORITY_SQL}, {KIND_SQL}, item_name NULLS LAST, item_code) AS rank
         FROM need JOIN competency USING (item_code))
-    SELECT career_code, career_name, industry, rank, item_code, item_name, kind, priority_group
-    FROM ranked JOIN career USING (career_code) WHERE rank <= 2""",
+    SELECT c.career_code, career_name, industry, rank, item_code, item_name, kind, priority_group, false AS is_seed
+    FROM career c LEFT JOIN ranked r ON r.career_code = c.career_code AND rank <= 2""",
     model=True,
 )
 def pathfinding_by_type(m: Model) -> DataFrame:
@@ -85,15 +86,24 @@ def career_name_tier(m: Model) -> DataFrame:
     return graph.best_match(m.career, needles, "career_code", "career_name")
 
 
-TOP_COURSES_SQL = """top_courses AS (
-    SELECT * FROM (SELECT item_code, row_number() OVER (PARTITION BY item_code ORDER BY coverage_level DESC, course_name NULLS LAST, course_code) AS rank,
-                          course_code, course_name, organization, level, coverage_level
-                   FROM teach JOIN course USING (course_code)) WHERE rank <= {k})"""
+#: Whether a URL names no single page; ``u`` is its column.
+GENERIC_SQL = r"""list_transform([string_split(regexp_replace(CASE WHEN contains(trim(coalesce({u}, '')), '://') THEN trim({u}) ELSE 'https://' || trim(coalesce({u}, '')) END, '[?#].*$', ''), '://')[2]],
+    lambda x: trim(coalesce({u}, '')) = '' OR string_split(x, '/')[1] = '' OR len(list_filter(string_split(x, '/')[2:], lambda s: s <> '')) = 0
+        OR (len(list_filter(string_split(x, '/')[2:], lambda s: s <> '')) = 1
+            AND lower(list_filter(string_split(x, '/')[2:], lambda s: s <> '')[1]) IN ('courses', 'course', 'learn', 'browse', 'catalog', 'training', 'certification', 'certifications'))
+        OR (len(list_filter(string_split(x, '/')[2:], lambda s: s <> '')) = 2 AND lower(list_filter(string_split(x, '/')[2:], lambda s: s <> '')[1]) IN ('en-us', 'en', 'vi', 'vi-vn')
+            AND lower(list_filter(string_split(x, '/')[2:], lambda s: s <> '')[2]) IN ('courses', 'course', 'learn', 'browse', 'catalog', 'training', 'certification', 'certifications')))[1]"""
+
+TOP_COURSES_SQL = """marked_course AS (SELECT *, GENERIC AS generic, course_code IN (SELECT course_code FROM seed_course) AS is_seed FROM course),
+    top_courses AS (
+    SELECT * FROM (SELECT item_code, row_number() OVER (PARTITION BY item_code ORDER BY generic, coverage_level DESC, is_seed DESC, coalesce(course_name, ''), course_code) AS rank,
+                          course_code, course_name, organization, level, coverage_level, is_seed
+                   FROM teach JOIN marked_course USING (course_code)) WHERE rank <= {k})""".replace("GENERIC", GENERIC_SQL.format(u="url"))
 
 
 @query(f"WITH {TOP_COURSES_SQL.format(k=3)} SELECT * FROM top_courses", model=True)
 def course_rec(m: Model) -> DataFrame:
-    return graph.top_courses(m.teach, m.course, 3)
+    return graph.top_courses(m.teach, m.course, 3, m.seed_course)
 
 
 @query(
@@ -116,7 +126,7 @@ def course_rec_fallback(m: Model) -> DataFrame:
     model=True,
 )
 def career_skill_courses(m: Model) -> DataFrame:
-    return graph.career_skill_courses(m.need, m.teach, m.course, 2)
+    return graph.career_skill_courses(m.need, m.teach, m.course, 2, m.seed_course)
 
 
 @query(
@@ -134,16 +144,16 @@ def subject_to_careers(m: Model) -> DataFrame:
 
 @query(
     """WITH edges AS (SELECT src AS item_code, 'outgoing' AS seen, rel_type FROM relation UNION ALL SELECT dst, 'incoming', rel_type FROM relation),
-    counts AS (SELECT item_code, count(*) FILTER (direction = 'both' OR direction = seen) AS n_read,
-                      count(*) FILTER (direction <> 'both' AND direction <> seen) AS n_against
-               FROM edges JOIN registry USING (rel_type) GROUP BY 1)
+    counts AS (SELECT item_code, count(*) FILTER (seen = CASE WHEN rel_type = 'VALIDATES' AND type_code = 'CT_PLAT' THEN 'incoming' ELSE 'outgoing' END) AS n_read,
+                      count(*) FILTER (seen <> CASE WHEN rel_type = 'VALIDATES' AND type_code = 'CT_PLAT' THEN 'incoming' ELSE 'outgoing' END) AS n_against
+               FROM edges JOIN competency USING (item_code) GROUP BY 1)
     SELECT item_code, item_name, coalesce(n_read, 0) AS n_read, coalesce(n_against, 0) AS n_against,
            CASE WHEN coalesce(n_read, 0) > 0 THEN 'full' WHEN coalesce(n_against, 0) > 0 THEN 'partial' ELSE 'none' END AS coverage
     FROM competency LEFT JOIN counts USING (item_code)""",
     model=True,
 )
 def relations_both_directions(m: Model) -> DataFrame:
-    return graph.relation_coverage_of_items(m.competency, m.relation, m.registry)
+    return graph.relation_coverage_of_items(m.competency, m.relation, m.anchor_direction)
 
 
 @query(
@@ -216,6 +226,18 @@ def requires_cycles(m: Model) -> DataFrame:
     return graph.short_cycles(m.relation.filter(F.col("rel_type") == "REQUIRES"))
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM relation WHERE rel_type = 'REQUIRES' AND dst % 6 = 3),
+    reach AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON r.dst = e.src),
+    own AS (SELECT a.src AS item_code, least(a.src, min(a.dst)) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY 1, a.src)
+    SELECT * FROM own""",
+    model=True,
+)
+def requires_cycle_nodes(m: Model) -> DataFrame:
+    """Competencies on a cycle of any length, and the smallest of the ones that they are tied to."""
+    return graph.nodes_on_cycles(m.relation.filter(F.col("rel_type") == "REQUIRES"))
+
+
 @query(
     """SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber, l_quantity, l_shipdate FROM (
         SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_shipdate DESC NULLS LAST, l_orderkey DESC, l_linenumber DESC, l_quantity DESC) AS rn FROM lineitem)
@@ -243,7 +265,7 @@ def rel_type_counts(m: Model) -> DataFrame:
 def topo_sort(m: Model) -> DataFrame:
     """Missing competencies of each career, prerequisites first."""
     gap = graph.gap_split(m.need, m.known, missing=True)
-    nodes = gap.select("career_code", "item_code", graph.priority_rank(F.col("priority_group")).alias("sort_rank"))
+    nodes = gap.join(m.competency.select("item_code", "item_name"), "item_code").select("career_code", "item_code", "item_name", graph.priority_rank(F.col("priority_group")).alias("sort_rank"))
     ordering = m.relation.join(F.broadcast(m.registry.filter("ordering").select("rel_type")), "rel_type")
     edges = ordering.select(F.col("src").alias("item_code"), F.col("dst").alias("prerequisite_code")).distinct()
     return graph.topological_order(nodes, edges, "career_code")
@@ -255,7 +277,7 @@ def topo_sort(m: Model) -> DataFrame:
     model=True,
 )
 def month_allocation(m: Model) -> DataFrame:
-    return graph.month_allocation(graph.top_courses(m.teach, m.course, 12), "item_code", 6)
+    return graph.month_allocation(graph.top_courses(m.teach, m.course, 12, m.seed_course), "item_code", 6)
 
 
 @query(
@@ -280,7 +302,7 @@ def roadmap_months(m: Model) -> DataFrame:
     model=True,
 )
 def competency_corpus(m: Model) -> DataFrame:
-    return datasets.competency_texts(m.competency, graph.top_courses(m.teach, m.course, 3), m.relation, 8)
+    return datasets.competency_texts(m.competency, graph.top_courses(m.teach, m.course, 3, m.seed_course), m.relation, 8)
 
 
 # sessions
@@ -402,11 +424,13 @@ def ir_metrics_grouping_sets(m: Model) -> DataFrame:
     return metrics.metric_table(per_query, "query_label")
 
 
-def _bm25(m: Model) -> DataFrame:
-    return retrieval.bm25(m.table("documents"), m.table("benchmark").select(F.col("item_id").alias("query_id"), "text"))
+def _bm25(m: Model, k: int) -> DataFrame:
+    return retrieval.bm25(m.table("documents"), m.table("benchmark").select(F.col("item_id").alias("query_id"), "text"), k)
 
 
-TOKENS_SQL = "list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1)"
+TOKENS_SQL = r"""CASE WHEN len(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}_]+'), lambda w: length(w) > 1)) > 0
+    THEN list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}_]+'), lambda w: length(w) > 1)
+    ELSE list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9+#.]+'), lambda w: length(w) > 1) END""".replace("{{", "{").replace("}}", "}")
 BM25_SQL = f"""d AS (SELECT doc_id, {TOKENS_SQL} AS toks FROM documents),
     corpus AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM d),
     terms AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM d),
@@ -425,8 +449,7 @@ BM25_SQL = f"""d AS (SELECT doc_id, {TOKENS_SQL} AS toks FROM documents),
         FROM scored WHERE score > 0) WHERE rank <= 5"""
 )
 def bm25_topk(m: Model) -> DataFrame:
-    scores = _bm25(m).filter("score > 0").withColumn("score", F.round("score", 4))
-    return retrieval.top_k(scores, 5, F.desc("score"))
+    return retrieval.top_k(_bm25(m, 5), 5, F.desc("score"))
 
 
 RRF_SQL = f"""{BM25_SQL},
@@ -438,7 +461,7 @@ RRF_SQL = f"""{BM25_SQL},
 
 
 def _rrf(m: Model) -> DataFrame:
-    scores = _bm25(m).filter("score > 0").withColumn("score", F.round("score", 4))
+    scores = _bm25(m, 20)
     return retrieval.rrf(retrieval.top_k(scores, 20, F.desc("score")), retrieval.top_k(scores, 20, F.desc("n_terms")), 10)
 
 
@@ -595,8 +618,11 @@ def bootstrap_ci(m: Model) -> DataFrame:
            count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY GROUPING SETS ((), (lang), (source), (lang, source))"""
 )
 def corpus_counts(m: Model) -> DataFrame:
-    m.table("documents").createOrReplaceTempView("__corpus_counts")
-    return m.spark.sql(ORACLE_SQL["corpus_counts"].replace("FROM documents", "FROM __corpus_counts").replace("VARCHAR", "STRING"))
+    lang, source = F.col("lang"), F.col("source")
+    sets = m.table("documents").groupingSets([[], [lang], [source], [lang, source]], lang, source)
+    counted = sets.agg(F.grouping("lang").alias("no_lang"), F.grouping("source").alias("no_source"), F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
+    names = [F.when(F.col(f"no_{c}") == 1, "all").otherwise(F.col(c)).alias(c) for c in ("lang", "source")]
+    return counted.select(*names, "n_docs", "n_chars")
 
 
 # datasets
@@ -646,18 +672,8 @@ def gold_validation(m: Model) -> DataFrame:
 
 # pages
 
-_SEGMENTS = ", ".join(f"'{s}'" for s in T.GENERIC_SEGMENTS)
-_LOCALES = ", ".join(f"'{s}'" for s in T.LOCALES)
-
 
-@query(
-    rf"""WITH b AS (SELECT page_id, url, regexp_replace(CASE WHEN regexp_matches(lower(url), '^https?://') THEN url ELSE 'https://' || url END, '[?#].*$', '') AS bare FROM pages),
-    p AS (SELECT page_id, url, regexp_extract(bare, '^[A-Za-z]+://([^/]*)', 1) AS host,
-                 string_split_regex(lower(regexp_replace(regexp_extract(bare, '^[A-Za-z]+://[^/]*(.*)$', 1), '^/+|/+$', '', 'g')), '/+') AS parts FROM b)
-    SELECT page_id, CASE WHEN coalesce(trim(url), '') = '' THEN true
-           ELSE host = '' OR (len(parts) = 1 AND parts[1] = '') OR (len(parts) = 1 AND parts[1] IN ({_SEGMENTS}, {_LOCALES}))
-                OR (len(parts) = 2 AND parts[1] IN ({_LOCALES}) AND parts[2] IN ({_SEGMENTS})) END AS generic FROM p"""
-)
+@query(f"SELECT page_id, {GENERIC_SQL.format(u='url')} AS generic FROM pages")
 def generic_url(m: Model) -> DataFrame:
     return m.table("pages").select("page_id", T.is_generic_url(F.col("url")).alias("generic"))
 

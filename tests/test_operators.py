@@ -1,6 +1,7 @@
 """Literal cases of single operators."""
 
 import math
+import random
 from pathlib import Path
 
 import numpy as np
@@ -54,13 +55,60 @@ def test_gap_split(spark):
 
 
 def test_topological_order(spark):
-    nodes = spark.createDataFrame([(1, c, 0) for c in (1, 2, 3)] + [(2, c, 0) for c in (1, 2)], "career_code long, item_code long, sort_rank int")
+    nodes = spark.createDataFrame([(1, c, n, 0) for c, n in ((1, "b"), (2, "c"), (3, "a"))] + [(2, 1, "y", 0), (2, 2, "x", 0)], "career_code long, item_code long, item_name string, sort_rank int")
     edges = spark.createDataFrame([(1, 3), (2, 1), (3, 9)], "item_code long, prerequisite_code long")
     rows = graph.topological_order(nodes, edges, "career_code").orderBy("career_code", "position").collect()
     assert [(r.career_code, r.item_code) for r in rows] == [(1, 3), (1, 1), (1, 2), (2, 1), (2, 2)]
     cycle = spark.createDataFrame([(1, 2), (2, 1)], "item_code long, prerequisite_code long")
     rows = graph.topological_order(nodes, cycle, "career_code").filter("career_code = 1").orderBy("position").collect()
-    assert [r.item_code for r in rows] == [1, 2, 3]
+    assert [r.item_code for r in rows] == [3, 1, 2]  # by name
+
+
+def test_topological_order_is_that_of_a_plain_loop(spark):
+    rng = random.Random(3)
+    names = {c: rng.choice("abcd") for c in range(60)}
+    ranks = {c: rng.randint(0, 2) for c in range(60)}
+    gaps = {g: sorted(rng.sample(range(60), rng.randint(1, 30))) for g in range(25)}
+    edges = {(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(60)) if a > b or rng.random() < 0.05}
+    nodes = spark.createDataFrame([(g, c, names[c], ranks[c]) for g, cs in gaps.items() for c in cs], "career_code long, item_code long, item_name string, sort_rank int")
+    got = graph.topological_order(nodes, spark.createDataFrame(sorted(edges), "item_code long, prerequisite_code long"), "career_code").orderBy("career_code", "position").collect()
+    for g, cs in gaps.items():
+        key = lambda c: (ranks[c], names[c], c)
+        after = {c: {p for i, p in edges if i == c and p in cs} for c in cs}
+        left, order = set(cs), []
+        while free := sorted((c for c in left if not after[c] & left), key=key):
+            order.append(free[0])
+            left.discard(free[0])
+        assert [r.item_code for r in got if r.career_code == g] == (sorted(cs, key=key) if left else order)
+
+
+def test_cycles_of_any_length(spark):
+    edges = [(k, k + 1) for k in range(10, 30)] + [(30, 10), (1, 2), (2, 1), (2, 10), (30, 40), (40, 41), (50, 50), (60, 61), (61, 62), (62, 60), (62, 1)]
+    got = {r.item_code: r.component for r in graph.nodes_on_cycles(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {k: 10 for k in range(10, 31)} | {1: 1, 2: 1} | {60: 60, 61: 60, 62: 60}
+    assert graph.nodes_on_cycles(spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")).count() == 0
+
+
+def test_percentiles_and_effects_against_plain_sorts(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    groups = {"many": rng.normal(size=30_001), "ties": rng.integers(0, 5, 20_000).astype(float), "few": rng.random(31), None: rng.random(7)}
+    frame = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("few", None)], "g string, x double")
+    for share in (0.0, 0.5, 0.95, 1.0):
+        got = {r.g: (r.n_rows, r.percentile) for r in metrics.nearest_rank(frame, "g", "x", share).collect()}
+        assert got == {g: (len(vs), float(np.sort(vs)[round(share * (len(vs) - 1))])) for g, vs in groups.items()}
+    monkeypatch.setattr(metrics, "VALUE_RANGES", 16)
+    x, y = rng.normal(0.2, 1, 3000).round(2), rng.normal(0, 1, 2000).round(2)
+    rows = spark.createDataFrame([(True, float(v)) for v in x] + [(False, float(v)) for v in y], "a boolean, v double")
+    found = metrics.rank_biserial(rows, F.col("a"), "v").first()
+    u = (x[:, None] > y[None, :]).sum() + 0.5 * (x[:, None] == y[None, :]).sum()
+    assert (found.nx, found.ny) == (3000, 2000) and math.isclose(found.effect, 2 * u / (len(x) * len(y)) - 1, abs_tol=1e-6)
+
+
+def test_neighbours_of_odd_vectors(spark):
+    rows = [(0, [1.0, 0.0], 1), (1, [1.0, 1.0], 1), (2, [0.0, 0.0], 0), (3, [1.0, 0.0, 0.0], 0), (4, [2.0, 0.1], None), (5, [], 1), (6, None, 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = retrieval.knn(vectors, vectors.filter("vec_id in (0, 2)"), 3).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.doc_id, r.score) for r in got] == [(0, 4, 0.9988), (0, 1, 0.7071), (0, 2, 0.0), (2, 0, 0.0), (2, 1, 0.0), (2, 3, 0.0)]
 
 
 def test_strict_priorities_do_not_rank_text(spark):
@@ -71,15 +119,17 @@ def test_strict_priorities_do_not_rank_text(spark):
 
 
 def test_generic_urls(spark):
-    urls = {"": True, "example.com": True, "https://a.org/courses": True, "https://a.org/en/learn/": True, "a.org/learn/python": False, "https://a.org/python?x=1": False}
+    urls = {
+        "": True, "example.com": True, "https://a.org/courses": True, "https://a.org/en/learn/": True, "a.org/learn/python": False, "https://a.org/python?x=1": False,
+        "https://a.org/en": False, "https://a.org/training": True, "https://a.org/vi-vn/Certifications": True, "https://a.org/fr/learn": False, "https:///x": True, "a.org/search": False, " ": True,
+    }
     rows = spark.createDataFrame([(u,) for u in urls], "url string")
     assert {r.url: r.g for r in rows.select("url", T.is_generic_url(F.col("url")).alias("g")).collect()} == urls
 
 
 def test_tokens(spark):
-    row = spark.createDataFrame([("Wörld of C++ and a b2b",)], "t string").select(retrieval.tokens(F.col("t")), retrieval.unicode_tokens(F.col("t"))).first()
-    assert row[0] == ["rld", "of", "and", "b2b"]
-    assert row[1] == ["wörld", "of", "and", "b2b"]
+    rows = spark.createDataFrame([("Wörld of C++ and a b2b",), ("c++ !",), ("học_máy 漢字 é",), (None,)], "t string").select(retrieval.tokens(F.col("t"))).collect()
+    assert [r[0] for r in rows] == [["wörld", "of", "and", "b2b"], ["c++"], ["học_máy", "漢字"], []]
 
 
 def test_cosine_of_odd_vectors(spark):
