@@ -20,6 +20,31 @@ def slug(text: Column, most: int) -> Column:
     return F.substring(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), 1, most)
 
 
+#: Letters with marks and the plain letter of each, by plain letter.
+MARKED = {
+    "a": "àáảãạăằắẳẵặâầấẩẫậäåāą", "e": "èéẻẽẹêềếểễệëēęě", "i": "ìíỉĩịîïīį", "o": "òóỏõọôồốổỗộơờớởỡợöōő", "u": "ùúủũụưừứửữựûüūůű",
+    "y": "ỳýỷỹỵÿ", "c": "çćč", "d": "đď", "n": "ñńň", "s": "śšş", "z": "źżž", "r": "ř", "t": "ťţ", "g": "ğ", "l": "ľĺ",
+}
+
+
+def without_marks(text: Column) -> Column:
+    """Letters without their diacritic marks, by a table; lower and upper case stay."""
+    marked = "".join(MARKED.values())
+    plain = "".join(k * len(v) for k, v in MARKED.items())
+    bare = F.regexp_replace(text, r"\p{M}+", "")
+    return F.translate(bare, marked + marked.upper(), plain + plain.upper())
+
+
+#: Words that may stand before a skill's name and a colon.
+LABEL_PREFIXES = ("platform", "tool", "language", "framework", "library", "domain")
+
+
+def label(text: Column) -> Column:
+    """What a skill is compared by: without a prefix such as "tool:", trimmed, in lower case."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?i)^({'|'.join(LABEL_PREFIXES)})\s*:\s*", "")
+    return F.lower(F.trim(bare))
+
+
 def is_generic_url(url: Column) -> Column:
     """No URL, no host, no path, or a path of one generic segment, or of a locale and a generic segment."""
     raw = F.trim(F.coalesce(url, F.lit("")))

@@ -26,21 +26,6 @@ def priority_rank(column: Column, strict_numeric: bool = False) -> Column:
     return F.coalesce(column.try_cast("int"), F.lit(999)) if strict_numeric else rank_of(column, PRIORITY, 999)
 
 
-def name_tier(name: Column, needle: Column, code: Column | None = None, seeds: Column | None = None) -> Column:
-    """0 equal, 1 the name holds the needle, 2 the needle holds the name, 3 a seed; null if none."""
-    a, b = F.lower(F.trim(name)), F.lower(F.trim(needle))
-    tier = F.when(a == b, 0).when(a.contains(b), 1).when(b.contains(a), 2)
-    return tier.when(F.array_contains(seeds, code), 3) if seeds is not None else tier
-
-
-def best_match(names: DataFrame, needles: DataFrame, code: str, name: str) -> DataFrame:
-    """For each needle (a stated query set, broadcast) the name of the lowest tier, then the shortest, then by code."""
-    tier = name_tier(F.col(name), F.col("needle"))
-    found = names.join(F.broadcast(needles), tier.isNotNull()).withColumn("tier", tier)
-    best = F.min_by(F.struct(code, name, "tier"), F.struct("tier", F.length(name), code))
-    return found.groupBy("needle").agg(best.alias("b")).select("needle", "b.*")
-
-
 def seeded(rows: DataFrame, seeds: DataFrame | None, key: str) -> DataFrame:
     """``rows`` with a flag is_seed: whether ``seeds`` holds the key; without seeds none is."""
     if seeds is None:

@@ -1,51 +1,283 @@
-"""Free text to entities: alias scans and fuzzy matches of a stated query set against a catalogue."""
+"""Free text to entities: matches by name, alias and similarity. Candidates come from equi-joins on pieces of strings, so
+no text meets the whole catalogue."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import similarity
 
-def alias_scan(texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """doc_id, canonical, alias: for each text the aliases that it holds as a whole word, or as a part if they have
-    four characters or more; the longest alias of each canonical name. ``aliases`` is a catalogue and is broadcast."""
-    low = F.lower(F.col("text"))
-    word = F.concat(F.lit(r"(^|[^a-z0-9])"), "alias", F.lit(r"($|[^a-z0-9])"))
-    hit = F.when(F.length("alias") >= 4, low.contains(F.col("alias"))).otherwise(F.regexp_like(low, word))
-    found = texts.join(F.broadcast(aliases), hit)
-    best = F.min_by("alias", F.struct(-F.length("alias"), F.col("alias")))
-    return found.groupBy("doc_id", "canonical").agg(best.alias("alias"))
+#: Aliases that tasks may hold as one automaton.
+MOST_ALIASES = 2_000_000
+#: Share of the letter pairs of the string with fewer that both must have, to be compared by a fuzzy score.
+LEAST_SHARED = 0.3
+#: The same for names to offer, whose scores may be low: one pair at least.
+SUGGESTED_SHARED = 0.05
 
+#: Names of skills that are search terms wherever they stand.
+KNOWN_TOKENS = (
+    r"\b(?:SQL|Python|Java(?:Script)?|React|Docker|Kubernetes|AWS|Azure|GCP|"
+    r"HTML|CSS|Node\.?js|C\+\+|C#|PHP|Go|Rust|TypeScript|CBAP|PMP|Scrum|Agile)\b"
+)
+#: Least length of aliases by kind.
+LEAST_ALIAS = {"career": 2, "competency": 2, "soft_skill": 3, "subject": 3}
 
-def similarity(a: str, b: str) -> float:
-    """0 to 100: the ratio of matching blocks of the sorted words, or 90 for a part of the other."""
-    x, y = " ".join(sorted(a.lower().split())), " ".join(sorted(b.lower().split()))
-    if not x or not y:
-        return 0.0
-    part = 90.0 if (a.lower() in b.lower() or b.lower() in a.lower()) and a.lower() != b.lower() else 0.0
-    return max(part, 100.0 * SequenceMatcher(None, x, y, autojunk=False).ratio())
 
+def pieces(text: Column, n: int | Column) -> Column:
+    """The distinct runs of ``n`` characters of a text."""
+    size = F.lit(n) if isinstance(n, int) else n
+    places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substr(text, i, size)))
 
-def fuzzy_top(needles: DataFrame, names: DataFrame, cutoff: float, k: int = 1) -> DataFrame:
-    """The ``k`` best names (code, name) for each needle (a stated query set), of similarity ``cutoff`` or more."""
-    pairs = names.join(F.broadcast(needles), F.length("name") > 0).select("needle", "code", "name")
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def containing(holders: DataFrame, parts: DataFrame, holder: str, part: str) -> DataFrame:
+    """Pairs of rows where the text ``holder`` contains the text ``part`` (not empty). A part looks its holders up by
+    that of its runs of three characters (or its whole, if shorter) which the fewest holders have."""
+    held = F.concat(*(pieces(F.col(holder), n) for n in (1, 2, 3)))
+    postings = holders.withColumn("piece", F.explode(held))
+    counts = postings.groupBy("piece").agg(F.count(F.lit(1)).alias("n_holders"))
+    size = F.least(F.length(part), F.lit(3))
+    texts = parts.select(part).distinct().filter(F.length(part) > 0)
+    looked = texts.withColumn("piece", F.explode(pieces(F.col(part), size))).join(counts, "piece")
+    rarest = looked.groupBy(part).agg(F.min_by("piece", F.struct("n_holders", "piece")).alias("piece"))
+    met = postings.join(rarest, "piece").filter(F.col(holder).contains(F.col(part))).drop("piece")
+    return met.join(parts, part)
+
+
+def name_tiers(names: DataFrame, needles: DataFrame, code: str, name: str) -> DataFrame:
+    """needle, code, name, tier of all pairs: 0 equal, 1 the name holds the needle, 2 the needle holds the name."""
+    a = names.select(code, name, F.lower(F.trim(name)).alias("low_name"))
+    b = needles.select("needle").distinct().withColumn("low_needle", F.lower(F.trim("needle")))
+    holds = containing(a, b, "low_name", "low_needle").withColumn("tier", F.when(F.col("low_name") == F.col("low_needle"), 0).otherwise(1))
+    held = containing(b, a, "low_needle", "low_name").filter("low_name <> low_needle").withColumn("tier", F.lit(2))
+    columns = ["needle", code, name, "tier"]
+    return holds.select(*columns).unionByName(held.select(*columns))
+
+
+def best_match(names: DataFrame, needles: DataFrame, code: str, name: str) -> DataFrame:
+    """For each needle the name of the lowest tier, then the shortest, then by code."""
+    best = F.min_by(F.struct(code, name, "tier"), F.struct("tier", F.length(name), code))
+    return name_tiers(names, needles, code, name).groupBy("needle").agg(best.alias("b")).select("needle", "b.*")
+
+
+def first_of_each(values: Column) -> Column:
+    """The values of an array without those that stand before in any case."""
+    low = F.transform(values, lambda v: F.lower(v))
+    return F.filter(values, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)
+
+
+def search_terms(text: Column) -> Column:
+    """Known skill names and acronyms of a text; without any the text itself if it has 64 characters at most, else its
+    three longest words of three letters or more."""
+    bare = F.trim(F.coalesce(text, F.lit("")))
+    found = first_of_each(F.concat(F.regexp_extract_all(bare, F.lit("(?i)" + KNOWN_TOKENS), 0), F.regexp_extract_all(bare, F.lit(r"\b[A-Z]{3,}\b"), 0)))
+    words = first_of_each(F.filter(F.regexp_extract_all(bare, F.lit(r"[\p{L}\p{N}_#+]{2,}"), 0), lambda w: F.length(w) >= 3))
+    longest = F.slice(F.transform(F.array_sort(F.transform(words, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w")))), lambda x: x["w"]), 1, 3)
+    return F.when(bare == "", F.array().cast("array<string>")).when(F.size(found) > 0, found).when(F.length(bare) <= 64, F.array(bare)).otherwise(longest)
+
+
+def spurious(needle: Column, name: Column) -> Column:
+    """Whether a name of one or two characters is no word of the needle."""
+    n, c = F.lower(F.trim(needle)), F.lower(F.trim(name))
+    word = F.regexp_like(n, F.concat(F.lit("\\b\\Q"), c, F.lit("\\E\\b")))
+    return (n == "") | (c == "") | ((n != c) & (F.length(c) <= 2) & ~word)
+
+
+def match_competencies(names: DataFrame, asked: DataFrame) -> DataFrame:
+    """query_id, term, item_code, item_name for each question (query_id, text) that has one: of its search terms the
+    first that a name equals or, with two characters or more, that a name holds; equal names come before others, longer
+    ones before shorter ones. Names that are too short to be meant do not count."""
+    terms = asked.select("query_id", "text", F.posexplode(search_terms(F.col("text"))).alias("place", "term")).withColumn("low_term", F.lower(F.trim("term")))
+    low = names.filter(F.col("item_name").isNotNull()).select("item_code", "item_name", F.lower(F.trim("item_name")).alias("low_name"))
+    met = containing(low, terms.select("low_term").distinct(), "low_name", "low_term").filter((F.col("low_name") == F.col("low_term")) | (F.length("low_term") >= 2))
+    best = F.min_by(F.struct("item_code", "item_name"), F.struct((F.col("low_name") != F.col("low_term")).alias("d"), (-F.length("item_name")).alias("n"), F.col("item_code").alias("c")))
+    by_term = met.groupBy("low_term").agg(best.alias("b")).select("low_term", "b.*")
+    good = terms.join(by_term, "low_term").filter(~spurious(F.col("text"), F.col("item_name")))
+    return good.groupBy("query_id").agg(F.min_by(F.struct("term", "item_code", "item_name"), "place").alias("b")).select("query_id", "b.*")
+
+
+def alias_scan(texts: DataFrame, aliases: DataFrame, least: dict[str, int] | None = None) -> DataFrame:
+    """doc_id, kind, canonical, alias: of each text (doc_id, text) the aliases (kind, alias, canonical) that it equals,
+    holds as a whole word, or holds as a part if they have four characters or more; of each canonical name the longest.
+
+    Texts are read once, where they lie, by an automaton of all aliases, which tasks hold up to ``MOST_ALIASES``."""
+    least = LEAST_ALIAS if least is None else least
+    rows = aliases.filter(F.length("alias") > 0).select("kind", F.lower("alias").alias("alias"), "canonical").distinct().limit(MOST_ALIASES + 1).collect()
+    if len(rows) > MOST_ALIASES:
+        raise ValueError(f"more than {MOST_ALIASES} aliases: scan them in parts")
+    by_alias: dict[str, list[tuple[str, str]]] = {}
+    for r in rows:
+        if len(r.alias) >= least.get(r.kind, 1):
+            by_alias.setdefault(r.alias, []).append((r.kind, r.canonical))
+    shared = texts.sparkSession.sparkContext.broadcast(by_alias)
+
+    def word(c: str) -> bool:
+        return c.isascii() and c.isalnum()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for alias, targets in shared.value.items():
+            automaton.add_word(alias, (alias, targets))
+        if shared.value:
+            automaton.make_automaton()
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch["doc_id"], batch["low"], strict=True):
+                best: dict[tuple[str, str], str] = {}
+                for end, (alias, targets) in automaton.iter(text) if shared.value and text else ():
+                    begin = end - len(alias) + 1
+                    if len(alias) < 4 and ((begin and word(text[begin - 1])) or (end + 1 < len(text) and word(text[end + 1]))):
+                        continue
+                    for target in targets:
+                        if target not in best or (-len(alias), alias) < (-len(best[target]), best[target]):
+                            best[target] = alias
+                out += [(doc_id, kind, canonical, alias) for (kind, canonical), alias in best.items()]
+            yield pd.DataFrame(out, columns=["doc_id", "kind", "canonical", "alias"])
+
+    low = texts.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    return low.mapInPandas(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, kind string, canonical string, alias string")
+
+
+def fuzzy_pairs(needles: DataFrame, names: DataFrame, least: float = LEAST_SHARED) -> DataFrame:
+    """needle, name for distinct strings that share at least a share ``least`` of the letter pairs of the one that has
+    fewer. That one looks the other up by its rarest n - need + 1 pairs alone, as one of these must be shared."""
+
+    def pairs_of(rows: DataFrame, column: str, own: str) -> DataFrame:
+        texts = rows.select(column).distinct().filter(F.length(F.trim(column)) > 0)
+        return texts.withColumn(own, pieces(F.lower(F.concat(F.lit("^"), F.trim(column), F.lit("$"))), 2))
+
+    def need(own: str) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.size(own) * least).cast("int"))
+
+    a, b = pairs_of(needles, "needle", "wanted"), pairs_of(names, "name", "own")
+    counts = b.select(F.explode("own").alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n_names"))
+
+    def spread(rows: DataFrame, column: str, own: str) -> DataFrame:
+        ranked = rows.select(column, own, F.explode(own).alias("piece")).join(counts, "piece", "left").fillna(0, ["n_names"])
+        place = F.row_number().over(Window.partitionBy(column).orderBy("n_names", "piece"))
+        return ranked.withColumn("rare", place <= F.size(own) - need(own) + 1).drop("n_names")
+
+    left, right = spread(a, "needle", "wanted"), spread(b, "name", "own")
+    fewer = F.size("own") < F.size("wanted")
+    met = left.drop("rare").join(right.filter("rare").drop("rare"), "piece").filter(fewer).unionByName(left.filter("rare").drop("rare").join(right.drop("rare"), "piece").filter(~fewer))
+    enough = met.select("needle", "name", "wanted", "own").dropDuplicates(["needle", "name"])
+    shared = F.size(F.array_intersect("wanted", "own"))
+    return enough.filter(shared >= F.when(fewer, need("own")).otherwise(need("wanted"))).select("needle", "name")
+
+
+def scored_pairs(pairs: DataFrame, score: Callable[[str, str], float]) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            values = [similarity(a, b) for a, b in zip(batch["needle"], batch["name"], strict=True)]
-            scored = batch.assign(score=pd.Series(values, index=batch.index).round(6))
-            yield scored[scored["score"] >= cutoff]
+            yield batch.assign(score=[round(score(a, b), 6) for a, b in zip(batch["needle"], batch["name"], strict=True)])
+
+    return pairs.mapInPandas(run, "needle string, name string, score double")
+
+
+def fuzzy_top(needles: DataFrame, names: DataFrame, cutoff: float, k: int = 1) -> DataFrame:
+    """needle, rank, code, name, score: the ``k`` names (code, name) most like each needle, of a score of ``cutoff`` or
+    more. A name that several rows have stands for the last of them."""
+    last = names.groupBy("name").agg(F.max("code").alias("code"))
+    scored = scored_pairs(fuzzy_pairs(needles, last), similarity.weighted_ratio).filter(F.col("score") >= cutoff)
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("needle").orderBy(F.desc("score"), "name"))).filter(F.col("rank") <= k)
+    return ranked.join(last, "name").select("needle", "rank", "code", "name", "score")
+
+
+def suggestions(needles: DataFrame, names: DataFrame, k: int = 6, least: float = 0.25) -> DataFrame:
+    """needle, rank, name, score: names to offer for what was typed. A name that equals it is the only one; of others
+    the first ``k`` (1 to 12) of a score of ``least`` or more, where a name that holds the needle has 0.35 more."""
+    k = max(1, min(12, k))
+    typed = needles.select(F.trim("needle").alias("needle")).filter("needle <> ''").distinct()
+    offered = names.select(F.trim("name").alias("name")).filter("name <> ''").distinct()
+    equal = typed.join(offered, F.lower("needle") == F.lower("name")).select("needle", "name")
+    holds = containing(offered.withColumn("low_name", F.lower("name")), typed.withColumn("low_needle", F.lower("needle")), "low_name", "low_needle").select("needle", "name")
+    others = fuzzy_pairs(typed, offered, SUGGESTED_SHARED).unionByName(holds).distinct().join(equal.select("needle").distinct(), "needle", "left_anti")
+    scored = scored_pairs(others, similarity.suggestion_score).filter(F.col("score") >= least).unionByName(equal.withColumn("score", F.lit(1.0)))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("needle").orderBy(F.desc("score"), "name"))).filter(F.col("rank") <= k)
+
+
+#: What an item code looks like, and the scores of its tiers.
+ITEM_CODE = "^[A-Z]{1,3}_[A-Z0-9_]+$"
+EXACT, ALIAS, ALIAS_HINT, FUZZY_HINT, FUZZY_MISS = 100.0, 95.0, 10.0, 15.0, -5.0
 
-    scored = pairs.mapInPandas(score, "needle string, code long, name string, score double")
+
+def exact_and_alias(asked: DataFrame, catalogue: DataFrame, aliases: DataFrame) -> DataFrame:
+    """needle, code, name, type_code, score, source of the candidates by code, or where no code fits by alias.
+
+    ``asked``: needle, hint (a type code or null); ``catalogue``: code, name, type_code; ``aliases``: alias, canonical."""
+    asked = asked.withColumn("key", F.trim("needle")).filter("key <> ''")
+    by_code = asked.filter(F.upper("key").rlike(ITEM_CODE)).join(catalogue, F.upper("key") == F.upper("code"))
+    exact = by_code.select("needle", "code", "name", "type_code", F.lit(EXACT).alias("score"), F.lit("exact").alias("source"))
+    rest = asked.join(exact.select("needle").distinct(), "needle", "left_anti")
+    meant = rest.join(aliases.select(F.lower("alias").alias("low_alias"), "canonical").distinct(), F.lower("key") == F.col("low_alias"))
+    found = meant.join(catalogue, F.lower("canonical") == F.lower("name"))
+    score = F.lit(ALIAS) + F.when(F.col("hint") == F.col("type_code"), ALIAS_HINT).otherwise(0.0)
+    return exact.unionByName(found.select("needle", "code", "name", "type_code", score.alias("score"), F.lit("alias").alias("source")))
+
+
+def best_candidates(candidates: DataFrame, k: int = 5) -> DataFrame:
+    """The best score of each code, then the first ``k`` of each needle by score and name."""
+    best = candidates.groupBy("needle", "code").agg(F.max_by(F.struct("name", "type_code", "score", "source"), F.struct("score", "source")).alias("b")).select("needle", "code", "b.*")
     order = Window.partitionBy("needle").orderBy(F.desc("score"), "name", "code")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def resolve_competencies(asked: DataFrame, catalogue: DataFrame, aliases: DataFrame, threshold: float = 78.0, k: int = 5) -> DataFrame:
+    """Candidates of each needle from all tiers: a code that fits stands alone; else aliases and the most similar name."""
+    direct = exact_and_alias(asked, catalogue, aliases)
+    rest = asked.join(direct.filter("source = 'exact'").select("needle").distinct(), "needle", "left_anti")
+    similar = fuzzy_top(rest.select("needle"), catalogue.select("code", "name"), max(50.0, threshold - 15))
+    typed = similar.join(catalogue.select("code", "type_code"), "code").join(rest.select("needle", "hint"), "needle")
+    score = F.col("score") + F.when(F.col("hint").isNull(), 0.0).when(F.col("hint") == F.col("type_code"), FUZZY_HINT).otherwise(FUZZY_MISS)
+    fuzzy = typed.select("needle", "code", "name", "type_code", score.alias("score"), F.lit("fuzzy").alias("source"))
+    return best_candidates(direct.unionByName(fuzzy), k)
 
 
-def ambiguous(ranked: DataFrame, margin: float) -> DataFrame:
+def ambiguous(ranked: DataFrame, margin: float = 5.0) -> DataFrame:
     """Whether the two best candidates of a needle differ by less than ``margin``."""
     scores = ranked.groupBy("needle").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("a"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("b"))
     return scores.select("needle", F.coalesce(F.col("a") - F.col("b") < margin, F.lit(False)).alias("ambiguous"))
+
+
+def match_careers(needles: DataFrame, names: DataFrame, aliases: DataFrame, abbreviations: DataFrame, threshold: float | None = 78.0) -> DataFrame:
+    """needle, name, source: the career that is meant, by alias, by abbreviation (ASCII, six characters at most), by
+    name in any case, and unless ``threshold`` is null by similarity; the first of these that gives a known name."""
+    asked = needles.select("needle", F.trim("needle").alias("key")).filter("key <> ''").distinct()
+    known = names.select("name").distinct()
+
+    def by(table: DataFrame, source: str, rows: DataFrame) -> DataFrame:
+        keyed = table.select(F.lower("alias").alias("low_alias"), F.col("canonical").alias("name")).join(known, "name")
+        return rows.join(keyed, F.lower("key") == F.col("low_alias")).groupBy("needle").agg(F.min("name").alias("name")).withColumn("source", F.lit(source))
+
+    short = asked.filter((F.length("key") <= 6) & F.col("key").rlike(r"^[\x00-\x7F]*$"))
+    same = known.select("name", F.col("name").alias("alias"), F.col("name").alias("canonical"))
+    tiers = [by(aliases, "alias", asked), by(abbreviations, "abbreviation", short), by(same, "exact", asked)]
+    found = tiers[0]
+    for tier in tiers[1:]:
+        found = found.unionByName(tier.join(found.select("needle"), "needle", "left_anti"))
+    if threshold is None:
+        return found
+    rest = asked.join(found.select("needle"), "needle", "left_anti").select("needle")
+    similar = fuzzy_top(rest, known.withColumn("code", F.lit(0)), threshold).select("needle", "name", F.lit("fuzzy").alias("source"))
+    return found.unionByName(similar)
+
+
+def known_codes(tokens: DataFrame, form: DataFrame, aliases: DataFrame, catalogue: DataFrame, label: Callable[[Column], Column]) -> DataFrame:
+    """owner, code: the item codes that typed tokens (owner, token) stand for. A code stands for itself; else a token
+    that the form map knows (form: token, codes) gives its codes; else the catalogue (code, name) is asked for the
+    names that its aliases (alias, canonical) and the token itself have under ``label``."""
+    asked = tokens.withColumn("key", F.trim("token")).filter((F.col("key") != "") & (F.lower("key") != "none")).withColumn("low", F.lower(F.regexp_replace("key", r"\s+", " ")))
+    is_code = F.upper("key").rlike(ITEM_CODE)
+    direct = asked.filter(is_code).select("owner", F.upper("key").alias("code"))
+    mapped = asked.filter(~is_code).join(form.select(F.lower("token").alias("low"), "codes"), "low", "left")
+    by_form = mapped.filter(F.col("codes").isNotNull()).select("owner", F.explode("codes").alias("code"))
+    rest = mapped.filter(F.col("codes").isNull())
+    index = catalogue.groupBy(label(F.col("name")).alias("label")).agg(F.max("code").alias("code")).filter("label <> ''")
+    other = rest.join(aliases.select(F.lower("alias").alias("low"), "canonical"), "low").select("owner", label(F.col("canonical")).alias("label"))
+    by_name = other.unionByName(rest.select("owner", label(F.col("key")).alias("label"))).join(index, "label").select("owner", "code")
+    return direct.unionByName(by_form).unionByName(by_name).distinct()

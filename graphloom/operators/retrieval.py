@@ -201,13 +201,15 @@ def capped(ranked: DataFrame, is_edge: Column, k: int, cap: int = EDGE_CAP) -> D
     return ranked.withColumn("new_rank", again).filter(F.col("new_rank") <= k)
 
 
-def expanded_query(queries: DataFrame, aliases: DataFrame, cap: int) -> DataFrame:
-    """query_id, expanded: the text and, after it, the names whose alias it holds, the longest aliases first."""
-    hit = F.lower(F.col("text")).contains(F.lower(F.col("alias")))
-    found = queries.join(F.broadcast(aliases), hit)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.length("alias")), "alias")
+def expanded_query(texts: DataFrame, found: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """query_id, expanded: each text (doc_id, text) and, after it, the distinct names whose alias it holds (``found``:
+    doc_id, kind, alias, canonical): by kind, the longest aliases first, no more of a kind than ``caps`` says."""
+    cap = F.lit(0)
+    for kind, most in caps.items():
+        cap = F.when(F.col("kind") == kind, most).otherwise(cap)
+    order = Window.partitionBy("doc_id", "kind").orderBy(F.desc(F.length("alias")), "alias", "canonical")
     first = found.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= cap)
-    names = first.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rn", "canonical"))).alias("n"))
-    joined = queries.join(names, "query_id", "left")
-    text = F.array_join(F.array_distinct(F.transform("n", lambda x: x["canonical"])), " | ")
-    return joined.select("query_id", F.when(F.col("n").isNull(), F.col("text")).otherwise(F.concat_ws("\n", "text", text)).alias("expanded"))
+    names = first.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("kind", "rn", "canonical"))).alias("n"))
+    names = names.select("doc_id", F.array_join(F.array_distinct(F.transform("n", lambda x: x["canonical"])), " | ").alias("n"))
+    joined = texts.select("doc_id", "text").join(names, "doc_id", "left")
+    return joined.select(F.col("doc_id").alias("query_id"), F.when(F.col("n").isNull(), F.col("text")).otherwise(F.concat_ws("\n", "text", "n")).alias("expanded"))

@@ -1,34 +1,14 @@
-"""The registered queries: each applies an operator to whole tables, with the same question in SQL beside it."""
+"""Queries on the graph, sessions, retrieval, metrics, datasets and pages."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-from graphloom.operators import datasets, graph, metrics, resolve, retrieval, sessions
-from graphloom.sources.model import KINDS, MODEL_SQL, PRIORITY, Model
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, model: bool = False) -> Callable[[Callable[[Model], DataFrame]], Callable[[Model], DataFrame]]:
-    """Registers a function of the model under its name; ``model`` puts the model's tables before the SQL."""
-
-    def register(f: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Model(spark, sf_dir))
-        if sql is not None:
-            body = sql.strip()
-            start = "WITH RECURSIVE " if body.startswith("WITH RECURSIVE ") else "WITH "
-            ORACLE_SQL[f.__name__] = f"{start}{MODEL_SQL.strip()}{', ' + body.removeprefix(start) if body.startswith(start) else ' ' + body}" if model else body
-        return f
-
-    return register
-
+from graphloom.operators import datasets, graph, metrics, retrieval, sessions
+from graphloom.plans.registry import query
+from graphloom.sources.model import KINDS, PRIORITY, Model
 
 def _case(column: str, order: dict[str, int], other: int) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in order.items()) + f" ELSE {other} END"
@@ -64,28 +44,6 @@ def pathfinding_by_type(m: Model) -> DataFrame:
     return graph.pathfinding(m.career, m.need, m.competency, 2, per_kind=True)
 
 
-#: Texts that are looked up among the names.
-NEEDLES = ("customer#000000007", "#00000001", "see Customer#000000012 please", "nobody")
-NEEDLE_SQL = ", ".join(f"('{n}')" for n in NEEDLES)
-
-
-@query(
-    f"""WITH needles AS (SELECT * FROM (VALUES {NEEDLE_SQL}) AS t(needle)),
-    tiers AS (
-        SELECT needle, career_code, career_name,
-               CASE WHEN lower(trim(career_name)) = lower(trim(needle)) THEN 0 WHEN contains(lower(trim(career_name)), lower(trim(needle))) THEN 1
-                    WHEN contains(lower(trim(needle)), lower(trim(career_name))) THEN 2 END AS tier
-        FROM career CROSS JOIN needles)
-    SELECT needle, career_code, career_name, tier FROM (
-        SELECT *, row_number() OVER (PARTITION BY needle ORDER BY tier, length(career_name), career_code) AS rn FROM tiers WHERE tier IS NOT NULL)
-    WHERE rn = 1""",
-    model=True,
-)
-def career_name_tier(m: Model) -> DataFrame:
-    needles = m.spark.createDataFrame([(n,) for n in NEEDLES], "needle string")
-    return graph.best_match(m.career, needles, "career_code", "career_name")
-
-
 #: Whether a URL names no single page; ``u`` is its column.
 GENERIC_SQL = r"""list_transform([string_split(regexp_replace(CASE WHEN contains(trim(coalesce({u}, '')), '://') THEN trim({u}) ELSE 'https://' || trim(coalesce({u}, '')) END, '[?#].*$', ''), '://')[2]],
     lambda x: trim(coalesce({u}, '')) = '' OR string_split(x, '/')[1] = '' OR len(list_filter(string_split(x, '/')[2:], lambda s: s <> '')) = 0
@@ -491,39 +449,6 @@ def edge_cap(m: Model) -> DataFrame:
     return retrieval.capped(marked, F.col("lang") == "en", 5).select("query_id", "doc_id", "rank", "score", "new_rank")
 
 
-#: A small catalogue of aliases.
-ALIASES = (("the", "ARTICLE"), ("and", "JOINER"), ("tion", "NOUN"), ("able", "ADJECTIVE"), ("of", "LINK"), ("ing", "GERUND"))
-ALIAS_SQL = ", ".join(f"('{a}', '{c}')" for a, c in ALIASES)
-
-
-@query(
-    f"""WITH aliases AS (SELECT * FROM (VALUES {ALIAS_SQL}) AS t(alias, canonical))
-    SELECT doc_id, canonical, min(alias) AS alias FROM documents JOIN aliases
-      ON CASE WHEN length(alias) >= 4 THEN contains(lower(text), alias) ELSE regexp_matches(lower(text), '(^|[^a-z0-9])' || alias || '($|[^a-z0-9])') END
-    GROUP BY 1, 2"""
-)
-def alias_scan(m: Model) -> DataFrame:
-    return resolve.alias_scan(m.table("documents"), m.spark.createDataFrame(list(ALIASES), "alias string, canonical string"))
-
-
-@query(
-    f"""WITH aliases AS (SELECT * FROM (VALUES {ALIAS_SQL}) AS t(alias, canonical)),
-    hits AS (SELECT item_id AS query_id, canonical, row_number() OVER (PARTITION BY item_id ORDER BY length(alias) DESC, alias) AS rn
-             FROM benchmark JOIN aliases ON contains(lower(text), alias)),
-    names AS (SELECT query_id, string_agg(canonical, ' | ' ORDER BY rn) AS n FROM hits WHERE rn <= 4 GROUP BY 1)
-    SELECT item_id AS query_id, CASE WHEN n IS NULL THEN text ELSE text || chr(10) || n END AS expanded FROM benchmark LEFT JOIN names ON query_id = item_id"""
-)
-def query_expansion(m: Model) -> DataFrame:
-    queries = m.table("benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.expanded_query(queries, m.spark.createDataFrame(list(ALIASES), "alias string, canonical string"), 4)
-
-
-@query()
-def fuzzy_top1(m: Model) -> DataFrame:
-    needles = m.spark.createDataFrame([("blue wiget",), ("rings small",), ("green",)], "needle string")
-    return resolve.fuzzy_top(needles, m.competency.select(F.col("item_code").alias("code"), F.col("item_name").alias("name")), 60.0)
-
-
 # evaluation
 
 

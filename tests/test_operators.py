@@ -7,6 +7,7 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import functions as F
 
+from graphloom.functions import similarity
 from graphloom.functions import text as T
 from graphloom.operators import datasets, graph, metrics, resolve, retrieval, sessions
 from graphloom.streaming import replay
@@ -149,8 +150,8 @@ def test_fuzzy_and_ambiguous(spark):
     needles = spark.createDataFrame([("ring small",), ("zzz",)], "needle string")
     ranked = resolve.fuzzy_top(needles, names, 60.0, k=2)
     best = ranked.orderBy("rank").collect()
-    assert best[0].code == 1 and best[0].score == 100
-    assert [r.ambiguous for r in resolve.ambiguous(ranked, 5.0).collect()] == [100 - best[1].score < 5]
+    assert best[0].code == 1 and best[0].score == 95
+    assert [r.ambiguous for r in resolve.ambiguous(ranked, 5.0).collect()] == [95 - best[1].score < 5]
 
 
 def test_split_has_no_small_validation(spark):
@@ -196,3 +197,87 @@ def test_bootstrap_against_brute_force(spark, monkeypatch):
     # two rows of 0 and 1: all values are multiples of a half, as each resample has two rows
     pair = metrics.bootstrap_mean(spark.createDataFrame([(1, 0.0), (1, 1.0)], "g int, x double"), "g", "x").first()
     assert (pair.n_rows, pair["mean"], pair.low, pair.high) == (2, 0.5, 0.0, 1.0)
+
+
+def test_longest_common_parts():
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abc ") for _ in range(rng.randint(0, 9))) for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert similarity.common_length(a, b) == table[-1][-1]
+    assert similarity.weighted_ratio("ring small", "small ring") == 95 and similarity.weighted_ratio("abc", "abc") == 100
+    assert similarity.partial_ratio("ell", "hello world") == 100 and similarity.weighted_ratio("", "a") == 0
+
+
+def fuzzy_strings():
+    rng = random.Random(9)
+    words = ["small", "ring", "widget", "blue", "gear", "gizmo", "Hot", "bolt", "c++", "é"]
+    names = [" ".join(rng.sample(words, rng.randint(1, 3))) for _ in range(60)]
+    typos = [n[: k % len(n)] + n[k % len(n) + 1 :] for k, n in enumerate(names[:25])]
+    return names, [*typos, *names[25:30], "zzzz", "", "small ring of blue gears and bolts"]
+
+
+def test_fuzzy_tops_are_those_of_all_pairs(spark):
+    names, needles = fuzzy_strings()
+    catalogue = spark.createDataFrame(list(enumerate(names)), "code long, name string")
+    got = {r.needle: (r.code, r.name, r.score) for r in resolve.fuzzy_top(spark.createDataFrame([(n,) for n in needles], "needle string"), catalogue, 60.0).collect()}
+    last = {n: k for k, n in enumerate(names)}
+    want = {}
+    for needle in set(needles) - {""}:
+        best = min(((-round(similarity.weighted_ratio(needle, n), 6), n) for n in last), default=None)
+        if -best[0] >= 60:
+            want[needle] = (last[best[1]], best[1], -best[0])
+    assert got == want
+
+
+def test_suggestions_are_those_of_all_pairs(spark):
+    names, needles = fuzzy_strings()
+    got = {}
+    for r in resolve.suggestions(spark.createDataFrame([(n,) for n in needles], "needle string"), spark.createDataFrame([(n,) for n in names], "name string"), k=3).orderBy("rank").collect():
+        got.setdefault(r.needle, []).append(r.name)
+    for needle in {n.strip() for n in needles} - {"", "zzzz"}:
+        same = [n for n in set(names) if n.lower() == needle.lower()]
+        scored = sorted((-round(similarity.suggestion_score(needle, n), 6), n) for n in set(names))
+        assert got[needle] == (same or [n for s, n in scored if s <= -0.25][:3]), needle
+    assert "zzzz" not in got and "" not in got
+
+
+def test_resolution_by_tier(spark):
+    catalogue = spark.createDataFrame([("A_1", "Python", "CT_LANG"), ("A_2", "PyTorch", "CT_FRAM"), ("A_3", "Python", "CT_TOOL")], "code string, name string, type_code string")
+    aliases = spark.createDataFrame([("py", "python")], "alias string, canonical string")
+    asked = spark.createDataFrame([("a_2", None), ("PY ", "CT_LANG"), ("pythn", "CT_TOOL"), ("qqqq", None), ("", None)], "needle string, hint string")
+    rows = {}
+    for r in resolve.resolve_competencies(asked, catalogue, aliases).orderBy("rank").collect():
+        rows.setdefault(r.needle, []).append((r.code, r.score, r.source))
+    assert rows["a_2"] == [("A_2", 100.0, "exact")]
+    assert rows["PY "][:2] == [("A_1", 105.0, "alias"), ("A_3", 95.0, "alias")]
+    best = similarity.weighted_ratio("pythn", "Python")
+    assert rows["pythn"] == [("A_3", round(best, 6) + 15, "fuzzy")]  # the last row of the name
+    assert set(rows) == {"a_2", "PY ", "pythn"}
+
+
+def test_containing_is_a_nested_loop(spark):
+    rng = random.Random(2)
+    holders = ["".join(rng.choice("abcd") for _ in range(rng.randint(0, 12))) for _ in range(80)]
+    parts = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(0, 5))) for _ in range(60)})
+    got = resolve.containing(spark.createDataFrame(list(enumerate(holders)), "k int, h string"), spark.createDataFrame([(p,) for p in parts], "p string"), "h", "p").collect()
+    assert sorted((r.k, r.p) for r in got) == sorted((k, p) for k, h in enumerate(holders) for p in parts if p and p in h)
+
+
+def test_search_terms_and_short_names(spark):
+    texts = ["Learn python and SQL, SQL", "what about CBAP", "short text", "", None, "a very long question about nothing that any of the known words would ever be able to match at all"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(resolve.search_terms(F.col("t"))).collect()
+    assert [r[0] for r in rows] == [["python", "SQL"], ["CBAP"], ["short text"], [], [], ["question", "nothing", "about"]]
+    pairs = [("CBAP", "C", True), ("learn C now", "c", False), ("C", "c", False), ("go", "Golang", False), ("x", "", True), ("use c++", "C+", True)]
+    rows = spark.createDataFrame(pairs, "n string, c string, want boolean").select(resolve.spurious(F.col("n"), F.col("c")), "want").collect()
+    assert [r[0] for r in rows] == [r[1] for r in rows]
+
+
+def test_alias_scan_rules(spark):
+    texts = spark.createDataFrame([(1, "JavaScript and go"), (2, "gopher java"), (3, "GO"), (4, None)], "doc_id int, text string")
+    aliases = spark.createDataFrame([("competency", "go", "Go"), ("competency", "java", "Java"), ("competency", "javas", "Java"), ("career", "g", "G"), ("competency", "", "none")], "kind string, alias string, canonical string")
+    got = sorted((r.doc_id, r.canonical, r.alias) for r in resolve.alias_scan(texts, aliases).collect())
+    assert got == [(1, "Go", "go"), (1, "Java", "javas"), (2, "Java", "java"), (3, "Go", "go")]
