@@ -85,3 +85,109 @@ def validation_errors(rows: DataFrame, key: str, text: str) -> DataFrame:
         F.when(F.col("n_text") > 1, F.lit("duplicate_text")),
     ]
     return joined.select(key, F.array_join(F.array_compact(F.array(*rules)), ",").alias("errors")).filter(F.col("errors") != "")
+
+
+#: The intents of training rows.
+INTENTS = ("pathfinding", "course_rec", "competency_relation", "skills_gap")
+
+
+def content(place: int) -> Column:
+    """The text of a message of a row (messages: array of role and content)."""
+    return F.coalesce(F.get("messages", F.lit(place))["content"], F.lit(""))
+
+
+def entity_key(meta: str = "meta") -> Column:
+    """Whom a row is about: by its meta data, else by the snapshot in the user's message, else unknown."""
+    named = [F.nullif(F.col(meta)[k], F.lit("")) for k in ("entity_key", "career", "competency")]
+    snapshot = F.regexp_extract(content(1), r"(?s)(\{.*\})", 1)
+    found = [F.nullif(F.get_json_object(snapshot, f"$.{k}"), F.lit("")) for k in ("career_name", "competency_name")]
+    return F.lower(F.coalesce(*named, *found, F.lit("unknown")))
+
+
+def intent_of(meta: str = "meta", file_name: str = "file_name") -> Column:
+    """What a row teaches: by its meta data, else the name of its file, else the words of the system's message."""
+    own, name = F.col(meta)["intent"], F.regexp_extract(F.col(file_name), r"ft_generator_([a-z_]+)\.jsonl", 1)
+    low = F.lower(content(0))
+    return F.when(own.isin(*INTENTS), own).when(name != "", name).when(low.contains("course"), "course_rec").otherwise("pathfinding")
+
+
+def dedup_key(entity: Column, question: Column) -> Column:
+    """Rows with one key ask the same about the same."""
+    return F.concat(F.lit("hash:"), F.substring(F.sha2(F.concat_ws("\n", entity, F.trim(question)), 256), 1, 16))
+
+
+def source_priority(meta: str = "meta") -> Column:
+    source = F.coalesce(F.col(meta)["source"], F.lit(""))
+    return F.when(source == "chat", 2).when(source == "synthetic", 1).when(F.col(meta)["message_id"].isNotNull(), 2).otherwise(0)
+
+
+def merge_training_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` (messages, meta, file_name) of all sources with entity, intent and key: of the rows of an intent with
+    one key that of the highest priority, then the first."""
+    question = F.regexp_extract(content(1), r"(?s)Question:\s*(.+)$", 1)
+    keyed = rows.withColumns({"entity": entity_key(), "intent": intent_of()})
+    keyed = keyed.withColumn("key", dedup_key(F.col("entity"), F.when(question != "", question).otherwise(content(1))))
+    order = Window.partitionBy("intent", "key").orderBy(F.desc(source_priority()), "file_name", F.xxhash64("messages"))
+    return keyed.withColumn("place", F.row_number().over(order)).filter("place = 1").drop("place")
+
+
+def message_errors(rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose messages are not one system, one user and one assistant message in turn, or lack text."""
+    roles = F.transform("messages", lambda m: F.coalesce(m["role"], F.lit("")))
+    rules = [
+        F.when(F.size("messages") < 3, "too_few_messages"),
+        F.when(F.slice(roles, 1, 3) != F.array(*map(F.lit, ("system", "user", "assistant"))), "role_order"),
+        F.when(F.exists("messages", lambda m: F.trim(F.coalesce(m["content"], F.lit(""))) == ""), "empty_content"),
+    ]
+    return rows.select(key, F.array_join(F.array_compact(F.array(*rules)), ",").alias("errors")).filter("errors <> ''")
+
+
+def topped_up_sample(rows: DataFrame, strata: list[str], key: str, size: int) -> DataFrame:
+    """key and stratum of ``size`` rows: from the largest stratum to the smallest max(1, round(share)) rows each while
+    any are left, the last stratum what is left; then rows of any stratum fill up. Rows come in hash order."""
+    stratum = F.concat_ws("|", *(F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("_")) for c in strata))
+    marked = rows.select(key, stratum.alias("stratum"), hash_order(key).alias("h"))
+    counts = marked.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    # one row a stratum
+    order, everything = Window.orderBy(F.desc("n"), "stratum"), Window.partitionBy()
+    shares = counts.withColumns({"place": F.row_number().over(order), "last": F.count(F.lit(1)).over(everything), "total": F.sum("n").over(everything)})
+    want = F.least(F.col("n"), F.greatest(F.lit(1), F.bround(size * F.col("n") / F.col("total"), 0).cast("long")))
+    shares = shares.withColumn("want", F.when(F.col("place") == F.col("last"), F.col("n")).otherwise(want))
+    before = F.coalesce(F.sum("want").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    quotas = shares.withColumn("quota", F.greatest(F.lit(0), F.least(F.col("want"), size - before))).select("stratum", "quota")
+    inside = F.row_number().over(Window.partitionBy("stratum").orderBy("h", key))
+    ranked = marked.withColumn("rn", inside).filter(F.col("rn") <= size).join(quotas, "stratum")
+    # at most twice the sample is left here
+    picked = ranked.filter(F.col("rn") <= F.col("quota")).withColumn("extra", F.lit(0))
+    others = ranked.filter(F.col("rn") > F.col("quota")).orderBy("h", key).limit(size).withColumn("extra", F.lit(1))
+    return picked.unionByName(others).orderBy("extra", "h", key).limit(size).select(key, "stratum")
+
+
+def gold_errors(rows: DataFrame) -> DataFrame:
+    """Rule violations of gold cases (id, intent, question, gold_source, careers, courses): what an intent requires, and
+    ids that an earlier case (position) has."""
+    empty = F.coalesce(F.size("careers"), F.lit(0)) <= 0
+    place = F.row_number().over(Window.partitionBy("id").orderBy("position"))
+    rules = [
+        F.when(F.trim(F.coalesce("question", F.lit(""))) == "", "missing question"),
+        F.when(F.trim(F.coalesce("gold_source", F.lit(""))) == "", "missing gold_source"),
+        F.when(F.col("place") > 1, "duplicate id"),
+        F.when((F.col("intent") == "pathfinding") & empty, "no expected careers"),
+        F.when((F.col("intent") == "course_rec") & F.col("courses").isNull(), "no expected courses"),
+        F.when((F.col("intent") == "skills_gap") & empty, "no career"),
+    ]
+    marked = rows.withColumn("intent", F.coalesce(F.nullif("intent", F.lit("")), F.lit("pathfinding"))).withColumn("place", place)
+    return marked.select("position", "id", F.array_join(F.array_compact(F.array(*rules)), "; ").alias("errors")).filter("errors <> ''")
+
+
+def representative(rows: DataFrame, group: str, text: str, key: str) -> DataFrame:
+    """The query that stands for each entity: one with marked letters before others, then the shortest."""
+    marked = F.col(text).rlike("[\\p{L}&&[^\\p{ASCII}]]")
+    best = F.min_by(F.struct(key, text), F.struct((~marked).alias("m"), F.length(text).alias("n"), F.col(key)))
+    return rows.groupBy(group).agg(best.alias("b")).select(group, "b.*")
+
+
+def from_templates(entities: DataFrame, templates: list[str], key: str, name: str) -> DataFrame:
+    """key, place, text: each template with the entity's name in it, in turn."""
+    texts = F.posexplode(F.array(*(F.replace(F.lit(t), F.lit("{name}"), F.col(name)) for t in templates)))
+    return entities.select(key, texts.alias("place", "text"))

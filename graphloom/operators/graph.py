@@ -264,3 +264,83 @@ def chunk_months(rows: DataFrame, group: str, order: Sequence[str], months: int)
     n = F.count(F.lit(1)).over(window)
     place = F.row_number().over(window.orderBy(*order))
     return rows.withColumn("month", (F.floor((place - 1) / F.ceil(n / months)) + 1).cast("int"))
+
+
+def weak_skills(need: DataFrame, known: DataFrame, competency: DataFrame, missing: DataFrame, k: int = 3) -> DataFrame:
+    """Of the known needs of a career the first ``k`` by priority and name whose names are not missing."""
+    names = competency.select("item_code", "item_name")
+    gone = missing.join(names, "item_code").select("career_code", F.lower(F.trim("item_name")).alias("low")).distinct()
+    mine = need.join(known, ["career_code", "item_code"], "left_semi").join(names, "item_code").withColumn("low", F.lower(F.trim("item_name")))
+    order = Window.partitionBy("career_code").orderBy(priority_rank(F.col("priority_group")), "item_name", "item_code")
+    ranked = mine.join(gone, ["career_code", "low"], "left_anti").withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= k).select("career_code", "rank", "item_code", "item_name")
+
+
+def context_lines(career: DataFrame, need: DataFrame, competency: DataFrame, courses: DataFrame, skills: int = 12, most_courses: int = 8) -> DataFrame:
+    """career_code, context: a line a kind with its first skills, and a line of the courses that teach what is needed."""
+    rows = need.join(competency, "item_code")
+    order = Window.partitionBy("career_code", "kind").orderBy(priority_rank(F.col("priority_group")), "item_name", "item_code")
+    first = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= skills)
+    kinds = first.groupBy("career_code", "kind").agg(F.array_sort(F.collect_list(F.struct("rank", "item_name"))).alias("s"))
+    lines = kinds.select("career_code", rank_of(F.col("kind"), KINDS, 99).alias("place"), F.concat("kind", F.lit(": "), F.array_join(F.transform("s", lambda x: x["item_name"]), ", ")).alias("line"))
+    named = need.select("career_code", "item_code").join(courses.select("item_code", "course_name"), "item_code").select("career_code", "course_name").distinct()
+    by_name = F.row_number().over(Window.partitionBy("career_code").orderBy("course_name"))
+    some = named.withColumn("rn", by_name).filter(F.col("rn") <= most_courses).groupBy("career_code").agg(F.concat(F.lit("Courses: "), F.array_join(F.array_sort(F.collect_list("course_name")), ", ")).alias("line"))
+    everything = lines.unionByName(some.select("career_code", F.lit(1000).alias("place"), "line"))
+    joined = everything.groupBy("career_code").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("l"))
+    return career.join(joined, "career_code", "left").select("career_code", F.concat_ws("\n", "career_name", F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("context"))
+
+
+def allocate_months(courses: DataFrame, topics: DataFrame, group: str, months: int, per_month: int) -> DataFrame:
+    """group, month, place, title: the courses of a plan. ``courses``: group, skill, place, title in the order of the
+    pool; ``topics``: group, month (from 0), topic.
+
+    A month takes courses of the skills that its topics match, at most ``per_month``; if none matches, those of the
+    skill of its number; then unused courses of the pool, from where the month before stopped. One group is one
+    person's plan, which is small."""
+    import pandas as pd
+
+    def plan(key: tuple, pool: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        pool = pool.sort_values("place")
+        skills = list(dict.fromkeys(pool["skill"]))
+        titles, cursor, out = list(pool["title"]), 0, []
+        for month in range(months):
+            taken: dict[str, None] = {}
+            for topic in wanted.loc[wanted["month"] == month, "topic"]:
+                words = set(topic.replace("/", " ").replace("&", " ").replace(",", " ").split())
+                for skill in skills:
+                    if skill and topic and (skill in topic or topic in skill or skill in words):
+                        taken |= dict.fromkeys(t for s, t in zip(pool["skill"], titles, strict=True) if s == skill)
+            if not taken and skills:
+                skill = skills[min(month, len(skills) - 1)]
+                taken = dict.fromkeys(t for s, t in zip(pool["skill"], titles, strict=True) if s == skill)
+            chosen = list(taken)[:per_month]
+            while len(chosen) < per_month and cursor < len(titles):
+                if titles[cursor] not in chosen:
+                    chosen.append(titles[cursor])
+                cursor += 1
+            out += [(key[0], month, place, title) for place, title in enumerate(chosen)]
+        return pd.DataFrame(out, columns=[group, "month", "place", "title"])
+
+    low = courses.select(group, F.lower("skill").alias("skill"), "place", F.lower("title").alias("title"))
+    asked = topics.select(F.col(group).alias("asked_by"), F.col("month").alias("month"), F.lower("topic").alias("topic"))
+    # both sides come from one table: fresh names keep their columns apart
+    low = low.toDF(group, "skill", "place", "title")
+    return low.groupBy(group).cogroup(asked.groupBy("asked_by")).applyInPandas(plan, f"{group} long, month int, place int, title string")
+
+
+def overlay_urls(listed: DataFrame, known: DataFrame) -> DataFrame:
+    """key, title, url of listed courses (key, title, url) with the page of the graph's course (title, url, position) of
+    that title, else of the first whose title holds it or is held by it; a generic URL of a course without one goes."""
+    from graphloom.operators.resolve import containing
+
+    asked = listed.withColumn("low", F.lower(F.trim(F.coalesce("title", F.lit("")))))
+    first = known.withColumn("graph_low", F.lower(F.trim("title"))).filter("graph_low <> ''").groupBy("graph_low").agg(F.min_by(F.struct("url", "position"), "position").alias("b")).select("graph_low", "b.*")
+    texts = asked.select("low").distinct().filter("low <> ''")
+    exact = texts.join(first, F.col("low") == F.col("graph_low")).select("low", F.col("url").alias("found"))
+    rest = texts.join(exact.select("low"), "low", "left_anti")
+    part = containing(rest, first.select("graph_low", "url", "position"), "low", "graph_low").select("low", "url", "position")
+    whole = containing(first, rest, "graph_low", "low").select("low", "url", "position")
+    near = part.unionByName(whole).groupBy("low").agg(F.min_by("url", "position").alias("found"))
+    met = asked.join(exact.unionByName(near), "low", "left")
+    return met.select("key", "title", F.coalesce(F.nullif(F.trim("found"), F.lit("")), F.when(~T.is_generic_url(F.col("url")), F.col("url"))).alias("url"))

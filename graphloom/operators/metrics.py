@@ -202,3 +202,41 @@ def bootstrap_mean(rows: DataFrame, group: str, value: str, resamples: int = 100
     low, high = max(0, math.floor(alpha * resamples)), min(resamples - 1, math.ceil((1 - alpha) * resamples) - 1)
     at = {name: F.element_at("totals", place + 1) / F.col("n_rows") for name, place in (("low", low), ("high", high))}
     return whole.join(totals, F.col("g").eqNullSafe(F.col("tg"))).select(F.col("g").alias(group), "n_rows", "mean", at["low"].alias("low"), at["high"].alias("high"))
+
+
+def scoped_means(rows: DataFrame, scopes: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """scope, value, n_rows and means: over all rows and by each scope on its own."""
+    columns = [F.col(c) for c in scopes]
+    sets = rows.groupingSets([[], *([c] for c in columns)], *columns)
+    made = sets.agg(*(F.grouping(c).alias(f"no_{c}") for c in scopes), F.count(F.lit(1)).alias("n_rows"), *(F.round(F.avg(v), 6).alias(v) for v in values))
+    scope, value = F.lit("all"), F.lit("all")
+    for c in scopes:
+        here = F.col(f"no_{c}") == 0
+        scope, value = F.when(here, c).otherwise(scope), F.when(here, F.coalesce(F.col(c).cast("string"), F.lit("unknown"))).otherwise(value)
+    return made.select(scope.alias("scope"), value.alias("value"), "n_rows", *values)
+
+
+def latency_summary(rows: DataFrame, group: str, value: str, share: float = 0.95) -> DataFrame:
+    """Mean, nearest-rank percentile and maximum of each group."""
+    plain = rows.groupBy(group).agg(F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("most"))
+    return plain.join(nearest_rank(rows, group, value, share), group).select(group, "n_rows", "mean", F.col("percentile").alias("p95"), "most")
+
+
+def ratio_of_sums(rows: DataFrame, group: str, part: Column, whole: Column) -> DataFrame:
+    """Sum of the parts over the sum of the wholes in each group; 1 where there is no whole."""
+    sums = rows.groupBy(group).agg(F.sum(part).alias("part"), F.sum(whole).alias("whole"))
+    return sums.select(group, "part", "whole", F.round(F.when(F.col("whole") > 0, F.col("part") / F.col("whole")).otherwise(1.0), 6).alias("ratio"))
+
+
+def group_effect(rows: DataFrame, group: Column, value: str) -> DataFrame:
+    """Difference of the means of the rows where ``group`` holds and the others, and the rank-biserial effect."""
+    means = rows.filter(F.col(value).isNotNull()).agg(F.avg(F.when(group, F.col(value))).alias("x"), F.avg(F.when(~group, F.col(value))).alias("y"))
+    return rank_biserial(rows, group, value).crossJoin(means).select("nx", "ny", F.round(F.col("x") - F.col("y"), 6).alias("mean_delta"), "effect")
+
+
+def error_report(rows: DataFrame, case: str, mode: str, modes: Sequence[str], value: str, least: float, most: float) -> DataFrame:
+    """winner, loser, n_wins, cases: for each ordered pair of modes the cases that the first wins, in order."""
+    wide = rows.groupBy(case).pivot(mode, list(modes)).agg(F.round(F.avg(value), 6))
+    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("winner"), F.lit(b).alias("loser"), F.coalesce((F.col(f"`{a}`") >= least) & (F.col(f"`{b}`") <= most), F.lit(False)).alias("won")) for a in modes for b in modes if a != b)))
+    won = wide.select(case, pairs.alias("p")).select(case, "p.*").filter("won")
+    return won.groupBy("winner", "loser").agg(F.count(F.lit(1)).alias("n_wins"), F.array_sort(F.collect_list(case)).alias("cases"))

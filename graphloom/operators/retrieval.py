@@ -213,3 +213,69 @@ def expanded_query(texts: DataFrame, found: DataFrame, caps: dict[str, int]) ->
     names = names.select("doc_id", F.array_join(F.array_distinct(F.transform("n", lambda x: x["canonical"])), " | ").alias("n"))
     joined = texts.select("doc_id", "text").join(names, "doc_id", "left")
     return joined.select(F.col("doc_id").alias("query_id"), F.when(F.col("n").isNull(), F.col("text")).otherwise(F.concat_ws("\n", "text", "n")).alias("expanded"))
+
+
+def doc_key(chunk_id: Column, doc_id: Column, canonical_id: Column, text: Column) -> Column:
+    """What a document is known by: its chunk, document or canonical id, else the first 120 characters of its text."""
+
+    def filled(c: Column) -> Column:
+        return F.nullif(F.trim(c.cast("string")), F.lit(""))
+
+    return F.coalesce(filled(chunk_id), filled(doc_id), filled(canonical_id), F.substring(F.coalesce(text, F.lit("")), 1, 120))
+
+
+def vector_arm(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """The hits (query_id, doc_id, rank) whose document (doc_id, text) has a text, ranked anew."""
+    good = texts.filter(F.trim(F.coalesce("text", F.lit(""))) != "").select("doc_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "doc_id"))
+    return hits.join(good, "doc_id", "left_semi").withColumn("rank", rank)
+
+
+def retrieve(vector: DataFrame, lexical: DataFrame | None, relevant: DataFrame | None, is_edge: Column, edges: DataFrame, k: int, pool: int = 60, cap: int = EDGE_CAP) -> DataFrame:
+    """Both arms (query_id, doc_id, rank; the vector arm with score) fused, boosted and capped. Without a lexical arm, or
+    for a query that has no lexical hit, the vector arm keeps its own scores. ``edges``: doc_id and the columns of ``is_edge``."""
+    first = vector.filter(F.col("rank") <= pool)
+    if lexical is None:
+        ranked = first.select("query_id", "doc_id", "rank", "score")
+    else:
+        second = lexical.filter(F.col("rank") <= pool)
+        fused = rrf(first, second, 2 * pool)
+        asked = second.select("query_id").distinct()
+        ranked = fused.join(asked, "query_id", "left_semi").unionByName(first.select("query_id", "doc_id", "rank", "score").join(asked, "query_id", "left_anti"))
+    if relevant is not None:
+        ranked = boosted(ranked, relevant, 2 * pool)
+    marked = ranked.join(edges, "doc_id", "left")
+    return capped(marked, F.coalesce(is_edge, F.lit(False)), k, cap).select("query_id", "doc_id", F.col("new_rank").alias("rank"), "score")
+
+
+#: The name space of domain names, and the relation types that have documents of their own.
+DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
+EDGE_TYPES = ("BUILT_ON", "VALIDATES", "REQUIRES")
+
+
+def name_uuid(kind: Column, key: Column) -> Column:
+    """The version 5 UUID of "kind:key" among domain names."""
+    data = F.concat(F.unhex(F.lit(DNS_NAMESPACE)), F.encode(F.concat_ws(":", kind, key.cast("string")), "utf-8"))
+    digest = F.sha1(data)
+    variant = F.lower(F.hex(F.conv(F.substring(digest, 17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
+    return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
+
+
+def edge_documents(relation: DataFrame, competency: DataFrame) -> DataFrame:
+    """edge_id, rel_type, text of the relations that are searched as documents of their own."""
+    names = competency.select("item_code", "item_name")
+    rows = relation.filter(F.col("rel_type").isin(*EDGE_TYPES))
+    named = rows.join(names.toDF("src", "src_name"), "src").join(names.toDF("dst", "dst_name"), "dst")
+    key = F.concat_ws(":", F.col("src").cast("string"), "rel_type", F.col("dst").cast("string"))
+    return named.select(name_uuid(F.lit("edge"), key).alias("edge_id"), "src", "rel_type", "dst", F.concat_ws(" ", "src_name", F.lower(F.replace("rel_type", F.lit("_"), F.lit(" "))), "dst_name").alias("text"))
+
+
+def seed_codes(hits: DataFrame) -> DataFrame:
+    """query_id, kind, place, code: the codes that hits (query_id, rank, doc_type, code, items) stand for, in their order
+    and once each. A course stands for the competencies it teaches too; other kinds of documents for nothing."""
+    own = F.when(F.col("doc_type").isin("career", "competency", "course"), F.array(F.struct(F.col("doc_type").alias("kind"), F.trim("code").alias("code"), F.lit(0).alias("at"))))
+    taught = F.when(F.col("doc_type") == "course", F.transform("items", lambda c, i: F.struct(F.lit("competency").alias("kind"), F.trim(c).alias("code"), (i + 1).alias("at"))))
+    empty = F.array().cast("array<struct<kind: string, code: string, at: int>>")
+    rows = hits.select("query_id", "rank", F.explode(F.concat(F.coalesce(own, empty), F.coalesce(taught, empty))).alias("x")).select("query_id", "rank", "x.*").filter("code <> ''")
+    first = rows.groupBy("query_id", "kind", "code").agg(F.min(F.struct("rank", "at")).alias("first"))
+    return first.select("query_id", "kind", F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("first", "code")).alias("place"), "code")

@@ -51,3 +51,15 @@ def feedback_queue(messages: DataFrame, feedback: DataFrame) -> DataFrame:
     rows = messages.filter(F.col("role") == "assistant").join(feedback, ["conv_id", "turn"], "left")
     reason = F.when(F.col("rating") == -1, "negative").when(F.length("text") < 80, "short").when(F.col("rating").isNull(), "unrated")
     return rows.select("conv_id", "turn", "rating", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def approved_examples(messages: DataFrame, feedback: DataFrame, most: int) -> DataFrame:
+    """The newest ``most`` assistant messages whose feedback was approved: a top-k report."""
+    good = feedback.filter("status = 'approved'").select("conv_id", "turn", "created")
+    return messages.filter("role = 'assistant'").join(good, ["conv_id", "turn"]).orderBy(F.desc("created"), "conv_id", "turn").limit(most)
+
+
+def recent_sessions(messages: DataFrame, touched: DataFrame, since: Column) -> DataFrame:
+    """Sessions (conv_id, created, updated) created at ``since`` or later, with their number of messages."""
+    counts = messages.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_messages"))
+    return touched.filter(F.col("created") >= since).join(counts, "conv_id", "left").fillna(0, ["n_messages"])
