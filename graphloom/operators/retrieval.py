@@ -25,13 +25,26 @@ def tokens(text: Column) -> Column:
     return F.when(F.size(words) > 0, words).otherwise(signs)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores, where their files have fewer splits than that; a large table stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def with_words(rows: DataFrame, *keys: str) -> DataFrame:
+    """The keys and the tokens of each text as words: ``tokens`` in steps, so that each part is evaluated once."""
+    low = rows.select(*keys, F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    split = low.select(*keys, "low", F.filter(F.split("low", r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 1).alias("words"))
+    signs = F.filter(F.regexp_extract_all("low", F.lit("[a-z0-9+#.]+"), 0), lambda w: F.length(w) > 1)
+    return split.select(*keys, F.when(F.size("words") > 0, F.col("words")).otherwise(signs).alias("words"))
+
+
 def term_weights(docs: DataFrame, queries: DataFrame) -> tuple[list, float]:
     """(query_id, term, weight) of the terms of a stated query set, and the mean length of a document. A weight is the
     idf over all documents times how often the query has the term. A negative idf becomes EPSILON times the mean idf
     over the vocabulary. One pass over the texts counts documents by term, and under a null term all of them."""
-    words = tokens(F.col("text"))
-    marked = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size(words).cast("long").alias("dl"))), F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("term"), F.lit(0).cast("long").alias("dl"))))
-    counts = docs.select(F.inline(marked)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl"))
+    marked = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("words").cast("long").alias("dl"))), F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).cast("long").alias("dl"))))
+    counts = with_words(docs).select(F.inline(marked)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl"))
     counts = counts.persist()
     try:
         n, total = counts.filter("term is null").select("df", "dl").first() or (0, 0)
@@ -51,6 +64,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     A task scores its documents in blocks against all queries by a matrix product and keeps the best of each query, so
     no posting and no pair of a query and a document is shuffled but those. The queries are a stated set: their term
     weights are held by the driver up to ``MOST_WEIGHTS``; a larger set is to be asked in parts."""
+    docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     weights, mean_length = term_weights(docs, queries)
     if len(weights) > MOST_WEIGHTS:
         raise ValueError(f"more than {MOST_WEIGHTS} query terms: ask the queries in parts")
@@ -103,7 +117,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             columns = [pa.array([ids[q]] * len(rows), id_type), pa.array([int(names[i]) for i in rows], pa.int64()), pa.array([int(values[i, 1]) for i in rows], pa.int64()), pa.array([float(values[i, 0]) for i in rows], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["query_id", "doc_id", "n_terms", "score"])
 
-    split = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("words"))
+    split = with_words(docs.filter("doc_id is not null"), "doc_id")
     return split.mapInArrow(run, f"query_id {kind}, doc_id long, n_terms long, score double")
 
 

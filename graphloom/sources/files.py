@@ -16,10 +16,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False
     if not strict:
         return spark.read.schema(schema).json(path)
     lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    parsed = lines.filter(F.trim("value") != "").select("file", "line", "value", F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("row"))
     message = F.concat("file", F.lit(":"), (F.col("line") + 1).cast("string"), F.lit(": malformed line"))
-    checked = parsed.filter(F.when(F.col("row._bad").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(True))
-    return checked.select("row.*").drop("_bad")
+    good = F.when(F.get_json_object("value", "$").isNull(), F.raise_error(message).cast("boolean")).otherwise(True)
+    return lines.filter(F.trim("value") != "").filter(good).select(F.from_json("value", schema).alias("row")).select("row.*")
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
