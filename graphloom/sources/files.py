@@ -12,10 +12,10 @@ MESSAGES = "array<struct<role: string, content: string>>"
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
     """One row a line that is not blank. A malformed line gives nulls, or with ``strict`` an error that names its file
-    and number once the rows are read."""
+    and number once the rows are read: for files that are checked by people, as a task reads a file whole for that."""
     if not strict:
         return spark.read.schema(schema).json(path)
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
     message = F.concat("file", F.lit(":"), (F.col("line") + 1).cast("string"), F.lit(": malformed line"))
     good = F.when(F.get_json_object("value", "$").isNull(), F.raise_error(message).cast("boolean")).otherwise(True)
     return lines.filter(F.trim("value") != "").filter(good).select(F.from_json("value", schema).alias("row")).select("row.*")
