@@ -139,9 +139,9 @@ def shuffle_to_shards(docs: DataFrame, shards: int = 16, seed: int = 17, bucket_
     before = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     counts = sent.groupBy("shard", bucket).agg(F.count(F.lit(1)).alias(first))
     firsts = counts.withColumn(first, F.coalesce(F.sum(first).over(before), F.lit(0)))
-    # the second permutation: the order of the random keys in a bucket
+    # the second permutation: the order of the random keys in a bucket; as many tasks as buckets
     order = Window.partitionBy("shard", bucket).orderBy(key, part, rank)
-    ranked = sent.withColumn(place, F.row_number().over(order)).join(firsts, ["shard", bucket])
+    ranked = sent.repartition(shards * buckets, "shard", bucket).withColumn(place, F.row_number().over(order)).join(firsts, ["shard", bucket])
     return ranked.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("shard").cast("int").alias("shard"), (F.col(first) + F.col(place) - 1).cast("long").alias("slot"))
 
 
