@@ -64,7 +64,7 @@ def asked_items(m: Model) -> DataFrame:
 #: First search term of each question that a name holds: acronyms, or the text itself.
 MATCH_SQL = f"""{ASKED_SQL},
     terms AS (SELECT query_id, text, unnest(CASE WHEN len(regexp_extract_all(text, '\\b[A-Z]{{3,}}\\b')) > 0
-                  THEN list_distinct(list_concat(regexp_extract_all(text, '\\bSQL\\b'), regexp_extract_all(text, '\\b[A-Z]{{3,}}\\b'))) ELSE [text] END) AS term FROM asked),
+                  THEN list_distinct(list_concat(regexp_extract_all(text, '\\bSQL\\b'), regexp_extract_all(text, '\\b[A-Z]{{3,}}\\b'))) ELSE [trim(text)] END) AS term FROM asked),
     placed AS (SELECT *, CASE WHEN term = 'SQL' THEN 0 ELSE 1 END AS place FROM terms),
     met AS (SELECT query_id, term, place, item_code, item_name, row_number() OVER (
                 PARTITION BY query_id, term ORDER BY lower(trim(item_name)) <> lower(trim(term)), length(item_name) DESC, item_code) AS rn
@@ -244,3 +244,13 @@ def known_skill_codes(m: Model) -> DataFrame:
     form_map = m.spark.createDataFrame([("form 1", ["P_1", "P_2"]), ("form 2", ["P_3"])], "token string, codes array<string>")
     no_aliases = m.spark.createDataFrame([], "alias string, canonical string")
     return resolve.known_codes(typed, form_map, no_aliases, coded_catalogue(m), T.label)
+
+
+@query(
+    """SELECT doc_id, substr(regexp_replace(lower(lang || ' ' || source || ' ' || coalesce(substr(text, 1, 40), '')), '[^a-z0-9]+', '_', 'g'), 1, 24) AS slug,
+           trim(regexp_replace(lower(substr(text, 1, 200)), '\\s+', ' ', 'g')) AS plain, strip_accents(substr(text, 1, 200)) AS unmarked FROM documents"""
+)
+def text_forms(m: Model) -> DataFrame:
+    head = F.substring("text", 1, 200)
+    named = F.concat_ws(" ", "lang", "source", F.coalesce(F.substring("text", 1, 40), F.lit("")))
+    return m.table("documents").select("doc_id", T.slug(named, 24).alias("slug"), T.normalised(head).alias("plain"), T.without_marks(head).alias("unmarked"))
