@@ -50,13 +50,13 @@ def pathfinding(career: DataFrame, need: DataFrame, competency: DataFrame, k: in
 
 def course_order() -> list[Column]:
     """Courses with a page of their own first, then the highest coverage, seeds, names."""
-    return [T.is_generic_url(F.col("url")), F.coalesce("coverage_level", F.lit(0)).desc(), F.desc("is_seed"), F.coalesce("course_name", F.lit("")), F.col("course_code")]
+    return [F.col("generic"), F.coalesce("coverage_level", F.lit(0)).desc(), F.desc("is_seed"), F.coalesce("course_name", F.lit("")), F.col("course_code")]
 
 
 def top_courses(teach: DataFrame, course: DataFrame, k: int, seeds: DataFrame | None = None) -> DataFrame:
     """The first ``k`` courses of each competency."""
     # the order of courses by URL, seed and name is found once a course, not once an edge
-    known = seeded(course, seeds, "course_code")
+    known = seeded(course, seeds, "course_code").withColumn("generic", T.is_generic_url(F.col("url"))).drop("url")
     ranked = teach.join(known, "course_code").withColumn("rank", F.row_number().over(Window.partitionBy("item_code").orderBy(*course_order())))
     return ranked.filter(F.col("rank") <= k).select("item_code", "rank", "course_code", "course_name", "organization", "level", "coverage_level", "is_seed")
 
@@ -88,9 +88,9 @@ def subject_careers(competency: DataFrame, teach: DataFrame, need: DataFrame, ca
 
 def neighbourhood(relation: DataFrame) -> DataFrame:
     """item_code, direction, rel_type, other_code: each edge seen from both ends."""
-    out = relation.select(F.col("src").alias("item_code"), F.lit("outgoing").alias("direction"), "rel_type", F.col("dst").alias("other_code"))
-    into = relation.select(F.col("dst").alias("item_code"), F.lit("incoming").alias("direction"), "rel_type", F.col("src").alias("other_code"))
-    return out.unionByName(into)
+    ends = (("src", "outgoing", "dst"), ("dst", "incoming", "src"))
+    seen = [F.struct(F.col(own).alias("item_code"), F.lit(direction).alias("direction"), F.col("rel_type").alias("rel_type"), F.col(other).alias("other_code")) for own, direction, other in ends]
+    return relation.select(F.inline(F.array(*seen)))
 
 
 def relation_coverage_of_items(competency: DataFrame, relation: DataFrame, directions: DataFrame) -> DataFrame:
