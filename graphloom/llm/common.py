@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,10 +72,11 @@ def only(name: str, *caches: dict) -> None:
     """Registers the caches that ``name`` fills in this Python process and empties those of all others: workers are
     used again by later stages, which would otherwise add their memory to what earlier ones left."""
     _HOLDERS[name] = caches
-    for other, held in _HOLDERS.items():
-        if other != name:
-            for cache in held:
-                cache.clear()
+    others = [cache for other, held in _HOLDERS.items() if other != name for cache in held if cache]
+    for cache in others:
+        cache.clear()
+    if others:
+        pa.default_memory_pool().release_unused()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

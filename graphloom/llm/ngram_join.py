@@ -48,7 +48,7 @@ def choose_bands(threshold: float, recall: float, rows: int) -> int:
 class WordHashes(dict):
     """64-bit hashes of words, kept up to a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:

@@ -177,7 +177,7 @@ def pack_documents(
     names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, packer, tail = tokens.library_cache(tokenizer_path), Packer(tiers), int(end_id).to_bytes(4, "little")
+        cache, packer, tail = tokens.library_cache(tokenizer_path, tokens.KEPT_FEW), Packer(tiers), int(end_id).to_bytes(4, "little")
         base = TaskContext.get().partitionId() << 33
         counts = {"sequence": 0, "step": 0}
 

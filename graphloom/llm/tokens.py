@@ -194,15 +194,21 @@ class LibraryEncoder(dict):
         return b"".join([self[mapped if mapped.isascii() else "\0" + mapped] for mapped, _ in self.split(text)])
 
 
-_ENCODERS: dict[str, PieceCache] = {}
+_ENCODERS: dict[tuple, PieceCache] = {}
 
 
-def library_cache(path: str) -> PieceCache:
+#: Pieces and matches that a Python process keeps, and the fewer ones of an operator that runs among others: workers
+#: that wait for their next task hold their caches too.
+KEPT, KEPT_FEW = (700_000, 200_000), (250_000, 100_000)
+
+
+def library_cache(path: str, kept: tuple[int, int] = KEPT) -> PieceCache:
     """One cache for each vocabulary file and Python process; it serves the tasks that the process runs."""
     only("library encoder", _ENCODERS)
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceCache(LibraryEncoder(path))
-    return _ENCODERS[path]
+    if (path, kept) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, kept] = PieceCache(LibraryEncoder(path, kept[1]), kept[0])
+    return _ENCODERS[path, kept]
 
 
 def crc32_of(ids: bytes) -> int:
