@@ -62,9 +62,9 @@ def merged_gaps(rows: DataFrame, keys: Sequence[str], position: str) -> DataFram
 def course_blocks(asked: DataFrame, skills: DataFrame, courses: DataFrame, owner: str) -> DataFrame:
     """A block for each skill asked for (``owner``, place, skill), in the order asked, also where no course is known.
     A skill of the owner has the same name, or the same without regard to case; ``courses``: item_code, rank, course_name."""
-    wanted = asked.withColumn("skill", F.trim("skill")).filter("skill <> ''")
-    named = skills.select(F.col(owner).alias("o"), "item_code", "item_name", "priority_group")
-    met = wanted.join(named, (F.col(owner) == F.col("o")) & (F.lower("skill") == F.lower("item_name")), "left")
+    wanted = asked.select(owner, "place", F.trim("skill").alias("skill")).filter("skill <> ''").withColumn("low_name", F.lower("skill"))
+    named = skills.select(owner, F.lower("item_name").alias("low_name"), "item_code", "item_name", "priority_group")
+    met = wanted.join(named, [owner, "low_name"], "left")
     best = F.min_by(F.struct("item_code", "priority_group"), F.struct(F.col("item_name") != F.col("skill"), "item_code"))
     chosen = met.groupBy(owner, "place", "skill").agg(best.alias("b")).select(owner, "place", "skill", "b.*")
     names = F.transform(F.array_sort(F.collect_list(F.struct("rank", "course_name"))), lambda c: c["course_name"])
