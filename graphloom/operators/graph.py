@@ -344,3 +344,29 @@ def overlay_urls(listed: DataFrame, known: DataFrame) -> DataFrame:
     near = part.unionByName(whole).groupBy("low").agg(F.min_by("url", "position").alias("found"))
     met = asked.join(exact.unionByName(near), "low", "left")
     return met.select("key", "title", F.coalesce(F.nullif(F.trim("found"), F.lit("")), F.when(~T.is_generic_url(F.col("url")), F.col("url"))).alias("url"))
+
+
+def distinct_names(rows: DataFrame, name: str) -> DataFrame:
+    """The different names, trimmed, without blank ones."""
+    return rows.select(F.trim(name).alias(name)).filter(F.col(name) != "").distinct()
+
+
+def course_entries(course: DataFrame, teach: DataFrame, competency: DataFrame) -> DataFrame:
+    """Every course with its organization, level and the names of what it teaches, in order; none are an empty text."""
+    named = teach.select("course_code", "item_code").join(competency.select("item_code", "item_name"), "item_code")
+    taught = named.groupBy("course_code").agg(F.array_join(F.array_sort(F.collect_set("item_name")), ", ").alias("teaches"))
+    rows = course.join(taught, "course_code", "left")
+    return rows.select("course_code", "course_name", F.coalesce("organization", F.lit("")).alias("organization"), F.coalesce("level", F.lit("")).alias("level"), F.coalesce("teaches", F.lit("")).alias("teaches"))
+
+
+def known_by_type(known: DataFrame, competency: DataFrame) -> DataFrame:
+    """The names of what each person knows, by type code, in order; codes that there are not are left out."""
+    named = known.join(competency.select("item_code", "item_name", "type_code"), "item_code")
+    return named.groupBy("career_code", "type_code").agg(F.array_sort(F.collect_set("item_name")).alias("names"))
+
+
+def gap_of_types(gap: DataFrame, competency: DataFrame, types: Sequence[str], k: int) -> DataFrame:
+    """The first ``k`` missing competencies of some types for each career, by priority and name."""
+    rows = gap.join(competency.filter(F.col("type_code").isin(*types)).select("item_code", "item_name", "type_code"), "item_code")
+    order = Window.partitionBy("career_code").orderBy(priority_rank(F.col("priority_group")), "item_name", "item_code")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("career_code", "rank", "item_code", "item_name", "type_code")

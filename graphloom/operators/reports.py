@@ -139,3 +139,17 @@ def probes(relation: DataFrame, asked: DataFrame) -> DataFrame:
     there = relation.select("src", "rel_type", "dst", F.lit(True).alias("there")).distinct()
     found = F.coalesce("there", F.lit(False))
     return asked.join(there, ["src", "rel_type", "dst"], "left").select("src", "rel_type", "dst", found.alias("found"), (found == F.col("expected")).alias("passed"))
+
+
+def from_graph_where_missing(cases: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Cases (gold, an array) with the labels that the graph gives for ``key`` where they have none, and their source."""
+    rows = cases.join(labels.select(key, F.col("gold").alias("from_graph")), key, "left")
+    own = F.coalesce(F.size("gold") > 0, F.lit(False))
+    none = F.array().cast("array<string>")
+    return rows.withColumn("source", F.when(own, "given").when(F.col("from_graph").isNotNull(), "graph").otherwise("none")).withColumn("gold", F.when(own, F.col("gold")).otherwise(F.coalesce("from_graph", none))).drop("from_graph")
+
+
+def apply_reviews(feedback: DataFrame, reviews: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Feedback with the status of its last review (``keys``, status, at); feedback without one keeps its own."""
+    last = reviews.groupBy(*keys).agg(F.max_by("status", "at").alias("reviewed"))
+    return feedback.join(last, list(keys), "left").withColumn("status", F.coalesce("reviewed", "status")).drop("reviewed")

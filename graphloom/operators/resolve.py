@@ -281,3 +281,12 @@ def known_codes(tokens: DataFrame, form: DataFrame, aliases: DataFrame, catalogu
     other = rest.join(aliases.select(F.lower("alias").alias("low"), "canonical"), "low").select("owner", label(F.col("canonical")).alias("label"))
     by_name = other.unionByName(rest.select("owner", label(F.col("key")).alias("label"))).join(index, "label").select("owner", "code")
     return direct.unionByName(by_form).unionByName(by_name).distinct()
+
+
+def with_mapped(matches: DataFrame, subjects: DataFrame, mapping: DataFrame, key: str) -> DataFrame:
+    """Competencies that a text names (``key``, place, name) and those that its subjects stand for (subject; mapping:
+    subject, at, name), each once: the named ones first, then in the order of subjects and mapping."""
+    named = matches.select(key, F.struct(F.lit(0).alias("arm"), F.col("place").alias("a"), F.lit(0).alias("b")).alias("at"), "name")
+    mapped = subjects.join(mapping.filter(F.trim("name") != ""), "subject")
+    mapped = mapped.select(key, F.struct(F.lit(1).alias("arm"), F.col("place").alias("a"), F.col("at").alias("b")).alias("at"), F.trim("name").alias("name"))
+    return named.unionByName(mapped).groupBy(key, "name").agg(F.min("at").alias("at")).select(key, "name", F.col("at.arm").alias("arm"), F.col("at.a").alias("place"), F.col("at.b").alias("position"))

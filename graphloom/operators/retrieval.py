@@ -293,3 +293,25 @@ def seed_codes(hits: DataFrame) -> DataFrame:
     rows = hits.select("query_id", "rank", F.explode(F.concat(F.coalesce(own, empty), F.coalesce(taught, empty))).alias("x")).select("query_id", "rank", "x.*").filter("code <> ''")
     first = rows.groupBy("query_id", "kind", "code").agg(F.min(F.struct("rank", "at")).alias("first"))
     return first.select("query_id", "kind", F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("first", "code")).alias("place"), "code")
+
+
+#: The eight runs of a half factorial, as vector seed, graph rerank, BM25 and query expansion.
+FACTORIAL = (
+    (True, True, True, True), (True, True, True, False), (True, True, False, True), (True, False, True, True),
+    (True, False, False, False), (False, True, True, False), (False, True, False, True), (False, False, True, True),
+)
+
+
+def factorial_runs(arms: DataFrame, relevant: DataFrame, k: int, boost: float = BOOST) -> DataFrame:
+    """config, query_id, rank, doc_id, score of each run, all in one pass. ``arms``: query_id, doc_id, rank, lexical,
+    expanded (whether the query was); ``relevant``: doc_id, by_seed (relevant only by way of a vector seed)."""
+    rows = [(f"F1{a:d}_F2{b:d}_F3{c:d}_F4{d:d}", a, b, c, d) for a, b, c, d in FACTORIAL]
+    configs = arms.sparkSession.createDataFrame(rows, "config string, seed boolean, rerank boolean, bm25 boolean, expand boolean")
+    mine = arms.join(F.broadcast(configs), (F.col("expanded") == F.col("expand")) & (~F.col("lexical") | F.col("bm25")))
+    first = F.min(F.struct("lexical", "rank")).alias("first")
+    fused = mine.groupBy("config", "seed", "rerank", "query_id", "doc_id").agg(F.sum(1 / (RRF_K + F.col("rank"))).alias("score"), first)
+    flags = relevant.groupBy("doc_id").agg(F.min("by_seed").alias("by_seed"))
+    lifted = F.col("rerank") & F.col("by_seed").isNotNull() & (~F.col("by_seed") | F.col("seed"))
+    scored = fused.join(flags, "doc_id", "left").withColumn("score", F.round(F.col("score") + F.when(lifted, boost).otherwise(0.0), 9))
+    order = Window.partitionBy("config", "query_id").orderBy(F.desc("score"), "first.lexical", "first.rank", "doc_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("config", "query_id", "rank", "doc_id", "score")

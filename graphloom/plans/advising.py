@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import advice, graph, reports, sessions
-from graphloom.plans.catalogue import KIND_SQL, PRIORITY_SQL, TOP_COURSES_SQL, _messages
+from graphloom.operators import advice, graph, reports, resolve, retrieval, sessions
+from graphloom.plans.catalogue import KIND_SQL, PRIORITY_SQL, RRF_SQL, TOP_COURSES_SQL, _bm25, _messages
 from graphloom.plans.registry import query
 from graphloom.sources.model import KINDS, Model
 
@@ -415,3 +415,108 @@ def relation_probes(m: Model) -> DataFrame:
     even = F.col("dst") % 2 == 0
     asked = m.relation.select("src", "dst", F.when(even, F.col("rel_type")).otherwise("REQUIRES").alias("rel_type"), even.alias("expected"))
     return reports.probes(m.relation, asked)
+
+
+# ablation
+
+
+FACTORIAL_SQL = f"""{RRF_SQL},
+    arms AS (SELECT query_id, doc_id, rank, false AS lexical, e AS expanded FROM arm0, (VALUES (true), (false)) AS t(e) WHERE e OR rank <= 10
+             UNION ALL SELECT query_id, doc_id, rank, true, e FROM arm1, (VALUES (true), (false)) AS t(e) WHERE e OR rank <= 10),
+    configs AS (SELECT * FROM (VALUES ('F11_F21_F31_F41', true, true, true, true), ('F11_F21_F31_F40', true, true, true, false), ('F11_F21_F30_F41', true, true, false, true), ('F11_F20_F31_F41', true, false, true, true),
+        ('F11_F20_F30_F40', true, false, false, false), ('F10_F21_F31_F40', false, true, true, false), ('F10_F21_F30_F41', false, true, false, true), ('F10_F20_F31_F41', false, false, true, true)) AS t(config, seed, rerank, bm25, expand)),
+    mixed AS (SELECT config, seed, rerank, query_id, doc_id, sum(1 / (60 + rank)) AS score, min(CASE WHEN lexical THEN 1000 ELSE 0 END + rank) AS first_ FROM arms JOIN configs ON expanded = expand AND (NOT lexical OR bm25) GROUP BY 1, 2, 3, 4, 5),
+    lifted AS (SELECT config, query_id, doc_id, first_, round(score + CASE WHEN rerank AND coalesce(quality = 1 OR (quality = 0 AND seed), false) THEN 0.15 ELSE 0 END, 9) AS score FROM mixed LEFT JOIN labels USING (doc_id)),
+    runs AS (SELECT * FROM (SELECT config, query_id, row_number() OVER (PARTITION BY config, query_id ORDER BY score DESC, first_, doc_id) AS rank, doc_id, score FROM lifted) WHERE rank <= 5)"""
+
+
+def _factorial(m: Model) -> DataFrame:
+    """Unexpanded queries see half of each pool; documents of quality 1 are relevant, those of 0 by way of a seed."""
+    scores = _bm25(m, 20)
+    lists = [retrieval.top_k(scores, 20, F.desc(c)).select("query_id", "doc_id", "rank", F.lit(c == "n_terms").alias("lexical")) for c in ("score", "n_terms")]
+    arms = lists[0].unionByName(lists[1]).select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("expanded")).filter("expanded OR rank <= 10")
+    relevant = m.table("labels").filter("quality IN (0, 1)").select("doc_id", (F.col("quality") == 0).alias("by_seed"))
+    return retrieval.factorial_runs(arms, relevant, 5)
+
+
+@query(f"WITH {FACTORIAL_SQL} SELECT * FROM runs")
+def factorial_runs(m: Model) -> DataFrame:
+    return _factorial(m)
+
+
+@query(f"WITH {FACTORIAL_SQL} SELECT config, count(*) AS n, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END), 4) AS mean FROM runs LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def factorial_summary(m: Model) -> DataFrame:
+    hit = F.when(F.col("quality") == 1, 1.0).otherwise(0.0)
+    return reports.breakdown(_factorial(m).join(m.table("labels"), "doc_id", "left").withColumn("hit", hit), ["config"], "hit")
+
+
+@query(
+    """WITH g AS (SELECT career_code, list_sort(list(DISTINCT item_name)) AS gold FROM need JOIN competency USING (item_code) WHERE item_code % 2 = 0 GROUP BY 1),
+    c AS (SELECT career_code, CASE WHEN career_code % 3 = 0 THEN [industry] WHEN career_code % 3 = 1 THEN [] END AS own FROM career)
+    SELECT career_code, CASE WHEN len(own) > 0 THEN 'given' WHEN gold IS NOT NULL THEN 'graph' ELSE 'none' END AS source, array_to_string(CASE WHEN len(own) > 0 THEN own ELSE coalesce(gold, []) END, '|') AS gold FROM c LEFT JOIN g USING (career_code)""",
+    model=True,
+)
+def bootstrapped_gold(m: Model) -> DataFrame:
+    k = F.col("career_code") % 3
+    cases = m.career.select("career_code", F.when(k == 0, F.array("industry")).when(k == 1, F.array().cast("array<string>")).alias("gold"))
+    labels = m.need.filter("item_code % 2 = 0").join(m.competency, "item_code").groupBy("career_code").agg(F.array_sort(F.collect_set("item_name")).alias("gold"))
+    return reports.from_graph_where_missing(cases, labels, "career_code").select("career_code", "source", F.array_join("gold", "|").alias("gold"))
+
+
+@query(
+    """WITH r AS (SELECT user_id, arg_max(CASE WHEN value > 100 THEN 'approved' ELSE 'rejected' END, event_id) AS reviewed FROM events WHERE event_type = 'view' GROUP BY 1)
+    SELECT event_id, f.user_id, coalesce(reviewed, 'pending') AS status FROM events f LEFT JOIN r ON r.user_id = f.user_id WHERE event_type = 'click'"""
+)
+def reviewed_feedback(m: Model) -> DataFrame:
+    events = m.table("events")
+    feedback = events.filter("event_type = 'click'").select("event_id", "user_id", F.lit("pending").alias("status"))
+    reviews = events.filter("event_type = 'view'").select("user_id", F.when(F.col("value") > 100, "approved").otherwise("rejected").alias("status"), F.col("event_id").alias("at"))
+    return reports.apply_reviews(feedback, reviews, ["user_id"]).select("event_id", "user_id", "status")
+
+
+# names and entries
+
+
+@query("SELECT DISTINCT trim(name) AS name FROM (SELECT CASE WHEN c_custkey % 9 = 0 THEN '  ' WHEN c_custkey % 2 = 0 THEN ' ' || n_name ELSE c_name END AS name FROM customer JOIN nation ON c_nationkey = n_nationkey) WHERE trim(name) <> ''")
+def distinct_career_names(m: Model) -> DataFrame:
+    rows = m.table("customer").join(F.broadcast(m.table("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    name = F.when(F.col("c_custkey") % 9 == 0, "  ").when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" "), "n_name")).otherwise(F.col("c_name"))
+    return graph.distinct_names(rows.select(name.alias("name")), "name")
+
+
+@query(
+    """WITH t AS (SELECT course_code, string_agg(DISTINCT item_name, ', ' ORDER BY item_name) AS teaches FROM teach JOIN competency USING (item_code) GROUP BY 1)
+    SELECT course_code, course_name, coalesce(organization, '') AS organization, coalesce(level, '') AS level, coalesce(teaches, '') AS teaches FROM course LEFT JOIN t USING (course_code)""",
+    model=True,
+)
+def course_corpus(m: Model) -> DataFrame:
+    return graph.course_entries(m.course, m.teach, m.competency)
+
+
+@query("SELECT career_code, type_code, string_agg(DISTINCT item_name, '|' ORDER BY item_name) AS names FROM known JOIN competency USING (item_code) GROUP BY 1, 2", model=True)
+def prefilled_skills(m: Model) -> DataFrame:
+    return graph.known_by_type(m.known, m.competency).select("career_code", "type_code", F.array_join("names", "|").alias("names"))
+
+
+@query(
+    f"""WITH {GAP_SQL}, ranked AS (SELECT career_code, item_code, item_name, type_code, row_number() OVER (PARTITION BY career_code ORDER BY {PRIORITY_SQL}, item_name, item_code) AS rank
+        FROM gap JOIN competency USING (item_code) WHERE type_code IN ('CT_SOFT', 'CT_CERT')) SELECT * FROM ranked WHERE rank <= 15""",
+    model=True,
+)
+def soft_and_cert_gap(m: Model) -> DataFrame:
+    return graph.gap_of_types(graph.gap_split(m.need, m.known, missing=True), m.competency, ["CT_SOFT", "CT_CERT"], 15)
+
+
+@query(
+    """WITH map_ AS (SELECT subject, item_code AS spot, CASE WHEN item_code % 4 = 0 THEN ' ' ELSE item_name || ' ' END AS name FROM competency WHERE item_code % 10 < 5),
+    named AS (SELECT career_code AS k, item_code AS place, item_name AS name FROM known JOIN competency USING (item_code)),
+    subj AS (SELECT career_code AS k, item_code AS place, subject FROM known JOIN competency USING (item_code) WHERE item_code % 7 = 0),
+    rows_ AS (SELECT k, name, 0 AS arm, place, 0 AS position FROM named UNION ALL SELECT k, trim(name), 1, place, spot FROM subj JOIN map_ USING (subject) WHERE trim(name) <> '')
+    SELECT k, name, arm, place, position FROM (SELECT *, row_number() OVER (PARTITION BY k, name ORDER BY arm, place, position) AS rn FROM rows_) WHERE rn = 1""",
+    model=True,
+)
+def mapped_competencies(m: Model) -> DataFrame:
+    code = F.col("item_code")
+    named = m.known.join(m.competency, "item_code").select(F.col("career_code").alias("k"), code.alias("place"), F.col("item_name").alias("name"), "subject")
+    mapping = m.competency.filter("item_code % 10 < 5").select("subject", code.alias("at"), F.when(code % 4 == 0, " ").otherwise(F.concat("item_name", F.lit(" "))).alias("name"))
+    return resolve.with_mapped(named.drop("subject"), named.filter("place % 7 = 0").drop("name"), mapping, "k")
