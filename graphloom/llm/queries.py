@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cap_filters, chat, edit_fingerprint, line_dedup, ngram_join, packing, sharding, token_files, toxicity
+from . import bpe, cap_filters, chat, edit_fingerprint, line_dedup, ngram_join, packing, partition_search, sharding, token_files, toxicity, turn_repair, whitening
 from .common import documents
 
 
@@ -63,6 +63,18 @@ def tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=4)
+
+
+def learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partition_search.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def signature_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": ngram_jaccard_join,
     "op2_recurrent_toxicity": recurrent_toxicity,
@@ -74,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cuckoo_line_dedup": cuckoo_line_dedup,
     "op9_hypergeometric_shards": hypergeometric_shards,
     "op10_tiered_packing": tiered_packing,
+    "op11_lanczos_whitening": lanczos_whitening,
+    "op12_learned_partitions": learned_partitions,
+    "op13_signature_repair": signature_repair,
     "fingerprint_groups": fingerprint_groups,
 }
 
