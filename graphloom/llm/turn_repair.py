@@ -16,7 +16,7 @@ The digest of a repaired conversation is sequential, so one conversation is read
 sorting spills, and audits come piece by piece. Where signatures are solved, copies of a conversation, however many, are one row.
 
 Cases. Null roles and texts are one space; rows without a turn come first and count for no gap; a null conv_id is a
-conversation too. Rows of equal turn are ordered by role and text. A conversation of any length is repaired whole. A conversation without
+conversation too. Rows of equal turn are ordered by the role and text that damage left. A conversation of any length is repaired whole. A conversation without
 rows has no cost, an empty audit and the digest of the empty string. An empty table gives no rows; other columns are not read.
 """
 
