@@ -22,6 +22,7 @@ queries give no rows; other columns are not read, whatever their names. Squares
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -72,8 +73,8 @@ def near_rows(matrix: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
     """Of each row number in ``queries`` the ``k`` nearest other rows, by matrix products."""
     squares = (matrix**2).sum(axis=1)
     found = []
-    for begin in range(0, len(queries), 512):
-        rows = queries[begin : begin + 512]
+    for begin in range(0, len(queries), 256):
+        rows = queries[begin : begin + 256]
         far = squares[None, :] - 2 * matrix[rows] @ matrix.T
         far[np.arange(len(rows)), rows] = np.inf
         found.append(np.argpartition(far, k - 1, axis=1)[:, :k] if k < len(matrix) else np.argsort(far, axis=1)[:, :k])
@@ -184,6 +185,18 @@ def fitted(matrix: np.ndarray, parts: int, k: int, seed: int = 12) -> Router:
     return Router(parts, int(np.argmax(recall >= TARGET)) + 1, mean, scale, layers)
 
 
+def fitted_in_a_task(sample: DataFrame, dim: int, parts: int, k: int) -> Router:
+    """``fitted`` on the rows (x) of a bounded sample, in order, by one task; the driver gets the router alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data = [x for batch in batches for x in batch.column(0).to_pylist()]
+        if data:
+            router = fitted(as_matrix(data, dim), parts, k)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(router)], pa.binary())], ["router"])
+
+    return pickle.loads(sample.coalesce(1).mapInArrow(run, "router binary").first().router)
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, dim, x of the vectors that take part. ``x``: their entries as bytes, in single precision where that is exact."""
 
@@ -281,8 +294,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     for dim, n in [(r.dim, r.n) for r in table.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect()]:
         entries, mine = table.filter(F.col("dim") == dim), asked.filter(F.col("dim") == dim)
         parts = min(MOST_PARTS, 2 ** max(0, round(np.log2(n / ROWS_A_PART))))
-        sample = [bytes(r.x) for r in entries.select("x").orderBy(F.xxhash64("x"), "x").limit(SAMPLE if parts > 1 else 0).collect()]
-        router = fitted(as_matrix(sample, dim), parts, k) if sample else Router(1, 1, np.zeros(dim), np.ones(dim), ())
+        # the sample is the first by hash, which says nothing of the vectors
+        sample = entries.select("x").orderBy(F.xxhash64("x"), "x").limit(SAMPLE)
+        router = fitted_in_a_task(sample, dim, parts, k) if parts > 1 else Router(1, 1, np.zeros(dim), np.ones(dim), ())
         index = written(routed(entries.select("ids", "x"), dim, router, 1), "index")
         visits = written(routed(mine.filter("x is not null").select("query", "x"), dim, router, router.probes), "visits")
         # blocks of bounded bytes on both sides: every block of a part meets every block of its queries
