@@ -1,9 +1,11 @@
-"""Free text to entities: matches by name, alias and similarity. Candidates come from equi-joins on pieces of strings, so
-no text meets the whole catalogue."""
+"""Free text to entities: matches by name, alias and similarity. Candidates come from equi-joins on pieces of strings that no
+true match can miss, so no text meets the whole catalogue and no match is lost."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,10 +15,6 @@ from graphloom.functions import similarity
 
 #: Aliases that tasks may hold as one automaton.
 MOST_ALIASES = 2_000_000
-#: Share of the letter pairs of the string with fewer that both must have, to be compared by a fuzzy score.
-LEAST_SHARED = 0.3
-#: The same for names to offer, whose scores may be low: one pair at least.
-SUGGESTED_SHARED = 0.05
 
 #: Names of skills that are search terms wherever they stand.
 KNOWN_TOKENS = (
@@ -100,6 +98,52 @@ def match_competencies(names: DataFrame, asked: DataFrame) -> DataFrame:
     return good.groupBy("query_id").agg(F.min_by(F.struct("term", "item_code", "item_name"), "place").alias("b")).select("query_id", "b.*")
 
 
+_AUTOMATA: dict[str, Any] = {}
+
+
+def automaton_of(mark: str, names: Callable[[], dict[str, Any]]) -> Any:
+    """The automaton of the keys of ``names``, built once in a process: the last one asked for is kept."""
+    import ahocorasick
+
+    if mark not in _AUTOMATA:
+        automaton = ahocorasick.Automaton()
+        for alias, targets in names().items():
+            automaton.add_word(alias, (alias, targets))
+        if len(automaton):
+            automaton.make_automaton()
+        _AUTOMATA.clear()
+        _AUTOMATA[mark] = automaton
+    return _AUTOMATA[mark]
+
+
+def names_in(automaton: Any, text: str) -> Iterator[tuple[str, Any]]:
+    """The names that a text holds, with what they stand for: as whole words, or as parts from four characters on."""
+
+    def word(c: str) -> bool:
+        return c.isascii() and c.isalnum()
+
+    for end, (alias, targets) in automaton.iter(text) if len(automaton) and text else ():
+        begin = end - len(alias) + 1
+        if len(alias) < 4 and ((begin and word(text[begin - 1])) or (end + 1 < len(text) and word(text[end + 1]))):
+            continue
+        yield alias, targets
+
+
+def name_finder(names: dict[str, str]) -> Callable[[Column], Column]:
+    """A function from a text in lower case to the distinct names (values of ``names``, by alias in lower case) that it
+    holds, in order. The names are a catalogue of at most ``MOST_ALIASES``."""
+    if len(names) > MOST_ALIASES:
+        raise ValueError(f"more than {MOST_ALIASES} aliases: scan them in parts")
+    mark = uuid.uuid4().hex
+
+    @F.pandas_udf("array<string>")
+    def find(texts: pd.Series) -> pd.Series:
+        automaton = automaton_of(mark, lambda: names)
+        return texts.map(lambda text: sorted({name for _, name in names_in(automaton, text)}))
+
+    return find
+
+
 def alias_scan(texts: DataFrame, aliases: DataFrame, least: dict[str, int] | None = None) -> DataFrame:
     """doc_id, kind, canonical, alias: of each text (doc_id, text) the aliases (kind, alias, canonical) that it equals,
     holds as a whole word, or holds as a part if they have four characters or more; of each canonical name the longest.
@@ -114,26 +158,15 @@ def alias_scan(texts: DataFrame, aliases: DataFrame, least: dict[str, int] | Non
         if len(r.alias) >= least.get(r.kind, 1):
             by_alias.setdefault(r.alias, []).append((r.kind, r.canonical))
     shared = texts.sparkSession.sparkContext.broadcast(by_alias)
-
-    def word(c: str) -> bool:
-        return c.isascii() and c.isalnum()
+    mark = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for alias, targets in shared.value.items():
-            automaton.add_word(alias, (alias, targets))
-        if shared.value:
-            automaton.make_automaton()
+        automaton = automaton_of(mark, lambda: shared.value)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["low"], strict=True):
                 best: dict[tuple[str, str], str] = {}
-                for end, (alias, targets) in automaton.iter(text) if shared.value and text else ():
-                    begin = end - len(alias) + 1
-                    if len(alias) < 4 and ((begin and word(text[begin - 1])) or (end + 1 < len(text) and word(text[end + 1]))):
-                        continue
+                for alias, targets in names_in(automaton, text):
                     for target in targets:
                         if target not in best or (-len(alias), alias) < (-len(best[target]), best[target]):
                             best[target] = alias
@@ -144,31 +177,100 @@ def alias_scan(texts: DataFrame, aliases: DataFrame, least: dict[str, int] | Non
     return low.mapInPandas(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, kind string, canonical string, alias string")
 
 
-def fuzzy_pairs(needles: DataFrame, names: DataFrame, least: float = LEAST_SHARED) -> DataFrame:
-    """needle, name for distinct strings that share at least a share ``least`` of the letter pairs of the one that has
-    fewer. That one looks the other up by its rarest n - need + 1 pairs alone, as one of these must be shared."""
-
-    def pairs_of(rows: DataFrame, column: str, own: str) -> DataFrame:
-        texts = rows.select(column).distinct().filter(F.length(F.trim(column)) > 0)
-        return texts.withColumn(own, pieces(F.lower(F.concat(F.lit("^"), F.trim(column), F.lit("$"))), 2))
-
-    def need(own: str) -> Column:
-        return F.greatest(F.lit(1), F.ceil(F.size(own) * least).cast("int"))
+def as_letters(texts: DataFrame, column: str, own: str) -> DataFrame:
+    """``column`` (distinct, not blank) and ``own``: its characters, each with how often it stood before, so that common
+    elements of two such sets count common characters; its length, that of its distinct words side by side, and the words."""
 
-    a, b = pairs_of(needles, "needle", "wanted"), pairs_of(names, "name", "own")
-    counts = b.select(F.explode("own").alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n_names"))
-
-    def spread(rows: DataFrame, column: str, own: str) -> DataFrame:
-        ranked = rows.select(column, own, F.explode(own).alias("piece")).join(counts, "piece", "left").fillna(0, ["n_names"])
-        place = F.row_number().over(Window.partitionBy(column).orderBy("n_names", "piece"))
-        return ranked.withColumn("rare", place <= F.size(own) - need(own) + 1).drop("n_names")
-
-    left, right = spread(a, "needle", "wanted"), spread(b, "name", "own")
-    fewer = F.size("own") < F.size("wanted")
-    met = left.drop("rare").join(right.filter("rare").drop("rare"), "piece").filter(fewer).unionByName(left.filter("rare").drop("rare").join(right.drop("rare"), "piece").filter(~fewer))
-    enough = met.select("needle", "name", "wanted", "own").dropDuplicates(["needle", "name"])
-    shared = F.size(F.array_intersect("wanted", "own"))
-    return enough.filter(shared >= F.when(fewer, need("own")).otherwise(need("wanted"))).select("needle", "name")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text in batch[column]:
+                seen: dict[str, int] = {}
+                letters = []
+                for c in text:
+                    c = " " if c.isspace() else c
+                    seen[c] = seen.get(c, 0) + 1
+                    letters.append(f"{c}{seen[c]}")
+                words = sorted(set(text.split()))
+                rows.append({"letters": letters, "size": len(text), "least": len(" ".join(words)), "words": words})
+            yield pd.DataFrame({column: batch[column], own: rows})
+
+    whole = texts.select(column).filter(F.col(column).isNotNull()).distinct()
+    return whole.mapInPandas(run, f"{column} string, {own} struct<letters: array<string>, size: int, least: int, words: array<string>>").filter(F.size(f"{own}.words") > 0)
+
+
+def sharing_letters(left: DataFrame, right: DataFrame, need: float) -> DataFrame:
+    """Pairs of rows of ``as_letters`` (needle, a; name, b), each once, that may have a share ``need`` of the ``least``
+    length of the shorter one in common, counted in characters.
+
+    The shorter one looks the other up by its rarest characters alone, so many that no pair that has enough in common
+    can miss all of them; a pair is met at the first of them that both have."""
+    counts = right.select(F.explode("b.letters").alias("letter")).groupBy("letter").agg(F.count(F.lit(1)).alias("n"))
+
+    def rarest(rows: DataFrame, key: str, own: str) -> DataFrame:
+        each = rows.select(key, own, F.explode(f"{own}.letters").alias("letter")).join(counts, "letter", "left")
+        rare = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "letter")))
+        ordered = each.groupBy(key).agg(F.first(own).alias(own), rare.alias("rare"))
+        enough = F.greatest(F.lit(1), F.ceil(need * F.col(f"{own}.least") - 1e-9).cast("int"))
+        return ordered.withColumn("rare", F.transform(F.slice("rare", F.lit(1), F.size("rare") - enough + 1), lambda x: x["letter"]))
+
+    shorter = F.col("a.least") <= F.col("b.least")
+    parts = []
+    for rows, key, own, others, other, side in ((left, "needle", "a", right, "b", shorter), (right, "name", "b", left, "a", ~shorter)):
+        asked = rarest(rows, key, own).withColumn("letter", F.explode("rare"))
+        met = asked.join(others.withColumn("letter", F.explode(f"{other}.letters")), "letter").filter(side)
+        first = F.element_at(F.array_intersect("rare", f"{other}.letters"), 1)
+        parts.append(met.filter(first == F.col("letter")).select("needle", "a", "name", "b"))
+    return parts[0].unionByName(parts[1])
+
+
+def ratio_bound(common: Column, n: Column, m: Column) -> Column:
+    """No ratio of two strings of at least these lengths is higher, where so many characters are common."""
+    return F.least(F.lit(100.0), 200.0 * common / (n + m))
+
+
+def likeness_bound(a: str, b: str) -> Column:
+    """No weighted ratio of the strings of two structs of ``as_letters`` is higher: in each tier the longest common
+    subsequence has at most the common characters, and a shared word lets the tiers of words reach their most."""
+    common = F.size(F.array_intersect(f"{a}.letters", f"{b}.letters"))
+    n, m, n1, m1 = (F.col(f"{x}.{c}") for c in ("size", "least") for x in (a, b))
+    least, most = F.least(n, m), F.greatest(n, m)
+    shared = F.arrays_overlap(f"{a}.words", f"{b}.words")
+    words = F.when(shared, 100.0).otherwise(ratio_bound(common, n1, m1))
+    piece = F.when(most < 8 * least, 0.9).otherwise(0.6)
+    inside = F.least(common, least)
+    short = F.least(n1, m1)
+    pieces = ratio_bound(inside, least, inside)
+    word_pieces = F.when(shared, 100.0).otherwise(ratio_bound(F.least(common, short), short, F.least(common, short)))
+    return F.greatest(ratio_bound(common, n, m), F.when(most < 1.5 * least, 0.95 * words).otherwise(piece * F.greatest(pieces, 0.95 * word_pieces)))
+
+
+def needed_share(cutoff: float) -> float:
+    """The share of the shorter string's characters that the other must have for a weighted ratio of ``cutoff`` without a
+    word in common. Whole strings need cutoff / 100. A piece of the longer one must reach r = cutoff / 0.9, for which it has
+    at least r / (200 - r) of the shorter one's characters."""
+    r = cutoff / 0.9
+    return cutoff / 100 if r > 100 else min(cutoff / 100, r / (200 - r))
+
+
+def fuzzy_pairs(needles: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
+    """needle, name for all distinct strings whose weighted ratio can reach the cutoff. Those with a word in common meet
+    at that word, others at a rare character; a bound on the ratio then leaves few to be compared."""
+    left, right = as_letters(needles, "needle", "a"), as_letters(names, "name", "b")
+    words = left.withColumn("word", F.explode("a.words")).join(right.withColumn("word", F.explode("b.words")), "word")
+    by_word = words.filter(F.element_at(F.array_intersect("a.words", "b.words"), 1) == F.col("word")).select("needle", "a", "name", "b")
+    by_letter = sharing_letters(left, right, needed_share(cutoff)).filter(~F.arrays_overlap("a.words", "b.words"))
+    return by_word.unionByName(by_letter).filter(likeness_bound("a", "b") >= cutoff - 1e-6).select("needle", "name")
+
+
+def offered_pairs(typed: DataFrame, names: DataFrame, least: float) -> DataFrame:
+    """needle, name for all distinct strings whose ratio of matching blocks in lower case can reach ``least``."""
+    low = {c: rows.select(c, F.lower(c).alias("low")) for c, rows in (("needle", typed), ("name", names))}
+    sides = [as_letters(low[c].select(F.col("low").alias(c)), c, own).withColumn(own, F.col(own).withField("least", F.col(f"{own}.size"))) for c, own in (("needle", "a"), ("name", "b"))]
+    common = F.size(F.array_intersect("a.letters", "b.letters"))
+    met = sharing_letters(*sides, least).filter(ratio_bound(common, F.col("a.size"), F.col("b.size")) >= 100 * least - 1e-6)
+    pairs = met.select(F.col("needle").alias("low_needle"), F.col("name").alias("low_name"))
+    return pairs.join(low["needle"].withColumnRenamed("low", "low_needle"), "low_needle").join(low["name"].withColumnRenamed("low", "low_name"), "low_name").select("needle", "name")
 
 
 def scored_pairs(pairs: DataFrame, score: Callable[[str, str], float]) -> DataFrame:
@@ -183,7 +285,7 @@ def fuzzy_top(needles: DataFrame, names: DataFrame, cutoff: float, k: int = 1) -
     """needle, rank, code, name, score: the ``k`` names (code, name) most like each needle, of a score of ``cutoff`` or
     more. A name that several rows have stands for the last of them."""
     last = names.groupBy("name").agg(F.max("code").alias("code"))
-    scored = scored_pairs(fuzzy_pairs(needles, last), similarity.weighted_ratio).filter(F.col("score") >= cutoff)
+    scored = scored_pairs(fuzzy_pairs(needles, last, cutoff), similarity.weighted_ratio).filter(F.col("score") >= cutoff)
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("needle").orderBy(F.desc("score"), "name"))).filter(F.col("rank") <= k)
     return ranked.join(last, "name").select("needle", "rank", "code", "name", "score")
 
@@ -196,7 +298,7 @@ def suggestions(needles: DataFrame, names: DataFrame, k: int = 6, least: float =
     offered = names.select(F.trim("name").alias("name")).filter("name <> ''").distinct()
     equal = typed.join(offered, F.lower("needle") == F.lower("name")).select("needle", "name")
     holds = containing(offered.withColumn("low_name", F.lower("name")), typed.withColumn("low_needle", F.lower("needle")), "low_name", "low_needle").select("needle", "name")
-    others = fuzzy_pairs(typed, offered, SUGGESTED_SHARED).unionByName(holds).distinct().join(equal.select("needle").distinct(), "needle", "left_anti")
+    others = offered_pairs(typed, offered, least).unionByName(holds).distinct().join(equal.select("needle").distinct(), "needle", "left_anti")
     scored = scored_pairs(others, similarity.suggestion_score).filter(F.col("score") >= least).unionByName(equal.withColumn("score", F.lit(1.0)))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("needle").orderBy(F.desc("score"), "name"))).filter(F.col("rank") <= k)
 

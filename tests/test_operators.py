@@ -5,11 +5,15 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from graphloom import plans
 from graphloom.functions import similarity
 from graphloom.functions import text as T
 from graphloom.operators import datasets, graph, metrics, resolve, retrieval, sessions
+from graphloom.plans import resolution
+from graphloom.sources.model import Model
 from graphloom.streaming import replay
 
 SF = "/root/testdata/sf0.001"
@@ -220,19 +224,65 @@ def fuzzy_strings():
     return names, [*typos, *names[25:30], "zzzz", "", "small ring of blue gears and bolts"]
 
 
-def test_fuzzy_tops_are_those_of_all_pairs(spark):
-    names, needles = fuzzy_strings()
+def check_fuzzy_top(spark, names, needles, cutoff):
+    """All pairs of the strings against the join."""
     catalogue = spark.createDataFrame(list(enumerate(names)), "code long, name string")
-    got = {r.needle: (r.code, r.name, r.score) for r in resolve.fuzzy_top(spark.createDataFrame([(n,) for n in needles], "needle string"), catalogue, 60.0).collect()}
+    got = {r.needle: (r.code, r.name, r.score) for r in resolve.fuzzy_top(spark.createDataFrame([(n,) for n in needles], "needle string"), catalogue, cutoff).collect()}
     last = {n: k for k, n in enumerate(names)}
     want = {}
-    for needle in set(needles) - {""}:
-        best = min(((-round(similarity.weighted_ratio(needle, n), 6), n) for n in last), default=None)
-        if -best[0] >= 60:
-            want[needle] = (last[best[1]], best[1], -best[0])
+    for needle in {n for n in needles if n is not None and n.strip()}:
+        score, name = min((-round(similarity.weighted_ratio(needle, n), 6), n) for n in last if n is not None and n.strip())
+        if -score >= cutoff:
+            want[needle] = (last[name], name, -score)
     assert got == want
 
 
+def test_fuzzy_join_keeps_pairs_without_common_letter_pairs(spark):
+    for needle, name, score in (("c programming", "c quantum flux manifold theory", 85.5), ("go developer", "go zzzxxxqqqwwwvvv kkk", 85.5), ("ab1c2de3f4gh5i6", "ab7c8de9f0ghxiy", 60.0)):
+        found = resolve.fuzzy_top(spark.createDataFrame([(needle,)], "needle string"), spark.createDataFrame([(1, name)], "code long, name string"), 60.0).collect()
+        assert [(r.name, round(r.score, 6)) for r in found] == [(name, score)]
+
+
+@pytest.mark.parametrize("cutoff", [20.0, 50.0, 60.0, 78.0, 86.0, 95.0, 100.0])
+def test_fuzzy_join_of_random_strings_is_that_of_all_pairs(spark, cutoff):
+    rng = random.Random(int(cutoff))
+
+    def string():
+        letters = rng.choice(["ab ", "abcdef ", "abcdefghij 12", "aA é\t "])
+        return "".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 3, 6, 12, 25, 60])))
+
+    names = [string() for _ in range(150)]
+    needles = [string() for _ in range(40)] + [n[1:] + "x" for n in names[:20]] + names[20:25]
+    check_fuzzy_top(spark, [*names, None, "  "], [*needles, None], cutoff)
+
+
+def test_fuzzy_tops_are_those_of_all_pairs(spark):
+    check_fuzzy_top(spark, *fuzzy_strings(), 60.0)
+
+
+def test_fuzzy_queries_are_those_of_all_pairs(spark):
+    model = Model(spark, "/root/testdata/sf0.01")
+    names = [(r.item_name, r.item_code) for r in model.competency.collect()]
+    last = {n: max(c for m, c in names if m == n) for n in {n for n, _ in names}}
+    asked = {r.text for r in resolution.asked_items(model).collect()}
+    want = {}
+    for needle in asked:
+        score, name = min((-round(similarity.weighted_ratio(needle, n), 6), n) for n in last)
+        if -score >= 60:
+            want[needle] = (1, last[name], name, -score)
+    assert {r.needle: (r["rank"], r.code, r.name, r.score) for r in plans.QUERIES["fuzzy_top1"](spark, "/root/testdata/sf0.01").collect()} == want
+    assert len(want) >= 10
+    typed = {r.needle.strip() for r in resolution.career_needles(model).collect()}
+    careers = {r.career_name.strip() for r in model.career.collect()}
+    got = {}
+    for r in plans.QUERIES["career_suggestions"](spark, "/root/testdata/sf0.01").orderBy("rank").collect():
+        got.setdefault(r.needle, []).append((r.name, r.score))
+    for needle in typed:
+        same = [(n, 1.0) for n in careers if n.lower() == needle.lower()]
+        scored = sorted((-round(similarity.suggestion_score(needle, n), 6), n) for n in careers)
+        assert got.get(needle, []) == (same or [(n, -s) for s, n in scored if s <= -0.25][:6]), needle
+
+
 def test_suggestions_are_those_of_all_pairs(spark):
     names, needles = fuzzy_strings()
     got = {}
