@@ -43,7 +43,7 @@ NEAR, HIDDEN, EPOCHS, STEP = 10, 128, 30, 128
 #: Share of the neighbours of held-out rows that the visited parts must hold.
 TARGET = 0.95
 #: Queries that meet a block at once.
-QUERY_ROWS = 512
+QUERY_ROWS = 128
 #: Tasks over which the queries of one vector are spread.
 SALTS = 32
 
@@ -73,8 +73,8 @@ def near_rows(matrix: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
     """Of each row number in ``queries`` the ``k`` nearest other rows, by matrix products."""
     squares = (matrix**2).sum(axis=1)
     found = []
-    for begin in range(0, len(queries), 256):
-        rows = queries[begin : begin + 256]
+    for begin in range(0, len(queries), 128):
+        rows = queries[begin : begin + 128]
         far = squares[None, :] - 2 * matrix[rows] @ matrix.T
         far[np.arange(len(rows)), rows] = np.inf
         found.append(np.argpartition(far, k - 1, axis=1)[:, :k] if k < len(matrix) else np.argsort(far, axis=1)[:, :k])
