@@ -41,7 +41,11 @@ def skill_order(strict_numeric: bool = False) -> list[Column]:
 def pathfinding(career: DataFrame, need: DataFrame, competency: DataFrame, k: int, per_kind: bool = False, seeds: DataFrame | None = None) -> DataFrame:
     """The first ``k`` required competencies of each career, or of each career and kind, and found: a career without
     any stays, as one row without a competency."""
-    rows = seeded(need.join(competency, "item_code"), seeds, "item_code")
+    return first_skills(career, seeded(need.join(competency, "item_code"), seeds, "item_code"), k, per_kind)
+
+
+def first_skills(career: DataFrame, rows: DataFrame, k: int, per_kind: bool = False) -> DataFrame:
+    """``pathfinding`` on needs that have the columns of their competencies and is_seed."""
     keys = ["career_code", "kind"] if per_kind else ["career_code"]
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*skill_order()))).filter(F.col("rank") <= k)
     joined = career.join(ranked, "career_code", "left")
@@ -57,7 +61,12 @@ def top_courses(teach: DataFrame, course: DataFrame, k: int, seeds: DataFrame |
     """The first ``k`` courses of each competency."""
     # the order of courses by URL, seed and name is found once a course, not once an edge
     known = seeded(course, seeds, "course_code").withColumn("generic", T.is_generic_url(F.col("url"))).drop("url")
-    ranked = teach.join(known, "course_code").withColumn("rank", F.row_number().over(Window.partitionBy("item_code").orderBy(*course_order())))
+    return first_courses(teach.join(known, "course_code"), k)
+
+
+def first_courses(rows: DataFrame, k: int) -> DataFrame:
+    """``top_courses`` on edges that have the columns of their courses, generic and is_seed."""
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("item_code").orderBy(*course_order())))
     return ranked.filter(F.col("rank") <= k).select("item_code", "rank", "course_code", "course_name", "organization", "level", "coverage_level", "is_seed")
 
 
@@ -96,10 +105,20 @@ def neighbourhood(relation: DataFrame) -> DataFrame:
 def relation_coverage_of_items(competency: DataFrame, relation: DataFrame, directions: DataFrame) -> DataFrame:
     """Edges in the direction in which a competency of its type reads them (``directions``: rel_type, type_code,
     direction) and against it: full, partial or none."""
-    read = F.col("read_direction") == F.col("direction")
+    return covered_items(competency, read_edges(competency, relation, directions))
+
+
+def read_edges(competency: DataFrame, relation: DataFrame, directions: DataFrame) -> DataFrame:
+    """item_code, direction, rel_type, other_code, is_read: each edge from both ends, and whether that end reads it so."""
     typed = neighbourhood(relation).join(competency.select("item_code", "type_code"), "item_code")
     # one row a relation type and type code
     edges = typed.join(F.broadcast(directions.withColumnRenamed("direction", "read_direction")), ["rel_type", "type_code"])
+    return edges.select("item_code", "direction", "rel_type", "other_code", (F.col("read_direction") == F.col("direction")).alias("is_read"))
+
+
+def covered_items(competency: DataFrame, edges: DataFrame) -> DataFrame:
+    """``relation_coverage_of_items`` on the edges of ``read_edges``."""
+    read = F.col("is_read")
     counts = edges.groupBy("item_code").agg(F.count_if(read).alias("n_read"), F.count_if(~read).alias("n_against"))
     joined = competency.select("item_code", "item_name").join(counts, "item_code", "left").fillna(0, ["n_read", "n_against"])
     coverage = F.when(F.col("n_read") > 0, "full").when(F.col("n_against") > 0, "partial").otherwise("none")

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the session's checkpoint folder, where any executor finds them, and ends the lineage there.
-    Where no folder is set the warehouse holds it, which driver and executors share."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, where any executor finds what another wrote. Where none is set the warehouse
+    holds it, which driver and executors share."""
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = known.get() if known.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    if not known.isDefined():
         spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes the rows to the shared folder and ends the lineage there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -91,11 +91,11 @@ def badges(m: Model) -> DataFrame:
 @query(
     """SELECT career_code, round(greatest(0.0, least(1.0, CASE WHEN n > 0 THEN 0.45 ELSE 0.0 END + least(0.35, 0.05 * n)
         + CASE career_code % 3 WHEN 0 THEN 0.15 WHEN 1 THEN -0.1 ELSE 0.0 END - CASE WHEN career_code % 4 = 0 THEN 0.25 ELSE 0.0 END)), 6) AS confidence
-    FROM (SELECT c.career_code, CAST(count(item_code) AS DOUBLE) AS n FROM career c LEFT JOIN need n ON n.career_code = c.career_code AND n.item_code % 3 = 0 GROUP BY 1)""",
+    FROM (SELECT c.career_code, CAST(count(item_code) AS DOUBLE) AS n FROM career c LEFT JOIN need n ON n.career_code = c.career_code GROUP BY 1)""",
     model=True,
 )
 def answer_confidence(m: Model) -> DataFrame:
-    counts = m.career.select("career_code").join(m.need.filter("item_code % 3 = 0"), "career_code", "left").groupBy("career_code").agg(F.count("item_code").alias("n"))
+    counts = m.career.select("career_code").join(m.need, "career_code", "left").groupBy("career_code").agg(F.count("item_code").alias("n"))
     route = F.when(F.col("career_code") % 3 == 0, "high").when(F.col("career_code") % 3 == 1, "low")
     return counts.select("career_code", advice.confidence(F.col("n") > 0, F.col("n"), F.col("career_code") % 4 == 0, route).alias("confidence"))
 
@@ -451,7 +451,7 @@ def factorial_summary(m: Model) -> DataFrame:
 
 
 @query(
-    """WITH g AS (SELECT career_code, list_sort(list(DISTINCT item_name)) AS gold FROM need JOIN competency USING (item_code) WHERE item_code % 2 = 0 GROUP BY 1),
+    """WITH g AS (SELECT career_code, list_sort(list(DISTINCT item_name)) AS gold FROM need JOIN competency USING (item_code) GROUP BY 1),
     c AS (SELECT career_code, CASE WHEN career_code % 3 = 0 THEN [industry] WHEN career_code % 3 = 1 THEN [] END AS own FROM career)
     SELECT career_code, CASE WHEN len(own) > 0 THEN 'given' WHEN gold IS NOT NULL THEN 'graph' ELSE 'none' END AS source, array_to_string(CASE WHEN len(own) > 0 THEN own ELSE coalesce(gold, []) END, '|') AS gold FROM c LEFT JOIN g USING (career_code)""",
     model=True,
@@ -459,7 +459,7 @@ def factorial_summary(m: Model) -> DataFrame:
 def bootstrapped_gold(m: Model) -> DataFrame:
     k = F.col("career_code") % 3
     cases = m.career.select("career_code", F.when(k == 0, F.array("industry")).when(k == 1, F.array().cast("array<string>")).alias("gold"))
-    labels = m.need.filter("item_code % 2 = 0").join(m.competency, "item_code").groupBy("career_code").agg(F.array_sort(F.collect_set("item_name")).alias("gold"))
+    labels = m.need.join(m.competency, "item_code").groupBy("career_code").agg(F.array_sort(F.collect_set("item_name")).alias("gold"))
     return reports.from_graph_where_missing(cases, labels, "career_code").select("career_code", "source", F.array_join("gold", "|").alias("gold"))
 
 

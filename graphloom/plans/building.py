@@ -249,7 +249,7 @@ def stratified_top_up(m: Model) -> DataFrame:
     return datasets.topped_up_sample(m.table("documents"), ["lang", "source"], "doc_id", 120)
 
 
-GOLD_SQL = """g AS (SELECT doc_id AS position, 'g' || (doc_id - doc_id % 2 * (doc_id % 3)) AS id, ['', 'course_rec', 'skills_gap', 'other'][doc_id % 4 + 1] AS intent, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE substr(text, 1, 40) END AS question,
+GOLD_SQL = """g AS (SELECT doc_id AS position, 'g' || (doc_id - doc_id % 2 * (doc_id % 3)) AS id, ['', 'course_rec', 'skills_gap', 'other'][doc_id % 4 + 1] AS intent, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE text END AS question,
                      CASE WHEN doc_id % 13 <> 0 THEN source END AS gold_source, CASE WHEN doc_id % 5 = 0 THEN [] ELSE ['c'] END AS careers, CASE WHEN doc_id % 6 <> 0 THEN ['k'] END AS courses FROM documents)"""
 
 
@@ -265,7 +265,7 @@ def gold_case_errors(m: Model) -> DataFrame:
         d.alias("position"),
         F.concat(F.lit("g"), d - d % 2 * (d % 3)).alias("id"),
         F.get(F.array(*(F.lit(x) for x in ("", "course_rec", "skills_gap", "other"))), (d % 4).cast("int")).alias("intent"),
-        F.when(d % 11 == 0, " ").otherwise(F.substring("text", 1, 40)).alias("question"),
+        F.when(d % 11 == 0, " ").otherwise(F.col("text")).alias("question"),
         F.when(d % 13 != 0, F.col("source")).alias("gold_source"),
         F.when(d % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("c"))).alias("careers"),
         F.when(d % 6 != 0, F.array(F.lit("k"))).alias("courses"),

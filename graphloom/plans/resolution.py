@@ -247,10 +247,9 @@ def known_skill_codes(m: Model) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, substr(regexp_replace(lower(lang || ' ' || source || ' ' || coalesce(substr(text, 1, 40), '')), '[^a-z0-9]+', '_', 'g'), 1, 24) AS slug,
-           trim(regexp_replace(lower(substr(text, 1, 200)), '\\s+', ' ', 'g')) AS plain, strip_accents(substr(text, 1, 200)) AS unmarked FROM documents"""
+    """SELECT doc_id, substr(regexp_replace(lower(lang || ' ' || source || ' ' || coalesce(text, '')), '[^a-z0-9]+', '_', 'g'), 1, 24) AS slug,
+           trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS plain, strip_accents(text) AS unmarked FROM documents"""
 )
 def text_forms(m: Model) -> DataFrame:
-    head = F.substring("text", 1, 200)
-    named = F.concat_ws(" ", "lang", "source", F.coalesce(F.substring("text", 1, 40), F.lit("")))
-    return m.table("documents").select("doc_id", T.slug(named, 24).alias("slug"), T.normalised(head).alias("plain"), T.without_marks(head).alias("unmarked"))
+    named = F.concat_ws(" ", "lang", "source", F.coalesce("text", F.lit("")))
+    return m.table("documents").select("doc_id", T.slug(named, 24).alias("slug"), T.normalised(F.col("text")).alias("plain"), T.without_marks(F.col("text")).alias("unmarked"))
