@@ -2,23 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MESSAGES = "array<struct<role: string, content: string>>"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """One row a line that is not blank. A malformed line gives nulls, or with ``strict`` an error that names its file
-    and number once the rows are read: for files that are checked by people, as a task reads a file whole for that."""
-    if not strict:
-        return spark.read.schema(schema).json(path)
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    message = F.concat("file", F.lit(":"), (F.col("line") + 1).cast("string"), F.lit(": malformed line"))
-    good = F.when(F.get_json_object("value", "$").isNull(), F.raise_error(message).cast("boolean")).otherwise(True)
-    return lines.filter(F.trim("value") != "").filter(good).select(F.from_json("value", schema).alias("row")).select("row.*")
+    """One row a line that is not blank. A malformed line gives nulls, or with ``strict`` an error that names the first such
+    line of each file; the lines are checked as the function is called, by splits of files."""
+    if strict:
+        wrong = malformed_lines(spark, path)
+        found = wrong.orderBy("file", "line").limit(20).collect()
+        if found:
+            raise ValueError("; ".join(f"{r.file}:{r.line}: malformed line" for r in found))
+    return spark.read.schema(schema).json(path)
+
+
+def numbered_splits(spark: SparkSession, path: str) -> DataFrame:
+    """file, start, n_lines, first_bad (from 1, null if none): the lines of each split of the text files. A task reads its
+    splits line by line; a row a split leaves it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, int], list] = {}
+        for batch in batches:
+            for file, start, bad in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                split = counts.setdefault((file, start), [0, None])
+                split[0] += 1
+                if bad and split[1] is None:
+                    split[1] = split[0]
+        rows = [(file, start, n, bad) for (file, start), (n, bad) in counts.items()]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["file", "start", "n_lines", "first_bad"])
+
+    bad = (F.trim("value") != "") & F.get_json_object("value", "$").isNull()
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), bad.alias("bad"))
+    return lines.mapInArrow(run, "file string, start long, n_lines long, first_bad long")
+
+
+def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1): the first malformed line of each file that has one. Lines of splits are counted where they lie, and
+    the counts of the splits before, a few a file, are added."""
+    splits = numbered_splits(spark, path)
+    before = F.coalesce(F.sum("n_lines").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = splits.withColumn("line", before + F.col("first_bad"))
+    return placed.groupBy("file").agg(F.min("line").alias("line")).filter("line is not null")
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:

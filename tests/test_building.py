@@ -27,6 +27,29 @@ def test_json_lines(spark, tmp_path):
     assert sorted((x["a"], x["b"]) for x in lines) == [(1, None), (2, "é")]
 
 
+def test_strict_json_lines_over_many_splits(spark, tmp_path):
+    for name, bad in (("a", 777), ("b", None), ("c", 1)):
+        lines = [json.dumps({"a": i, "b": "x" * (i % 50)}) for i in range(1, 1001)]
+        if bad:
+            lines[bad - 1] = '{"a": '
+            lines[899] = "}"
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n" * 3)
+    path = str(tmp_path / "*.jsonl")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        splits = files.numbered_splits(spark, path).collect()
+        # many splits a file, none of them long
+        assert len(splits) > 20 and max(r.n_lines for r in splits) < 400
+        assert sorted((r.file.rsplit("/", 1)[1], r.line) for r in files.malformed_lines(spark, path).collect()) == [("a.jsonl", 777), ("c.jsonl", 1)]
+        with pytest.raises(ValueError, match="a.jsonl:777: malformed line.*c.jsonl:1: malformed line"):
+            files.read_jsonl(spark, path, "a long, b string", strict=True)
+        assert files.read_jsonl(spark, str(tmp_path / "b.jsonl"), "a long, b string", strict=True).count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_messages_of_a_folder(spark, tmp_path):
     good = {"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": "u"}], "meta": {"intent": "course_rec"}}
     (tmp_path / "ft_generator_pathfinding.jsonl").write_text("\n".join(json.dumps(x) for x in (good, {"messages": "no list"}, {"meta": {}})))
