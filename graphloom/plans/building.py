@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators import datasets, graph, ingest, metrics, retrieval, sessions
-from graphloom.plans.catalogue import KIND_SQL, KNN_SQL, PRIORITY_SQL, RRF_SQL, TOP_COURSES_SQL, _bm25
+from graphloom.plans.catalogue import BM25_SQL, KIND_SQL, KNN_SQL, PRIORITY_SQL, TOP_COURSES_SQL, _bm25
 from graphloom.plans.registry import query
 from graphloom.sources.model import TYPE_CODES, Model
 
@@ -163,8 +163,28 @@ def exemplars(m: Model) -> DataFrame:
 # retrieval
 
 
+#: The text of a benchmark item and the vector of its number ask for documents, whose vectors have theirs.
+HYBRID_SQL = f"""{BM25_SQL},
+    near AS (SELECT item_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 4) AS cos
+             FROM benchmark JOIN embeddings q ON q.vec_id = item_id JOIN embeddings v ON true),
+    top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, doc_id) AS r FROM near) WHERE r <= 60),
+    arm0 AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM top JOIN documents USING (doc_id) WHERE trim(coalesce(text, '')) <> ''),
+    arm1 AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 60),
+    fused AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score, min(arm * 1000 + rank) AS first_
+              FROM (SELECT *, 0 AS arm FROM arm0 UNION ALL SELECT *, 1 FROM arm1) GROUP BY 1, 2)"""
+
+
+def vector_hits(m: Model, k: int) -> DataFrame:
+    """query_id, doc_id, rank, score: documents by the cosine of their vector and that of a benchmark item."""
+    vectors = m.table("embeddings")
+    # numbers of queries are negative, so that a document may be the item of its own number
+    asked = m.table("benchmark").join(vectors, F.col("item_id") == F.col("vec_id")).select((-F.col("item_id") - 1).alias("vec_id"), "embedding", "label")
+    hits = retrieval.knn(vectors, asked, k).select((-F.col("query_id") - 1).alias("query_id"), "doc_id", "rank", "score")
+    return retrieval.vector_arm(hits, m.table("documents").select("doc_id", "text"))
+
+
 @query(
-    f"""WITH {RRF_SQL.replace("rank <= 20", "rank <= 60").replace("AS rrf_", "")},
+    f"""WITH {HYBRID_SQL},
     wide AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_, doc_id) AS rank FROM fused),
     lifted AS (SELECT query_id, doc_id, rank AS before, round(score + CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 0.15 ELSE 0 END, 9) AS score FROM wide WHERE rank <= 120),
     ordered AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before, doc_id) AS rank FROM lifted),
@@ -173,12 +193,10 @@ def exemplars(m: Model) -> DataFrame:
     SELECT query_id, doc_id, rank, score FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM seen WHERE NOT edge OR s <= 2) WHERE rank <= 8"""
 )
 def retrieve_hybrid(m: Model) -> DataFrame:
-    """Both arms over pools of 60, fused, boosted and capped."""
-    scores = _bm25(m, 60)
-    first = retrieval.top_k(scores, 60, F.desc("score"))
-    second = retrieval.top_k(scores, 60, F.desc("n_terms"))
+    """The vector arm and the lexical arm over pools of 60, fused, boosted and capped."""
+    second = retrieval.top_k(_bm25(m, 60), 60, F.desc("score"))
     edges = m.table("documents").select("doc_id", "lang")
-    return retrieval.retrieve(first, second, m.table("labels").filter("quality = 1"), F.col("lang") == "en", edges, 8)
+    return retrieval.retrieve(vector_hits(m, 60), second, m.table("labels").filter("quality = 1"), F.col("lang") == "en", edges, 8)
 
 
 @query(

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.text_index import TextIndex
-from graphloom.plans import catalogue  # noqa: F401  (its SQL is registered first)
+from graphloom.operators.vector_collection import VectorCollection
+from graphloom.plans import catalogue
 from graphloom.plans.registry import ORACLE_SQL, query
 from graphloom.sources.model import Model
 from graphloom.sources.snapshots import scratch
@@ -43,3 +44,23 @@ def stored_bm25(m: Model) -> DataFrame:
     index.add(docs.filter("doc_id % 3 <> 0"))
     index.delete(docs.filter("doc_id % 50 = 0").select((-F.col("doc_id") - 1).alias("doc_id")))
     return index.search(m.table("benchmark").select(F.col("item_id").alias("query_id"), "text"), 5)
+
+
+@query(f"WITH {catalogue.KNN_SQL.format(k=5)} SELECT query_id, rank, doc_id AS point_id, ['career', 'competency', 'course', 'other'][label % 4 + 1] AS doc_type, score FROM knn".replace("AND q.vec_id <> v.vec_id", "").replace("FROM embeddings v", "FROM (SELECT * FROM embeddings WHERE label % 4 < 2) v"))
+def stored_vectors(m: Model) -> DataFrame:
+    """The nearest careers and competencies from a stored collection with one cell a kind, where the search is exact."""
+    kind = F.get(F.array(*map(F.lit, ("career", "competency", "course", "other"))), F.col("label") % 4)
+    vectors = m.table("embeddings").select(F.col("vec_id").alias("point_id"), kind.alias("doc_type"), F.col("embedding").alias("vector"))
+    collection = VectorCollection(scratch(m.spark, "vectors"))
+    collection.replace(vectors.limit(0))
+    collection.replace(vectors, cells=1)
+    return collection.search(vectors.filter("point_id % 100 = 0").withColumnRenamed("point_id", "query_id"), 5, ["career", "competency"])
+
+
+@query()
+def stored_vectors_cells(m: Model) -> DataFrame:
+    """The nearest points from the cells that are most likely to hold them: recall is measured in the tests."""
+    vectors = m.table("embeddings").select(F.col("vec_id").alias("point_id"), F.col("label").cast("string").alias("doc_type"), F.col("embedding").alias("vector"))
+    collection = VectorCollection(scratch(m.spark, "vectors"))
+    collection.replace(vectors, cells=16)
+    return collection.search(vectors.filter("point_id % 100 = 0").withColumnRenamed("point_id", "query_id"), 10)
