@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-from graphloom.operators.lineage import cut
+from graphloom.operators.lineage import Steps
 from graphloom.sources.model import KINDS, PRIORITY
 
 
@@ -184,53 +184,85 @@ def short_cycles(edges: DataFrame) -> DataFrame:
     return found
 
 
-def trimmed(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """The edges (src, dst) that may be on a cycle: nodes that nothing leads to or that lead nowhere are trimmed until
-    all have both."""
-    left = cut(edges.select("src", "dst").distinct().filter("src <> dst"))
-    n = left.count()
-    for _ in range(most_rounds):
-        into, out = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
-        left = cut(left.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"))
-        before, n = n, left.count()
-        if n in (0, before):
-            return left
-    raise RuntimeError(f"cycles did not settle in {most_rounds} rounds")
-
-
-def nodes_on_cycles(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def contracted(edges: DataFrame, steps: Steps) -> tuple[DataFrame, list[DataFrame]]:
+    """What is left of ``edges`` (src, dst) where ends are trimmed and chains are cut short; and for each round the nodes taken
+    out of chains (node, before, after).
+
+    A node that nothing leads to, or that leads nowhere, is on no cycle. A node with one edge in and one out is on a cycle if its
+    neighbours are on one together; those whose hash is the least among its neighbours go in one round, about a third, so a
+    chain of n nodes takes as many rounds as the logarithm of n."""
+    now, rounds = steps.keep(edges.select("src", "dst").distinct().filter("src <> dst")), []
+    while True:
+        out = now.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), F.min("dst").alias("after"))
+        into = now.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.min("src").alias("before"))
+        nodes = steps.keep(out.join(into, "node", "full"))
+        ends = nodes.filter("n_in is null or n_out is null").select("node")
+        order = F.struct(F.xxhash64("node", F.lit(len(rounds))).alias("h"), "node")
+        chain = nodes.filter("n_in = 1 and n_out = 1").select("node", "before", "after", order.alias("own"))
+        around = [chain.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}")) for c in ("before", "after")]
+        placed = chain.join(around[0], "before", "left").join(around[1], "after", "left")
+        least = F.coalesce(F.col("own") < F.col("own_before"), F.lit(True)) & F.coalesce(F.col("own") < F.col("own_after"), F.lit(True))
+        taken = steps.keep(placed.filter(least).select("node", "before", "after"))
+        gone = ends.unionByName(taken.select("node"))
+        if gone.isEmpty():
+            steps.drop(nodes, taken)
+            return now, rounds
+        joined = now.unionByName(taken.select(F.col("before").alias("src"), F.col("after").alias("dst"))).filter("src <> dst")
+        rest = joined.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        then = steps.keep(rest.select("src", "dst").distinct())
+        steps.drop(nodes, now)
+        rounds.append(taken)
+        now = then
+
+
+def nodes_on_cycles(edges: DataFrame) -> DataFrame:
     """item_code, component of every node on a cycle of any length: the smallest node of its strongly connected part.
 
-    What cannot be on a cycle is trimmed. Then each node spreads the smallest node that reaches it, and the smallest
-    that it reaches; where both are one node the node is in that part. Parts that are settled leave, the rest goes on."""
-    found, left = None, trimmed(edges, most_rounds)
-    for _ in range(most_rounds):
-        if left.isEmpty():
-            break
-        ahead, back = _spread(left, "src", "dst", most_rounds), _spread(left, "dst", "src", most_rounds)
+    Ends are trimmed and chains contracted. In what is left each node spreads the smallest node that reaches it, and the smallest
+    that it reaches; where both are one node the node is in that part. Parts that are settled leave, the rest goes on. Then the
+    nodes of chains come back, last ones first. Tables of single rounds are removed."""
+    steps = Steps(edges.sparkSession)
+    left, rounds = contracted(edges, steps)
+    kind = edges.schema["src"].dataType.simpleString()
+    found = steps.keep(left.select(F.col("src").alias("node"), F.col("src").alias("part")).limit(0))
+    while not left.isEmpty():
+        ahead, back = _spread(left, "src", "dst", steps), _spread(left, "dst", "src", steps)
         own = ahead.withColumnRenamed("least", "a").join(back.withColumnRenamed("least", "b"), "node")
-        part = cut(own.filter("a = b").select(F.col("node").alias("item_code"), F.col("a").alias("component")))
-        found = part if found is None else found.unionByName(part)
-        gone = part.select(F.col("item_code").alias("src"))
-        rest = left.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti")
-        left = trimmed(rest.select("src", "dst"), most_rounds)
-    if found is None:
-        return edges.select(F.col("src").alias("item_code"), F.col("src").alias("component")).limit(0)
-    alone = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
-    return found.join(alone, "component").select("item_code", "component")
-
-
-def _spread(edges: DataFrame, start: str, end: str, most_rounds: int) -> DataFrame:
-    """node, least: the smallest node that reaches it along the edges, itself included."""
-    now = cut(edges.select(F.col(start).alias("node")).unionByName(edges.select(F.col(end).alias("node"))).distinct().withColumn("least", F.col("node")))
+        settled = steps.keep(own.filter("a = b").select("node", F.col("a").alias("part")))
+        # a part of one node is no cycle
+        more = settled.join(settled.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("part"), "part").select("node", "part")
+        found = steps.keep(found.unionByName(more))
+        rest = left.join(settled.select(F.col("node").alias("src")), "src", "left_anti").join(settled.select(F.col("node").alias("dst")), "dst", "left_anti")
+        left, again = contracted(rest.select("src", "dst"), steps)
+        rounds += again
+    for taken in reversed(rounds):
+        # a loop is a cycle of a node and nodes that were taken out
+        loops = taken.filter("before = after").select(F.col("before").alias("node")).distinct()
+        alone = loops.join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("part"))
+        known = found.unionByName(alone)
+        sides = taken.join(known.select(F.col("node").alias("before"), F.col("part").alias("p")), "before").join(known.select(F.col("node").alias("after"), F.col("part").alias("q")), "after")
+        before = found
+        found = steps.keep(known.unionByName(sides.filter("p = q").select("node", F.col("p").alias("part"))))
+        steps.drop(before, taken)
+    least = found.groupBy("part").agg(F.min("node").alias("component"))
+    named = steps.keep(found.join(least, "part").select(F.col("node").cast(kind).alias("item_code"), "component"))
+    steps.drop_all(named)
+    return named
+
+
+def _spread(edges: DataFrame, start: str, end: str, steps: Steps) -> DataFrame:
+    """node, least: the smallest node that reaches it along the edges, itself included. A node also takes what reaches its least
+    node, so labels jump ahead."""
+    now = steps.keep(edges.select(F.col(start).alias("node")).unionByName(edges.select(F.col(end).alias("node"))).distinct().withColumn("least", F.col("node")))
     total = None
-    for _ in range(most_rounds):
+    while True:
         told = edges.join(now.withColumnRenamed("node", start), start).select(F.col(end).alias("node"), "least")
-        now = cut(now.unionByName(told).groupBy("node").agg(F.min("least").alias("least")))
-        before, total = total, now.agg(F.sum(F.col("least").cast("decimal(38,0)"))).first()[0]
+        jumped = now.select("node", F.col("least").alias("via")).join(now.select(F.col("node").alias("via"), "least"), "via").select("node", "least")
+        then = steps.keep(now.unionByName(told).unionByName(jumped).groupBy("node").agg(F.min("least").alias("least")))
+        steps.drop(now)
+        now, before, total = then, total, then.agg(F.sum(F.col("least").cast("decimal(38,0)"))).first()[0]
         if total == before:
             return now
-    raise RuntimeError(f"reach did not settle in {most_rounds} rounds")
 
 
 def topological_order(nodes: DataFrame, edges: DataFrame, group: str) -> DataFrame:

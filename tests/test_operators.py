@@ -94,6 +94,47 @@ def test_cycles_of_any_length(spark):
     assert graph.nodes_on_cycles(spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")).count() == 0
 
 
+def plain_parts(edges):
+    """Strongly connected parts of two nodes or more, by reach from every node."""
+    after = {}
+    for a, b in edges:
+        if a != b:
+            after.setdefault(a, set()).add(b)
+    reach = {}
+    for start in after:
+        seen, stack = set(), [start]
+        while stack:
+            for b in after.get(stack.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    stack.append(b)
+        reach[start] = seen
+    out = {}
+    for a in after:
+        part = [b for b in reach[a] if a in reach.get(b, ())]
+        if a in reach[a]:
+            out[a] = min([a, *part])
+    return out
+
+
+def test_cycles_of_random_graphs_and_long_chains(spark, monkeypatch):
+    rng = random.Random(6)
+    for n, m in ((30, 36), (60, 200)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        got = {r.item_code: r.component for r in graph.nodes_on_cycles(spark.createDataFrame(edges, "src long, dst long")).collect()}
+        assert got == plain_parts(edges)
+    # a cycle of 1,000 nodes in any order, and a chain of as many: rounds follow the logarithm
+    names = list(range(1000))
+    rng.shuffle(names)
+    edges = list(zip(names, [*names[1:], names[0]], strict=True)) + [(k, k + 1) for k in range(10_000, 11_000)]
+    rounds = []
+    contracted = graph.contracted
+    monkeypatch.setattr(graph, "contracted", lambda e, s: rounds.append(contracted(e, s)) or rounds[-1])
+    got = {r.item_code: r.component for r in graph.nodes_on_cycles(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == dict.fromkeys(range(1000), 0)
+    assert sum(len(r[1]) for r in rounds) < 40
+
+
 def test_percentiles_and_effects_against_plain_sorts(spark, monkeypatch):
     rng = np.random.default_rng(1)
     groups = {"many": rng.normal(size=30_001), "ties": rng.integers(0, 5, 20_000).astype(float), "few": rng.random(31), None: rng.random(7)}
