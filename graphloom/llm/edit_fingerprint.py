@@ -41,6 +41,8 @@ LONGEST = 1 << 40
 #: Characters whose walks are held at once.
 WALK_CHARS = 3_000_000
 BANDS, BAND_SLOTS, THRESHOLD, BLOCK = 40, 8, 0.8, 400
+#: Used slots without which a fingerprint says too little of its text to be like any but its equals.
+LEAST_USED = 32
 EMPTY = 16
 SYMBOLS = np.frombuffer(b"0123456789abcdef-", np.uint8)
 
@@ -187,7 +189,7 @@ def compare(doc_ids: list, texts: list[str], following: list[str], slots: int) -
         pa.array(shown(changed), pa.string()),
         pa.array(likeness(plain, changed), pa.float64()),
         pa.array(likeness(plain, after), pa.float64()),
-        pa.array((band_values(plain) == band_values(changed)).sum(axis=1).astype(np.int32), pa.int32()),
+        pa.array(equal_bands(band_values(plain), band_values(changed)).sum(axis=1).astype(np.int32), pa.int32()),
     ]
 
 
@@ -245,26 +247,50 @@ def fingerprint_edits(docs: DataFrame, slots: int = SLOTS, parts: int | None = N
     return met.filter("end is null").select(*names).unionByName(seams.mapInArrow(match, EDIT_SCHEMA))
 
 
-def band_values(prints: np.ndarray, bands: int = BANDS, band_slots: int = BAND_SLOTS) -> np.ndarray:
-    """A 64-bit value of each band of sampled slots; equal values mean equal slots."""
-    rng = np.random.default_rng(97)
-    out = np.empty((len(prints), bands), np.int64)
-    for b in range(bands):
-        picked = prints[:, rng.choice(prints.shape[1], min(band_slots, prints.shape[1]), replace=False)].astype(np.uint64)
-        value = np.full(len(prints), b, np.uint64)
-        for column in picked.T:
-            value = _mixed(value * np.uint64(31) + column, b)
-        out[:, b] = value.view(np.int64)
+def levels_of(slots: int) -> list[int]:
+    """Numbers of slots that bands are drawn from: all of them, and halves down to ``LEAST_USED``."""
+    out = [slots]
+    while out[-1] // 2 >= LEAST_USED:
+        out.append(out[-1] // 2)
     return out
 
 
+def band_values(prints: np.ndarray, threshold: float = THRESHOLD, bands: int = BANDS, band_slots: int = BAND_SLOTS) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit value of each band of sampled slots, and whether the fingerprint has that band; equal values mean equal slots.
+
+    A longer text uses all the slots of a shorter one. So bands of each level are drawn from the slots that are used first,
+    and a fingerprint has those of the level that its used slots fill, without a band that holds an unused slot. Two
+    that are alike by ``threshold`` use numbers of slots that share a level."""
+    slots = prints.shape[1]
+    order = np.argsort((embedding(slots).speaks >= 0).argmax(axis=0), kind="stable")
+    used = (prints != EMPTY).sum(axis=1)
+    levels = levels_of(slots)
+    values, has = np.zeros((len(prints), bands * len(levels)), np.int64), np.zeros((len(prints), bands * len(levels)), bool)
+    for level, size in enumerate(levels):
+        rng = np.random.default_rng([97, level])
+        here = (used >= LEAST_USED) & (used >= np.floor(threshold * size)) & ((size == slots) | (used < 2 * size))
+        rows = np.flatnonzero(here)
+        for b in range(level * bands, (level + 1) * bands):
+            picked = prints[rows[:, None], order[rng.choice(size, min(band_slots, size), replace=False)]]
+            value = np.full(len(rows), b, np.uint64)
+            for column in picked.T.astype(np.uint64):
+                value = _mixed(value * np.uint64(31) + column, b)
+            values[rows, b], has[rows, b] = value.view(np.int64), (picked != EMPTY).all(axis=1)
+    return values, has
+
+
+def equal_bands(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which bands both have, with equal values."""
+    return (one[0] == two[0]) & one[1] & two[1]
+
+
 def linked_prints(prints: np.ndarray, side: np.ndarray | None, band: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows that are alike enough and whose first equal band is ``band``; with sides only pairs across them."""
-    bands, left, right = band_values(prints), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    (bands, has), left, right = band_values(prints, threshold), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for i in range(len(prints) - 1):
         ok = likeness(prints[i], prints[i + 1 :]) >= threshold
         if band:
-            ok &= ~(bands[i + 1 :, :band] == bands[i, :band]).any(axis=1)
+            ok &= ~equal_bands((bands[i + 1 :, :band], has[i + 1 :, :band]), (bands[i, :band], has[i, :band])).any(axis=1)
         if side is not None:
             ok &= side[i + 1 :] != side[i]
         others = np.flatnonzero(ok) + i + 1
@@ -275,20 +301,19 @@ def linked_prints(prints: np.ndarray, side: np.ndarray | None, band: int, thresh
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS, block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint, n_links (other documents whose fingerprints are alike by ``threshold`` or more, equal ones
-    included), component_id (smallest doc_id that links reach): one row for each row of ``docs``."""
+    included), component_id (smallest doc_id that links reach): one row for each row of ``docs``. Texts of a few characters,
+    whose fingerprints use fewer than ``LEAST_USED`` slots, link with equal ones only."""
     rows = written(fingerprint_documents(docs, slots), "fingerprints")
     classes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("cls", F.xxhash64("fingerprint"))
 
     def band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = band_values(np.stack([read_shown(t) for t in batch.column(1).to_pylist()])) if batch.num_rows else np.empty((0, BANDS), np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(values.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["cls", "bands"])
-
-    # an empty fingerprint is like no other class
-    filled = classes.filter(F.length(F.replace("fingerprint", F.lit("-"))) > 0)
-    banded = filled.select("cls", "fingerprint").mapInArrow(band_rows, "cls long, bands array<long>")
-    spread = cut(banded.select("cls", F.posexplode("bands").alias("band", "h")))
+            if batch.num_rows:
+                values, has = band_values(np.stack([read_shown(t) for t in batch.column(1).to_pylist()]), threshold)
+                row, band = np.nonzero(has)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(band, pa.int32()), pa.array(values[row, band])], ["cls", "band", "h"])
+
+    spread = cut(classes.select("cls", "fingerprint").mapInArrow(band_rows, "cls long, band int, h long"))
     buckets = spread.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     placed = spread.join(buckets, ["band", "h"]).select("cls", "band", "h", F.inline(block_pairs(F.col("cls"), F.col("blocks"))))
     members = placed.join(classes.select("cls", "fingerprint", "copies"), "cls").select("band", "h", "one", "two", "side", "cls", "copies", "fingerprint")

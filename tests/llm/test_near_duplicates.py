@@ -232,6 +232,38 @@ def test_fingerprint_links_are_those_of_all_pairs(spark):
     assert sum(r.n_links for r in got.values()) >= 0.98 * linked.sum()
 
 
+def test_short_texts_share_no_buckets_and_no_links_by_chance(spark):
+    rng = random.Random(11)
+    for n in (1, 3, 5, 10, 20, 50):
+        texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ,.") for _ in range(n)) for _ in range(400)]
+        prints = edit_fingerprint.embedding(edit_fingerprint.SLOTS).fingerprints(texts)
+        values, has = edit_fingerprint.band_values(prints)
+        largest = max((c for b in range(values.shape[1]) for c in Counter(values[has[:, b], b].tolist()).values()), default=0)
+        assert largest <= 12, n
+        frame = spark.createDataFrame([(k, t, "", 0) for k, t in enumerate(texts)], DOCS)
+        got = {r.doc_id: r for r in edit_fingerprint.near_duplicates(frame).collect()}
+        prints_of = Counter(r.fingerprint for r in got.values())
+        assert sum(r.n_links > prints_of[r.fingerprint] - 1 for r in got.values()) <= 2, n
+
+
+@pytest.mark.parametrize("n", [40, 80, 150, 400])
+def test_recall_of_like_fingerprints_at_every_length(n):
+    rng = random.Random(n)
+    e, found, met = edit_fingerprint.embedding(edit_fingerprint.SLOTS), 0, 0
+    for _ in range(150):
+        text = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)]
+        other = list(text)
+        for _ in range(max(1, n // 40)):
+            k = rng.randrange(len(other))
+            rng.choice([lambda: other.insert(k, "x"), lambda: other.pop(k), lambda: other.__setitem__(k, "y")])()
+        prints = e.fingerprints(["".join(text), "".join(other)])
+        if edit_fingerprint.likeness(prints[0], prints[1]) >= 0.8:
+            values, has = edit_fingerprint.band_values(prints)
+            found += 1
+            met += bool(((values[0] == values[1]) & has[0] & has[1]).any())
+    assert found >= 10 and met >= 0.97 * found
+
+
 def test_edits_of_repeated_and_null_ids(spark):
     rows = [(None, "same text again and again", "", 0)] * 20 + [(3, t, "", 0) for t in ("b", "a", "b", None)]
     got = edit_fingerprint.fingerprint_edits(spark.createDataFrame(rows, DOCS).repartition(3), parts=6).collect()
