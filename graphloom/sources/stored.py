@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -22,6 +23,8 @@ from graphloom.sources.snapshots import Snapshots
 
 #: Edges to a bucket, about, and buckets at least: some more than most tasks read at once.
 EDGES_A_BUCKET, LEAST_BUCKETS = 2_000_000, 16
+#: Tables that are written at once.
+AT_ONCE = 4
 
 #: Stored tables: what of a model they hold, and the key that their rows are bucketed and sorted by. The last three are what
 #: single lookups read: edges with the columns of their other end.
@@ -114,12 +117,17 @@ def build(model: Model, store: Snapshots, buckets: int | None = None) -> int:
     n = buckets or max(LEAST_BUCKETS, -(-model.table("lineitem").count() // EDGES_A_BUCKET))
 
     def write(path: str) -> None:
-        for name, (rows, key) in LAYOUT.items():
+        def save(name: str) -> None:
+            rows, key = LAYOUT[name]
             # only the files are kept: the name in the catalog goes at once
             temporary = f"graphloom_build_{hashlib.md5(path.encode()).hexdigest()[:12]}_{name}"
             rows(model).repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", f"{path}/{name}").saveAsTable(temporary)
             model.spark.sql(f"DROP TABLE {temporary}")
 
+        # small tables leave most tasks idle, so some are written at once
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            list(pool.map(save, LAYOUT))
+
     return store.publish(write, buckets=n)
 
 
