@@ -287,10 +287,12 @@ def equal_bands(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.nd
 def linked_prints(prints: np.ndarray, side: np.ndarray | None, band: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows that are alike enough and whose first equal band is ``band``; with sides only pairs across them."""
     (bands, has), left, right = band_values(prints, threshold), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    # a band that a row does not have equals no other row's
+    bands = np.where(has, bands, np.iinfo(np.int64).min + np.arange(len(prints))[:, None])
     for i in range(len(prints) - 1):
         ok = likeness(prints[i], prints[i + 1 :]) >= threshold
         if band:
-            ok &= ~equal_bands((bands[i + 1 :, :band], has[i + 1 :, :band]), (bands[i, :band], has[i, :band])).any(axis=1)
+            ok[ok] = ~(bands[i + 1 :, :band][ok] == bands[i, :band]).any(axis=1)
         if side is not None:
             ok &= side[i + 1 :] != side[i]
         others = np.flatnonzero(ok) + i + 1
