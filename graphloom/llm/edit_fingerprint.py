@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ WALK_CHARS = 3_000_000
 BANDS, BAND_SLOTS, THRESHOLD, BLOCK = 40, 8, 0.8, 400
 #: Used slots without which a fingerprint says too little of its text to be like any but its equals.
 LEAST_USED = 32
+#: Rows of buckets, and pairs of them, that a task compares at once.
+ROWS, PAIRS = 8_000, 100_000
 EMPTY = 16
 SYMBOLS = np.frombuffer(b"0123456789abcdef-", np.uint8)
 
@@ -255,6 +258,17 @@ def levels_of(slots: int) -> list[int]:
     return out
 
 
+@lru_cache(maxsize=4)
+def slots_of_bands(slots: int, bands: int, band_slots: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The slots in the order in which they are first used, and the places in that order that each band of each level takes."""
+    order = np.argsort((embedding(slots).speaks >= 0).argmax(axis=0), kind="stable")
+    picks = []
+    for level, size in enumerate(levels_of(slots)):
+        rng = np.random.default_rng([97, level])
+        picks += [rng.choice(size, min(band_slots, size), replace=False) for _ in range(bands)]
+    return order, picks
+
+
 def band_values(prints: np.ndarray, threshold: float = THRESHOLD, bands: int = BANDS, band_slots: int = BAND_SLOTS) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit value of each band of sampled slots, and whether the fingerprint has that band; equal values mean equal slots.
 
@@ -262,16 +276,17 @@ def band_values(prints: np.ndarray, threshold: float = THRESHOLD, bands: int = B
     and a fingerprint has those of the level that its used slots fill, without a band that holds an unused slot. Two
     that are alike by ``threshold`` use numbers of slots that share a level."""
     slots = prints.shape[1]
-    order = np.argsort((embedding(slots).speaks >= 0).argmax(axis=0), kind="stable")
+    order, picks = slots_of_bands(slots, bands, band_slots)
     used = (prints != EMPTY).sum(axis=1)
     levels = levels_of(slots)
     values, has = np.zeros((len(prints), bands * len(levels)), np.int64), np.zeros((len(prints), bands * len(levels)), bool)
     for level, size in enumerate(levels):
-        rng = np.random.default_rng([97, level])
         here = (used >= LEAST_USED) & (used >= np.floor(threshold * size)) & ((size == slots) | (used < 2 * size))
         rows = np.flatnonzero(here)
+        if not len(rows):
+            continue
         for b in range(level * bands, (level + 1) * bands):
-            picked = prints[rows[:, None], order[rng.choice(size, min(band_slots, size), replace=False)]]
+            picked = prints[rows[:, None], order[picks[b]]]
             value = np.full(len(rows), b, np.uint64)
             for column in picked.T.astype(np.uint64):
                 value = _mixed(value * np.uint64(31) + column, b)
@@ -284,21 +299,56 @@ def equal_bands(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.nd
     return (one[0] == two[0]) & one[1] & two[1]
 
 
-def linked_prints(prints: np.ndarray, side: np.ndarray | None, band: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that are alike enough and whose first equal band is ``band``; with sides only pairs across them."""
-    (bands, has), left, right = band_values(prints, threshold), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    # a band that a row does not have equals no other row's
-    bands = np.where(has, bands, np.iinfo(np.int64).min + np.arange(len(prints))[:, None])
-    for i in range(len(prints) - 1):
-        ok = likeness(prints[i], prints[i + 1 :]) >= threshold
-        if band:
-            ok[ok] = ~(bands[i + 1 :, :band][ok] == bands[i, :band]).any(axis=1)
-        if side is not None:
-            ok &= side[i + 1 :] != side[i]
-        others = np.flatnonzero(ok) + i + 1
-        left.append(np.full(len(others), i))
-        right.append(others)
-    return np.concatenate(left), np.concatenate(right)
+def bucket_pairs(starts: np.ndarray, side: np.ndarray, across: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Left and right rows and the bucket of all pairs inside buckets, some ``PAIRS`` at a time: bucket i has the rows from
+    starts[i] to starts[i + 1]; where ``across`` holds only pairs of two sides."""
+    left, right, bucket, n = [], [], [], 0
+    for i, (begin, end) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+        if across[i]:
+            one = np.flatnonzero(side[begin:end] == 0)
+            two = np.flatnonzero(side[begin:end] == 1)
+            a, b = np.repeat(one, len(two)), np.tile(two, len(one))
+        else:
+            a, b = pairs_of(end - begin) if end - begin <= 64 else np.triu_indices(end - begin, 1)
+        left.append(a + begin)
+        right.append(b + begin)
+        bucket.append(np.full(len(a), i))
+        n += len(a)
+        if n >= PAIRS:
+            yield np.concatenate(left), np.concatenate(right), np.concatenate(bucket)
+            left, right, bucket, n = [], [], [], 0
+    if n:
+        yield np.concatenate(left), np.concatenate(right), np.concatenate(bucket)
+
+
+def group_starts(keys: list[np.ndarray]) -> np.ndarray:
+    """The first rows of the runs of rows with equal keys."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+@lru_cache(maxsize=64)
+def pairs_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
+def first_met(prints: np.ndarray, left: np.ndarray, right: np.ndarray, band: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of rows, each with a band that both have in common, are alike enough and have no equal band before it.
+    Bands of many buckets' rows are found at once."""
+    ok = np.zeros(len(left), bool)
+    for begin in range(0, len(left), PAIRS):
+        part = slice(begin, begin + PAIRS)
+        ok[part] = likeness(prints[left[part]], prints[right[part]]) >= threshold
+    later = np.flatnonzero(ok & (band > 0))
+    rows, place = np.unique(np.concatenate([left[later], right[later]]), return_inverse=True)
+    values, has = band_values(prints[rows], threshold)
+    for begin in range(0, len(later), PAIRS // 8):
+        at = later[begin : begin + PAIRS // 8]
+        one, two = (place[k + begin : k + begin + len(at)] for k in (0, len(later)))
+        equal = equal_bands((values[one], has[one]), (values[two], has[two]))
+        ok[at] = equal.argmax(axis=1) == band[at]
+    return ok
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS, block: int = BLOCK) -> DataFrame:
@@ -320,36 +370,40 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, slots: int =
     placed = spread.join(buckets, ["band", "h"]).select("cls", "band", "h", F.inline(block_pairs(F.col("cls"), F.col("blocks"))))
     members = placed.join(classes.select("cls", "fingerprint", "copies"), "cls").select("band", "h", "one", "two", "side", "cls", "copies", "fingerprint")
 
-    def group(held: list[tuple], across: bool, band: int) -> Iterator[tuple[int, int, int | None]]:
-        prints = np.stack([read_shown(r[3]) for r in held])
-        copies, links = np.array([r[2] for r in held]), np.zeros(len(held), np.int64)
-        left, right = linked_prints(prints, np.array([r[0] for r in held]) if across else None, band, threshold)
-        np.add.at(links, left, copies[right])
-        np.add.at(links, right, copies[left])
-        for i in np.flatnonzero(links):
-            yield held[i][1], int(links[i]), None
-        for a, b in tree_edges(left, right, len(held)):
-            yield held[a][1], 0, held[b][1]
+    def linked(table: pa.Table) -> pa.RecordBatch:
+        """Links and a tree of edges of the classes in the whole buckets of a table."""
+        columns = [c.to_numpy() for c in table.select(range(7)).columns]
+        prints = read_shown("".join(table.column(7).to_pylist())).reshape(len(table), -1)
+        starts = np.append(group_starts(columns[:4]), len(table))
+        first = starts[:-1]
+        classes_here, own = np.unique(columns[5], return_inverse=True)
+        links, tree = np.zeros(len(classes_here), np.int64), []
+        for left, right, bucket in bucket_pairs(starts, columns[4], columns[2][first] != columns[3][first]):
+            met = first_met(prints, left, right, columns[0][first[bucket]], threshold)
+            left, right = left[met], right[met]
+            np.add.at(links, own[left], columns[6][right])
+            np.add.at(links, own[right], columns[6][left])
+            tree += tree_edges(own[left], own[right], len(classes_here))
+        some = np.flatnonzero(links)
+        edges = np.array(tree, np.int64).reshape(-1, 2)
+        others = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(classes_here[edges[:, 1]])])
+        counts = np.concatenate([links[some], np.zeros(len(edges), np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(classes_here[np.concatenate([some, edges[:, 0]])]), pa.array(counts), others], ["cls", "links", "other"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key, out = [], None, []
-
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) if out else [(), (), ()]
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["cls", "links", "other"])
-
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for band, h, one, two, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (band, h, one, two) != key:
-                    if len(held) > 1:
-                        out.extend(group(held, key[2] != key[3], key[0]))
-                    held, key = [], (band, h, one, two)
-                held.append(row)
-            yield flush()
-        if len(held) > 1:
-            out.extend(group(held, key[2] != key[3], key[0]))
-        yield flush()
+            held.append(batch)
+            if sum(b.num_rows for b in held) < ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            # the last bucket may go on in the next batch
+            whole = int(group_starts([table.column(k).to_numpy() for k in range(4)])[-1])
+            if whole:
+                yield linked(table.slice(0, whole))
+            held = table.slice(whole).to_batches()
+        if sum(b.num_rows for b in held):
+            yield linked(pa.Table.from_batches(held))
 
     dealt = members.repartition("band", "h", "one", "two").sortWithinPartitions("band", "h", "one", "two", "cls")
     checked = cut(dealt.mapInArrow(verify, "cls long, links long, other long"))

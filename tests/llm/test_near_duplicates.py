@@ -296,3 +296,23 @@ def test_fingerprints_of_one_row_and_none(spark):
     assert edit_fingerprint.fingerprint_edits(spark.createDataFrame([], DOCS)).count() == 0
     same = edit_fingerprint.fingerprint_edits(spark.createDataFrame([(4, "abc", "", 0)] * 3, DOCS))
     assert same.count() == 3 and same.select(F.min("near_next")).first()[0] == 1
+
+
+def test_fingerprints_of_many_buckets_are_compared_at_once(spark, monkeypatch):
+    prints = edit_fingerprint.embedding(edit_fingerprint.SLOTS).fingerprints([t for s in range(40) for t in near_copies(3, words=150, seed=s)])
+    calls = Counter()
+    plain = edit_fingerprint.band_values
+    monkeypatch.setattr(edit_fingerprint, "band_values", lambda *a: calls.update(["n"]) or plain(*a))
+    starts, side = np.arange(0, 121, 3), np.zeros(120, int)
+    pairs = list(edit_fingerprint.bucket_pairs(starts, side, np.zeros(40, bool)))
+    assert sum(len(left) for left, _, _ in pairs) == 120
+    values, has = plain(prints)
+    for left, right, bucket in pairs:
+        for band in (0, 1, 5):
+            met = edit_fingerprint.first_met(prints, left, right, np.full(len(left), band), 0.8)
+            for a, b, ok in zip(left, right, met, strict=True):
+                equal = (values[a] == values[b]) & has[a] & has[b]
+                alike = bool(edit_fingerprint.likeness(prints[a], prints[b]) >= 0.8)
+                if equal[band]:
+                    assert ok == (alike and not equal[:band].any())
+    assert calls["n"] == 3
