@@ -372,3 +372,18 @@ def test_alias_scan_rules(spark):
     aliases = spark.createDataFrame([("competency", "go", "Go"), ("competency", "java", "Java"), ("competency", "javas", "Java"), ("career", "g", "G"), ("competency", "", "none")], "kind string, alias string, canonical string")
     got = sorted((r.doc_id, r.canonical, r.alias) for r in resolve.alias_scan(texts, aliases).collect())
     assert got == [(1, "Go", "go"), (1, "Java", "javas"), (2, "Java", "java"), (3, "Go", "go")]
+
+
+def test_names_that_are_often_there_meet_a_text_once(spark):
+    """Postings are made of different texts, none of them is broadcast, and a part with a run that no holder has meets none."""
+    names = spark.range(3000).select(F.col("id").alias("item_code"), F.concat(F.lit("Name "), F.col("id") % 3).alias("item_name"))
+    got = resolve.match_competencies(names, spark.createDataFrame([(1, "name 2"), (2, "NAME"), (3, "nabe 2")], "query_id int, text string"))
+    assert sorted(got.select("query_id", "item_code").collect()) == [(1, 2), (2, 0)]
+    best = resolve.best_match(names, spark.createDataFrame([("see name 1 now",), ("e 2",), ("e 3",)], "needle string"), "item_code", "item_name")
+    assert sorted(best.select("needle", "item_code", "tier").collect()) == [("e 2", 2, 1), ("see name 1 now", 1, 2)]
+    pairs = resolve.containing(names, spark.createDataFrame([("ame",)], "p string"), "item_name", "p")
+    assert pairs.count() == 3000
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") >= 2 and "strategy=merge" in plan
+    exploded = [line for line in plan.split("\n") if "Aggregate [item_name" in line]
+    assert exploded, plan
