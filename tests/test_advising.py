@@ -1,9 +1,13 @@
 """Notes, citations, routes and reports on small rows."""
 
+from pathlib import Path
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import advice, reports
+from graphloom import plans
+from graphloom.operators import advice, reports, resolve
 
 
 def one(spark, *columns):
@@ -126,3 +130,14 @@ def test_empty_tables_give_no_rows(spark):
     run = spark.createDataFrame([], "case_id int, mode string, quality double, matched boolean, hint boolean")
     assert reports.by_match(run, "case_id", "mode", "quality").count() == 0 == reports.breakdown(run, ["mode"], "quality").count()
     assert [tuple(r) for r in reports.profile(run, ["mode"]).collect()] == [("mode", 0, 0, 0)]
+
+
+def test_mapped_names_meet_once_a_subject(spark):
+    named = spark.createDataFrame([(1, 5, "a")], "k int, place int, name string")
+    subjects = spark.range(300).select(F.lit(1).alias("k"), (F.col("id") + 3).cast("int").alias("place"), F.lit("s").alias("subject"))
+    mapping = spark.range(300).select(F.lit("s").alias("subject"), (F.col("id") + 7).cast("int").alias("at"), F.concat(F.lit(" n"), F.col("id") % 2, F.lit(" ")).alias("name"))
+    found = resolve.with_mapped(named, subjects, mapping, "k")
+    assert sorted(map(tuple, found.collect())) == [(1, "a", 0, 5, 0), (1, "n0", 1, 3, 7), (1, "n1", 1, 3, 8)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join") :]
+    assert joined.count("Aggregate [") == 2
