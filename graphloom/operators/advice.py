@@ -142,12 +142,12 @@ def route_scores(texts: DataFrame, text: str, n_competencies: Column, n_careers:
     """``texts`` with relation (a sign of a question on relations), comparison, course_score, relation_score and routed.
     The number of competencies and careers that a text names comes from an alias scan."""
     probe = F.lower(T.without_marks(F.coalesce(text, F.lit(""))))
-    long = F.length(F.trim(F.coalesce(text, F.lit(""))))
-    signs = lambda patterns: F.greatest(F.lit(False), *(F.rlike(probe, F.lit(p)) for p in patterns))
+    long = F.length(T.trimmed(F.coalesce(text, F.lit(""))))
+    signs = lambda patterns: F.greatest(F.lit(False), *(F.rlike(probe, F.lit(T.ascii_pattern(p))) for p in patterns))
     rows = texts.withColumns({"relation": (long >= 6) & signs(RELATION_SIGNS), "comparison": signs(COMPARISONS), "n_items": n_competencies, "n_careers": n_careers})
     rel, cmp, items, careers = F.col("relation"), F.col("comparison"), F.col("n_items"), F.col("n_careers")
     add = lambda condition, points: F.when(condition, points).otherwise(0.0)
-    course = sum((add(F.rlike(probe, F.lit(p)), points) for p, points in COURSE_SIGNS), F.lit(0.0)) - add(rel, 2.0) - add(cmp, 2.0)
+    course = sum((add(F.rlike(probe, F.lit(T.ascii_pattern(p))), points) for p, points in COURSE_SIGNS), F.lit(0.0)) - add(rel, 2.0) - add(cmp, 2.0)
     base = add(rel, 3.0) + add((items >= 2) & (rel | cmp), 2.0) + add((items >= 1) & cmp, 2.0) + add(items >= 1, 1.0)
     rows = rows.withColumns({"course_score": F.when(long > 0, course).otherwise(0.0), "base": F.when(long >= 4, base).otherwise(0.0)})
     # a career in the text speaks against relations, unless much else speaks for them

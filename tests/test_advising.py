@@ -132,6 +132,15 @@ def test_empty_tables_give_no_rows(spark):
     assert [tuple(r) for r in reports.profile(run, ["mode"]).collect()] == [("mode", 0, 0, 0)]
 
 
+def test_routes_end_words_and_lines_as_their_sql_does(spark):
+    said = ["Hoc gi tot cho chößß", "hoc x choßen", "ǎn hǒc Java chǒ\rai", "hoc a b cho c", " 　abc　"]
+    rows = spark.createDataFrame(list(enumerate(said)), "k int, said string")
+    got = {r.k: r for r in advice.route_scores(rows, "said", F.lit(1), F.lit(0)).collect()}
+    # a sharp s ends a word, other line ends are signs like others, and space characters of any script do not count
+    assert [got[k].course_score for k in range(5)] == [1.5, 1.5, 1.5, 1.5, 0.0]
+    assert got[4].relation_score == 0.0
+
+
 def test_mapped_names_meet_once_a_subject(spark):
     named = spark.createDataFrame([(1, 5, "a")], "k int, place int, name string")
     subjects = spark.range(300).select(F.lit(1).alias("k"), (F.col("id") + 3).cast("int").alias("place"), F.lit("s").alias("subject"))
