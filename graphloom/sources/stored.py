@@ -21,8 +21,8 @@ from graphloom.operators.lineage import shared_folder
 from graphloom.sources.model import Model
 from graphloom.sources.snapshots import Snapshots
 
-#: Edges to a bucket, about, and buckets at least: some more than most tasks read at once.
-EDGES_A_BUCKET, LEAST_BUCKETS = 2_000_000, 16
+#: Edges to a bucket, about, so few that a task sorts them in memory beside others; and buckets at least.
+EDGES_A_BUCKET, LEAST_BUCKETS = 250_000, 16
 #: Tables that are written at once.
 AT_ONCE = 4
 
@@ -111,8 +111,8 @@ def some(rows: DataFrame, key: str, values: Sequence[int] | None) -> DataFrame:
     return rows if values is None else rows.filter(F.col(key).isin(*values))
 
 
-def build(model: Model, store: Snapshots, buckets: int | None = None) -> int:
-    """Writes all tables of ``LAYOUT`` as one new version, with one number of buckets, so that any two that share a key join
+def build(model: Model, store: Snapshots, buckets: int | None = None, names: Sequence[str] = tuple(LAYOUT)) -> int:
+    """Writes tables of ``LAYOUT``, all unless ``names`` says which, as one new version, with one number of buckets, so that any two that share a key join
     bucket by bucket. Edges of one key lie in one file, sorted."""
     n = buckets or max(LEAST_BUCKETS, -(-model.table("lineitem").count() // EDGES_A_BUCKET))
 
@@ -126,18 +126,20 @@ def build(model: Model, store: Snapshots, buckets: int | None = None) -> int:
 
         # small tables leave most tasks idle, so some are written at once
         with ThreadPoolExecutor(AT_ONCE) as pool:
-            list(pool.map(save, LAYOUT))
+            list(pool.map(save, names))
 
-    return store.publish(write, buckets=n)
+    return store.publish(write, buckets=n, tables=list(names))
 
 
 def opened(spark: SparkSession, sf_dir: str, store: Snapshots, version: int | None = None) -> StoredModel:
     """A model on the tables of a version; they are named in the catalog of this session where they are not yet."""
     version = store.versions()[-1] if version is None else version
-    path, n = store.data(version), store.entry(version)["buckets"]
+    path, entry = store.data(version), store.entry(version)
+    n = entry["buckets"]
     prefix = f"graphloom_{hashlib.md5(path.encode()).hexdigest()[:12]}"
     known = {t.name for t in spark.catalog.listTables(pattern=f"{prefix}_*")}
-    for name, (_, key) in LAYOUT.items():
+    for name in entry.get("tables", LAYOUT):
+        key = LAYOUT[name][1]
         if f"{prefix}_{name}" not in known:
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/{name}").schema)
             spark.sql(f"CREATE TABLE {prefix}_{name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {n} BUCKETS LOCATION '{path}/{name}'")
@@ -159,12 +161,16 @@ def fingerprint(spark: SparkSession, sf_dir: str, names: Sequence[str]) -> str:
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "pages")
 
 
-def stored_model(spark: SparkSession, sf_dir: str) -> StoredModel:
-    """The stored graph of these source tables: built in the shared folder where no version of them is there."""
+def stored_model(spark: SparkSession, sf_dir: str, names: Sequence[str] | None = None) -> StoredModel:
+    """The stored graph of these source tables: built in the shared folder where no version of them is there. With ``names``
+    only those tables are built, unless the whole graph is there."""
     mark = fingerprint(spark, sf_dir, SOURCES)
-    store = Snapshots(spark, f"{shared_folder(spark).rstrip('/')}/graphloom/graph-{mark}")
+    root = f"{shared_folder(spark).rstrip('/')}/graphloom/graph-{mark}"
+    store = Snapshots(spark, root)
+    if names is not None and not store.versions():
+        store = Snapshots(spark, f"{root}-{'-'.join(sorted(names))}")
     if not store.versions():
-        build(Model(spark, sf_dir), store)
+        build(Model(spark, sf_dir), store, names=tuple(LAYOUT) if names is None else names)
     return opened(spark, sf_dir, store)
 
 

@@ -1,5 +1,7 @@
 """The stored graph: pruned buckets, joins without exchange, versions."""
 
+from pathlib import Path
+
 import pytest
 
 from graphloom.plans import catalogue
@@ -44,3 +46,14 @@ def test_readers_stay_with_their_version(spark, tmp_path):
     stored.build(Model(spark, SF), store, buckets=8)
     assert stored.opened(spark, SF, store).prefix != first.prefix
     assert first.need.count() == n and set(stored.selected_buckets(stored.opened(spark, SF, store, 1).skills_of([1], 2))) == {"1 out of 4"}
+
+
+def test_queries_store_the_tables_that_they_read(spark, tmp_path):
+    for path in Path(SF).glob("*.parquet"):
+        (tmp_path / path.name).write_bytes(path.read_bytes())
+    model = stored.stored_model(spark, str(tmp_path), ["courses"])
+    assert sorted(model.courses_of(None, 3).collect()) == sorted(catalogue.course_rec(Model(spark, SF)).select(*model.courses_of(None, 3).columns).collect())
+    assert {t.name for t in spark.catalog.listTables(pattern=f"{model.prefix}_*")} == {f"{model.prefix}_courses"}
+    whole = stored.stored_model(spark, str(tmp_path))
+    assert len(spark.catalog.listTables(pattern=f"{whole.prefix}_*")) == len(stored.LAYOUT)
+    assert stored.stored_model(spark, str(tmp_path), ["courses"]).prefix == whole.prefix
