@@ -387,3 +387,17 @@ def test_names_that_are_often_there_meet_a_text_once(spark):
     assert plan.count("Generate explode") >= 2 and "strategy=merge" in plan
     exploded = [line for line in plan.split("\n") if "Aggregate [item_name" in line]
     assert exploded, plan
+
+
+def test_suggestions_compare_few_names_and_are_those_of_all_pairs(monkeypatch):
+    rng = random.Random(3)
+    names = sorted({f"Customer#{rng.randrange(10**6):09d}" for _ in range(3000)} | {"Cust", "nobody", "ño 12", "2"})
+    low = [n.lower() for n in names]
+    sizes, calls, plain = np.array([len(n) for n in low]), [], similarity.suggestion_score
+    monkeypatch.setattr(similarity, "suggestion_score", lambda a, b: calls.append(1) or plain(a, b))
+    needles = ["#000123", "see Customer#000000200 please", "nobody 300", "2", "xyz", f"see {names[7]} please", "NOBODY"]
+    for needle in needles:
+        got = resolve.best_offers(needle, names, sizes, lambda c: np.array([n.count(c) for n in low]), 6, 0.25)
+        scores = [(-round(plain(needle, n), 6), n) for n in names]
+        assert got == [(-s, n) for s, n in sorted(x for x in scores if x[0] <= -0.25)[:6]], needle
+    assert len(calls) < 0.4 * len(names) * len(needles)
