@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -14,6 +15,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, BOOST, EDGE_CAP = 60, 0.15, 2
 #: Queries of a block, documents and vectors scored at once, and weights of query terms that the driver may hold.
 QUERY_BLOCK, DOC_BLOCK, VECTOR_BLOCK, MOST_WEIGHTS = 512, 512, 2048, 4_000_000
+#: Documents whose words are counted at once.
+COUNT_BLOCK = 2048
 
 
 def tokens(text: Column) -> Column:
@@ -39,12 +42,32 @@ def with_words(rows: DataFrame, *keys: str) -> DataFrame:
     return split.select(*keys, F.when(F.size("words") > 0, F.col("words")).otherwise(signs).alias("words"))
 
 
+def term_counts(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The different words of each list: the list, the word's place in the last result and how often the list has it, list by
+    list; the lengths of the lists; and the words."""
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = lists.flatten().dictionary_encode()
+    size = max(1, len(codes.dictionary))
+    pairs, tf = np.unique(np.repeat(np.arange(len(lengths)), lengths) * size + codes.indices.to_numpy(), return_counts=True)
+    return pairs // size, pairs % size, tf, lengths, codes.dictionary
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, df, dl: how many documents of a block (words) have a term; a null term counts documents and words."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, COUNT_BLOCK):
+            _, term, _, lengths, words = term_counts(batch.slice(begin, COUNT_BLOCK).column(0))
+            df = np.append(np.bincount(term, minlength=len(words)), len(lengths))
+            dl = np.append(np.zeros(len(words), np.int64), lengths.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([*words.to_pylist(), None], pa.string()), pa.array(df, pa.int64()), pa.array(dl, pa.int64())], ["term", "df", "dl"])
+
+
 def term_weights(docs: DataFrame, queries: DataFrame) -> tuple[list, float]:
     """(query_id, term, weight) of the terms of a stated query set, and the mean length of a document. A weight is the
     idf over all documents times how often the query has the term. A negative idf becomes EPSILON times the mean idf
     over the vocabulary. One pass over the texts counts documents by term, and under a null term all of them."""
-    marked = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("words").cast("long").alias("dl"))), F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).cast("long").alias("dl"))))
-    counts = with_words(docs).select(F.inline(marked)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("dl"))
+    blocks = with_words(docs).mapInArrow(_frequencies, "term string, df long, dl long")
+    counts = blocks.groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl"))
     counts = counts.persist()
     try:
         n, total = counts.filter("term is null").select("df", "dl").first() or (0, 0)
@@ -79,38 +102,40 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 table[terms[w.term], at[w.query_id] - begin] = w.weight
         rows = np.flatnonzero(table.any(axis=1))
         blocks.append((begin, rows, table[rows]))
-    shared = docs.sparkSession.sparkContext.broadcast((terms, ids, blocks))
+    shared = docs.sparkSession.sparkContext.broadcast((list(terms), ids, blocks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, ids, blocks = shared.value
+        vocabulary, has = pa.array(terms, pa.string()), [(table != 0).astype(np.float64) for _, _, table in blocks]
         best: dict[tuple[int, int], tuple] = {}
+        # the last of the k best so far of each query, by score and by shared terms: a document has to come before it
+        worst, last = np.full((2, len(ids)), -np.inf), np.full((2, len(ids)), np.iinfo(np.int64).max)
 
-        def score(doc_ids: list, texts: list[list[str]]) -> None:
-            lengths = np.array([len(t) for t in texts], np.float64)
-            owner = np.repeat(np.arange(len(texts)), lengths.astype(int))
-            term = np.fromiter((terms.get(w, -1) for t in texts for w in t), np.int64, len(owner))
+        def score(keys: np.ndarray, texts: pa.ListArray) -> None:
+            lengths = pc.list_value_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(len(texts)), lengths)
+            term = pc.index_in(texts.flatten(), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
             owner, term = owner[term >= 0], term[term >= 0]
-            tf = np.zeros((len(texts), len(terms)), np.float64)
-            np.add.at(tf, (owner, term), 1)
+            tf = np.bincount(owner * len(terms) + term, minlength=len(texts) * len(terms)).astype(np.float64).reshape(len(texts), len(terms))
             part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[:, None] / max(mean_length, 1e-9)))
-            keys = np.array(doc_ids)
-            for begin, rows, table in blocks:
-                scores, hits = part[:, rows] @ table, (tf[:, rows] > 0).astype(np.float64) @ (table != 0)
-                for q in range(table.shape[1]):
-                    found = np.flatnonzero((hits[:, q] > 0) & (np.round(scores[:, q], 4) > 0))
-                    if not len(found):
-                        continue
-                    rows_now = np.column_stack([np.round(scores[found, q], 4), hits[found, q]])
-                    for kept, lead in ((0, rows_now[:, 0]), (1, rows_now[:, 1])):
+            for (begin, rows, table), held in zip(blocks, has, strict=True):
+                scores, hits = np.round(part[:, rows] @ table, 4), (tf[:, rows] > 0).astype(np.float64) @ held
+                found, queries = (hits > 0) & (scores > 0), slice(begin, begin + table.shape[1])
+                for kept, lead in ((0, scores), (1, hits)):
+                    ahead = found & ((lead > worst[kept, queries]) | ((lead == worst[kept, queries]) & (keys[:, None] < last[kept, queries])))
+                    for q in np.flatnonzero(ahead.any(axis=0)):
+                        more = np.flatnonzero(ahead[:, q])
                         old = best.get((begin + q, kept), (np.empty((0, 2)), keys[:0]))
-                        values, names = np.concatenate([old[0], rows_now]), np.concatenate([old[1], keys[found]])
+                        values, names = np.concatenate([old[0], np.column_stack([scores[more, q], hits[more, q]])]), np.concatenate([old[1], keys[more]])
                         first = np.lexsort((names, -values[:, kept]))[:k]
                         best[begin + q, kept] = values[first], names[first]
+                        if len(first) == k:
+                            worst[kept, begin + q], last[kept, begin + q] = values[first[-1], kept], names[first[-1]]
 
         for batch in batches:
-            for begin in range(0, batch.num_rows, DOC_BLOCK):
+            for begin in range(0, batch.num_rows if terms else 0, DOC_BLOCK):
                 part = batch.slice(begin, DOC_BLOCK)
-                score(part.column(0).to_pylist(), part.column(1).to_pylist())
+                score(part.column(0).to_numpy(zero_copy_only=False), part.column(1))
         for (q, kept), (values, names) in best.items():
             seen = set(best[q, 0][1].tolist()) if kept else set()
             rows = [i for i in range(len(names)) if names[i] not in seen]
@@ -121,6 +146,15 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return split.mapInArrow(run, f"query_id {kind}, doc_id long, n_terms long, score double")
 
 
+def two_lists(scores: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id, rank, arm: the ``k`` first of each query by score (arm 0) and by shared terms (arm 1), ties by
+    doc_id. Both ranks are found in one plan, so the scores are computed once."""
+    places = [F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(c), "doc_id")) for c in ("score", "n_terms")]
+    placed = scores.select("query_id", "doc_id", *(p.alias(f"place{i}") for i, p in enumerate(places)))
+    arms = F.array(*(F.struct(F.col(f"place{i}").alias("rank"), F.lit(i).alias("arm")) for i in range(2)))
+    return placed.select("query_id", "doc_id", F.inline(arms)).filter(F.col("rank") <= k)
+
+
 def top_k(scores: DataFrame, k: int, *order: Column) -> DataFrame:
     """rank from 1 within each query; ties by doc_id."""
     window = Window.partitionBy("query_id").orderBy(*order, "doc_id")
@@ -191,11 +225,15 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def rrf(first: DataFrame, second: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists (query_id, doc_id, rank). Ties: the first list's order, then the second's."""
-    marked = first.select("query_id", "doc_id", "rank", F.lit(0).alias("arm")).unionByName(second.select("query_id", "doc_id", "rank", F.lit(1).alias("arm")))
-    fused = marked.groupBy("query_id", "doc_id").agg(
+    return fused(first.select("query_id", "doc_id", "rank", F.lit(0).alias("arm")).unionByName(second.select("query_id", "doc_id", "rank", F.lit(1).alias("arm"))), k, rrf_k)
+
+
+def fused(arms: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:
+    """``rrf`` of lists that lie in one table (query_id, doc_id, rank, arm)."""
+    summed = arms.groupBy("query_id", "doc_id").agg(
         F.round(F.sum(1 / (rrf_k + F.col("rank"))), 9).alias("score"), F.min(F.struct("arm", "rank")).alias("first")
     )
-    ranked = top_k(fused, k, F.desc("score"), F.col("first.arm"), F.col("first.rank"))
+    ranked = top_k(summed, k, F.desc("score"), F.col("first.arm"), F.col("first.rank"))
     return ranked.select("query_id", "doc_id", "rank", "score")
 
 

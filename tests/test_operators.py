@@ -25,6 +25,23 @@ def test_fusion_puts_the_shared_document_first(spark):
     assert fused[0].doc_id == "b" and {r.doc_id for r in fused} == set("abc")
 
 
+def test_both_lists_come_from_one_pass_over_the_texts(spark, capsys):
+    docs = spark.createDataFrame([(i, " ".join(["alpha"] * (i % 4) + ["beta"] * (i % 3) + [f"pad{i}"] * (i % 5))) for i in range(60)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "beta pad7"), (3, "none")], "query_id long, text string")
+    scores = retrieval.bm25(docs, asked, 4)
+    lists = [retrieval.top_k(scores, 4, F.desc(c)) for c in ("score", "n_terms")]
+    one = retrieval.two_lists(scores, 4)
+    for arm, rows in enumerate(lists):
+        want = sorted(tuple(r) for r in rows.select("query_id", "doc_id", "rank").collect())
+        assert want and sorted(tuple(r) for r in one.filter(F.col("arm") == arm).select("query_id", "doc_id", "rank").collect()) == want
+    fused = retrieval.fused(one, 3)
+    assert sorted(map(tuple, fused.collect())) == sorted(map(tuple, retrieval.rrf(*lists, k=3).collect()))
+    capsys.readouterr()
+    retrieval.fused(one, 3).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
+
+
+
 def test_metrics_of_small_lists(spark):
     lists = {1: [1, 0, 0, 0, 0], 2: [0, 0, 1, 0], 3: [0, 1, 0], 4: [1, 1, 0], 5: [0, 0]}
     ranked = spark.createDataFrame([(q, r, x) for q, xs in lists.items() for r, x in enumerate(xs, 1)], "query_id int, rank int, rel int")
