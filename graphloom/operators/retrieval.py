@@ -15,8 +15,11 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, BOOST, EDGE_CAP = 60, 0.15, 2
 #: Queries of a block, documents and vectors scored at once, and weights of query terms that the driver may hold.
 QUERY_BLOCK, DOC_BLOCK, VECTOR_BLOCK, MOST_WEIGHTS = 512, 512, 2048, 4_000_000
-#: Documents whose words are counted at once.
-COUNT_BLOCK = 2048
+#: Documents whose words are counted at once, and vectors, or queries, that a group holds, about.
+COUNT_BLOCK, SIDE = 2048, 16_384
+#: Columns of packed vectors, and of packed queries.
+MATRIX = ("ids", "labels", "dim", "data")
+QUERY_COLUMNS = tuple(f"q_{c}" for c in MATRIX)
 
 
 def tokens(text: Column) -> Column:
@@ -176,7 +179,7 @@ def matrices(rows: DataFrame, block: int) -> DataFrame:
     Vectors of different length are in different rows; a zero vector stays zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, block) for b in batches for i in range(0, b.num_rows, block)):
             dims = np.array([len(v) if v is not None else 0 for v in batch.column(1).to_pylist()])
             for dim in np.unique(dims):
                 mine = np.flatnonzero(dims == dim)
@@ -194,17 +197,18 @@ def matrices(rows: DataFrame, block: int) -> DataFrame:
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` (vec_id, embedding, label) for each row of a stated query set of the same
-    columns: cosine in double precision, rounded to 4 digits, ties by id; 0 for zero vectors and other lengths. Blocks
-    of queries meet blocks of vectors in matrix products, which leave the best of each query. A query is not its own
-    neighbour."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, labels, dim, data, q_ids, q_labels, q_dim, q_data = (c[i].as_py() for c in batch.columns)
-                ids, q_ids = np.array(ids), np.array(q_ids)
+    columns: cosine in double precision, rounded to 4 digits, ties by id; 0 for zero vectors and other lengths. Matrices of
+    queries and of vectors are dealt to groups, and leave the best of each query: a task holds one group of about ``SIDE``
+    vectors and as many queries at a time, however many there are. A query is not its own neighbour."""
+
+    def run(key: tuple, held: pa.Table, asked: pa.Table) -> pa.Table:
+        out = []
+        for q_ids, q_labels, q_dim, q_data in zip(*(asked.column(c) for c in QUERY_COLUMNS), strict=True):
+            q_ids, q_labels, q_dim, queries = np.array(q_ids.as_py()), q_labels.as_py(), q_dim.as_py(), np.frombuffer(q_data.as_py())
+            for ids, labels, dim, data in zip(*(held.column(c) for c in MATRIX), strict=True):
+                ids, labels, dim = np.array(ids.as_py()), labels.as_py(), dim.as_py()
                 if dim == q_dim and dim:
-                    scores = np.frombuffer(q_data).reshape(-1, dim) @ np.frombuffer(data).reshape(-1, dim).T
+                    scores = queries.reshape(-1, dim) @ np.frombuffer(data.as_py()).reshape(-1, dim).T
                 else:
                     scores = np.zeros((len(q_ids), len(ids)))
                 scores = np.where(q_ids[:, None] == ids[None, :], -2, np.round(scores, 4) + 0.0)
@@ -213,14 +217,17 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 column = first.ravel()
                 good = scores[row, column] > -2
                 row, column = row[good], column[good]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q_ids[row]), pa.array([q_labels[r] for r in row], pa.int64()), pa.array(ids[column]), pa.array([labels[c] for c in column], pa.int64()), pa.array(scores[row, column])],
-                    ["query_id", "query_label", "doc_id", "label", "score"],
-                )
-
-    asked = matrices(queries, QUERY_BLOCK).select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "labels", "dim", "data")))
-    met = matrices(vectors, VECTOR_BLOCK).crossJoin(asked)
-    return top_k(met.mapInArrow(run, "query_id long, query_label long, doc_id long, label long, score double"), k, F.desc("score"))
+                out.append(pa.table([pa.array(q_ids[row], pa.int64()), pa.array([q_labels[r] for r in row], pa.int64()), pa.array(ids[column], pa.int64()), pa.array([labels[c] for c in column], pa.int64()), pa.array(scores[row, column])], names))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (*[pa.int64()] * 4, pa.float64())], names)
+
+    names = ["query_id", "query_label", "doc_id", "label", "score"]
+    blocks, sides = (max(1, -(-rows.count() // SIDE)) for rows in (vectors, queries))
+    place = F.xxhash64(F.col("ids")[0], "dim")
+    each = {c: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(c) for c, n in (("block", blocks), ("side", sides))}
+    left = matrices(vectors, VECTOR_BLOCK).select(F.pmod(place, F.lit(blocks)).cast("int").alias("block"), each["side"], *MATRIX)
+    right = matrices(queries, QUERY_BLOCK).select(each["block"], F.pmod(place, F.lit(sides)).cast("int").alias("side"), *(F.col(c).alias(q) for c, q in zip(MATRIX, QUERY_COLUMNS, strict=True)))
+    met = left.groupBy("block", "side").cogroup(right.groupBy("block", "side"))
+    return top_k(met.applyInArrow(run, "query_id long, query_label long, doc_id long, label long, score double"), k, F.desc("score"))
 
 
 def rrf(first: DataFrame, second: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:

@@ -436,3 +436,27 @@ def test_edges_are_gathered_in_tasks_of_a_bounded_size(spark, tmp_path, monkeypa
         rows = frame.collect()
         assert {(r[0], r[1]): r[2] for r in rows} == want and len(rows) == len(want)
         assert frame.rdd.getNumPartitions() == 16
+
+
+def test_neighbours_meet_in_groups_of_a_bounded_size(spark, monkeypatch, capsys):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(3 if i % 7 else 2)] if i % 11 else None, i % 3) for i in range(90)]
+    for name, size in (("SIDE", 8), ("VECTOR_BLOCK", 4), ("QUERY_BLOCK", 3)):
+        monkeypatch.setattr(retrieval, name, size, raising=False)
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+
+    def cosine(a, b):
+        norm = math.sqrt(sum(x * x for x in a or [])) * math.sqrt(sum(x * x for x in b or []))
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / norm, 4) + 0.0 if norm and len(a) == len(b) else 0.0
+
+    met = retrieval.knn(vectors, vectors.filter("vec_id % 4 = 0"), 5)
+    got = {(r.query_id, r["rank"]): (r.doc_id, round(r.score, 4)) for r in met.collect()}
+    for q, v, _ in rows[::4]:
+        best = sorted((-cosine(v, w), i) for i, w, _ in rows if i != q)[:5]
+        assert [got[q, n + 1] for n in range(5)] == [(i, -s) for s, i in best]
+    assert len(got) == 5 * len(rows[::4])
+    # a product of both sides would fill batches of 10,000 pairs of matrices
+    capsys.readouterr()
+    retrieval.knn(vectors, vectors.filter("vec_id % 4 = 0"), 5).explain()
+    plan = capsys.readouterr().out
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
