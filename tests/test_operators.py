@@ -460,3 +460,15 @@ def test_neighbours_meet_in_groups_of_a_bounded_size(spark, monkeypatch, capsys)
     retrieval.knn(vectors, vectors.filter("vec_id % 4 = 0"), 5).explain()
     plan = capsys.readouterr().out
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_plans_of_months_are_made_without_data_frames(spark, capsys):
+    courses = spark.createDataFrame([(1, "SQL", 2, "B"), (1, "Java", 1, "A"), (1, "Java", 3, "C"), (1, None, 4, "D"), (2, "Go", 1, "G")], "career_code long, skill string, place long, title string")
+    topics = spark.createDataFrame([(1, 0, "java/spring"), (1, 1, None), (1, 2, "none"), (3, 0, "java")], "career_code long, month int, topic string")
+    made = graph.allocate_months(courses, topics, "career_code", 3, 2)
+    got = sorted((r.career_code, r.month, r.place, r.title) for r in made.collect())
+    want = [(1, 0, 0, "a"), (1, 0, 1, "c"), (1, 1, 0, "b"), (1, 1, 1, "a"), (1, 2, 0, "d"), (1, 2, 1, "b"), (2, 0, 0, "g"), (2, 1, 0, "g"), (2, 2, 0, "g")]
+    assert got == want
+    capsys.readouterr()
+    graph.allocate_months(courses, topics, "career_code", 3, 2).explain()
+    assert "Pandas" not in capsys.readouterr().out
