@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,31 +45,37 @@ def with_words(rows: DataFrame, *keys: str) -> DataFrame:
     return split.select(*keys, F.when(F.size("words") > 0, F.col("words")).otherwise(signs).alias("words"))
 
 
-def term_counts(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """The different words of each list: the list, the word's place in the last result and how often the list has it, list by
-    list; the lengths of the lists; and the words."""
-    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    codes = lists.flatten().dictionary_encode()
-    size = max(1, len(codes.dictionary))
-    pairs, tf = np.unique(np.repeat(np.arange(len(lengths)), lengths) * size + codes.indices.to_numpy(), return_counts=True)
-    return pairs // size, pairs % size, tf, lengths, codes.dictionary
+def counting() -> Callable:
+    """A function that is sent to tasks as a whole, so that workers need not find this module."""
 
+    def term_counts(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """The different words of each list: the list, the word's place in the last result and how often the list has it, list by
+        list; the lengths of the lists; and the words."""
+        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = lists.flatten().dictionary_encode()
+        size = max(1, len(codes.dictionary))
+        pairs, tf = np.unique(np.repeat(np.arange(len(lengths)), lengths) * size + codes.indices.to_numpy(), return_counts=True)
+        return pairs // size, pairs % size, tf, lengths, codes.dictionary
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """term, df, dl: how many documents of a block (words) have a term; a null term counts documents and words."""
-    for batch in batches:
-        for begin in range(0, batch.num_rows, COUNT_BLOCK):
-            _, term, _, lengths, words = term_counts(batch.slice(begin, COUNT_BLOCK).column(0))
-            df = np.append(np.bincount(term, minlength=len(words)), len(lengths))
-            dl = np.append(np.zeros(len(words), np.int64), lengths.sum())
-            yield pa.RecordBatch.from_arrays([pa.array([*words.to_pylist(), None], pa.string()), pa.array(df, pa.int64()), pa.array(dl, pa.int64())], ["term", "df", "dl"])
+    return term_counts
 
 
 def term_weights(docs: DataFrame, queries: DataFrame) -> tuple[list, float]:
     """(query_id, term, weight) of the terms of a stated query set, and the mean length of a document. A weight is the
     idf over all documents times how often the query has the term. A negative idf becomes EPSILON times the mean idf
     over the vocabulary. One pass over the texts counts documents by term, and under a null term all of them."""
-    blocks = with_words(docs).mapInArrow(_frequencies, "term string, df long, dl long")
+    term_counts = counting()
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """term, df, dl: how many documents of a block (words) have a term; a null term counts documents and words."""
+        for batch in batches:
+            for begin in range(0, batch.num_rows, COUNT_BLOCK):
+                _, term, _, lengths, words = term_counts(batch.slice(begin, COUNT_BLOCK).column(0))
+                df = np.append(np.bincount(term, minlength=len(words)), len(lengths))
+                dl = np.append(np.zeros(len(words), np.int64), lengths.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([*words.to_pylist(), None], pa.string()), pa.array(df, pa.int64()), pa.array(dl, pa.int64())], ["term", "df", "dl"])
+
+    blocks = with_words(docs).mapInArrow(frequencies, "term string, df long, dl long")
     counts = blocks.groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl"))
     counts = counts.persist()
     try:
