@@ -77,7 +77,8 @@ def near_rows(matrix: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
         rows = queries[begin : begin + 128]
         far = squares[None, :] - 2 * matrix[rows] @ matrix.T
         far[np.arange(len(rows)), rows] = np.inf
-        found.append(np.argpartition(far, k - 1, axis=1)[:, :k] if k < len(matrix) else np.argsort(far, axis=1)[:, :k])
+        # a copy, as a slice would hold the numbers of all rows
+        found.append((np.argpartition(far, k - 1, axis=1) if k < len(matrix) else np.argsort(far, axis=1))[:, :k].copy())
     return np.concatenate(found)
 
 
@@ -92,7 +93,7 @@ def bisected(source: np.ndarray, target: np.ndarray, weight: np.ndarray, n: int,
         v -= root * (root @ v)
         v = (v + np.bincount(source, scaled * v[target], n)) / 2
         v /= np.linalg.norm(v) + 1e-300
-    side = np.zeros(n, np.int8)
+    side = np.zeros(n, np.int64)
     side[np.argsort(v / np.sqrt(degree), kind="stable")[n // 2 :]] = 1
 
     def cost(sides: np.ndarray) -> float:

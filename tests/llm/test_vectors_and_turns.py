@@ -5,6 +5,7 @@ import heapq
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -166,6 +167,21 @@ def test_parts_are_balanced_and_cut_few_edges():
     assert router.probes <= 3
 
 
+def test_as_many_parts_as_there_may_be():
+    x = np.random.default_rng(6).standard_normal((4 * partition_search.MOST_PARTS, 4))
+    part = partition_search.balanced_parts(partition_search.near_rows(x, np.arange(len(x)), 10), partition_search.MOST_PARTS)
+    assert np.bincount(part).tolist() == [4] * partition_search.MOST_PARTS
+
+
+def test_near_rows_hold_no_more_than_they_return():
+    x = np.random.default_rng(7).standard_normal((6000, 4))
+    tracemalloc.start()
+    partition_search.near_rows(x, np.arange(len(x)), 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+
+
 # turns
 
 
