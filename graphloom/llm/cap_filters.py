@@ -1,11 +1,13 @@
 """Operator 7: embedding near-dedup by spherical-cap filters.
 
-A filter is a direction; it holds the unit vectors within a cap around it. The directions are a structured
-random product code: after a shared random rotation a vector is cut into ``parts`` and each part has its own
-random code words; a direction joins one word of every part. A vector's filters are found by list decoding:
-partial sums over the parts are dropped as soon as the best words of the remaining parts could not lift them
-over the threshold. In fewer than ``PRODUCT_DIM`` components a code has one part. The number of words and the height
-of the caps follow from the dimension, the threshold and the size of the largest label. Vectors are joined on (label, dimension, filter) and pairs are verified by their cosine.
+A filter is a direction; it holds the unit vectors within a cap around it. The directions are a random product code:
+after a shared random rotation a vector is cut into ``parts`` and each part has its own random code words; a direction
+joins one word of every part. A vector's filters are found by list decoding: partial sums over the parts are dropped as
+soon as the best words of the remaining parts could not lift them over the threshold. Words of one part need a tenth of the
+filters that a product of two needs for the same recall, so codes have one part up to labels of ``MOST_SINGLE`` vectors.
+The number of words and the height of the caps follow from the dimension, the threshold and the size of the largest label,
+so that decoding a vector and comparing it with those in its caps cost about the same: both grow with the root of a label.
+Vectors are joined on (label, dimension, filter) and pairs are verified by their cosine.
 
 Equal vectors of a label form a class, so copies are one row in the join. A pair that shares several filters
 counts in the smallest one. A bucket of more than ``block`` classes is cut into blocks and each pair of
@@ -34,18 +36,17 @@ from .tokens import trim
 
 THRESHOLD = 0.93
 #: Shared filters that a pair at the threshold has on average in one code. A code of one part spreads them evenly over
-#: pairs, so one is enough; a product of two is uneven, and two independent codes make up for it. Recall at exactly
-#: the threshold was 0.99 or more from 1 to 768 dimensions (600 pairs each; a test asks for 0.985).
-SHARED = {1: 16, 2: 24}
+#: pairs, so one is enough; in few components it is less even, and a product of two parts is uneven, for which two
+#: independent codes make up. Recall at exactly the threshold: tests ask for 0.985.
+SHARED, SHARED_SHORT = {1: 8, 2: 24}, 16
 CODES = {1: 1, 2: 2}
 #: Vectors of fewer components have codes of one part: a product of parts so short leaves most vectors without filters.
 PRODUCT_DIM = 20
-#: Code words of a part. Within these the number follows the largest label, so that a vector meets about
-#: ``STRANGERS`` unlike ones in all its buckets, however large the label.
-LEAST_WORDS, MOST_WORDS, STRANGERS = 256, 1 << 16, 4
-#: Vectors whose filters a Python process keeps while it verifies.
-KEPT_FILTERS = 30_000
-BLOCK = 400
+#: Vectors of a label up to which codes have one part, and unlike ones that a vector then meets in products of two.
+MOST_SINGLE, STRANGERS = 1 << 24, 1 << 12
+#: Code words of a part. Within these the number follows the largest label.
+LEAST_WORDS, MOST_WORDS = 64, 1 << 16
+BLOCK = 512
 NO_ID = (1 << 63) - 1  # stands for a null id: any other id is smaller
 
 
@@ -72,11 +73,12 @@ def sizing(dim: int, threshold: float, members: int) -> tuple[int, int, float]:
 
     Of two vectors at the threshold the second is in a cap of the first with a chance that falls with the height, so
     the filters a vector needs and the height depend on each other; a few rounds settle them."""
-    parts = 2 if dim >= PRODUCT_DIM else 1
-    wanted = SHARED[parts]
+    parts = 2 if dim >= PRODUCT_DIM and members > MOST_SINGLE else 1
+    wanted = SHARED[parts] if dim >= PRODUCT_DIM else SHARED_SHORT
     filters, words, height = 2.0 * wanted, LEAST_WORDS, threshold
     for _ in range(6):
-        need = (members * filters**2 / STRANGERS) ** (1 / parts)
+        # with one part a vector meets all words, and in its caps half of members * filters**2 / words others, as pairs are met once
+        need = filters * math.sqrt(members / 2) if parts == 1 else filters * math.sqrt(members / STRANGERS)
         words = min(MOST_WORDS, max(LEAST_WORDS, 1 << math.ceil(math.log2(max(1.0, need)))))
         if parts == 1:
             # in very few dimensions a cap as wide as the threshold holds many words: fewer of them will do
@@ -116,6 +118,9 @@ class ProductCode:
         # what the parts after each part can add at most
         later = np.concatenate([np.cumsum(best[:, ::-1], axis=1)[:, ::-1][:, 1:], np.zeros((len(unit), 1))], axis=1)
         least = np.minimum(self.least, best.sum(axis=1) - 1e-9)
+        if len(scores) == 1:
+            row, word = np.nonzero(scores[0] >= least[:, None])
+            return np.split(word, np.cumsum(np.bincount(row, minlength=len(unit)))[:-1])
         out = []
         for i in range(len(unit)):
             sums, numbers = np.zeros(1), np.zeros(1, np.int64)
@@ -152,26 +157,12 @@ _CODES: dict[tuple, CodeSet] = {}
 
 def code_set(dim: int, threshold: float, members: int) -> CodeSet:
     if (dim, threshold, members) not in _CODES:
-        only("embedding caps", _CODES, _KEPT)
+        only("embedding caps", _CODES)
         trim(_CODES, 8)
         _CODES[dim, threshold, members] = CodeSet(dim, threshold, members)
     return _CODES[dim, threshold, members]
 
 
-_KEPT: dict[tuple, np.ndarray] = {}
-
-
-def filters_of(classes: list[int], unit: np.ndarray, settings: tuple) -> list[np.ndarray]:
-    """The filters of some vectors, decoded again or kept from before."""
-    keys = [(settings, unit.shape[1], c) for c in classes]
-    new = [i for i, k in enumerate(keys) if k not in _KEPT]
-    fresh = dict(zip((keys[i] for i in new), code_set(unit.shape[1], *settings).decode(unit[new]), strict=True)) if new else {}
-    out = [fresh[k] if k in fresh else _KEPT[k] for k in keys]
-    trim(_KEPT, KEPT_FILTERS)
-    _KEPT.update(fresh)
-    return out
-
-
 def _unit(rows: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1 in double precision, without overflow on the way."""
     rows = rows.astype(np.float64)
@@ -219,56 +210,54 @@ def first_shared(filters: list[np.ndarray], here: int, left: np.ndarray, right:
     return (held @ held.T)[left, right] == 0
 
 
-def verify(members: DataFrame, threshold: float, settings: tuple) -> DataFrame:
-    """``members``: bucket, one, two, side, filter, cls, copies, vector. Returns cls, links, other."""
+def verify(members: DataFrame, threshold: float) -> DataFrame:
+    """``members``: bucket, one, two, side, filter, cls, copies, filters, vector. Returns cls, links, other."""
 
-    def group(rows: list[tuple], across: bool) -> Iterator[tuple[int, int, int | None]]:
-        unit = _unit(np.stack([r[3] for r in rows]))
-        cosine = unit @ unit.T
-        side = np.array([r[0] for r in rows])
-        ok = np.triu(cosine >= threshold, 1)
+    def group(rows: pa.RecordBatch, across: bool) -> pa.RecordBatch | None:
+        side, cls, copies = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("side", "cls", "copies"))
+        unit = _unit(rows.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(len(cls), -1))
         if across:
-            ok &= side[:, None] != side[None, :]
-        left, right = np.nonzero(ok)
+            one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            left, right = np.nonzero(unit[one] @ unit[two].T >= threshold)
+            left, right = one[left], two[right]
+        else:
+            left, right = np.nonzero(np.triu(unit @ unit.T >= threshold, 1))
         if not len(left):
-            return
+            return None
         ends, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-        filters = filters_of([rows[i][1] for i in ends], unit[ends], settings)
-        first = first_shared(filters, rows[0][4], at[: len(left)], at[len(left) :])
+        numbers = rows.column("filters").take(pa.array(ends))
+        filters = np.split(numbers.flatten().to_numpy(), numbers.offsets.to_numpy()[1:-1] - numbers.offsets[0].as_py())
+        first = first_shared(filters, rows.column("filter")[0].as_py(), at[: len(left)], at[len(left) :])
         left, right = left[first], right[first]
-        copies, links = np.array([r[2] for r in rows]), np.zeros(len(rows), np.int64)
+        links = np.zeros(len(cls), np.int64)
         np.add.at(links, left, copies[right])
         np.add.at(links, right, copies[left])
-        for i in np.flatnonzero(links):
-            yield rows[i][1], int(links[i]), None
-        for a, b in tree_edges(left, right, len(rows)):
-            yield rows[a][1], 0, rows[b][1]
+        some, tree = np.flatnonzero(links), np.array(tree_edges(left, right, len(cls)), np.int64).reshape(-1, 2)
+        ends = np.concatenate([cls[some], cls[tree[:, 0]]]), np.concatenate([links[some], np.zeros(len(tree), np.int64)])
+        other = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(cls[tree[:, 1]], pa.int64())])
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in ends), other], ["cls", "links", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key, out = [], None, []
+        held, last = [], None
 
-        def flush() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) if out else [(), (), ()]
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["cls", "links", "other"])
+        def met() -> Iterator[pa.RecordBatch]:
+            if sum(len(part) for part in held) > 1:
+                found = group(pa.Table.from_batches(held).combine_chunks().to_batches()[0], last[1] != last[2])
+                if found is not None:
+                    yield found
 
         for batch in batches:
-            buckets, ones, twos, sides, here, classes, copies = (batch.column(i).to_pylist() for i in range(7))
-            vectors, at = batch.column(7).values.to_numpy(zero_copy_only=False), batch.column(7).offsets.to_numpy()
-            for i in range(batch.num_rows):
-                now = (buckets[i], ones[i], twos[i])
-                if now != key:
-                    if len(held) > 1:
-                        out.extend(group(held, key[1] != key[2]))
-                    held, key = [], now
-                held.append((sides[i], classes[i], copies[i], vectors[at[i] : at[i + 1]], here[i]))
-            if len(out) > 20_000:
-                yield flush()
-        if len(held) > 1:
-            out.extend(group(held, key[1] != key[2]))
-        yield flush()
-
-    columns = ("bucket", "one", "two", "side", "filter", "cls", "copies", "vector")
+            key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "one", "two")], axis=1)
+            begins = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for begin, end in zip(begins[:-1], begins[1:], strict=True):
+                if begin < end:
+                    if (now := tuple(key[begin].tolist())) != last:
+                        yield from met()
+                        held, last = [], now
+                    held.append(batch.slice(begin, end - begin))
+        yield from met()
+
+    columns = ("bucket", "one", "two", "side", "filter", "cls", "copies", "filters", "vector")
     dealt = members.select(*columns).repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two", "cls")
     return dealt.mapInArrow(run, "cls long, links long, other long")
 
@@ -295,8 +284,8 @@ def dedup_embeddings(
     buckets = seen.groupBy("label", "dim", "filter").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = buckets.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     placed = seen.join(buckets, ["label", "dim", "filter"]).select("cls", "filter", F.xxhash64("label", "dim", "filter").alias("bucket"), F.inline(block_pairs(F.col("cls"), F.col("blocks"))))
-    members = placed.join(classes.select("cls", "copies", "vector"), "cls")
-    checked = cut(verify(members, threshold, settings))
+    members = placed.join(classes.select("cls", "copies", "vector").join(decoded, "cls"), "cls")
+    checked = cut(verify(members, threshold))
 
     links = checked.groupBy("cls").agg(F.sum("links").alias("links"))
     parts_of = connected_components(checked.filter("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b")))

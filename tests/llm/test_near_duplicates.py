@@ -138,6 +138,18 @@ def test_pairs_at_the_threshold_share_a_filter(dim, members):
     assert np.mean(met) >= 0.985
 
 
+@pytest.mark.parametrize("dim", [24, 64, 256])
+@pytest.mark.parametrize("members", [1000, 60_000, 1_000_000])
+def test_work_of_a_vector_grows_with_the_root_of_its_label(dim, members):
+    """Words that a vector meets, others in its filters that it is compared with, and filters that are shuffled."""
+    x = np.random.default_rng(dim).standard_normal((300, dim))
+    codes = cap_filters.CodeSet(dim, 0.93, members)
+    filters = np.mean([len(row) for row in codes.decode(x / np.linalg.norm(x, axis=1, keepdims=True))])
+    words = sum(len(c) for code in codes.codes for c in code.codes)
+    assert filters <= 25
+    assert words + members * filters**2 / (codes.span * len(codes.codes)) <= 60 * members**0.5
+
+
 @pytest.mark.parametrize("dim", [2, 7, 16, 24])
 def test_links_of_short_vectors(spark, dim):
     x = vectors(120, dim, seed=dim)
