@@ -420,6 +420,44 @@ def test_suggestions_compare_few_names_and_are_those_of_all_pairs(monkeypatch):
     assert len(calls) < 0.4 * len(names) * len(needles)
 
 
+def test_offered_names_are_those_of_all_pairs(monkeypatch):
+    rng = random.Random(4)
+    tables = [
+        [f"Customer#{i:09d}" for i in rng.sample(range(10**6), 400)],
+        ["".join(rng.choice("abAB ") for _ in range(rng.randint(1, 9))).strip() or "b" for _ in range(300)],
+        [f"{rng.choice(['İx', 'ΑΣ', 'straße', 'Éa'])}{i}" for i in range(40)] + ["a" * rng.randint(190, 260) + str(i) for i in range(20)] + ["x\ny", "a\nb", "b"],
+    ]
+    for names in ({*table} for table in tables):
+        block = resolve.OfferedNames(names)
+        needles = ["#000123", "see Customer#000000200 please", "nobody 300", "2", "xyz", "a", "ab", "ba b", "b\nx", "\n", "ας", "i", "straSSE1", "customer"]
+        needles += [name[1:] + "q" for name in sorted(names)[:5]] + [name[1:] for name in sorted(names)[-5:] if name[1:]]
+        for probed in (100_000, 20):
+            monkeypatch.setattr(resolve, "PROBED", probed)
+            held = block.holders({needle.lower() for needle in needles}, 6)
+            for needle in needles:
+                scored = sorted((-round(similarity.suggestion_score(needle, n), 6), n) for n in names)
+                assert block.first(needle, held[needle.lower()], 6, 0.25) == [(-s, n) for s, n in scored if s <= -0.25][:6], needle
+
+
+def test_suggestions_look_at_few_of_many_names(monkeypatch):
+    """The work of a needle hardly grows with the names."""
+    met = []
+    plain, push = similarity.suggestion_score, resolve.heapq.heappush
+    monkeypatch.setattr(similarity, "suggestion_score", lambda a, b: met.append(b) or plain(a, b))
+    monkeypatch.setattr(resolve.heapq, "heappush", lambda heap, node: met.append(node) or push(heap, node))
+    most = []
+    for n in (2_000, 50_000):
+        block = resolve.OfferedNames(f"Customer#{7 * i:09d}" for i in range(n))
+        needles = ["#000007000", "see Customer#000000200 please", "nobody 300", "nobody 13900"]
+        held, counts = block.holders({needle.lower() for needle in needles}, 6), []
+        for needle in needles:
+            met.clear()
+            assert len(block.first(needle, held[needle.lower()], 6, 0.25)) == 6
+            counts.append(len(met))
+        most.append(max(counts))
+    assert most[1] < 0.1 * 50_000 and most[1] < 6 * most[0]
+
+
 def test_edges_are_gathered_in_tasks_of_a_bounded_size(spark, tmp_path, monkeypatch):
     from graphloom.sources import model
 
